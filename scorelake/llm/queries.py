@@ -44,5 +44,81 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pieces, op4_token_counts, op5_token_files)}
-SQL: dict[str, str] = {}
+def op2_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorelake.llm.hilbert import read_shards, write_shards
+
+    path = shared_path(spark, "shards")
+    write_shards(table(spark, sf_dir, "documents"), path, ("n_chars", "lang", "source"), "doc_id", "text")
+    text = F.coalesce(F.col("row.text"), F.lit("")).cast("binary")
+    return read_shards(spark, path, 8).select("row.doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorelake.llm.simhash import near_duplicates
+
+    out = near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=2)
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorelake.llm.gam import fit_quality, held_out, quality_score
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit_quality(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", held_out("doc_id").alias("held_out"), quality_score(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorelake.llm.gam import held_out
+    from scorelake.llm.langid import fit_languages, language
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit_languages(docs, tokenizer("piece_bpe_32k.model"))
+    return docs.select("doc_id", held_out("doc_id").alias("held_out"), language(model, F.col("text")).alias("found")).select("doc_id", "held_out", "found.lang_pred", "found.score")
+
+
+def op8_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorelake.llm.repetition import repetition
+
+    return repetition(table(spark, sf_dir, "documents"))
+
+
+#: host, path, verdict.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorelake.llm.url_rules import judge_urls
+
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorelake.llm.decontam import match_items, n_hit
+
+    out = match_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hit = n_hit(F.col("spans"))
+    return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_pieces, op2_hilbert_shards, op3_simhash, op4_token_counts, op5_token_files, op6_quality, op7_language, op8_repetition, op9_url_rules, op10_decontamination)
+}
+
+#: Where DuckDB can give the whole result.
+SQL: dict[str, str] = {
+    "op9_url_rules": r"""
+        WITH rules(host, path, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+        urls AS (
+            SELECT row_number() OVER () AS k, page_id,
+                   translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path
+            FROM pages),
+        best AS (
+            SELECT k, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS verdict
+            FROM urls u JOIN rules r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path) GROUP BY k)
+        SELECT page_id, host, path, rule, coalesce(b.verdict, 'allow') AS verdict FROM urls LEFT JOIN best b USING (k)
+    """,
+}
