@@ -31,7 +31,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return facts_of(table(spark, sf_dir, "events"))
+
+
+def facts_of(e: DataFrame) -> DataFrame:
     of = lambda k: cascade([(F.col("event_type") == t, b[k]) for t, b in BOARDS.items()])
     value = cascade([(F.col("event_type") == t, F.expr(b[3])) for t, b in BOARDS.items()], F.col("value"))
     return e.where(F.col("event_type").isin(*BOARDS)).select(

@@ -386,7 +386,10 @@ def h27_sort_table(spark, d):
 
 
 def battles(spark, d):
-    e = P.table(spark, d, "events")
+    return battles_of(P.table(spark, d, "events"))
+
+
+def battles_of(e):
     who = lambda k: F.concat(F.lit("m"), F.pmod(k, F.lit(25)))
     return e.select(who(F.col("user_id")).alias("model_a"), who(F.col("user_id") * 7 + F.col("event_id")).alias("model_b"), F.when(F.col("value") > 60, "model_a").when(F.col("value") > 20, "model_b").otherwise("tie").alias("winner"))
 
@@ -735,3 +738,160 @@ def a9_a11_text_rules(spark, d):
     near = H.proximity_scores(p, "gpt", F.col("html")).select("page_id", "model", "value")
     cards = H.extract_cards(p, r"<li>(.*?)</li>", r">([^<]*)</a>", r"data-score=\"([^\"]*)\"").select("page_id", "model", F.col("rank").cast("double").alias("value"))
     return scan.union(near).union(cards)
+
+
+# Changes of state
+
+
+def _folder(spark, name: str) -> str:
+    """A new folder beside the checkpoints, which the cluster shares; in tests one of this machine."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(with_sql("facts", "SELECT score_id, leaderboard, round(CASE WHEN leaderboard = 'HELM Views' THEN value + 1 ELSE value END, 4) AS value FROM facts"))
+def a13_a14_overwrite_and_replace(spark, d):
+    """All facts written, then one leaderboard's partition replaced."""
+    path = _folder(spark, "facts")
+    f = P.facts(spark, d).select("score_id", "leaderboard", "value")
+    T.replace_partition(f, path)
+    T.replace_partition(f.where("leaderboard = 'HELM Views'").withColumn("value", F.col("value") + 1), path)
+    return rounded(spark.read.parquet(path), "value").select("score_id", "leaderboard", "value")
+
+
+@query(with_sql("facts", "SELECT score_id, model_name, round(value, 4) AS value FROM facts"))
+def a15_json_export(spark, d):
+    path = _folder(spark, "json")
+    T.export_json(rounded(P.facts(spark, d), "value").select("score_id", "model_name", "value"), path)
+    return spark.read.schema("score_id long, model_name string, value double").json(path)
+
+
+@query("SELECT 'model-' || user_id AS model, event_type AS metric, round(avg(value), 4) AS value FROM events GROUP BY user_id, event_type")
+def a1_b1_score_dump(spark, d):
+    """A dump of a source a user, written as JSON and read again as records."""
+    e = P.table(spark, d, "events")
+    scores = e.groupBy("user_id", "event_type").agg(F.round(F.avg("value"), 4).alias("v")).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "v"))).alias("scores"))
+    path = _folder(spark, "dump")
+    scores.select(F.create_map(F.lit("events"), F.array(F.struct(F.concat(F.lit("model-"), "user_id").alias("model"), "scores"))).alias("dump")).select(F.to_json("dump").alias("value")).write.text(path)
+    lines = spark.read.text(path).select(F.from_json("value", "map<string,array<struct<model:string,scores:map<string,double>>>>").alias("dump"))
+    return T.unpivot_scores(T.valid_record(T.flatten_sources(lines))).select("model", "metric", "value")
+
+
+@query("SELECT s_name AS model, 'acctbal' AS metric, s_acctbal AS value FROM supplier UNION ALL SELECT s_name, 'nation', s_nationkey FROM supplier")
+def a3_csv_board(spark, d):
+    path = _folder(spark, "csv")
+    P.table(spark, d, "supplier").select(F.col("s_name").alias("model"), F.concat(F.col("s_acctbal").cast("decimal(18,2)").cast("string"), F.lit("%")).alias("acctbal"), F.col("s_nationkey").alias("nation"), F.lit("N/A").alias("note")).write.csv(path, header=True)
+    return T.read_score_csv(spark, path)
+
+
+@query("SELECT part_benchmark || '_' || kind AS metric, model, value FROM (SELECT 'supplier-' || l_suppkey AS model, l_returnflag AS part_benchmark, kind, value FROM (SELECT l_suppkey, l_returnflag, round(max(l_tax), 2) AS base, round(max(l_quantity), 2) AS plus FROM lineitem GROUP BY ALL) UNPIVOT (value FOR kind IN (base, plus)))")
+def b11_nested_scores(spark, d):
+    g = P.table(spark, d, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.round(F.max("l_tax"), 2).alias("base"), F.round(F.max("l_quantity"), 2).alias("plus"))
+    text = F.to_json(F.create_map(F.concat(F.lit("supplier-"), "l_suppkey"), F.create_map("l_returnflag", F.struct("base", "plus"))))
+    return T.nested_scores_to_facts(g.select(text.alias("t")), "t").select("metric", "model", "value")
+
+
+@query(with_sql("facts", "SELECT score_id, CASE metric WHEN 'elo_rating' THEN 'Rating' WHEN 'exact_match' THEN 'Exact Match' WHEN 'accuracy' THEN 'Accuracy' WHEN 'cost' THEN 'Cost' ELSE 'Latency' END AS metric FROM facts"))
+def b5_rename_metrics(spark, d):
+    return P.facts(spark, d).select("score_id", S.rename_metric(F.col("metric"), {"elo_rating": "Rating"}).alias("metric"))
+
+
+@query("SELECT p_partkey, p_retailprice, p_retailprice * 1000 AS cost_per_million FROM part WHERE p_retailprice > 0")
+def b19_prices(spark, d):
+    return T.price_facts(P.table(spark, d, "part").select("p_partkey", "p_retailprice"), "p_retailprice")
+
+
+@query()
+def e8_fuzzy(spark, d):
+    f = P.facts(spark, d).select("model_name").distinct()
+    return N.fuzzy_match(f.select(F.replace("model_name", F.lit("model-"), F.lit("Modle_")).alias("model_name")), f.select(F.col("model_name").alias("canonical_name")))
+
+
+@query()
+def e11_learn_aliases(spark, d):
+    a = P.aliases(spark, d)
+    return N.learn_aliases(N.resolve_names(name_pool(spark, d), a), a).select("alias", "canonical_name", "source", "confidence_score")
+
+
+@query()
+def e16_suggest(spark, d):
+    return N.suggest_aliases(e9_normalize_names(spark, d), 50)
+
+
+@query(with_sql("facts aliases", "SELECT model_name AS original_name, CASE WHEN model_name IN (SELECT alias FROM aliases) THEN 'pending' WHEN length(model_name) % 2 = 0 THEN 'approved' ELSE 'rejected' END AS status FROM (SELECT DISTINCT model_name FROM facts)"))
+def e17_e18_review_queue(spark, d):
+    f, a = P.facts(spark, d).select(F.col("model_name").alias("original_name")).distinct(), P.aliases(spark, d)
+    new = f.withColumn("suggested_canonical", F.lit("family-1"))
+    queue = N.queue_upsert(new.limit(10).withColumn("status", F.lit("approved")), new)
+    known = a.select(F.col("alias").alias("original_name"))
+    decide = f.join(known, "original_name", "left_anti").withColumn("decision", F.when(F.length("original_name") % 2 == 0, "approve").otherwise("reject")).withColumn("reviewer", F.lit("x")).withColumn("reviewed_at", as_of())
+    return N.apply_reviews(queue, decide, a)[0].select("original_name", "status")
+
+
+@query(with_sql("facts aliases", "SELECT count(*) AS total, count(alias) AS mapped, 0 AS auto_normalized, 0 AS review_needed, count(*) - count(alias) AS unresolved FROM (SELECT DISTINCT model_name FROM facts) LEFT JOIN aliases ON model_name = alias"))
+def e19_process_batch(spark, d):
+    return N.process_batch(e5_normalize_exact(spark, d))
+
+
+# Streams: each reads a table as a stream, runs until all of it is processed, and returns what was written.
+
+
+def _events_stream(spark, d):
+    e = P.table(spark, d, "events")
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/events.parque[t]")  # a pattern: a plain path must be a folder
+
+
+def _facts_stream(spark, d):
+    return P.facts_of(_events_stream(spark, d))
+
+
+def _ran(spark, df: DataFrame, mode: str = "append") -> DataFrame:
+    path, state = _folder(spark, "stream"), _folder(spark, "state")
+    if mode == "append":
+        df.writeStream.format("parquet").option("path", path).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    else:
+        df.writeStream.foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(path)).outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@query(with_sql("norm", "SELECT score_id, normalization_method, round(normalized_value, 4) AS normalized_value FROM norm"))
+def l1_stream_normalize(spark, d):
+    from scorelake.streaming.streams import stream_normalize
+
+    s = stream_normalize(_facts_stream(spark, d).drop("category"), P.boards(spark))
+    return rounded(_ran(spark, s), "normalized_value").select("score_id", "normalization_method", "normalized_value")
+
+
+@query(with_sql("facts", "SELECT count(*) AS n FROM (SELECT DISTINCT model_name, leaderboard, benchmark, scraped_at FROM facts)"))
+def l2_stream_dedup(spark, d):
+    from scorelake.streaming.streams import stream_dedup
+
+    f = _facts_stream(spark, d)
+    return _ran(spark, stream_dedup(f.unionByName(f).select("model_name", "leaderboard", "benchmark", "scraped_at"))).agg(F.count("*").alias("n"))
+
+
+@query()
+def l3_stream_volume(spark, d):
+    from scorelake.streaming.streams import stream_volume
+
+    return _ran(spark, stream_volume(_facts_stream(spark, d)))
+
+
+@query(with_sql("facts", "SELECT model_name, benchmark, round(arg_max(value, (scraped_at, score_id)), 4) AS value FROM facts GROUP BY ALL"))
+def l4_stream_upsert(spark, d):
+    from scorelake.streaming.streams import stream_upsert
+
+    path = _folder(spark, "upserts")
+    stream_upsert(_facts_stream(spark, d), path, _folder(spark, "state")).trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(path)
+    return rounded(last.where(F.col("snapshot") == last.agg(F.max("snapshot")).first()[0]), "value").select("model_name", "benchmark", "value")
+
+
+@query(BATTLES_SQL)
+def l5_stream_win_rates(spark, d):
+    from scorelake.streaming.streams import stream_win_rates
+
+    return _ran(spark, stream_win_rates(battles_of(_events_stream(spark, d))), "complete")

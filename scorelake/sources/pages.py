@@ -110,7 +110,8 @@ def map_headers(cells: DataFrame) -> DataFrame:
 def extract_embedded_json(pages: DataFrame, patterns: Sequence[str], id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """The first text that parses as JSON among the matches of the patterns, in order; comments, bare keys, trailing commas and undefined
     are mended before."""
-    found = F.flatten(F.array(*(F.transform(F.regexp_extract_all(html_col, F.lit(p), 1), lambda x, k=k: F.struct(F.lit(k).alias("pattern_no"), x.alias("raw"))) for k, p in enumerate(patterns))))
+    numbered = lambda k: lambda x: F.struct(F.lit(k).alias("pattern_no"), x.alias("raw"))
+    found = F.flatten(F.array(*(F.transform(F.regexp_extract_all(html_col, F.lit(p), 1), numbered(k)) for k, p in enumerate(patterns))))
     fixed = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("m.raw", r"(?m)//[^\"\n]*$|/\*(?s:.*?)\*/", ""), r"([{,]\s*)([A-Za-z_]\w*)\s*:", '$1"$2":'), r",\s*([}\]])", "$1"), r"\bundefined\b", "null")
     one = pages.select(id_col, F.posexplode(found).alias("i", "m")).select(id_col, "i", "m.pattern_no", fixed.alias("json"))
     return one.where(F.expr("try_parse_json(json) is not null")).groupBy(id_col).agg(F.min_by(F.struct("pattern_no", "json"), "i").alias("b")).select(id_col, "b.*")
