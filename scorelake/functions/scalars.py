@@ -290,3 +290,39 @@ def matches_query(name: Column, scores: Sequence[Column], query: str) -> Column:
     for s in scores:
         hit = hit | ((F.coalesce(s, F.lit(0.0)) != 0) & s.cast("string").contains(q))
     return hit
+
+
+def contains_query(c: Column, query: str) -> Column:
+    return F.lower(c).contains(query.lower())
+
+
+def of_providers(c: Column, providers: Sequence[str]) -> Column:
+    """Whether the name holds any of the providers' names."""
+    return contains_any(c, [p.lower() for p in providers])
+
+
+#: Categories of coding facts, and words of language-related data sets.
+CODING_CATEGORIES = ("software_engineering", "coding", "programming")
+LANGUAGE_WORDS = ("language", "text", "nlp", "question", "answering", "reading", "translation", "summarization", "dialogue", "reasoning")
+
+
+def is_coding(category: Column) -> Column:
+    return category.isin(*CODING_CATEGORIES)
+
+
+def language_related(name: Column, description: Column) -> Column:
+    return contains_any(F.concat_ws(" ", name, description), LANGUAGE_WORDS)
+
+
+#: Signs of model types.
+MODEL_TYPES = {"🟢": "pretrained", "🔶": "fine-tuned", "💬": "chat", "🤝": "merged"}
+
+
+def model_type(c: Column) -> Column:
+    return cascade([(c.contains(k), v) for k, v in MODEL_TYPES.items()], "unknown")
+
+
+def extract_license(card: Column, tags: Column) -> Column:
+    """The card's licence, else the first tag of the form license:x, else unknown."""
+    tag = F.get(F.filter(tags, lambda t: t.startswith("license:")), F.lit(0))
+    return F.coalesce(F.nullif(card, F.lit("")), F.substring(tag, len("license:") + 1, 1 << 30), F.lit("unknown"))

@@ -116,3 +116,31 @@ def changed_sources(records: DataFrame, last: DataFrame, source: str = "source")
     now = content_hashes(records, source)
     old = last.select(source, F.col("content_hash").alias("_old"))
     return now.join(old, source, "left").where(F.col("_old").isNull() | (F.col("_old") != F.col("content_hash"))).drop("_old")
+
+
+def system_alerts(composites: DataFrame, aliases_pct: DataFrame, as_of: Column) -> DataFrame:
+    """One row: whether composites are missing or over 48 hours old (updated_at), and whether coverage (coverage_pct) is below 80 or 50."""
+    c = composites.agg(F.count("*").alias("n"), F.max("updated_at").alias("last"))
+    df = c.crossJoin(aliases_pct.select("coverage_pct"))  # one row each
+    old = cascade([(F.col("n") == 0, "alert"), (hours_since(F.col("last"), as_of) > 48, "warning")], "ok")
+    cover = cascade([(F.coalesce("coverage_pct", F.lit(0.0)) < 50, "alert"), (F.col("coverage_pct") < 80, "warning")], "ok")
+    return df.select(old.alias("composites"), cover.alias("coverage"))
+
+
+def check_coverage(registry: DataFrame, wanted: Column, denominator: int, limit: float = 95) -> DataFrame:
+    """Check: registered rows that are wanted, against how many there should be."""
+    return check("coverage", registry, F.least(F.lit(100.0), F.count_if(wanted) * 100 / denominator), limit)
+
+
+def check_categories(coverage: DataFrame) -> DataFrame:
+    """Check: no listed category without a benchmark."""
+    return check("empty_categories", coverage, F.count_if(F.col("n") == 0), 0, False)
+
+
+def ingest_batch(facts: DataFrame, registry: DataFrame, benchmarks: DataFrame) -> DataFrame:
+    """One row of counts of a batch: models and benchmarks found and new, scores."""
+    from scorelake.functions.scalars import canonical_benchmark, canonical_model
+
+    m = facts.select(canonical_model(F.col("model_name"), strip_version=False).alias("model_id")).distinct().join(registry.select("model_id", F.lit(1).alias("old")).distinct(), "model_id", "left").agg(F.count("*").alias("models_found"), F.count_if(F.col("old").isNull()).alias("models_new"))
+    b = facts.select(canonical_benchmark(F.col("benchmark")).alias("benchmark_id")).distinct().join(benchmarks.select("benchmark_id", F.lit(1).alias("old")).distinct(), "benchmark_id", "left").agg(F.count("*").alias("benchmarks_found"), F.count_if(F.col("old").isNull()).alias("benchmarks_new"))
+    return m.crossJoin(b).crossJoin(facts.agg(F.count("value").alias("scores")))  # one row each

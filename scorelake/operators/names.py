@@ -307,3 +307,9 @@ def near_duplicate_names(names: DataFrame, threshold: float = 0.8) -> DataFrame:
     x, y = sets.select(F.col("key").alias("ka"), F.col("s").alias("sa"), F.col("name").alias("name_a")), sets.select(F.col("key").alias("kb"), F.col("s").alias("sb"), F.col("name").alias("name_b"))
     sim = F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb"))
     return cand.join(x, "ka").join(y, "kb").select("name_a", "name_b", F.round(sim, 6).alias("similarity")).where(F.col("similarity") > threshold)
+
+
+def daily_normalize(facts: DataFrame, aliases: DataFrame, rules: DataFrame, min_conf: float = 0.9) -> tuple[DataFrame, DataFrame]:
+    """(coverage report, aliases with the sure matches of names that had none). Composites need a new run only if aliases were added."""
+    matches = normalize_names(unmapped_names(facts, aliases), aliases, rules, fuzzy=False)
+    return alias_coverage(facts, aliases), alias_add(aliases, auto_alias(matches, aliases, min_conf))

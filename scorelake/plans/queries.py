@@ -895,3 +895,72 @@ def l5_stream_win_rates(spark, d):
     from scorelake.streaming.streams import stream_win_rates
 
     return _ran(spark, stream_win_rates(battles_of(_events_stream(spark, d))), "complete")
+
+
+# More rules on rows
+
+
+@query("SELECT event_id, CASE WHEN value / 500 <= 1 THEN round(value / 500 * 100, 6) ELSE round(value / 500, 6) END AS pct, CASE event_type WHEN 'click' THEN 'chat' ELSE 'unknown' END AS kind, CASE WHEN s >= 86400 THEN (s // 86400) || ' days ago' WHEN s >= 3600 THEN (s // 3600) || ' hours ago' ELSE (s // 60) || ' minutes ago' END AS age, coalesce(nullif(event_type, 'view'), 'seen') AS present FROM (SELECT *, epoch(TIMESTAMP '2024-02-01')::BIGINT - floor(epoch(ts))::BIGINT AS s FROM events)")
+def d9_d13_more_scalars(spark, d):
+    e = P.table(spark, d, "events")
+    kind = S.model_type(F.concat(F.when(F.col("event_type") == "click", "💬").otherwise(""), "event_type"))
+    return e.select("event_id", F.round(S.to_percent_if_unit(F.col("value") / 500), 6).alias("pct"), kind.alias("kind"), S.age_text(F.col("ts").cast("timestamp"), as_of()).alias("age"), S.first_present(F.nullif("event_type", F.lit("view")), F.lit("seen"), truthy=True).alias("present"))
+
+
+@query(with_sql("names", "SELECT model_name, trim(regexp_replace(regexp_replace(model_name, '\\s*\\([^)]*\\)$', ''), '\\s+', ' ', 'g')) AS paper, contains(lower(model_name), 'gpt') OR contains(lower(model_name), 'claude') AS provider, contains(lower(model_name), 'run') AS hit, model_name AS fixed FROM names"))
+def c7_c11_e3_name_filters(spark, d):
+    n = F.col("model_name")
+    return P.names(spark, d).select(n, S.clean_paper_name(n).alias("paper"), S.of_providers(n, ["GPT", "Claude"]).alias("provider"), S.contains_query(n, "RUN").alias("hit"), S.fix_known_name(n).alias("fixed"))
+
+
+@query(with_sql("facts", "SELECT count(*) AS n, count(DISTINCT benchmark) AS benchmarks FROM facts WHERE category = 'software_engineering'"))
+def c8_coding_facts(spark, d):
+    return P.facts(spark, d).where(S.is_coding(F.col("category"))).agg(F.count("*").alias("n"), F.countDistinct("benchmark").alias("benchmarks"))
+
+
+@query(with_sql("norm aliases", "SELECT profile_rank, n.category, count(*) AS n, round(avg(normalized_value), 4) AS score FROM norm n JOIN (SELECT alias AS model_name, row_number() OVER (ORDER BY alias) AS profile_rank FROM aliases QUALIFY row_number() OVER (ORDER BY alias) <= 20) t USING (model_name) GROUP BY ALL"))
+def g2_g8_restrict_to_top(spark, d):
+    top = B.with_rank(P.aliases(spark, d).select(F.col("alias").alias("model_name"), F.lit(0).alias("s")).orderBy("model_name").limit(20), "s").select("model_name", F.col("rank").alias("profile_rank"))
+    f, n = P.facts(spark, d), norm(spark, d).select("score_id", "normalized_value")
+    kept = f.join(n, "score_id").join(top, "model_name")
+    return kept.groupBy("profile_rank", "category").agg(F.count("*").alias("n"), F.round(F.avg("normalized_value"), 4).alias("score"))
+
+
+@query("SELECT 'supplier-' || l_suppkey AS model_name, benchmark, metric, round(value, 4) AS value, up AS higher_is_better FROM (SELECT l_suppkey, 'Quantity' AS benchmark, 'Mean' AS metric, avg(l_quantity) AS value, true AS up FROM lineitem GROUP BY 1 UNION ALL SELECT l_suppkey, 'TAX', 'Score', avg(l_tax), true FROM lineitem GROUP BY 1 UNION ALL SELECT l_suppkey, 'Overall Performance', 'mean_win_rate', avg(l_discount), true FROM lineitem GROUP BY 1)")
+def b7_helm_to_facts(spark, d):
+    g = P.table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.avg("l_quantity").alias("quantity"), F.avg("l_tax").alias("tax"), F.avg("l_discount").alias("mean_win_rate"))
+    dim = spark.createDataFrame([("quantity", "Quantity", "Mean", True)], "benchmark string, full_name string, metric string, higher_is_better boolean")
+    return rounded(T.helm_to_facts(g.select(F.concat(F.lit("supplier-"), "l_suppkey").alias("model_name"), "quantity", "tax", "mean_win_rate"), dim), "value")
+
+
+@query("SELECT s_name AS model, metric, value FROM (SELECT s_name, 'a' AS metric, s_acctbal / 100 AS value FROM supplier UNION ALL SELECT s_name, 'b', s_nationkey::DOUBLE FROM supplier) WHERE value BETWEEN 0 AND 100")
+def c4_clean_medical(spark, d):
+    s = P.table(spark, d, "supplier").select(F.concat(F.lit("★ "), "s_name", F.lit(" ")).alias("model"), F.col("s_suppkey").alias("place"), (F.col("s_acctbal") / 100).cast("string").alias("a"), F.col("s_nationkey").cast("string").alias("b"))
+    return T.clean_medical(s.union(s.withColumn("place", F.col("place") + 100000).withColumn("b", F.lit("1"))), ["a", "b"])
+
+
+@query(with_sql("comp aliases", "SELECT 'ok' AS composites, CASE WHEN p < 50 THEN 'alert' WHEN p < 80 THEN 'warning' ELSE 'ok' END AS coverage FROM (SELECT round(count(alias) * 100 / count(*), 1) AS p FROM (SELECT DISTINCT model_name FROM facts) LEFT JOIN aliases ON model_name = alias)"))
+def k4_system_alerts(spark, d):
+    c = composites(spark, d).withColumn("updated_at", as_of())
+    return M.system_alerts(c, N.alias_coverage(P.facts(spark, d), P.aliases(spark, d)), as_of())
+
+
+@query(with_sql("facts", "SELECT 'coverage' AS test, c >= 95 AS passed, 95.0 AS threshold, c AS actual FROM (SELECT least(100, count(*) FILTER (model_name LIKE '%1') * 100 / 15)::DOUBLE AS c FROM (SELECT DISTINCT model_name FROM facts)) UNION ALL SELECT 'empty_categories', false, 0, 1"))
+def k10_k14_coverage_checks(spark, d):
+    f = P.facts(spark, d)
+    models = f.select("model_name").distinct()
+    return M.check_coverage(models, F.col("model_name").endswith("1"), 15).union(M.check_categories(B.category_coverage(f, P.boards(spark).select("category"))))
+
+
+@query(with_sql("facts", "SELECT count(DISTINCT model_name) AS models_found, count(DISTINCT model_name) FILTER (NOT old) AS models_new, count(DISTINCT benchmark) AS benchmarks_found, 0 AS benchmarks_new, count(value) AS scores FROM (SELECT *, bool_or(score_id < 100) OVER (PARTITION BY model_name) AS old FROM facts)"))
+def k19_ingest_batch(spark, d):
+    f = P.facts(spark, d)
+    known = f.where("score_id < 100").select(F.col("model_name").alias("model_id"))
+    return M.ingest_batch(f, known, f.select(S.canonical_benchmark(F.col("benchmark")).alias("benchmark_id")))
+
+
+@query(with_sql("facts aliases", "SELECT (SELECT count(*) FROM aliases) AS before, (SELECT count(*) FROM aliases) AS after"))
+def e20_daily_normalize(spark, d):
+    a = P.aliases(spark, d)
+    after = N.daily_normalize(P.facts(spark, d), a, N.family_rules(spark))[1]
+    return a.agg(F.count("*").alias("before")).crossJoin(after.agg(F.count("*").alias("after")))  # one row each

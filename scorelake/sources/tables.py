@@ -146,3 +146,24 @@ def consolidate_scores(df: DataFrame) -> DataFrame:
 def price_facts(df: DataFrame, prompt: str = "prompt_price") -> DataFrame:
     """Priced rows with the cost of a million tokens, by the boards' factor."""
     return df.where(F.col(prompt) > 0).withColumn("cost_per_million", F.col(prompt) * 1000)
+
+
+def helm_to_facts(df: DataFrame, dim: DataFrame, model: str = "model_name", win_rate: str = "mean_win_rate") -> DataFrame:
+    """Wide rows of benchmark columns as facts with full name, metric and direction from dim (benchmark, full_name, metric,
+    higher_is_better); unlisted ones keep their name in capitals. Models without a score are left out; the win rate is a benchmark too."""
+    cols = [c for c in df.columns if c not in (model, win_rate)]
+    long = df.unpivot([F.col(model).alias("model_name")] if model != "model_name" else ["model_name"], [F.col(c).cast("double").alias(c) for c in cols], "benchmark", "value").where("value is not null")
+    own = df.where(F.coalesce(*cols).isNotNull() & F.col(win_rate).isNotNull()).select(F.col(model).alias("model_name"), F.lit("Overall Performance").alias("benchmark"), F.lit(win_rate).alias("metric"), F.col(win_rate).cast("double").alias("value"), F.lit(True).alias("higher_is_better"))
+    d = dim.select("benchmark", "full_name", F.col("metric").alias("m"), F.col("higher_is_better").alias("up"))
+    named = long.join(d, "benchmark", "left").select("model_name", F.coalesce("full_name", F.upper("benchmark")).alias("benchmark"), F.coalesce("m", F.lit("Score")).alias("metric"), "value", F.coalesce("up", F.lit(True)).alias("higher_is_better"))
+    return named.unionByName(own)
+
+
+def clean_medical(df: DataFrame, benchmarks: Sequence[str], model: str = "model") -> DataFrame:
+    """model, metric, value of entries with a name of three characters and a number of 0 to 100 in some benchmark; the first of equal names
+    by `place`."""
+    name = F.regexp_replace(F.trim(model), r"^\W+|\W+$", "")
+    num = lambda c: F.when(F.col(c).try_cast("double").between(0, 100), F.col(c).try_cast("double"))
+    kept = df.select(name.alias("model"), "place", *(num(c).alias(c) for c in benchmarks)).where((F.length("model") >= 3) & F.coalesce(*benchmarks).isNotNull())
+    first = kept.groupBy("model").agg(F.min_by(F.struct(*benchmarks), "place").alias("r")).select("model", "r.*")
+    return first.unpivot(["model"], list(benchmarks), "metric", "value").where("value is not null")
