@@ -229,6 +229,19 @@ def test_op9(spark):
     assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got} == {k: plain_verdict(u, URL_RULES) for k, u in urls.items()}
 
 
+def test_op9_equals_its_sql(spark):
+    import duckdb
+
+    from scorelake.llm.queries import SQL
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{SF}/pages.parquet')")
+    key = lambda r: tuple(x or "" for x in r[1:])
+    want = sorted(con.sql(f"SELECT page_id, host, path, rule, verdict FROM ({SQL['op9_url_rules']})").fetchall(), key=lambda r: r[0])
+    got = sorted(QUERIES["op9_url_rules"](spark, SF).select("page_id", "host", "path", "rule", "verdict").collect(), key=lambda r: r[0])
+    assert [(r[0], key(r)) for r in got] == [(r[0], key(r)) for r in want]
+
+
 def test_url_corner_cases(spark):
     rules = [("b.c", "/", "allow"), ("a.b.c", "/x", "block"), ("b.c", "/", "block"), ("c", "/x/y/z", "allow"), ("É.c", "/", "block")]
     urls = [None, "", "nothing", "http://A.b.C/x/y/z?q", "http://b.c", "http://b.c/", "s://ab.c/x/y/z#f", "x://y://b.c/", "http://a.b.c/x", "http://É.c/1", "http://É.C/x://c/", "http://user@b.c:80/x", "http:///x", "http://b.c/\n/x", *["http://b.c/hot"] * 20]
