@@ -15,7 +15,7 @@ from scorelake.operators.normalize import normalize_by_range
 def top_n(df: DataFrame, keys: Sequence[str], score: str, n: int, tie: str = "model_name", ascending: bool = False) -> DataFrame:
     """The n best rows of each key, with their rank. Spark limits each group before the shuffle."""
     order = F.asc(score) if ascending else F.desc(score)
-    return df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(order, tie))).where(F.col("rank") <= n)
+    return df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(order, tie)).cast("long")).where(F.col("rank") <= n)
 
 
 def latest(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
@@ -78,7 +78,7 @@ def model_table(facts: DataFrame, ranges: DataFrame, categories: Sequence[str],
 
 def with_rank(df: DataFrame, score: str, tie: str = "model_name") -> DataFrame:
     """df with its rank over all rows. For results whose size a limit bounds; large ones use global_rank."""
-    return df.withColumn("rank", F.row_number().over(W.orderBy(F.desc(score), tie)))
+    return df.withColumn("rank", F.row_number().over(W.orderBy(F.desc(score), tie)).cast("long"))
 
 
 def global_rank(df: DataFrame, score: str, tie: str = "model_name") -> DataFrame:
@@ -154,7 +154,7 @@ def cross_category(facts: DataFrame, min_cats: int, n: int) -> DataFrame:
     best = facts.groupBy("category", "model_name").agg(F.max("value").alias("score"))
     ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("category").orderBy(F.desc("score"), "model_name")))
     g = ranked.groupBy("model_name").agg(F.count("*").alias("n_categories"), F.round(F.avg("score"), 4).alias("avg_score"), F.min(F.struct("rank", "category")).alias("b"))
-    return g.where(F.col("n_categories") >= min_cats).select("model_name", "n_categories", "avg_score", F.col("b.category").alias("best_category"), F.col("b.rank").alias("best_rank")).orderBy(F.desc("avg_score"), "model_name").limit(n)
+    return g.where(F.col("n_categories") >= min_cats).select("model_name", "n_categories", "avg_score", F.col("b.category").alias("best_category"), F.col("b.rank").cast("long").alias("best_rank")).orderBy(F.desc("avg_score"), "model_name").limit(n)
 
 
 def summary(facts: DataFrame) -> DataFrame:

@@ -463,7 +463,7 @@ def e4_e6_coding_names(spark, d):
     return P.names(spark, d).select(n, S.coding_model_name(n).alias("coding_name"), S.strip_wrappers(n).alias("bare"))
 
 
-_FAMILIES = "SELECT model_name, family AS canonical, confidence FROM (SELECT model_name, CASE WHEN starts_with(model_name, 'Agentless') THEN 'GPT-4' WHEN starts_with(model_name, 'claude-3.5') THEN 'Claude 3.5 Sonnet' WHEN starts_with(model_name, 'OpenAI') THEN 'GPT-4' WHEN starts_with(model_name, 'gemini_2.0') THEN 'Gemini 2.0 Flash' WHEN starts_with(model_name, 'Meta-Llama') THEN 'Llama 3.1 70B' END AS family, CASE WHEN starts_with(model_name, 'OpenAI') THEN 0.9 WHEN starts_with(model_name, 'Agentless') THEN 0.95 ELSE 0.85 END AS confidence FROM names) WHERE family IS NOT NULL"
+_FAMILIES = "SELECT model_name, family AS canonical, confidence FROM (SELECT model_name, CASE WHEN starts_with(model_name, 'Agentless') THEN 'GPT-4' WHEN starts_with(model_name, 'claude-3.5') THEN 'Claude 3.5 Sonnet' WHEN starts_with(model_name, 'OpenAI') THEN 'GPT-4' WHEN starts_with(model_name, 'gemini_2.0') THEN 'Gemini 2.0 Flash' WHEN starts_with(model_name, 'Meta-Llama') THEN 'Llama 3.1 70B' END AS family, CASE WHEN starts_with(model_name, 'OpenAI') THEN 0.9 WHEN starts_with(model_name, 'Agentless') THEN 0.95 ELSE 0.85 END::DOUBLE AS confidence FROM names) WHERE family IS NOT NULL"
 
 
 @query(with_sql("names", _FAMILIES))
@@ -494,7 +494,7 @@ def e10_resolve_names(spark, d):
     return N.resolve_names(name_pool(spark, d), P.aliases(spark, d))
 
 
-@query(with_sql("facts aliases", "SELECT model_name AS original, coalesce(canonical_name, model_name) AS canonical, CASE WHEN alias IS NULL THEN 0.1 ELSE 1.0 END AS confidence, CASE WHEN alias IS NULL THEN 'manual' ELSE 'exact' END AS match_type FROM (SELECT DISTINCT model_name FROM facts) LEFT JOIN aliases ON model_name = alias"))
+@query(with_sql("facts aliases", "SELECT model_name AS original, coalesce(canonical_name, model_name) AS canonical, CASE WHEN alias IS NULL THEN 0.1 ELSE 1.0 END::DOUBLE AS confidence, CASE WHEN alias IS NULL THEN 'manual' ELSE 'exact' END AS match_type FROM (SELECT DISTINCT model_name FROM facts) LEFT JOIN aliases ON model_name = alias"))
 def e5_normalize_exact(spark, d):
     return N.normalize_names(P.facts(spark, d), P.aliases(spark, d), N.family_rules(spark), fuzzy=False)
 
@@ -509,7 +509,7 @@ def e13_buckets(spark, d):
     return P.facts(spark, d).groupBy(N.bucket(F.col("value") / 100).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query(with_sql("facts aliases", "SELECT m.model_name AS alias, 'family-1' AS canonical_name, k.model_family, k.provider, 'auto' AS source, 0.95 AS confidence_score FROM (SELECT DISTINCT model_name FROM facts WHERE model_name NOT IN (SELECT alias FROM aliases)) m CROSS JOIN (SELECT model_family, provider FROM aliases WHERE canonical_name = 'family-1' ORDER BY alias LIMIT 1) k"))
+@query(with_sql("facts aliases", "SELECT m.model_name AS alias, 'family-1' AS canonical_name, k.model_family, k.provider, 'auto' AS source, 0.95::DOUBLE AS confidence_score FROM (SELECT DISTINCT model_name FROM facts WHERE model_name NOT IN (SELECT alias FROM aliases)) m CROSS JOIN (SELECT model_family, provider FROM aliases WHERE canonical_name = 'family-1' ORDER BY alias LIMIT 1) k"))
 def e14_auto_alias(spark, d):
     m = P.facts(spark, d).select(F.col("model_name").alias("original"), F.lit("family-1").alias("canonical"), F.lit(0.95).alias("confidence")).distinct()
     return N.auto_alias(m, P.aliases(spark, d))
@@ -677,7 +677,7 @@ def b12_b13_row_rules(spark, d):
     return li.select("l_orderkey", "l_linenumber", F.round(S.mean_positive(F.col("l_quantity"), F.col("l_tax"), F.col("l_discount")), 4).alias("mean_pos"), S.first_positive(F.col("l_discount"), F.col("l_tax"), F.col("l_quantity")).alias("first_pos"), S.resolved_count(F.col("l_quantity")).alias("resolved"), S.in_range(F.col("l_quantity"), 10, 20).alias("fits"))
 
 
-@query("SELECT event_id, CASE WHEN e2 = 0 THEN NULL ELSE e1 * 100.0 / e2 END AS pct, e1 AS n, (e1 / 1000)::DOUBLE AS cost, e1::DOUBLE AS seconds, (e1 * 1000)::DOUBLE AS scaled, e1::DOUBLE AS unit, 0.0 AS safe FROM (SELECT event_id, event_id % 97 AS e1, user_id % 13 AS e2 FROM events)")
+@query("SELECT event_id, CASE WHEN e2 = 0 THEN NULL ELSE e1 * 100.0 / e2 END AS pct, e1 AS n, (e1 / 1000)::DOUBLE AS cost, e1::DOUBLE AS seconds, (e1 * 1000)::DOUBLE AS scaled, e1::DOUBLE AS unit, 0::DOUBLE AS safe FROM (SELECT event_id, event_id % 97 AS e1, user_id % 13 AS e2 FROM events)")
 def d1_d8_parsers(spark, d):
     a, b = F.col("event_id") % 97, F.col("user_id") % 13
     t = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
@@ -945,14 +945,14 @@ def k4_system_alerts(spark, d):
     return M.system_alerts(c, N.alias_coverage(P.facts(spark, d), P.aliases(spark, d)), as_of())
 
 
-@query(with_sql("facts", "SELECT 'coverage' AS test, c >= 95 AS passed, 95.0 AS threshold, c AS actual FROM (SELECT least(100, count(*) FILTER (model_name LIKE '%1') * 100 / 15)::DOUBLE AS c FROM (SELECT DISTINCT model_name FROM facts)) UNION ALL SELECT 'empty_categories', false, 0, 1"))
+@query(with_sql("facts", "SELECT 'coverage' AS test, c >= 95 AS passed, 95::DOUBLE AS threshold, c AS actual FROM (SELECT least(100, count(*) FILTER (model_name LIKE '%1') * 100 / 15)::DOUBLE AS c FROM (SELECT DISTINCT model_name FROM facts)) UNION ALL SELECT 'empty_categories', false, 0, 1"))
 def k10_k14_coverage_checks(spark, d):
     f = P.facts(spark, d)
     models = f.select("model_name").distinct()
     return M.check_coverage(models, F.col("model_name").endswith("1"), 15).union(M.check_categories(B.category_coverage(f, P.boards(spark).select("category"))))
 
 
-@query(with_sql("facts", "SELECT count(DISTINCT model_name) AS models_found, count(DISTINCT model_name) FILTER (NOT old) AS models_new, count(DISTINCT benchmark) AS benchmarks_found, 0 AS benchmarks_new, count(value) AS scores FROM (SELECT *, bool_or(score_id < 100) OVER (PARTITION BY model_name) AS old FROM facts)"))
+@query(with_sql("facts", "SELECT count(DISTINCT model_name) AS models_found, count(DISTINCT model_name) FILTER (NOT old) AS models_new, count(DISTINCT benchmark) AS benchmarks_found, 0::BIGINT AS benchmarks_new, count(value) AS scores FROM (SELECT *, bool_or(score_id < 100) OVER (PARTITION BY model_name) AS old FROM facts)"))
 def k19_ingest_batch(spark, d):
     f = P.facts(spark, d)
     known = f.where("score_id < 100").select(F.col("model_name").alias("model_id"))

@@ -116,7 +116,7 @@ def add_position_rank(df: DataFrame, keys: Sequence[str], order: str, metric: st
     """Facts of each row's place in its list, as a rank metric."""
     from pyspark.sql import Window as W
 
-    return df.select(*df.columns, F.lit(metric).alias("rank_metric"), F.row_number().over(W.partitionBy(*keys).orderBy(order)).alias("rank_value"))
+    return df.select(*df.columns, F.lit(metric).alias("rank_metric"), F.row_number().over(W.partitionBy(*keys).orderBy(order)).cast("long").alias("rank_value"))
 
 
 def nested_scores_to_facts(df: DataFrame, text: str, percent_below_one: bool = False) -> DataFrame:

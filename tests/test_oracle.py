@@ -39,11 +39,15 @@ def same(a, b):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    got = QUERIES[name](spark, SF).toPandas()
+    df = QUERIES[name](spark, SF)
+    got = df.toPandas()
     if name not in SQL:
         assert len(got.columns)
         return
-    want = duck.sql(SQL[name]).df()
+    found = duck.sql(SQL[name])
+    types = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    assert {c: types.get(t, t) for c, t in df.dtypes} == dict(zip(found.columns, map(str, found.types), strict=True))
+    want = found.df()
     assert sorted(got.columns) == sorted(want.columns)
     a, b = rows(got), rows(want)
     assert len(a) == len(b)
