@@ -122,11 +122,11 @@ class Automaton:
         return out, items
 
 
-def match_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def match_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, short: bool = True) -> DataFrame:
     """id_col, n_words, spans (array of first and end: hit ranges of words, joined where they touch) and items (ids of items with occurring
     windows, as strings in order) of every row of docs.
 
-    A window is `window` consecutive words of an item; an item of fewer words, but not none, is one window. Words: A-Z lower-cased runs of
+    A window is `window` consecutive words of an item; an item of fewer words, but not none, is one window, or with short=False none. Words: A-Z lower-cased runs of
     letters, digits and non-ASCII characters. Null and empty texts have none. Items of one id count once, null ids as the text `null`. The
     items go to tasks in blocks of about `block_words` words, each matched in a pass of its own over documents streamed through all passes.
     """
@@ -140,13 +140,14 @@ def match_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
         # Bounded: about block_words words, whatever the benchmark's size.
         rows = listed.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()
         after = own.schema if k + 1 < blocks else T.StructType([own.schema[i] for i in (0, 2, 3, 4)])
-        own = own.mapInArrow(_matcher([(r.item, r.text) for r in rows], window, k + 1 < blocks), after)
+        own = own.mapInArrow(_matcher([(r.item, r.text) for r in rows], window, k + 1 < blocks, short), after)
     return own
 
 
-def _matcher(rows: list[tuple[str, str]], window: int, more: bool):  # noqa: ANN202
+def _matcher(rows: list[tuple[str, str]], window: int, more: bool, short: bool):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton([(item, words_of(text.encode())) for item, text in sorted(rows)], window)
+        items = [(item, words_of(text.encode())) for item, text in sorted(rows)]
+        automaton = Automaton([(item, words) for item, words in items if short or len(words) >= window], window)
         for b in slices(batches, 1):
             sizes, spans, items = [], [], []
             for text, before, named in zip(utf8(b.column(1)), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
@@ -188,9 +189,10 @@ def remove_spans(text: str, spans: list[tuple[int, int]], least: int = WINDOW) -
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = WINDOW, max_coverage: float = 0.2, **names: object) -> DataFrame:
-    """docs without hit spans of `least` words or more; a document goes whole if more than max_coverage of its words are hit. Columns stay as
-    they are but for the text. Rows of one id are held to be one document: they stay or go, and are cut, alike."""
-    hits = match_items(docs, items, id_col, text_col, **names).where(F.size("spans") > 0)
+    """docs without hit spans of `least` words or more; a document goes whole if more than max_coverage of its words are hit. Items of fewer
+    words than a window don't count: a few common words are no leak. Columns stay as they are but for the text. Rows of one id are held to
+    be one document: they stay or go, and are cut, alike."""
+    hits = match_items(docs, items, id_col, text_col, short=False, **names).where(F.size("spans") > 0)
     found = hits.groupBy(F.col(id_col).alias("hit_id")).agg(F.first("spans").alias("hit_spans"), (F.first(n_hit(F.col("spans"))) / F.first("n_words")).alias("coverage"))
     found = written(found, "hits")  # as a table its size is known, so Spark can choose how to join it
     whole = found.where(F.col("coverage") > max_coverage).select("hit_id")

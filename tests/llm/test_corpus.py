@@ -297,7 +297,7 @@ def test_automaton_against_all_windows(spark, block):
 def test_spans_are_removed(spark):
     item = "one two three four five six seven eight nine ten eleven"
     docs = spark.createDataFrame([(1, f"Before it, {item.title()}! And much after it " + "word " * 60), (2, item), (3, "clean"), (4, None)], "doc_id long, text string")
-    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, "word"), (3, "clean")], "item_id long, text string")
     got = {r.doc_id: r.text for r in decontam.decontaminate(docs, bench).collect()}
     assert got == {1: "Before it, ! And much after it " + "word " * 60, 3: "clean", 4: None}
 
