@@ -196,8 +196,8 @@ def add_tiers(name: Column, confidence: Column) -> dict[str, Column]:
     low = F.lower(name)
     has = lambda *t: reduce(lambda a, b: a | b, (low.contains(x) for x in t))
     return {
-        "cost_tier": cascade([(has("mini", "haiku", "flash"), "Low"), (has("opus", "gpt-4"), "High")], "Medium"),
-        "speed_tier": cascade([(has("mini", "flash", "haiku", "turbo"), "Fast"), (has("opus"), "Slow")], "Medium"),
+        "cost_tier": cascade([(has("gpt-4", "claude"), "$$$"), (has("gemini", "sonnet"), "$$")], "$"),
+        "speed_tier": cascade([(has("mini", "flash"), "Very Fast"), (has("pro", "max"), "Fast")], "Standard"),
         "reliability": cascade([(confidence > 0.8, "Excellent"), (confidence > 0.6, "Good")], "Fair"),
     }
 
@@ -226,12 +226,23 @@ def rename_metric(c: Column, names: Mapping[str, str]) -> Column:
     return F.coalesce(F.create_map(*(F.lit(x) for kv in names.items() for x in kv))[c], other) if names else other
 
 
+#: Words of a header and the metric that they name, in order of trial.
+HEADER_WORDS = {
+    "swe_bench": ("agentic coding", "swe"),
+    "tool_use": ("tool use", "bfcl"),
+    "adaptive_reasoning": ("adaptive reasoning", "grind"),
+    "math": ("high school math", "aime"),
+    "reasoning": ("reasoning", "gpqa"),
+    "overall": ("overall", "humanity"),
+}
+
+
 def header_metric(c: Column) -> Column:
     """A header as a metric name: by keyword, else its first two words that aren't common ones."""
     low = F.lower(c)
-    words = F.filter(F.split(low, r"\W+"), lambda w: (w != "") & ~w.isin("the", "of", "and", "for", "in", "on", "a"))
-    rules = [(low.contains(k), v) for k, v in (("gpqa", "gpqa"), ("aime", "aime"), ("swe", "swe_bench"), ("bfcl", "bfcl"), ("grind", "grind"), ("humanity", "hle"))]
-    return cascade(rules, F.array_join(F.slice(words, 1, 2), "_"))
+    words = F.filter(F.split(low, r"\W+"), lambda w: (w != "") & ~w.isin("best", "in", "the", "and", "or", "of"))
+    rules = [(contains_any(c, k), v) for v, k in HEADER_WORDS.items()]
+    return cascade(rules, F.coalesce(F.nullif(F.array_join(F.slice(words, 1, 2), "_"), F.lit("")), F.lit("general")))
 
 
 def age_text(then: Column, as_of: Column) -> Column:
@@ -246,11 +257,11 @@ def age_text(then: Column, as_of: Column) -> Column:
 
 def is_real_name(c: Column) -> Column:
     """A name of three characters or more with two letters in a row, and no placeholder."""
-    return (F.length(c) >= 3) & ~F.lower(c).rlike(r"^(model\d+|test|example|placeholder)|^gpt-3\.5-turbo$") & c.rlike("[a-zA-Z]{2}")
+    return (F.length(c) >= 3) & ~F.lower(c).rlike(r"^(test|example|placeholder)|^model[-_]?\d+$|^gpt-3\.5-turbo$") & c.rlike("[a-zA-Z]{2}")
 
 
 #: Vendor keywords of a model name.
-VENDORS = ("gpt", "claude", "gemini", "llama", "mistral", "qwen", "deepseek", "grok", "command", "phi", "yi", "o1", "o3")
+VENDORS = ("openai", "gpt", "claude", "anthropic", "google", "gemini", "meta", "llama", "mistral", "cohere", "ai21", "o1", "o3")
 
 
 def has_vendor(c: Column) -> Column:
@@ -278,7 +289,12 @@ def fix_known_name(c: Column) -> Column:
     return F.when(~(fixed.startswith("Moatless Tools") & fixed.endswith(" + Deepseek V3")), fixed)
 
 
-def likely_leaderboard(title: Column, board_id: Column, good: Sequence[str] = ("leaderboard", "benchmark", "arena", "eval", "ranking"), bad: Sequence[str] = ("demo", "test", "game", "chat")) -> Column:
+#: Words that speak for a leaderboard, and against one.
+BOARD_WORDS = ("leaderboard", "ranking", "benchmark", "eval", "competition", "arena", "comparison", "performance", "sota")
+OTHER_WORDS = ("demo", "playground", "chat", "generator", "creator")
+
+
+def likely_leaderboard(title: Column, board_id: Column, good: Sequence[str] = BOARD_WORDS, bad: Sequence[str] = OTHER_WORDS) -> Column:
     text = F.concat_ws(" ", title, board_id)
     return contains_any(text, good) & ~contains_any(text, bad)
 
@@ -303,7 +319,7 @@ def of_providers(c: Column, providers: Sequence[str]) -> Column:
 
 #: Categories of coding facts, and words of language-related data sets.
 CODING_CATEGORIES = ("software_engineering", "coding", "programming")
-LANGUAGE_WORDS = ("language", "text", "nlp", "question", "answering", "reading", "translation", "summarization", "dialogue", "reasoning")
+LANGUAGE_WORDS = ("language", "text", "nlp", "natural", "qa", "question", "reading", "comprehension", "generation", "classification")
 
 
 def is_coding(category: Column) -> Column:
@@ -323,6 +339,6 @@ def model_type(c: Column) -> Column:
 
 
 def extract_license(card: Column, tags: Column) -> Column:
-    """The card's licence, else the first tag of the form license:x, else unknown."""
-    tag = F.get(F.filter(tags, lambda t: t.startswith("license:")), F.lit(0))
-    return F.coalesce(F.nullif(card, F.lit("")), F.substring(tag, len("license:") + 1, 1 << 30), F.lit("unknown"))
+    """The card's licence, else that of the first tag that names one, else null."""
+    tag = F.get(F.filter(tags, lambda t: t.contains("license:") | F.lower(t).contains("apache") | F.lower(t).contains("mit")), F.lit(0))
+    return F.coalesce(card, F.trim(F.replace(tag, F.lit("license:"), F.lit(""))))

@@ -43,15 +43,34 @@ def category_breakdown(norm: DataFrame, category: str, n: int) -> DataFrame:
     return g.orderBy(F.desc("average"), "model_name").limit(n)
 
 
-#: Substrings of a leaderboard's name and the column of a coding board, tried in this order.
-CODING_KEYS = {"swe-bench": "swe_bench", "swe bench": "swe_bench", "bigcode": "bigcode", "evalplus": "evalplus", "humaneval": "humaneval", "mbpp": "mbpp", "livecodebench": "livecodebench", "aider": "aider", "can-ai-code": "can_ai_code", "convex": "convex", "ds-1000": "ds1000", "classeval": "classeval", "cruxeval": "cruxeval", "evoeval": "evoeval", "arena": "arena"}
+#: Parts of a leaderboard's name and the column of a coding board that they stand for, in order of trial.
+CODING_KEYS = {
+    "Aider": "Aider.chat",
+    "SWE-Bench": "SWE-Bench",
+    "BigCode": "BigCode",
+    "EvalPlus": "EvalPlus",
+    "Can-AI-Code": "Can-AI-Code",
+    "Convex": "Convex",
+    "LiveBench": "LiveBench",
+    "LM Arena WebDev": "LM Arena WebDev",
+    "ProllM": "ProllM StackEval",
+    "StackEval": "ProllM StackEval",
+    "CruxEval": "CruxEval",
+    "ClassEval": "ClassEval",
+    "CodeTLingua": "CodeTLingua",
+    "DS-1000": "DS-1000",
+    "DS1000": "DS-1000",
+    "EvoEval": "EvoEval",
+    "TabbyML": "TabbyML",
+}
 
 
 def coding_leaderboard(old: DataFrame, new: DataFrame, n: int) -> DataFrame:
     """Two sources as one board: file-like names dropped, known typos mended, one value a board and model, their mean, the n best."""
     kept = old.unionByName(new, allowMissingColumns=True).where(~is_artifact_name(F.col("model_name"))).withColumn("model_name", fix_known_name(F.col("model_name"))).where("model_name is not null")
-    low = F.lower("leaderboard")
-    key = cascade([(low.contains(k), v) for k, v in CODING_KEYS.items()], F.regexp_replace(low, r"[^a-z0-9]+", "_"))
+    board, metric = F.col("leaderboard"), F.lower("benchmark")
+    plus = cascade([(metric.contains("humaneval"), "HumanEval"), (metric.contains("mbpp"), "MBPP")], "EvalPlus")
+    key = cascade([(board.contains(k), plus if v == "EvalPlus" else v) for k, v in CODING_KEYS.items()], F.when(F.lower(board).contains("lmarena"), "LM Arena WebDev").otherwise(F.col("benchmark")))
     one = latest(kept.withColumn("key", key), ["model_name", "key"], "normalized_value")
     g = one.groupBy("model_name").agg(F.round(F.avg("normalized_value"), 4).alias("average_score"), F.count("*").alias("n_benchmarks"), F.array_join(F.array_sort(F.collect_list("key")), ",").alias("keys"))
     return g.orderBy(F.desc("average_score"), "model_name").limit(n)

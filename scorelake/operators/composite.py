@@ -153,27 +153,47 @@ def weighted_composite(scores: DataFrame, weights: Mapping[str, float], default:
     return scores.groupBy("model_name").agg(F.round(F.sum(F.col("normalized_value") * w) / F.sum(w), 4).alias("composite"))
 
 
-#: Keys of a category page's score, in order, and the weights of the mixed one.
-CATEGORY_KEYS = {"coding": ("software_engineering", "reasoning"), "academic": ("academic", "comprehensive"), "reasoning": ("reasoning", "academic"), "medical": ("medical",), "legal": ("legal",), "general": ("comprehensive", "academic", "reasoning")}
+#: Domains of a category page's score; the first that a model has counts.
+CATEGORY_KEYS = {
+    "coding": ("software_engineering",),
+    "research": ("academic", "reasoning"),
+    "medical": ("medical",),
+    "legal": ("legal",),
+    "finance": ("finance",),
+    "general": ("comprehensive",),
+    "creative": ("comprehensive",),
+    "chat": ("comprehensive",),
+    "business": ("comprehensive",),
+}
 
 
 def category_eligible(slug: str) -> Column:
     """Whether a model, with a column a domain and composite_score, is shown on a category's page."""
-    has = lambda *k: F.coalesce(*(F.when(F.col(x) > 0, True) for x in k), F.lit(False))
-    if slug == "general":
+    there = lambda c: F.coalesce(c != 0, F.lit(False))
+    if slug in ("general", "creative", "chat", "business"):
         return F.lit(True)
     if slug == "coding":
-        return has("software_engineering", "reasoning", "academic", "comprehensive", "composite_score")
-    return has(slug) if slug in ("medical", "legal") else has(slug, "composite_score")
+        return F.coalesce("software_engineering", "reasoning", "academic", "comprehensive").isNotNull() | there(F.col("composite_score"))
+    own = there(category_score(slug))
+    return own if slug in ("medical", "legal") else own | there(F.col("composite_score"))
 
 
-def category_view(wide: DataFrame, slug: str) -> DataFrame:
-    """Eligible models with the category's score, ranked anew. wide: model_name, composite_score and a column a domain."""
+def category_score(slug: str) -> Column:
+    """Coding mixes engineering and reasoning; other categories take the first of their domains that isn't null."""
     se, reason = F.col("software_engineering"), F.col("reasoning")
-    score = F.coalesce(0.7 * se + 0.3 * reason, se, 0.8 * reason) if slug == "coding" else F.coalesce(*CATEGORY_KEYS.get(slug, (slug,)), "composite_score")
-    shown = F.array_compact(F.array(*CATEGORY_KEYS.get(slug, (slug,))))
+    if slug == "coding":
+        return F.coalesce(0.7 * se + 0.3 * reason, se, 0.8 * reason)
+    keys = CATEGORY_KEYS.get(slug, ())
+    return F.coalesce(*keys) if keys else F.lit(None).cast("double")
+
+
+def category_view(wide: DataFrame, slug: str, shown_cols: Sequence[str] = ()) -> DataFrame:
+    """Eligible models with the category's score, else their composite; the mean of the shown columns instead, where it is within 5 points.
+    wide: model_name, composite_score and a column a domain."""
+    score = F.coalesce(F.nullif(category_score(slug), F.lit(0.0)), F.col("composite_score"))
+    shown = F.array_compact(F.array(*(F.col(c).cast("double") for c in shown_cols))) if shown_cols else F.array().cast("array<double>")
     mean = F.aggregate(shown, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(shown), F.lit(0))
-    own = F.when(F.abs(mean - score) <= 5, mean).otherwise(score)
+    own = F.when(F.abs(mean - score) < 5, mean).otherwise(score)
     return wide.where(category_eligible(slug)).select("model_name", F.round(own, 4).alias("category_score"))
 
 

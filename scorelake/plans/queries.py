@@ -274,9 +274,9 @@ def b10_pivot_domains(spark, d):
     return C.pivot_domains(domains(spark, d))
 
 
-@query()
+@query(with_sql("comp", "SELECT w.model_name, round(CASE WHEN abs(mean - score) < 5 THEN mean ELSE score END, 4) AS category_score FROM (SELECT *, coalesce(nullif(se, 0), composite_score) AS score, (se + ac) / 2 AS both_mean, coalesce((se + ac) / 2, se, ac) AS mean FROM (SELECT model_name, round(avg(score) FILTER (domain = 'software_engineering'), 4) AS se, round(avg(score) FILTER (domain = 'academic'), 4) AS ac, count(*) FILTER (domain IN ('software_engineering', 'academic', 'comprehensive')) AS k FROM doms GROUP BY 1) LEFT JOIN (SELECT model_name, composite_score FROM comp WHERE profile_id = 1) USING (model_name)) w WHERE k > 0 OR composite_score <> 0"))
 def h25_category_view(spark, d):
-    return C.category_view(wide(spark, d), "coding")
+    return C.category_view(wide(spark, d), "coding", ("software_engineering", "academic"))
 
 
 @query(with_sql("doms", f"SELECT * FROM (WITH {WIDE_SQL}, m AS (SELECT *, list_filter([software_engineering, academic, medical, legal, comprehensive], lambda x: x IS NOT NULL) AS l FROM wide) SELECT model_name, " + ", ".join(f"round(coalesce({c}, list_avg(l)), 4) AS {c}" for c in CATEGORIES) + ", len(l) < 5 AS is_estimated FROM m)"))
@@ -290,7 +290,7 @@ def b16_strengths(spark, d):
     return C.strengths_weaknesses(C.pivot_domains(domains(spark, d), sorted(CATEGORIES)), sorted(CATEGORIES)).drop("missing")
 
 
-@query(with_sql("comp", "SELECT model_name, CASE WHEN contains(model_name, 'mini') THEN 'Low' WHEN contains(model_name, 'opus') THEN 'High' ELSE 'Medium' END AS cost_tier, CASE WHEN confidence_score > 0.8 THEN 'Excellent' WHEN confidence_score > 0.6 THEN 'Good' ELSE 'Fair' END AS reliability FROM comp WHERE profile_id = 1"))
+@query(with_sql("comp", "SELECT model_name, '$' AS cost_tier, CASE WHEN confidence_score > 0.8 THEN 'Excellent' WHEN confidence_score > 0.6 THEN 'Good' ELSE 'Fair' END AS reliability FROM comp WHERE profile_id = 1"))
 def b15_tiers(spark, d):
     t = S.add_tiers(F.col("model_name"), F.col("confidence_score"))
     return composites(spark, d).where("profile_id = 1").select("model_name", t["cost_tier"].alias("cost_tier"), t["reliability"].alias("reliability"))
@@ -312,7 +312,7 @@ def h12_category_breakdown(spark, d):
     return B.category_breakdown(norm(spark, d), "coding", 25).select("model_name", "average", F.size("benchmarks").cast("long").alias("n"))
 
 
-@query(with_sql("norm", "SELECT model_name, round(avg(v), 4) AS average_score, count(*) AS n_benchmarks, string_agg(key, ',' ORDER BY key) AS keys FROM (SELECT model_name, CASE WHEN contains(lower(leaderboard), 'arena') THEN 'arena' ELSE regexp_replace(lower(leaderboard), '[^a-z0-9]+', '_', 'g') END AS key, arg_max(normalized_value, (scraped_at, score_id)) AS v FROM norm GROUP BY ALL) GROUP BY 1 ORDER BY average_score DESC, model_name LIMIT 30"))
+@query(with_sql("norm", "SELECT model_name, round(avg(v), 4) AS average_score, count(*) AS n_benchmarks, string_agg(key, ',' ORDER BY key) AS keys FROM (SELECT model_name, benchmark AS key, arg_max(normalized_value, (scraped_at, score_id)) AS v FROM norm GROUP BY ALL) GROUP BY 1 ORDER BY average_score DESC, model_name LIMIT 30"))
 def h13_coding_leaderboard(spark, d):
     n = norm(spark, d)
     return B.coding_leaderboard(n.where("score_id % 2 = 0"), n.where("score_id % 2 = 1"), 30)
@@ -687,7 +687,7 @@ def d1_d8_parsers(spark, d):
     )
 
 
-@query(with_sql("names", "SELECT model_name, NULLIF(regexp_extract(lower(model_name), '(\\d+\\.?\\d*)b', 1), '')::DOUBLE AS params_b, len(model_name) >= 3 AND NOT regexp_matches(lower(model_name), '^(model\\d+|test|example|placeholder)|^gpt-3\\.5-turbo$') AND regexp_matches(model_name, '[a-zA-Z]{2}') AS is_real, regexp_matches(lower(model_name), 'gpt|claude|gemini|llama|mistral|qwen|deepseek|grok|command|phi|yi|o1|o3') AS vendor, regexp_matches(lower(model_name), '\\.json$') AS artifact, CASE WHEN len(model_name) > 12 THEN model_name[1:9] || '...' ELSE model_name END AS short FROM names"))
+@query(with_sql("names", "SELECT model_name, NULLIF(regexp_extract(lower(model_name), '(\\d+\\.?\\d*)b', 1), '')::DOUBLE AS params_b, len(model_name) >= 3 AND NOT regexp_matches(lower(model_name), '^(test|example|placeholder)|^model[-_]?\\d+$|^gpt-3\\.5-turbo$') AND regexp_matches(model_name, '[a-zA-Z]{2}') AS is_real, regexp_matches(lower(model_name), 'openai|gpt|claude|anthropic|google|gemini|meta|llama|mistral|cohere|ai21|o1|o3') AS vendor, regexp_matches(lower(model_name), '\\.json$') AS artifact, CASE WHEN len(model_name) > 12 THEN model_name[1:9] || '...' ELSE model_name END AS short FROM names"))
 def b14_c2_c6_name_rules(spark, d):
     n = F.col("model_name")
     return P.names(spark, d).select(n, S.extract_params_b(n).alias("params_b"), S.is_real_name(n).alias("is_real"), S.has_vendor(n).alias("vendor"), S.is_artifact_name(n).alias("artifact"), S.ellipsize(n, 12).alias("short"))

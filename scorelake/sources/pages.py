@@ -93,16 +93,17 @@ def table_cells_keyword(cells: DataFrame, model_kw: Sequence[str] = ("model", "n
 
 
 #: Words in a header and the field that they name, tried in this order.
-OPEN_LLM_HEADERS = {"rank": "rank", "type": "model_type", "model": "model", "average": "average", "ifeval": "ifeval", "bbh": "bbh", "math": "math", "gpqa": "gpqa", "musr": "musr", "mmlu": "mmlu_pro", "co": "co2_cost"}
+OPEN_LLM_HEADERS = {"rank": "rank", "model": "model", "type": "model_type", "average": "average", "ifeval": "ifeval", "bbh": "bbh", "math": "math", "gpqa": "gpqa", "musr": "musr", "mmlu": "mmlu_pro"}
 
 
 def map_headers(cells: DataFrame) -> DataFrame:
     """One row a table row: model, and the score fields that its headers name; rows without a score are left out."""
     from scorelake.functions.scalars import cascade
 
-    field = cascade([(F.lower("header").contains(k), v) for k, v in OPEN_LLM_HEADERS.items()], F.lit(None).cast("string"))
-    scores = [v for v in OPEN_LLM_HEADERS.values() if v not in ("rank", "model_type", "model", "co2_cost")]
-    wide = cells.withColumn("field", field).groupBy(*ROW).pivot("field", list(OPEN_LLM_HEADERS.values())).agg(F.first("cell"))
+    h = F.lower("header")
+    field = cascade([(h.contains(k), v) for k, v in OPEN_LLM_HEADERS.items()], F.when(h.contains("co") & h.contains("cost"), "co2_cost"))
+    scores = [v for v in OPEN_LLM_HEADERS.values() if v not in ("rank", "model_type", "model")]
+    wide = cells.withColumn("field", field).groupBy(*ROW).pivot("field", [*OPEN_LLM_HEADERS.values(), "co2_cost"]).agg(F.min_by("cell", "col_no"))
     out = wide.select(*ROW, "model", "model_type", *(parse_pct_cell(F.col(c)).alias(c) for c in ("rank", *scores, "co2_cost")))
     return out.where(F.coalesce(*scores).isNotNull())
 
