@@ -16,11 +16,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one step of a Python worker takes at a time; outputs are yielded at this grain too.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch; a row more at most.
+BATCH_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package, if it isn't on their path (PYTHONPATH or the working folder)."""
+    """Lets Python workers import this package, if it isn't on their path (PYTHONPATH or the working folder), and bounds the batches of texts
+    that they get, so that what they hold doesn't grow with the texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     package = Path(__file__).resolve().parent.parent
     places = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
     sc = spark.sparkContext
@@ -80,6 +84,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, size: int = SLICE_BYTES
             ends += n
         if start < b.num_rows:
             yield b.slice(start)
+        del b, col
+        pa.default_memory_pool().release_unused()
 
 
 def utf8(col: pa.Array) -> list[bytes]:
@@ -103,7 +109,7 @@ _ODD = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(1).integers(1, 2**63, 256, dtype=np.uint64)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse, modulo 2**64."""
     return tuple(np.cumprod(np.array([1, *[x] * n], np.uint64)) for x in (_ODD, pow(_ODD, -1, 2**64)))
@@ -111,7 +117,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def string_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A polynomial hash, modulo 2**64 and mixed, of each buf[starts[i]:ends[i]]; the same wherever the string stands."""
-    power, inverse = _powers(1 << int(len(buf)).bit_length())
+    power, inverse = _powers(max(1 << 20, 1 << len(buf).bit_length()))
     total = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(_BYTE[buf] * power[: len(buf)], out=total[1:])
     h = (total[ends] - total[starts]) * inverse[starts]
