@@ -222,4 +222,4 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     # A row a part, so a row a task of the writing job: few, whatever the input.
     parts = blocks.groupBy("part").agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
     first = parts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("first"))
-    return docs.join(first, "part").select("doc_id", (F.col("first") + F.col("start")).alias("start"), "n_tokens", "ids")
+    return docs.join(F.broadcast(first), "part").select("doc_id", (F.col("first") + F.col("start")).alias("start"), "n_tokens", "ids")
