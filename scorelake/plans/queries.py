@@ -831,7 +831,7 @@ def e17_e18_review_queue(spark, d):
     return N.apply_reviews(queue, decide, a)[0].select("original_name", "status")
 
 
-@query(with_sql("facts aliases", "SELECT count(*) AS total, count(alias) AS mapped, 0 AS auto_normalized, 0 AS review_needed, count(*) - count(alias) AS unresolved FROM (SELECT DISTINCT model_name FROM facts) LEFT JOIN aliases ON model_name = alias"))
+@query(with_sql("facts aliases", "SELECT count(*) AS total, count(alias) AS mapped, 0::BIGINT AS auto_normalized, 0::BIGINT AS review_needed, count(*) - count(alias) AS unresolved FROM (SELECT DISTINCT model_name FROM facts) LEFT JOIN aliases ON model_name = alias"))
 def e19_process_batch(spark, d):
     return N.process_batch(e5_normalize_exact(spark, d))
 
