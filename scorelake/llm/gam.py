@@ -170,7 +170,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     # Bounded by max_rows, so every task can hold it.
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), F.col("id") == F.col("label_id"))
     vector = F.arrow_udf(_vectors, "array<float>")
-    got = rows.select("label_id", "y", vector("text").alias("x")).orderBy("label_id", "y").toPandas()
+    got = rows.select("label_id", "y", vector("text").alias("x")).toPandas().sort_values(["label_id", "y"], kind="stable")
     x = np.array(got["x"].tolist(), np.float32).reshape(len(got), len(FEATURES))
     return Gam().fit(x, got["y"].to_numpy(np.float64))
 
