@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 from scorelake.llm.common import ship, slices, utf8, written
 
 WINDOW = 10
+#: Words of the shortest item that decontaminate() searches; fewer are common words, no leak.
+SHORTEST = 5
 #: Words of one automaton at most (an item more), so what a task holds doesn't grow with the benchmark; larger ones are matched in blocks.
 BLOCK_WORDS = 1_000_000
 #: A-Z lower-cased; all but letters, digits and bytes of other characters become a space.
@@ -122,12 +124,12 @@ class Automaton:
         return out, items
 
 
-def match_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, short: bool = True) -> DataFrame:
+def match_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, shortest: int = 1) -> DataFrame:
     """id_col, n_words, spans (array of first and end: hit ranges of words, joined where they touch) and items (ids of items with occurring
     windows, as strings in order) of every row of docs.
 
-    A window is `window` consecutive words of an item; an item of fewer words, but not none, is one window, or with short=False none. Words: A-Z lower-cased runs of
-    letters, digits and non-ASCII characters. Null and empty texts have none. Items of one id count once, null ids as the text `null`. The
+    A window is `window` consecutive words of an item; an item of fewer words, but not of fewer than `shortest`, is one window. Words: A-Z
+    lower-cased runs of letters, digits and non-ASCII characters. Null and empty texts have none. Items of one id count once, null ids as the text `null`. The
     items go to tasks in blocks of about `block_words` words, each matched in a pass of its own over documents streamed through all passes.
     """
     spark = docs.sparkSession
@@ -140,14 +142,14 @@ def match_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_
         # Bounded: about block_words words, whatever the benchmark's size.
         rows = listed.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()
         after = own.schema if k + 1 < blocks else T.StructType([own.schema[i] for i in (0, 2, 3, 4)])
-        own = own.mapInArrow(_matcher([(r.item, r.text) for r in rows], window, k + 1 < blocks, short), after)
+        own = own.mapInArrow(_matcher([(r.item, r.text) for r in rows], window, k + 1 < blocks, shortest), after)
     return own
 
 
-def _matcher(rows: list[tuple[str, str]], window: int, more: bool, short: bool):  # noqa: ANN202
+def _matcher(rows: list[tuple[str, str]], window: int, more: bool, shortest: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = [(item, words_of(text.encode())) for item, text in sorted(rows)]
-        automaton = Automaton([(item, words) for item, words in items if short or len(words) >= window], window)
+        automaton = Automaton([(item, words) for item, words in items if len(words) >= min(window, shortest)], window)
         for b in slices(batches, 1):
             sizes, spans, items = [], [], []
             for text, before, named in zip(utf8(b.column(1)), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
@@ -188,23 +190,26 @@ def remove_spans(text: str, spans: list[tuple[int, int]], least: int = WINDOW) -
     return text
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = WINDOW, max_coverage: float = 0.2, **names: object) -> DataFrame:
-    """docs without hit spans of `least` words or more; a document goes whole if more than max_coverage of its words are hit. Items of fewer
-    words than a window don't count: a few common words are no leak. Columns stay as they are but for the text. Rows of one id are held to
-    be one document: they stay or go, and are cut, alike."""
-    hits = match_items(docs, items, id_col, text_col, short=False, **names).where(F.size("spans") > 0)
-    found = hits.groupBy(F.col(id_col).alias("hit_id")).agg(F.first("spans").alias("hit_spans"), (F.first(n_hit(F.col("spans"))) / F.first("n_words")).alias("coverage"))
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = SHORTEST, max_coverage: float = 0.2, **names: object) -> DataFrame:
+    """docs without hit spans of `least` words or more; a document goes whole if more than max_coverage of its words are hit. An item of
+    SHORTEST to 9 words is a hit where it occurs whole; shorter ones don't count: a few common words are no leak. Columns stay as they are but
+    for the text. Rows of one id are held to be one document: they stay or go, and are cut, alike; so are rows of null id and equal text."""
+    columns = docs.columns
+    key = F.when(F.col(id_col).isNull(), F.concat(F.lit("text "), F.md5(F.coalesce(text_col, F.lit(""))))).otherwise(F.concat(F.lit("id "), F.col(id_col).cast("string")))
+    docs = docs.withColumn("doc_key", key)
+    hits = match_items(docs, items, "doc_key", text_col, shortest=SHORTEST, **names).where(F.size("spans") > 0)
+    found = hits.groupBy(F.col("doc_key").alias("hit_id")).agg(F.first("spans").alias("hit_spans"), (F.first(n_hit(F.col("spans"))) / F.first("n_words")).alias("coverage"))
     found = written(found, "hits")  # as a table its size is known, so Spark can choose how to join it
     whole = found.where(F.col("coverage") > max_coverage).select("hit_id")
-    docs = docs.join(whole, docs[id_col] == whole["hit_id"], "left_anti")
+    docs = docs.join(whole, docs["doc_key"] == whole["hit_id"], "left_anti")
     if max_coverage <= 0:
-        return docs
+        return docs.select(*columns)
 
     def cut_text(texts: pa.Array, spans: pa.Array) -> pa.Array:
         pairs = zip(texts.to_pylist(), spans.to_pylist(), strict=True)
         return pa.array([remove_spans(t, [(x["first"], x["end"]) for x in s], least) if s else t for t, s in pairs], pa.string())
 
     cut_text.__annotations__ = {"texts": pa.Array, "spans": pa.Array, "return": pa.Array}
-    both = docs.join(found, docs[id_col] == found["hit_id"], "left")
+    both = docs.join(found, docs["doc_key"] == found["hit_id"], "left")
     new = F.arrow_udf(cut_text, "string")(docs[text_col], F.col("hit_spans"))
-    return both.select(*(new.alias(c) if c == text_col else docs[c] for c in docs.columns))
+    return both.select(*(new.alias(c) if c == text_col else docs[c] for c in columns))
