@@ -291,22 +291,38 @@ def dedup_first(df: DataFrame, key: Column, order: str = "score_id") -> DataFram
     return df.groupBy(key.alias("_k")).agg(F.min_by(F.struct(*df.columns), order).alias("r")).select("r.*")
 
 
+def name_classes(names: DataFrame) -> DataFrame:
+    """model_name, key (its set of lower-case characters) of every distinct name that has any, and n, the names of that key."""
+    chars = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("model_name"), ""), lambda x: x != "")))
+    df = names.select("model_name").distinct().select("model_name", F.array_join(chars, "").alias("key")).where("key != ''")
+    return df.join(df.groupBy("key").agg(F.count("*").alias("n")), "key").select("model_name", "key", "n")
+
+
+def near_duplicate_count(names: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """One row, n_pairs: pairs of different names that are linked, within a class and between two."""
+    n = F.col("n").cast("long")
+    inside = name_classes(names).groupBy("key").agg(F.first("n").alias("n")).select((n * (n - 1) / 2).alias("p"))
+    across = near_duplicate_names(names, threshold).select((F.col("n_a") * F.col("n_b")).cast("double").alias("p"))
+    return inside.union(across).agg(F.coalesce(F.sum("p"), F.lit(0.0)).cast("long").alias("n_pairs"))
+
+
 def near_duplicate_names(names: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Pairs of names whose sets of lower-case characters have a Jaccard similarity above the threshold.
 
-    Names of one character set are one row; sets that reach the threshold share one of the rarest characters of either (prefix filter), so
-    only those meet. Expanding sets to names is left to the join on `key`.
+    Names of one character set are one class, of which the least name stands for all; sets that reach the threshold share one of the rarest
+    characters of either (prefix filter), so only those meet. A pair links every name of class key_a with every one of key_b, and n_a and n_b
+    are the numbers of names; `name_classes` has each class's names, which are linked with one another too.
     """
-    sets = names.select(F.array_sort(F.array_distinct(F.filter(F.split(F.lower("model_name"), ""), lambda x: x != ""))).alias("s"), "model_name").where(F.size("s") > 0).groupBy("s").agg(F.min("model_name").alias("name"), F.count("*").alias("n"))
-    sets = sets.withColumn("key", F.array_join("s", ""))
+    sets = name_classes(names).groupBy("key").agg(F.min("model_name").alias("name"), F.count("*").alias("n"))
+    sets = sets.withColumn("s", F.filter(F.split("key", ""), lambda x: x != ""))
     freq = sets.select(F.explode("s").alias("c")).groupBy("c").agg(F.count("*").alias("f"))
     ranked = sets.select("key", F.explode("s").alias("c")).join(freq, "c").withColumn("r", F.row_number().over(W.partitionBy("key").orderBy("f", "c"))).withColumn("m", F.count("*").over(W.partitionBy("key")))
     prefix = ranked.where(F.col("r") <= F.col("m") - F.ceil(F.col("m") * threshold) + 1).select("key", "c", "m")
     a, b = prefix.select(F.col("key").alias("ka"), "c", F.col("m").alias("ma")), prefix.select(F.col("key").alias("kb"), "c", F.col("m").alias("mb"))
     cand = a.join(b, "c").where((F.col("ka") < F.col("kb")) & (F.least("ma", "mb") >= threshold * F.greatest("ma", "mb"))).select("ka", "kb").distinct()
-    x, y = sets.select(F.col("key").alias("ka"), F.col("s").alias("sa"), F.col("name").alias("name_a")), sets.select(F.col("key").alias("kb"), F.col("s").alias("sb"), F.col("name").alias("name_b"))
+    x, y = sets.select(F.col("key").alias("ka"), F.col("s").alias("sa"), F.col("name").alias("name_a"), F.col("n").alias("n_a")), sets.select(F.col("key").alias("kb"), F.col("s").alias("sb"), F.col("name").alias("name_b"), F.col("n").alias("n_b"))
     sim = F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb"))
-    return cand.join(x, "ka").join(y, "kb").select("name_a", "name_b", F.round(sim, 6).alias("similarity")).where(F.col("similarity") > threshold)
+    return cand.join(x, "ka").join(y, "kb").select(F.col("ka").alias("key_a"), "name_a", "n_a", F.col("kb").alias("key_b"), "name_b", "n_b", F.round(sim, 6).alias("similarity")).where(F.col("similarity") > threshold)
 
 
 def daily_normalize(facts: DataFrame, aliases: DataFrame, rules: DataFrame, min_conf: float = 0.9) -> tuple[DataFrame, DataFrame]:

@@ -576,6 +576,19 @@ def e30_dedup_first(spark, d):
 
 @query(with_sql("names", "WITH s AS (SELECT list_sort(list_distinct(string_split(lower(model_name), ''))) AS s, min(model_name) AS name FROM names GROUP BY 1) SELECT a.name AS name_a, b.name AS name_b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) AS similarity FROM s a JOIN s b ON array_to_string(a.s, '') < array_to_string(b.s, '') WHERE len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) > 0.8").replace(") WITH s AS", "), s AS", 1))
 def e31_near_duplicate_names(spark, d):
+    return N.near_duplicate_names(P.names(spark, d)).select("name_a", "name_b", "similarity")
+
+
+_CLASSES = "(SELECT model_name, key, count(*) OVER (PARTITION BY key) AS n FROM (SELECT DISTINCT model_name, array_to_string(list_sort(list_distinct(string_split(lower(model_name), ''))), '') AS key FROM names))"
+
+
+@query(with_sql("names", f"SELECT * FROM {_CLASSES}"))
+def e31_name_classes(spark, d):
+    return N.name_classes(P.names(spark, d))
+
+
+@query(with_sql("names", f"SELECT * FROM (SELECT a.key AS key_a, a.name AS name_a, a.n AS n_a, b.key AS key_b, b.name AS name_b, b.n AS n_b, round(len(list_intersect(string_split(a.key, ''), string_split(b.key, ''))) / len(list_distinct(list_concat(string_split(a.key, ''), string_split(b.key, '')))), 6) AS similarity FROM (SELECT key, n, min(model_name) AS name FROM {_CLASSES} GROUP BY 1, 2) a JOIN (SELECT key, n, min(model_name) AS name FROM {_CLASSES} GROUP BY 1, 2) b ON a.key < b.key) WHERE similarity > 0.8"))
+def e31_class_pairs(spark, d):
     return N.near_duplicate_names(P.names(spark, d))
 
 
