@@ -223,13 +223,34 @@ def aliases_of(aliases: DataFrame, canonical: str) -> DataFrame:
     return aliases.where((F.col("canonical_name") == canonical) & (F.col("alias") != F.lower("alias"))).select("alias").orderBy("alias")
 
 
-def register_models(facts: DataFrame, registry: DataFrame) -> DataFrame:
-    """registry (model_id, first_seen, last_seen, n_scores) with the batch's models put in, found by their canonical id."""
-    batch = facts.groupBy(canonical_model(F.col("model_name")).alias("model_id")).agg(F.min("scraped_at").alias("f"), F.max("scraped_at").alias("l"), F.count("*").alias("n"))
+def _by_id(facts: DataFrame, registry: DataFrame, aliases: DataFrame | None) -> DataFrame:
+    """facts with model_id: the canonical id if it is registered, else the model of the alias that is the lower-case name, else the canonical id as
+    a new one; by_alias is true for the second. aliases: alias, model_id."""
+    df = facts.withColumn("model_id", canonical_model(F.col("model_name")))
+    if aliases is None:
+        return df.withColumn("by_alias", F.lit(False))
+    known = registry.select("model_id", F.lit(True).alias("_known")).distinct()
+    other = aliases.groupBy(F.lower("alias").alias("_alias")).agg(F.min("model_id").alias("_other"))
+    df = df.join(known, "model_id", "left").join(other, F.lower("model_name") == F.col("_alias"), "left")
+    by = F.col("_known").isNull() & F.col("_other").isNotNull()
+    return df.withColumn("by_alias", by).withColumn("model_id", F.when(by, F.col("_other")).otherwise(F.col("model_id"))).drop("_known", "_alias", "_other")
+
+
+def register_models(facts: DataFrame, registry: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """registry (model_id, first_seen, last_seen, n_scores) with the batch's models put in, found by their canonical id, else by alias."""
+    batch = _by_id(facts, registry, aliases).groupBy("model_id").agg(F.min("scraped_at").alias("f"), F.max("scraped_at").alias("l"), F.count("*").alias("n"))
     both = registry.join(batch, "model_id", "full_outer")
     return both.select("model_id", F.coalesce("first_seen", "f").alias("first_seen"), F.greatest("last_seen", "l").alias("last_seen"), (F.coalesce("n_scores", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("n_scores"), F.col("first_seen").isNull().alias("is_new"))
 
 
+def registered_aliases(facts: DataFrame, registry: DataFrame, aliases: DataFrame) -> DataFrame:
+    """alias, model_id: the aliases, and the lower-case names of the batch that differ from their model's id and aren't on record for it. A name
+    that was found by an alias adds none. registry is that from before the batch."""
+    named = _by_id(facts, registry, aliases).where(~F.col("by_alias")).select(F.lower("model_name").alias("alias"), "model_id").where("alias != model_id").distinct()
+    old = aliases.select("alias", "model_id")
+    return old.unionByName(named.join(old, ["alias", "model_id"], "left_anti"))
+
+
 def track_sources(facts: DataFrame) -> DataFrame:
     """Per model id and leaderboard: first and last seen."""
     return facts.groupBy(canonical_model(F.col("model_name"), strip_version=False).alias("model_id"), "leaderboard").agg(F.min("scraped_at").alias("first_seen"), F.max("scraped_at").alias("last_seen"))
