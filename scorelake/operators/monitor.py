@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.functions.scalars import cascade
+from scorelake.operators.names import near_duplicate_count
 
 
 def hours_since(then: Column, as_of: Column) -> Column:
@@ -70,13 +71,18 @@ def check(name: str, df: DataFrame, actual: Column, threshold: float, at_least:
     return row.select(F.lit(name).alias("test"), (F.col("actual") >= threshold if at_least else F.col("actual") <= threshold).alias("passed"), F.lit(float(threshold)).alias("threshold"), "actual")
 
 
-def run_checks(norm: DataFrame, aliases: DataFrame, as_of: Column, limits: Mapping[str, float] | None = None) -> DataFrame:
-    """All quality checks, a row each."""
-    lim = {"models": 10, "scores": 100, "hours": 48, "wild": 1, "confidence": 0.7, "rows": 1000} | dict(limits or {})
+def run_checks(norm: DataFrame, aliases: DataFrame, as_of: Column, limits: Mapping[str, float] | None = None, runs: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
+    """All quality checks, a row each: those of sources' success and of near-duplicate names where runs and names are given."""
+    lim = {"models": 10, "scores": 100, "hours": 48, "wild": 1, "confidence": 0.7, "rows": 1000, "success": 80, "near": 10} | dict(limits or {})
     recent = norm.where(F.unix_seconds("scraped_at") > F.unix_seconds(as_of) - 86400)
     orphan = aliases.select("canonical_name").distinct().join(norm.select(F.col("model_name").alias("canonical_name")).distinct(), "canonical_name", "left_anti")
     double = aliases.groupBy("alias").count().where("count > 1")
     n = F.col("normalized_value")
+    more = []
+    if runs is not None:
+        more.append(check("source_success_pct", ingestion_stats(runs, as_of), F.coalesce(F.min("success_pct"), F.lit(100.0)), lim["success"]))
+    if names is not None:
+        more.append(check("near_duplicate_names", near_duplicate_count(names), F.first("n_pairs"), lim["near"] - 1, False))  # fewer than the limit
     return reduce(
         DataFrame.unionByName,
         [
@@ -90,6 +96,7 @@ def run_checks(norm: DataFrame, aliases: DataFrame, as_of: Column, limits: Mappi
             check("rows", norm, F.count("*"), lim["rows"]),
             check("max_value", norm, F.max(F.abs(n)), 10000, False),
             check("mean_value", norm, F.avg(n), 100, False),
+            *more,
         ],
     )
 

@@ -639,6 +639,12 @@ def k8_k17_checks(spark, d):
     return M.run_checks(norm(spark, d), P.aliases(spark, d), as_of())
 
 
+@query(with_sql("names", "SELECT 'source_success_pct' AS test, actual >= 80 AS passed, 80::DOUBLE AS threshold, actual FROM (SELECT coalesce(min(p), 100)::DOUBLE AS actual FROM (SELECT round(avg((value < 200)::INT) * 100, 4) AS p FROM events WHERE floor(epoch(ts)) > epoch(TIMESTAMP '2024-02-01') - 7 * 86400 GROUP BY event_type)) UNION ALL SELECT 'near_duplicate_names', actual <= 9, 9::DOUBLE, actual FROM (SELECT count(*)::DOUBLE AS actual FROM (SELECT DISTINCT model_name, list_distinct(string_split(lower(model_name), '')) AS s FROM names) a JOIN (SELECT DISTINCT model_name, list_distinct(string_split(lower(model_name), '')) AS s FROM names) b ON a.model_name < b.model_name WHERE round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) > 0.8)"))
+def k9_k15_checks(spark, d):
+    checks = M.run_checks(norm(spark, d), P.aliases(spark, d), as_of(), runs=runs(spark, d), names=P.names(spark, d))
+    return checks.where(F.col("test").isin("source_success_pct", "near_duplicate_names"))
+
+
 @query("SELECT count(*) FILTER (o_orderstatus IS NULL) AS missing_o_orderstatus, count(*) FILTER (o_totalprice IS NULL) AS missing_o_totalprice FROM orders")
 def k18_required(spark, d):
     return M.validate_required(P.table(spark, d, "orders"), ["o_orderstatus", "o_totalprice"])
