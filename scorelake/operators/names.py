@@ -80,16 +80,16 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, swap: boo
     """left.name and right.other with a ratio of `threshold` or more.
 
     Two strings of that ratio share a character, and their lengths l satisfy 2 * min(l) / sum(l) >= threshold: those candidates lose no
-    pair. Both sides must be distinct names that exact joins have left over. A second bound, from the characters they share, is checked
+    pair (bounds are widened by 1e-9 against rounding). Both sides must be distinct names that exact joins have left over. A second bound, from the characters they share, is checked
     before the ratio is computed.
     """
     chars = lambda c: F.array_sort(F.filter(F.split(c, ""), lambda x: x != ""))
-    keys = lambda c: F.explode(F.sequence(F.ceil(F.length(c) * threshold / (2 - threshold)), F.floor(F.length(c) * (2 - threshold) / threshold)))
+    keys = lambda c: F.explode(F.sequence(F.ceil(F.length(c) * threshold / (2 - threshold) - 1e-9), F.floor(F.length(c) * (2 - threshold) / threshold + 1e-9)))
     a = left.select("name").distinct().where("name != ''").select("name", keys(F.col("name")).alias("n"), chars(F.col("name")).alias("ca"))
     b = right.select("other").distinct().where("other != ''").select("other", F.length("other").cast("long").alias("n"), chars(F.col("other")).alias("cb"))
     total = F.length("name") + F.length("other")
     shared = F.aggregate(F.array_distinct("ca"), F.lit(0), lambda s, x: s + F.least(F.size(F.filter("ca", lambda y: y == x)), F.size(F.filter("cb", lambda y: y == x))))
-    pairs = a.join(b, "n").where(2 * shared >= threshold * total)
+    pairs = a.join(b, "n").where(2 * shared >= threshold * total - 1e-9)
     ratio = F.pandas_udf(_ratios, T.DoubleType())
     r = ratio("other", "name") if swap else ratio("name", "other")
     return pairs.select("name", "other", r.alias("ratio")).where(F.col("ratio") >= threshold)

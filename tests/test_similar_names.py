@@ -1,0 +1,14 @@
+"""Pairs of names exactly at the threshold."""
+
+import pytest
+
+from scorelake.operators import names as N
+
+
+@pytest.mark.parametrize("threshold, sizes", [(0.6, (3, 7)), (0.85, (17, 23)), (0.85, (34, 46))])
+def test_boundary_lengths_meet(spark, threshold, sizes):
+    text = "abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJ"
+    short, long = (text[:n] for n in sizes)
+    for a, b in ((short, long), (long, short)):
+        left, right = spark.createDataFrame([(a,)], "name string"), spark.createDataFrame([(b,)], "other string")
+        assert N.similar_pairs(left, right, threshold).first().ratio == threshold
