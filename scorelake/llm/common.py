@@ -6,8 +6,9 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections import defaultdict
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from itertools import count, repeat
 from pathlib import Path
 
 import numpy as np
@@ -19,12 +20,18 @@ from pyspark.sql import DataFrame, SparkSession
 SLICE_BYTES = 1 << 20
 #: Bytes of an Arrow batch; a row more at most.
 BATCH_BYTES = 4 << 20
+#: Words of which Python holds a list at a time.
+STEP_WORDS = 1 << 16
 
 
 def ship(spark: SparkSession) -> None:
     """Lets Python workers import this package, if it isn't on their path (PYTHONPATH or the working folder), and bounds the batches of texts
-    that they get, so that what they hold doesn't grow with the texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    that they get, so that what they hold doesn't grow with the texts. The bound is a setting of the session, so it holds for the session's
+    later queries too; a lower one stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = str(spark.conf.get(key))
+    if not own.rstrip("bB").isdigit() or not 0 < int(own.rstrip("bB")) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
     package = Path(__file__).resolve().parent.parent
     places = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
     sc = spark.sparkContext
@@ -38,36 +45,64 @@ def ship(spark: SparkSession) -> None:
     sc._package_shipped = True
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares; in tests, where none is named, in a folder of this machine."""
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        found = sc._jsc.sc().getCheckpointDir()
-        root = found.get() if found.isDefined() else f"file://{tempfile.mkdtemp()}"
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def model_file(name: str) -> str:
+    """A tokeniser's file: a path as it is; a bare name is that of a public tokeniser, whose place is looked up where the file is read, so on
+    the executor in its workers."""
+    if os.sep in name:
+        return name
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder: later jobs neither compute it again nor depend on an executor's copy."""
-    shared_path(df.sparkSession, "")
-    return df.checkpoint()
+#: Tables in the shared folder that results are, or may still be, read from.
+_MADE: list[str] = []
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again."""
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares, as spark.checkpoint.dir names it. Where it isn't set, a session on one machine gets a
+    folder of that machine; on a cluster that is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        sc = spark.sparkContext
+        found = sc._jsc.sc().getCheckpointDir()
+        if found.isDefined():
+            root = found.get()
+        elif sc.master.startswith("local") and "cluster" not in sc.master:
+            root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+            sc.setCheckpointDir(root)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: later jobs neither compute it again nor depend on an executor's copy. Its size
+    is known, so Spark can choose how to join it."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+def drop(*tables: DataFrame | str) -> None:
+    """Deletes tables that `written` has returned, or paths of shared_path, when nothing is read from them any more."""
+    for t in tables:
+        path = t if isinstance(t, str) else t._table_path
+        spark = SparkSession.active()
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        if path in _MADE:
+            _MADE.remove(path)
 
 
-def drop_table(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def clean() -> None:
+    """Deletes every table that is left in the shared folder: for when the results that are read from them have been used."""
+    drop(*list(_MADE))
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -105,98 +140,72 @@ def words_of(buf: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-_ODD = 0x9E3779B97F4A7C15
-_BYTE = np.random.default_rng(1).integers(1, 2**63, 256, dtype=np.uint64)
+def word_numbers(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number of each word buf[starts[i]:ends[i]], the same for the same bytes only. Words are the runs without white space (bytes 9 to 13
+    and 32) of buf, all of them. A list of a few words and every distinct one are held at a time."""
+    of = defaultdict(count().__next__)
+    out = np.empty(len(starts), np.int64)
+    for i in range(0, len(starts), STEP_WORDS):
+        j = min(i + STEP_WORDS, len(starts))
+        out[i:j] = np.fromiter(map(of.__getitem__, buf[starts[i] : ends[j - 1]].tobytes().split()), np.int64, j - i)
+    return out
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2**64."""
-    return tuple(np.cumprod(np.array([1, *[x] * n], np.uint64)) for x in (_ODD, pow(_ODD, -1, 2**64)))
+def line_numbers(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number of each string buf[starts[i]:ends[i]], the same for the same bytes only."""
+    of = defaultdict(count().__next__)
+    raw = memoryview(buf)
+    return np.fromiter((of[bytes(raw[a:b])] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.int64, len(starts))
 
 
-def string_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A polynomial hash, modulo 2**64 and mixed, of each buf[starts[i]:ends[i]]; the same wherever the string stands."""
-    power, inverse = _powers(max(1 << 20, 1 << len(buf).bit_length()))
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * power[: len(buf)], out=total[1:])
-    h = (total[ends] - total[starts]) * inverse[starts]
-    return (h ^ (h >> np.uint64(29))) * np.uint64(_ODD)
+class WordTable:
+    """Values of words that come again and again: what a worker has computed, by word.
 
-
-class StringTable:
-    """Values of strings that come again and again, kept in numpy arrays: a worker's memory of what it has computed.
-
-    A string is known by its 64-bit hash, its length and its first eight bytes. `compute` maps a list of byte strings to their values, one
-    after the other in an array of `dtype`, and the number of each. At `cap` strings the table starts anew, so its memory is bounded.
+    `compute` maps a list of distinct words to their values, one after the other in an array of `dtype`, and the number of each. At `cap`
+    words, or `cap_bytes` bytes of them and their values, the table starts anew, so beyond the words of one call its memory is bounded.
     """
 
-    def __init__(self, compute: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], dtype: object, cap: int = 1_000_000):
-        self.compute, self.dtype, self.cap = compute, np.dtype(dtype), cap
-        self.bits = (2 * cap - 1).bit_length()
+    def __init__(self, compute: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], dtype: object, cap: int = 500_000, cap_bytes: int = 64 << 20):
+        self.compute, self.dtype, self.cap, self.cap_bytes = compute, np.dtype(dtype), cap, cap_bytes
         self._clear()
 
     def _clear(self) -> None:
-        self.key = np.zeros((1 << self.bits, 2), np.uint64)
-        self.slot = np.full(1 << self.bits, -1, np.int32)
-        self.n, self.flat, self.used = 0, np.zeros(1 << 20, self.dtype), 0
-        self.at, self.size = np.zeros(self.cap, np.int64), np.zeros(self.cap, np.int64)
-
-    def _find(self, keys: np.ndarray) -> np.ndarray:
-        """The number of each key, or -1."""
-        out = np.full(len(keys), -1, np.int64)
-        todo, place = np.arange(len(keys)), (keys[:, 0] >> np.uint64(64 - self.bits)).astype(np.int64)
-        while len(todo):
-            got = self.slot[place]
-            same = (got >= 0) & (self.key[place] == keys[todo]).all(axis=1)
-            out[todo[same]] = got[same]
-            on = (got >= 0) & ~same
-            todo, place = todo[on], (place[on] + 1) & ((1 << self.bits) - 1)
-        return out
-
-    def _add(self, keys: np.ndarray, new: np.ndarray, sizes: np.ndarray) -> None:
-        while self.used + len(new) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), self.dtype)])
-        self.flat[self.used : self.used + len(new)] = new
-        numbers = np.arange(self.n, self.n + len(keys))
-        self.at[numbers], self.size[numbers] = self.used + np.cumsum(sizes) - sizes, sizes
-        self.used, self.n = self.used + len(new), self.n + len(keys)
-        todo, place = np.arange(len(keys)), (keys[:, 0] >> np.uint64(64 - self.bits)).astype(np.int64)
-        while len(todo):
-            free = self.slot[place] < 0
-            self.slot[place[free]] = numbers[todo[free]]  # of those for one place the last stays
-            won = self.slot[place] == numbers[todo]
-            self.key[place[won]] = keys[todo[won]]
-            todo, place = todo[~won], (place[~won] + 1) & ((1 << self.bits) - 1)
-
-    def numbers(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The place in .at and .size of each string's value, good until the next call."""
-        hashes = string_hashes(buf, starts, ends)
-        padded = np.concatenate([buf, np.zeros(8, np.uint8)])
-        window = np.ndarray(len(buf), "<u8", padded.data, 0, (1,)) if len(buf) else np.zeros(0, "<u8")
-        lengths = ends - starts
-        head = window[starts] & np.where(lengths < 8, (np.uint64(1) << (np.minimum(lengths, 7).astype(np.uint64) * np.uint64(8))) - np.uint64(1), ~np.uint64(0))
-        keys = np.stack([hashes, head * np.uint64(_ODD) ^ lengths.astype(np.uint64)], axis=1)
-        out = self._find(keys)
+        self.known: dict = {}
+        self.bytes = self.used = 0
+        self.flat, self.at, self.size = np.zeros(1 << 16, self.dtype), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+
+    def _room(self, name: str, n: int) -> None:
+        own = getattr(self, name)
+        if n > len(own):
+            setattr(self, name, np.concatenate([own, np.zeros(max(n, 2 * len(own)) - len(own), own.dtype)]))
+
+    def _add(self, words: list) -> None:
+        values, sizes = self.compute(words)
+        n = len(self.known)
+        self._room("flat", self.used + len(values))
+        self._room("at", n + len(words))
+        self._room("size", n + len(words))
+        self.flat[self.used : self.used + len(values)] = values
+        self.at[n : n + len(words)], self.size[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.known.update(zip(words, range(n, n + len(words)), strict=True))
+        self.used += len(values)
+        self.bytes += sum(map(len, words)) + self.dtype.itemsize * len(values)
+
+    def numbers(self, words: list) -> np.ndarray:
+        """The place in .at and .size of each word's value, good until the next call."""
+        out = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
         if (gaps := np.flatnonzero(out < 0)).size:
-            _, first = np.unique(keys[gaps, 0], return_index=True)
-            if self.n + len(first) > self.cap:
+            if len(self.known) >= self.cap or self.bytes >= self.cap_bytes:
                 self._clear()
-                _, first = np.unique(hashes, return_index=True)
-                gaps = np.arange(len(starts))
-                while len(first) > self.cap:
-                    self.cap, self.bits = 2 * self.cap, self.bits + 1
-                    self._clear()
-            own, raw = gaps[first], buf.tobytes()
-            self._add(keys[own], *self.compute([raw[a:b] for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)]))
-            out[gaps] = self._find(keys[gaps])
-            if (out < 0).any():  # two strings of one hash
-                raise ValueError("strings of one hash")
+                gaps = np.arange(len(words))
+            own = [words[i] for i in gaps.tolist()]
+            self._add(list(dict.fromkeys(own)))
+            out[gaps] = np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))
         return out
 
-    def concatenated(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The values of all strings one after the other, and where each ends."""
-        n = self.numbers(buf, starts, ends)
+    def concatenated(self, words: list) -> tuple[np.ndarray, np.ndarray]:
+        """The values of all words one after the other, and where each ends."""
+        n = self.numbers(words)
         return self.flat[ragged(self.at[n], self.size[n])], np.cumsum(self.size[n])
 
 

@@ -2,28 +2,36 @@
 
 The automaton holds every run of words of every benchmark item. A document's words are streamed through it; the longest run that ends at
 each word tells which windows of an item end there, and their words are hit.
+
+A benchmark of more than one block of words is matched in one pass over the documents a block, each a job of its own, so a task, the driver
+and a plan never hold more than one block. What the passes find is kept by the text's digest and joined to the rows at the end.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorelake.llm.common import ship, slices, utf8, written
+from scorelake.llm.common import drop, ship, slices, utf8, written
 
 WINDOW = 10
-#: Words of the shortest item that decontaminate() searches; fewer are common words, no leak.
-SHORTEST = 5
-#: Words of one automaton at most (an item more), so what a task holds doesn't grow with the benchmark; larger ones are matched in blocks.
-BLOCK_WORDS = 1_000_000
+#: Words of one automaton, about: it takes some 400 bytes a word. Larger benchmarks are matched in blocks.
+BLOCK_WORDS = 500_000
+#: Words of a piece of an item: what goes to one block whole. Pieces of an item overlap by all but one word of a window.
+PIECE_WORDS = 10_000
 #: A-Z lower-cased; all but letters, digits and bytes of other characters become a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+#: The same words, for Spark and for re.
+WORD_PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+SPANS, ITEMS = "array<struct<first:int,end:int>>", "array<string>"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -37,27 +45,25 @@ class Automaton:
         self.window = window
         self.number: dict[bytes, int] = {}
         self.size, self.link, self.move = [0], [-1], [{}]
-        ends: list[set] = [set()]  # items of which a prefix ends in the state
+        ends: list[tuple[int, object]] = []  # (state in which a prefix ends, its item)
         short: dict[int, set] = {}  # by state: (length, item) of whole items below the window
         for item, words in items:
             last = 0
             for w in words:
                 last = self._extend(last, self.number.setdefault(w, len(self.number)))
-                while len(ends) < len(self.size):
-                    ends.append(set())
-                ends[last].add(item)
+                ends.append((last, item))
             if 0 < len(words) < window:
                 short.setdefault(last, set()).add((len(words), item))
-        order = sorted(range(1, len(self.size)), key=self.size.__getitem__)
-        for s in reversed(order):
-            ends[self.link[s]] |= ends[s]
         #: By state: the ancestor in which the window ending there lies, or 0; the whole short items that end there.
         self.at_window, self.short = [0] * len(self.size), [()] * len(self.size)
-        for s in order:
+        for s in sorted(range(1, len(self.size)), key=self.size.__getitem__):
             up = self.link[s]
             self.at_window[s] = self.at_window[up] or (s if self.size[s] >= window else 0)
-            self.short[s] = (*short.get(s, ()), *self.short[up])
-        self.items = {s: frozenset(ends[s]) for s in {*self.at_window} - {0}}
+            self.short[s] = (*short[s], *self.short[up]) if s in short else self.short[up]
+        self.items: dict[int, set] = {}
+        for s, item in ends:
+            if self.at_window[s]:
+                self.items.setdefault(self.at_window[s], set()).add(item)
         self.least = min([window, *(len(w) for _, w in items if w)])
 
     def _new(self, size: int, link: int, move: dict) -> int:
@@ -124,92 +130,148 @@ class Automaton:
         return out, items
 
 
-def match_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, shortest: int = 1) -> DataFrame:
-    """id_col, n_words, spans (array of first and end: hit ranges of words, joined where they touch) and items (ids of items with occurring
-    windows, as strings in order) of every row of docs.
-
-    A window is `window` consecutive words of an item; an item of fewer words, but not of fewer than `shortest`, is one window. Words: A-Z
-    lower-cased runs of letters, digits and non-ASCII characters. Null and empty texts have none. Items of one id count once, null ids as the text `null`. The
-    items go to tasks in blocks of about `block_words` words, each matched in a pass of its own over documents streamed through all passes.
-    """
-    spark = docs.sparkSession
-    ship(spark)
-    listed = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
-    total = listed.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // 2  # a word and its end take two characters at least
+def item_blocks(items: DataFrame, item_col: str, text_col: str, window: int, block_words: int, shortest: int) -> tuple[DataFrame, int, DataFrame]:
+    """(block, item, words) of every item's pieces, the number of blocks, none of which has much more than block_words words, and the table that
+    the pieces are read from. The driver gets one number a try."""
+    text = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    split = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.regexp_extract_all(text, F.lit(WORD_PATTERN), 0).alias("all"))
+    split = split.where(F.size("all") >= max(1, min(window, shortest)))
+    step = max(1, min(PIECE_WORDS, block_words) - (window - 1))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("all") - window), F.lit(step))
+    pieces = written(split.select("item", "all", F.explode(starts).alias("at")).select("item", F.slice("all", F.col("at") + 1, step + window - 1).alias("words")), "items")
+    total = pieces.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_words))
-    own = docs.select(id_col, F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<first:int,end:int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    for k in range(blocks):
-        # Bounded: about block_words words, whatever the benchmark's size.
-        rows = listed.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()
-        after = own.schema if k + 1 < blocks else T.StructType([own.schema[i] for i in (0, 2, 3, 4)])
-        own = own.mapInArrow(_matcher([(r.item, r.text) for r in rows], window, k + 1 < blocks, shortest), after)
-    return own
+    while True:
+        own = pieces.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(blocks)).cast("int"))
+        most = own.groupBy("block").agg(F.sum(F.size("words")).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+        if most <= 2 * block_words + PIECE_WORDS or blocks > total:
+            return own, blocks, pieces
+        blocks *= 2
+
+
+_KEPT: dict = {}
+
+
+def _automaton(block: Broadcast, key: str, window: int) -> Automaton:
+    """That of a block, which a worker keeps until it sees another one."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = Automaton(block.value, window)
+    return _KEPT[key]
+
+
+def _spans(pairs: list[tuple[int, int]]) -> list[dict]:
+    return [{"first": a, "end": b} for a, b in pairs]
+
 
+def _matched(rows: DataFrame, block: Broadcast, window: int, text: str) -> DataFrame:
+    """rows with n_words, spans and items, by one block."""
+    at, key = rows.columns.index(text), uuid.uuid4().hex
+    schema = T.StructType([*rows.schema, T.StructField("n_words", T.LongType()), T.StructField("spans", T._parse_datatype_string(SPANS)), T.StructField("items", T._parse_datatype_string(ITEMS))])
 
-def _matcher(rows: list[tuple[str, str]], window: int, more: bool, shortest: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = [(item, words_of(text.encode())) for item, text in sorted(rows)]
-        automaton = Automaton([(item, words) for item, words in items if len(words) >= min(window, shortest)], window)
-        for b in slices(batches, 1):
+        automaton = _automaton(block, key, window)
+        for b in slices(batches, at):
             sizes, spans, items = [], [], []
-            for text, before, named in zip(utf8(b.column(1)), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                words = words_of(text)
+            for t in utf8(b.column(at)):
+                words = words_of(t)
                 found, hit = automaton.match(words)
                 sizes.append(len(words))
-                spans.append([{"first": x, "end": y} for x, y in merged(found, [(s["first"], s["end"]) for s in before])])
-                items.append(sorted(hit | set(named)))
-            cols = [b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(spans, b.schema.field(3).type), pa.array(items, b.schema.field(4).type)]
-            keep = [0, 1, 2, 3, 4] if more else [0, 2, 3, 4]  # the text goes on only if another pass reads it
-            yield pa.RecordBatch.from_arrays([cols[i] for i in keep], names=[b.schema.names[i] for i in keep])
+                spans.append(_spans(found))
+                items.append(sorted(hit))
+            cols = [pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, "n_words", "spans", "items"])
 
-    return run
+    return rows.mapInArrow(run, schema)
 
 
-def merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    if not a or not b:
-        return a or b
-    out: list[tuple[int, int]] = []
-    for first, end in sorted([*a, *b]):
-        if out and first <= out[-1][1]:
-            out[-1] = out[-1][0], max(end, out[-1][1])
-        else:
-            out.append((first, end))
-    return out
+def _block(spark, pieces: DataFrame, k: int) -> Broadcast:  # noqa: ANN001
+    """One block's pieces, for the workers: of bounded size, see item_blocks."""
+    return spark.sparkContext.broadcast(sorted((r["item"], [w.encode() for w in r.words]) for r in pieces.where(F.col("block") == k).select("item", "words").collect()))
+
+
+def with_matches(rows: DataFrame, items: DataFrame, text: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, shortest: int = 1) -> DataFrame:
+    """Every row of rows, with its columns, and n_words, spans (array of first and end: hit ranges of words, joined where they touch) and items
+    (ids of items with occurring windows, as strings in order). rows mustn't have columns of these names.
+
+    A window is `window` consecutive words of an item; an item of fewer words, but not of fewer than `shortest`, is one window. Words: A-Z
+    lower-cased runs of letters, digits and non-ASCII characters. Null and empty texts have none. Texts of any length are matched whole; equal
+    texts have equal matches. Items of one id count once, null ids as the text `null`; items of no words can't occur.
+    """
+    spark = rows.sparkSession
+    ship(spark)
+    pieces, blocks, pieces_table = item_blocks(items, item_col, item_text_col, window, block_words, shortest)
+    if blocks == 1:
+        block = _block(spark, pieces, 0)
+        drop(pieces_table)
+        return _matched(rows, block, window, text)
+    digest = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
+    found = []
+    for k in range(blocks):
+        block = _block(spark, pieces, k)
+        one = _matched(rows.select(digest.alias("digest"), F.col(text).alias("text")), block, window, "text").where(F.size("spans") > 0)
+        found.append(written(one.groupBy("digest").agg(F.first("spans").alias("spans"), F.first("items").alias("items")), "hits"))
+        block.destroy()
+    every = found[0]
+    for one in found[1:]:
+        every = every.union(one)
+    # A row a block at most for each digest; ranges that touch become one, in order.
+    joined = F.aggregate(
+        F.array_sort(F.flatten(F.collect_list("spans"))), F.array().cast(SPANS),
+        lambda out, s: F.when((F.size(out) > 0) & (s["first"] <= F.element_at(out, -1)["end"]), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["first"].alias("first"), F.greatest(F.element_at(out, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(out, F.array(s))),
+    )
+    merged = written(every.groupBy("digest").agg(joined.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")), "hits")
+    drop(pieces_table, *found)
+    both = rows.withColumn("digest_of_text", digest).join(merged.withColumnRenamed("digest", "digest_of_text"), "digest_of_text", "left")
+    n_words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+    return both.select(*(F.col(f"`{c}`") for c in rows.columns), n_words.alias("n_words"), F.coalesce("spans", F.array().cast(SPANS)).alias("spans"), F.coalesce("items", F.array().cast(ITEMS)).alias("items"))
+
+
+def match_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: object) -> DataFrame:
+    """id_col, n_words, spans and items of every row of docs, as with_matches gives them. Rows of one id are each matched. Other columns
+    aren't read, so their names can't clash. An empty table gives an empty result."""
+    out = with_matches(docs.select(F.col(f"`{id_col}`").alias("own_id"), F.col(f"`{text_col}`").alias("own_text")), items, "own_text", **how)
+    return out.select(F.col("own_id").alias(id_col), "n_words", "spans", "items")
 
 
 def n_hit(spans: Column) -> Column:
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
 
 
-def remove_spans(text: str, spans: list[tuple[int, int]], least: int = WINDOW) -> str:
+def remove_spans(text: str, spans: list[tuple[int, int]], least: int = 1) -> str:
     """text without the characters from the first to the last word of each span of `least` words or more."""
-    at = [(m.start(), m.end()) for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]
-    for first, end in sorted(spans, reverse=True):
-        if end - first >= least:
-            text = text[: at[first][0]] + text[at[end - 1][1] :]
-    return text
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = SHORTEST, max_coverage: float = 0.2, **names: object) -> DataFrame:
-    """docs without hit spans of `least` words or more; a document goes whole if more than max_coverage of its words are hit. An item of
-    SHORTEST to 9 words is a hit where it occurs whole; shorter ones don't count: a few common words are no leak. Columns stay as they are but
-    for the text. Rows of one id are held to be one document: they stay or go, and are cut, alike; so are rows of null id and equal text."""
-    columns = docs.columns
-    key = F.when(F.col(id_col).isNull(), F.concat(F.lit("text "), F.md5(F.coalesce(text_col, F.lit(""))))).otherwise(F.concat(F.lit("id "), F.col(id_col).cast("string")))
-    docs = docs.withColumn("doc_key", key)
-    hits = match_items(docs, items, "doc_key", text_col, shortest=SHORTEST, **names).where(F.size("spans") > 0)
-    found = hits.groupBy(F.col("doc_key").alias("hit_id")).agg(F.first("spans").alias("hit_spans"), (F.first(n_hit(F.col("spans"))) / F.first("n_words")).alias("coverage"))
-    found = written(found, "hits")  # as a table its size is known, so Spark can choose how to join it
-    whole = found.where(F.col("coverage") > max_coverage).select("hit_id")
-    docs = docs.join(whole, docs["doc_key"] == whole["hit_id"], "left_anti")
+    out, done, word = [], 0, -1
+    cuts = iter(sorted(s for s in spans if s[1] - s[0] >= least))
+    cut = next(cuts, None)
+    for m in re.finditer(WORD_PATTERN, text):
+        word += 1
+        if cut is None:
+            break
+        if word == cut[0]:
+            out.append(text[done : m.start()])
+        if word == cut[1] - 1:
+            done, cut = m.end(), next(cuts, None)
+    return "".join([*out, text[done:]])
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", least: int = 1, max_coverage: float = 0.2, **how: object) -> DataFrame:
+    """docs without hit spans of `least` words or more; a row goes whole if more than max_coverage of its words are hit. Hits are those of
+    with_matches, so items of fewer words than a window count too where they occur whole (`shortest` leaves out short ones).
+
+    Every row is judged by its own text, whatever its id: rows of one id, of null ids and repeated rows too. Null texts, and those without a
+    word, stay. All columns stay as they are but for the text; they go through as one column, so no name clashes.
+    """
+    others = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != text_col}
+    row = docs.select(F.struct(F.lit(True).alias("row"), *(F.col(f"`{c}`").alias(k) for c, k in others.items())).alias("own_row"), F.col(f"`{text_col}`").alias("own_text"))
+    back = lambda text: [text.alias(c) if c == text_col else F.col(f"own_row.{others[c]}").alias(c) for c in docs.columns]
+    found = with_matches(row, items, "own_text", **how)
+    kept = found.where((F.size("spans") == 0) | (n_hit(F.col("spans")) <= F.lit(max_coverage) * F.col("n_words")))
     if max_coverage <= 0:
-        return docs.select(*columns)
+        return kept.select(*back(F.col("own_text")))
 
     def cut_text(texts: pa.Array, spans: pa.Array) -> pa.Array:
         pairs = zip(texts.to_pylist(), spans.to_pylist(), strict=True)
         return pa.array([remove_spans(t, [(x["first"], x["end"]) for x in s], least) if s else t for t, s in pairs], pa.string())
 
     cut_text.__annotations__ = {"texts": pa.Array, "spans": pa.Array, "return": pa.Array}
-    both = docs.join(found, docs["doc_key"] == found["hit_id"], "left")
-    new = F.arrow_udf(cut_text, "string")(docs[text_col], F.col("hit_spans"))
-    return both.select(*(new.alias(c) if c == text_col else docs[c] for c in columns))
+    return kept.select(*back(F.arrow_udf(cut_text, "string")(F.col("own_text"), F.col("spans"))))

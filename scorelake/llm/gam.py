@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import joined, ship, slices, string_hashes, utf8, words_of
+from scorelake.llm.common import drop, joined, line_numbers, ship, slices, utf8, word_numbers, words_of, written
 from scorelake.llm.repetition import LINE, WORD
 
 #: Rows that the model is fitted on at most (about: drawn by a hash of the id); they come to the driver as features.
@@ -33,8 +33,7 @@ def features(texts: list[bytes]) -> np.ndarray:
     owner = np.searchsorted(at, starts, side="right") - 1
     n = np.bincount(owner, minlength=docs).astype(np.float64)
     chars = np.bincount(owner, ends - starts, docs)
-    word = string_hashes(buf, starts, ends)
-    own = word ^ ((owner.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
+    own = word_numbers(buf, starts, ends) * docs + owner
     last = np.zeros(len(own), bool)
     last[1:] = own[1:] == own[:-1]
     order = np.argsort(own, kind="stable")
@@ -42,7 +41,7 @@ def features(texts: list[bytes]) -> np.ndarray:
     seen[order[1:]] = own[order][1:] == own[order][:-1]
     a, b = words_of(buf, LINE)
     line_owner = np.searchsorted(at, a, side="right") - 1
-    line = string_hashes(buf, a, b) ^ ((line_owner.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
+    line = line_numbers(buf, a, b) * docs + line_owner
     order = np.argsort(line, kind="stable")
     again = np.zeros(len(line), bool)
     again[order[1:]] = line[order][1:] == line[order][:-1]
@@ -162,15 +161,24 @@ def held_out(id_col: str) -> Column:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_TRAIN_ROWS) -> Gam:
-    """A model of label_col, learnt from labelled rows that aren't held out: all, or about max_rows of them by a hash of the id."""
+    """A model of label_col, learnt from labelled ids that aren't held out: all, or about max_rows of them by a hash of the id.
+
+    Several labels of one id count as their mean, several texts as one of them, so repeated rows weigh no more and neither the broadcast
+    labels nor the features at the driver exceed a row an id. Null ids and labels aren't learnt from. Columns other than those named aren't
+    read, so their names can't clash. Without rows every score is 0.5.
+    """
     ship(docs.sparkSession)
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("label_id"), F.col(label_col).cast("double").alias("y"))
-    share = min(1.0, max_rows / max(1, known.count()))
-    drawn = known.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    # Bounded by max_rows, so every task can hold it.
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), F.col("id") == F.col("label_id"))
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("label_id")).agg(F.avg(F.col(label_col).cast("double")).alias("y"))
+    total = known.count()
+    limit = int(min(1.0, max_rows / max(1, total)) * (1 << 30))
+    drawn = written(known.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 30)) < limit), "labels")
+    if (n := drawn.count()) > 2 * max_rows:
+        raise ValueError(f"{n} labelled ids drawn for about {max_rows}: their hashes aren't spread")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), F.col("id") == F.col("label_id"))  # of checked size
     vector = F.arrow_udf(_vectors, "array<float>")
-    got = rows.select("label_id", "y", vector("text").alias("x")).toPandas().sort_values(["label_id", "y"], kind="stable")
+    one = rows.select("label_id", "y", vector("text").alias("x")).groupBy("label_id").agg(F.first("y").alias("y"), F.min("x").alias("x"))
+    got = one.toPandas().sort_values("label_id", kind="stable")
+    drop(drawn)
     x = np.array(got["x"].tolist(), np.float32).reshape(len(got), len(FEATURES))
     return Gam().fit(x, got["y"].to_numpy(np.float64))
 
@@ -181,7 +189,8 @@ def _vectors(text: pa.Array) -> pa.Array:
 
 
 def quality_score(model: Gam, text: Column) -> Column:
-    """Score of each whole text, 0 to 1, higher: label 1 likelier. Null and empty texts have a score too, that of a text without words."""
+    """Score of each whole text, however long, 0 to 1, higher: label 1 likelier. Null and empty texts have a score too, that of a text without
+    words. Equal texts have equal scores, so repeated rows too; an empty table has none."""
 
     def score(texts: pa.Array) -> pa.Array:
         return pa.array(model.score(batch_features(texts)), pa.float64())

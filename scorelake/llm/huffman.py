@@ -17,10 +17,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorelake.llm.common import drop_table, shared_path, ship, slices, utf8
+from scorelake.llm.common import drop, ship, slices, utf8, written
 from scorelake.llm.word_bpe import word_bpe
 
 BLOCK, CHECKPOINT, LIMIT = 1 << 18, 512, 16
+#: Ids that a task sorts and writes, about.
+PART_IDS = 1 << 24
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -147,16 +149,17 @@ def id_counts(packed: DataFrame, size: int) -> np.ndarray:
 
 
 def write_ids(docs: DataFrame, path: str, model: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encodes docs, appends end_id to each, and writes the files in ascending id order (null ids first; rows of one id in any order).
+    """Encodes docs, appends end_id to each, and writes the files in ascending id order (null ids first; rows of one id in the order in which
+    they are read, and dealt over as many tasks as they need).
 
-    Null and empty texts have the end id alone. An empty table gives a codebook and no block. Other columns aren't read.
+    Null and empty texts have the end id alone. A text, however long, is encoded whole and lies in one block. An empty table gives a codebook
+    and no block. Repeated rows and ids are each written. Other columns aren't read, so their names can't clash.
     """
     spark = docs.sparkSession
-    first = shared_path(spark, "ids")
-    encode_ids(docs, model, end_id, id_col, text_col).write.option("compression", "none").parquet(first)
-    packed = spark.read.parquet(first)
+    packed = written(encode_ids(docs, model, end_id, id_col, text_col), "ids")
     size = max(word_bpe(model).size, (end_id or 0) + 1)
-    lengths = code_lengths(id_counts(packed, size))
+    counts = id_counts(packed, size)
+    lengths = code_lengths(counts)
     spark.createDataFrame([(size, bytearray(lengths.tobytes()))], "size int, lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
     kind = packed.schema[id_col].dataType
 
@@ -191,9 +194,10 @@ def write_ids(docs: DataFrame, path: str, model: str, end_id: int | None = 1, id
             yield out()
 
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("before", T.LongType()), T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("checkpoints", T.BinaryType()), T.StructField("bits", T.BinaryType())])
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed.repartitionByRange(n, id_col).sortWithinPartitions(id_col).mapInArrow(run, schema).write.option("compression", "none").parquet(f"{path}/blocks")
-    drop_table(spark, first)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum()) // PART_IDS)
+    placed = packed.withColumn("place_read", F.monotonically_increasing_id())  # of a written table, so the same whenever it is read
+    placed.repartitionByRange(n, id_col, "place_read").sortWithinPartitions(id_col, "place_read").mapInArrow(run, schema).write.option("compression", "none").parquet(f"{path}/blocks")
+    drop(packed)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -220,7 +224,38 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("part", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
     docs = blocks.select("part", "before", "doc_ids", "sizes", "checkpoints", "bits").mapInArrow(run, schema)
-    # A row a part, so a row a task of the writing job: few, whatever the input.
-    parts = blocks.groupBy("part").agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
-    first = parts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("first"))
-    return docs.join(F.broadcast(first), "part").select("doc_id", (F.col("first") + F.col("start")).alias("start"), "n_tokens", "ids")
+    return docs.join(_first_ids(blocks), "part").select("doc_id", (F.col("first") + F.col("start")).alias("start"), "n_tokens", "ids")
+
+
+def _first_ids(blocks: DataFrame) -> DataFrame:
+    """part, first: ids before each part. A row a part, so a row a task of the writing job: few, whatever the input."""
+    parts = blocks.groupBy("part").agg(F.sum(_ids_of_block()).alias("n"))
+    return F.broadcast(parts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("first")))
+
+
+def _ids_of_block():  # noqa: ANN202
+    return F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def read_range(spark: SparkSession, path: str, first: int, n: int) -> DataFrame:
+    """start, ids (little-endian unsigned 32-bit): the ids at the places first to first + n of all documents one after the other, a row a block.
+    Blocks outside aren't decoded, and of those at the ends only the runs between checkpoints that are needed."""
+    ship(spark)
+    size, lengths = spark.read.parquet(f"{path}/codebook").first()
+    lengths = np.frombuffer(lengths, np.uint8)[:size]
+    blocks = spark.read.parquet(f"{path}/blocks")
+    at = F.col("first") + F.col("before")
+    held = blocks.select("part", "before", _ids_of_block().alias("n"), "checkpoints", "bits").join(_first_ids(blocks), "part").select(at.alias("start"), "n", "checkpoints", "bits")
+    wanted = held.where((F.col("start") < first + n) & (F.col("start") + F.col("n") > first))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book = Book(lengths)
+        for batch in batches:
+            for start, own, marks, bits in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                a, b = max(first - start, 0), min(first + n - start, own)
+                low, high = a // CHECKPOINT, -(-b // CHECKPOINT)
+                ids = book.decode(bits, np.frombuffer(marks, "<u8")[low:high], min(high * CHECKPOINT, own) - low * CHECKPOINT)
+                ids = ids[a - low * CHECKPOINT : b - low * CHECKPOINT]
+                yield pa.RecordBatch.from_arrays([pa.array([start + a], pa.int64()), pa.array([ids.astype("<u4").tobytes()], pa.binary())], names=["start", "ids"])
+
+    return wanted.mapInArrow(run, "start long, ids binary")

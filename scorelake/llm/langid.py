@@ -2,94 +2,172 @@
 
 For each language the model has a probability of every piece. A word's probability is the sum over all ways of cutting it into pieces (the
 forward algorithm), a text's the product over its words. Probabilities are learnt by expectation-maximisation: expected counts of pieces
-under the present model, by the forward and backward algorithms, over the training words.
+under the present model, by the forward and backward algorithms, over the training words. Sums are kept in scale, so words have any length.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import StringTable, cut, joined, ship, slices, utf8, words_of
+from scorelake.llm.common import WordTable, drop, model_file, ship, slices, utf8, written
 
 #: Documents of each language that the model is fitted on at most (about: drawn by a hash of the id).
 MAX_TRAIN_DOCS, ITERATIONS, SMOOTH, FLOOR = 5_000, 3, 0.05, 1e-9
-#: Characters of a word, with the space before it; a longer word is taken as several.
-LONGEST = 32
-INSIDE = np.zeros(256, bool)
-INSIDE[97:123] = True
-INSIDE[128:] = True
-
-
-def lowered(buf: np.ndarray) -> np.ndarray:
-    """A-Z and the letters of U+00C0..U+00DE in lower case."""
-    out = buf.copy()
-    out[(buf >= 65) & (buf <= 90)] += 32
-    second = np.zeros(len(buf), bool)
-    second[1:] = buf[:-1] == 0xC3
-    out[second & (buf >= 0x80) & (buf <= 0x9E)] += 32
-    return out
-
-
-def vocabulary(path: str) -> list[str]:
-    """The model file's pieces of lower-case letters, some with a space before them."""
+#: Standard deviations below its language's mean that a text's log-probability a character may lie.
+FIT_DEVIATIONS = 8.0
+#: Bytes of a text cut into words at a time, and words whose segmentations are summed at a time.
+CUT_BYTES, STEP = 1 << 20, 1 << 13
+#: A word: a letter, and the letters and marks after it.
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: Of texts in Latin-1: letters lower-cased, all else a space.
+FOLD = bytes(ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
+TINY = 1e-200
+
+
+def words_in(text: bytes) -> Iterator[list[str]]:
+    """The lower-case words of a text, a bounded list at a time."""
+    whole = text.decode(errors="replace")
+    try:
+        flat = whole.encode("latin-1").translate(FOLD)
+    except UnicodeEncodeError:
+        batch: list[str] = []
+        for m in WORD.finditer(whole.lower()):
+            batch.append(m.group())
+            if len(batch) == CUT_BYTES >> 3:
+                yield batch
+                batch = []
+        yield batch
+        return
+    at = 0
+    while at < len(flat):
+        end = len(flat) if len(flat) - at <= CUT_BYTES else flat.find(b" ", at + CUT_BYTES)
+        end = len(flat) if end < 0 else end
+        yield flat[at:end].decode("latin-1").split()
+        at = end
+
+
+def vocabulary(name: str) -> list[str]:
+    """The model file's pieces that a lower-case word may hold, some with a space before them."""
     import sentencepiece
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    sp = sentencepiece.SentencePieceProcessor(model_file=model_file(name))
     names = {sp.id_to_piece(i).replace("▁", " ") for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
-    return sorted(p for p in names if p.lower() == p and len(p) <= LONGEST and (p == " " or p.removeprefix(" ").isalpha()))
+    return sorted(p for p in names if p == p.lower() and regex.fullmatch(r" |(?: ?[\p{L}\p{M}]+)", p))
 
 
 class Lattice:
-    """Piece numbers of the substrings of words. Numbers: 0 no piece, 1 a character that is no piece of its own, then the vocabulary."""
+    """Piece numbers of the substrings of words, from a trie of the pieces. Numbers: 0 no piece, 1 a character that is no piece of its own,
+    then the vocabulary."""
 
     def __init__(self, pieces: list[str]):
-        self.number = {p: i + 2 for i, p in enumerate(pieces)}
         self.longest = max(map(len, pieces), default=1)
-
-    def grouped(self, words: list[str]) -> Iterator[tuple[np.ndarray, dict[tuple[int, int], np.ndarray]]]:
-        """(places of the words of one length, numbers of their substrings from i to j by (i, j))."""
-        get = self.number.get
-        sizes = np.array([len(w) for w in words], np.int64)
+        self.single = np.ones(0x110000, np.int32)
+        kinds: dict[str, int] = {}
+        nodes: dict[tuple[int, int], int] = {}
+        at_node = {0: 0}
+        for number, p in enumerate(pieces, 2):
+            if len(p) == 1:
+                self.single[ord(p)] = number
+                continue
+            node = 0
+            for c in p:
+                node = nodes.setdefault((node, kinds.setdefault(c, len(kinds) + 1)), len(nodes) + 1)
+            at_node[node] = number
+        self.kind = np.zeros(0x110000, np.int32)
+        for c, k in kinds.items():
+            self.kind[ord(c)] = k
+        self.width = len(kinds) + 1
+        keys = np.array([n * self.width + k for n, k in nodes], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.next = np.append(keys[order], -1), np.append(np.arange(1, len(nodes) + 1)[order], 0)
+        self.piece = np.zeros(len(nodes) + 1, np.int32)
+        self.piece[list(at_node)] = list(at_node.values())
+
+    def _step(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The node after each node and character, or 0."""
+        key = node * self.width + self.kind[code]
+        i = np.searchsorted(self.keys[:-1], key)
+        return np.where(self.keys[i] == key, self.next[i], 0)
+
+    def numbers(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(each word's start, its characters, ids): ids[k - 1, at] is the number of the piece of k characters at that place of all words one
+        after the other."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        starts = np.cumsum(sizes) - sizes
+        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+        ids = np.zeros((self.longest, len(code)), np.int32)
+        ids[0] = self.single[code]
+        ends = np.repeat(starts + sizes, sizes)
+        at, node = np.arange(len(code)), self._step(np.zeros(len(code), np.int64), code)
+        for k in range(2, self.longest + 1):
+            go = (node > 0) & (at + k <= ends[at])
+            at = at[go]
+            node = self._step(node[go], code[at + k - 1])
+            ids[k - 1, at] = self.piece[node]
+        return starts, sizes, ids
+
+
+def forward(number: Callable[[int, int], np.ndarray], n: int, longest: int, p: np.ndarray) -> list[np.ndarray]:
+    """Log-probabilities, by word and language, of the first 0 to n characters. number(j, k): piece numbers of the k characters before j, a
+    word each. p: by piece number and language; p[0] is 0."""
+    words = len(number(1, 1))
+    alpha, shift = [np.ones((words, p.shape[1]))], np.zeros((words, p.shape[1]))
+    logs = [shift]
+    for j in range(1, n + 1):
+        own = np.zeros_like(shift)
+        for k in range(1, min(j, longest) + 1):
+            ids = number(j, k)
+            if k == 1 or ids.any():
+                own += alpha[j - k] * p[ids]
+        if own.min(initial=1.0) < TINY:
+            down = np.where(own < TINY, own, 1.0)
+            shift = shift + np.log(down)
+            own /= down
+            for k in range(1, min(j, longest)):
+                alpha[j - k] = alpha[j - k] / down
+        alpha.append(own)
+        if j >= longest:
+            alpha[j - longest] = None
+        logs.append(np.log(own) + shift)
+    return logs
+
+
+def by_length(lattice: Lattice, words: list[str]) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
+    """(places of words of one length, that length, their starts, piece numbers)."""
+    for a in range(0, len(words), STEP):
+        starts, sizes, ids = lattice.numbers(words[a : a + STEP])
         for n in np.unique(sizes).tolist():
             at = np.flatnonzero(sizes == n)
-            own = [words[i] for i in at.tolist()]
-            yield at, {(i, j): np.array([get(w[i:j], j - i == 1) for w in own], np.int64) for j in range(1, n + 1) for i in range(max(0, j - self.longest), j)}
+            yield a + at, n, starts[at], ids
 
 
-def parts(word: str) -> list[str]:
-    """The word with a space before it, cut where it is longer than LONGEST."""
-    w = " " + word
-    return [w[i : i + LONGEST] for i in range(0, len(w), LONGEST)]
-
-
-def forward(ids: dict[tuple[int, int], np.ndarray], p: np.ndarray) -> list[np.ndarray]:
-    """alpha[j]: probability of the first j characters, by word and language. p: by piece number and language; p[0] is 0."""
-    n = max(j for _, j in ids)
-    alpha = [np.ones((len(ids[0, 1]), p.shape[1]))]
-    for j in range(1, n + 1):
-        alpha.append(sum(alpha[i] * p[ids[i, j]] for i in range(j) if (i, j) in ids))
-    return alpha
+def log_probabilities(lattice: Lattice, words: list[str], p: np.ndarray) -> np.ndarray:
+    """By word and language."""
+    out = np.zeros((len(words), p.shape[1]))
+    for at, n, starts, ids in by_length(lattice, words):
+        out[at] = forward(lambda j, k, s=starts, ids=ids: ids[k - 1, s + j - k], n, lattice.longest, p)[-1]
+    return out
 
 
 def expected(lattice: Lattice, words: list[str], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Expected number of each piece in the words, of which there are `counts`, under one language's probabilities p."""
     out = np.zeros(len(p))
-    flat = [(x, c) for w, c in zip(words, counts.tolist(), strict=True) for x in parts(w)]
-    weight = np.array([c for _, c in flat], np.float64)
-    for at, ids in lattice.grouped([x for x, _ in flat]):
-        alpha = [a[:, 0] for a in forward(ids, p[:, None])]
-        n = len(alpha) - 1
-        beta = [np.zeros(len(at)) for _ in range(n)] + [np.ones(len(at))]
-        for i in range(n - 1, -1, -1):
-            beta[i] = sum(p[ids[i, j]] * beta[j] for j in range(i + 1, n + 1) if (i, j) in ids)
-        for (i, j), k in ids.items():
-            out += np.bincount(k, weight[at] * alpha[i] * p[k] * beta[j] / alpha[n], len(p))
+    for at, n, starts, ids in by_length(lattice, words):
+        before = forward(lambda j, k, s=starts, ids=ids: ids[k - 1, s + j - k], n, lattice.longest, p[:, None])
+        after = forward(lambda j, k, s=starts + n, ids=ids: ids[k - 1, s - j], n, lattice.longest, p[:, None])
+        for i in range(n):
+            for k in range(1, min(n - i, lattice.longest) + 1):
+                number = ids[k - 1, starts + i]
+                if number.any():
+                    share = np.exp((before[i] + after[n - i - k] - before[n])[:, 0]) * p[number]
+                    out += np.bincount(number, counts[at] * share, len(p))
     return out
 
 
@@ -97,73 +175,94 @@ _KEPT: dict = {}
 
 
 class LanguageModel:
-    def __init__(self, pieces: list[str], languages: list[str], p: np.ndarray):
-        self.pieces, self.languages, self.p = pieces, languages, p
+    """p: by piece number and language. floors: by language the least mean log-probability a character that counts as explained, or none."""
 
-    def _ready(self) -> tuple[Lattice, StringTable]:
+    def __init__(self, pieces: list[str], languages: list[str], p: np.ndarray, floors: np.ndarray | None = None):
+        self.pieces, self.languages, self.p, self.floors = pieces, languages, p, floors
+
+    def _ready(self) -> tuple[Lattice, WordTable]:
         """What a worker keeps from task to task for the model that it has seen last."""
         key = hashlib.sha256(self.p.tobytes()).digest()
         if key not in _KEPT:
             _KEPT.clear()
-            _KEPT[key] = (Lattice(self.pieces), StringTable(self._words, np.float32, 400_000))
+            _KEPT[key] = (Lattice(self.pieces), WordTable(self._words, np.float32))
         return _KEPT[key]
 
-    def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        lattice, n = self._ready()[0], len(self.languages)
-        cut_up = [parts(w.decode(errors="replace")) for w in words]
-        total = np.zeros((sum(map(len, cut_up)), n))
-        for at, ids in lattice.grouped([x for c in cut_up for x in c]):
-            total[at] = np.log(forward(ids, self.p)[-1])
-        first = np.cumsum([0, *map(len, cut_up)])[:-1]
-        return np.add.reduceat(total, first, axis=0).astype(np.float32).reshape(-1), np.full(len(words), n)
-
-    def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
-        """The likeliest language of each text (first by name of equals) and its posterior probability; `und`, 0 where there is no letter."""
-        if not self.languages:
-            return ["und"] * len(texts), np.zeros(len(texts))
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = log_probabilities(self._ready()[0], [" " + w for w in words], self.p)
+        return got.astype(np.float32).reshape(-1), np.full(len(words), len(self.languages))
+
+    def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Of each text the likeliest language (first by name of equals), its posterior probability, and how the text's mean log-probability a
+        character lies above the language's floor (0 without floors); `und`, 0 and 0 where there is no word."""
         n = len(self.languages)
-        buf, at = joined(texts)
-        buf = lowered(buf)
-        starts, ends = words_of(buf, INSIDE)
-        flat, _ = self._ready()[1].concatenated(buf, starts, ends)
-        owner = np.searchsorted(at, starts, side="right") - 1
-        by_word = flat.reshape(-1, n)
-        ll = np.stack([np.bincount(owner, by_word[:, k], len(texts)) for k in range(n)], axis=1)
-        best = np.argmax(ll, axis=1)
-        posterior = 1 / np.exp(ll - ll.max(axis=1, keepdims=True)).sum(axis=1)
-        lettered = np.bincount(owner[(buf[starts] >= 97) & (buf[starts] <= 122)], minlength=len(texts)) > 0
-        for i in np.flatnonzero(~lettered).tolist():
-            lettered[i] = any(c.isalpha() for c in texts[i].decode())
-        return [self.languages[k] if ok else "und" for k, ok in zip(best.tolist(), lettered.tolist(), strict=True)], np.where(lettered, posterior, 0.0)
-
-
-def fit_languages(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_TRAIN_DOCS) -> LanguageModel:
+        total, chars = np.zeros((len(texts), n)), np.zeros(len(texts))
+        if n:
+            table = self._ready()[1]
+            words: list[str] = []
+            owner: list[int] = []
+            sizes: list[int] = []
+
+            def flush() -> None:
+                of = np.repeat(np.array(owner, np.int64), sizes)
+                rows = table.numbers(words)
+                values = table.flat[: table.used].reshape(-1, n)[rows]
+                for k in range(n):
+                    total[:, k] += np.bincount(of, values[:, k], len(texts))
+                chars[:] += np.bincount(of, np.fromiter(map(len, words), np.int64, len(words)) + 1, len(texts))
+                for x in (words, owner, sizes):
+                    x.clear()
+
+            for i, t in enumerate(texts):
+                for batch in words_in(t):
+                    words += batch
+                    owner.append(i)
+                    sizes.append(len(batch))
+                    if len(words) >= CUT_BYTES >> 3:
+                        flush()
+            flush()
+        seen = chars > 0
+        if not seen.any():
+            return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+        best = np.argmax(total, axis=1)
+        posterior = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+        floors = np.zeros(n) if self.floors is None else self.floors
+        above = total[np.arange(len(texts)), best] / np.maximum(chars, 1) - floors[best]
+        return [self.languages[k] if ok else "und" for k, ok in zip(best.tolist(), seen.tolist(), strict=True)], np.where(seen, posterior, 0.0), np.where(seen, above, 0.0)
+
+
+def _learnable(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_docs: int) -> tuple[DataFrame, list[str]]:
+    """(lang, text) of the documents to learn from, and the languages."""
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("id is not null and text is not null and lang is not null").where(F.crc32(F.col("id").cast("string")) % 3 != 1)
+    sizes = {r.lang: r.n for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return own.select("lang", "text"), []
+    share = F.create_map(*(F.lit(x) for lang in sorted(sizes) for x in (lang, int(min(1.0, max_docs / sizes[lang]) * (1 << 30)))))
+    return own.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share[F.col("lang")]).select("lang", "text"), sorted(sizes)
+
+
+def fit_languages(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_TRAIN_DOCS, with_floors: bool = False) -> LanguageModel:
     """Learns from documents with a language whose id's crc32 doesn't leave 1 by 3: all of a language's, or about max_docs by a hash of the
-    id. The driver gets a row a language and piece, which the vocabulary bounds. Without such documents the model knows no language."""
+    id (rows of one id are drawn together). vocab: a model file's path, or a public tokeniser's bare name. Repeated rows count as often as they
+    are there. The driver gets a row a language and piece, which the vocabulary bounds. Without such documents the model knows no language.
+    with_floors: in one more pass over those documents, each language's mean log-probability a character less FIT_DEVIATIONS standard
+    deviations."""
     ship(docs.sparkSession)
     pieces = vocabulary(vocab)
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("id is not null and text is not null and lang is not null").where(F.crc32(F.col("id").cast("string")) % 3 != 1)
-    sizes = {r.lang: r.n for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(sizes)
+    drawn, languages = _learnable(docs, id_col, text_col, lang_col, max_docs)
     if not languages:
         return LanguageModel(pieces, [], np.zeros((len(pieces) + 2, 0)))
-    share = F.create_map(*(F.lit(x) for lang in languages for x in (lang, int(min(1.0, max_docs / sizes[lang]) * (1 << 30)))))
-    drawn = own.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share[F.col("lang")]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
-            buf, at = joined(utf8(b.column(1)))
-            buf = lowered(buf)
-            starts, ends = words_of(buf, INSIDE)
-            owner = np.searchsorted(at, starts, side="right") - 1
-            raw, langs = buf.tobytes(), b.column(0).to_pylist()
             total: dict = {}
-            for a, e, o in zip(starts.tolist(), ends.tolist(), owner.tolist(), strict=True):
-                key = langs[o], raw[a:e]
-                total[key] = total.get(key, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in total], pa.string()), pa.array([w.decode(errors="replace") for _, w in total], pa.string()), pa.array(list(total.values()), pa.int64())], names=["lang", "word", "n"])
+            for lang, text in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
+                for words in words_in(text):
+                    for w in words:
+                        total[lang, w] = total.get((lang, w), 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in total], pa.string()), pa.array([w for _, w in total], pa.string()), pa.array(list(total.values()), pa.int64())], names=["lang", "word", "n"])
 
-    words = cut(drawn.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    words = written(drawn.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     p = np.full((len(pieces) + 2, len(languages)), 1.0 / (len(pieces) + 1))
     p[0], p[1] = 0, FLOOR
     for _ in range(ITERATIONS):
@@ -172,7 +271,14 @@ def fit_languages(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col:
         total[got["piece"].to_numpy(np.int64), got["lang"].to_numpy(np.int64)] = got["n"]
         p = (total + SMOOTH) / (total[2:].sum(axis=0) + SMOOTH * len(pieces))
         p[0], p[1] = 0, FLOOR
-    return LanguageModel(pieces, languages, p)
+    drop(words)
+    model = LanguageModel(pieces, languages, p)
+    if with_floors:
+        found = language(model, F.col("text"))
+        own = drawn.select(found.alias("x")).where("x.lang_pred != 'und'").groupBy("x.lang_pred").agg(F.avg("x.above").alias("m"), F.coalesce(F.stddev_samp("x.above"), F.lit(0.0)).alias("sd"))
+        by = {r.lang_pred: r.m - FIT_DEVIATIONS * r.sd for r in own.collect()}
+        model.floors = np.array([by.get(x, -np.inf) for x in languages])
+    return model
 
 
 def _expectation(pieces: list[str], languages: list[str], p: np.ndarray):  # noqa: ANN202
@@ -184,7 +290,7 @@ def _expectation(pieces: list[str], languages: list[str], p: np.ndarray):  # noq
             for k, name in enumerate(languages):
                 mine = [i for i, x in enumerate(lang) if x == name]
                 if mine:
-                    total[:, k] += expected(lattice, [word[i] for i in mine], n[mine], p[:, k])
+                    total[:, k] += expected(lattice, [" " + word[i] for i in mine], n[mine], p[:, k])
         piece, k = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(piece, pa.int64()), pa.array(total[piece, k], pa.float64())], names=["lang", "piece", "n"])
 
@@ -192,16 +298,19 @@ def _expectation(pieces: list[str], languages: list[str], p: np.ndarray):  # noq
 
 
 def language(model: LanguageModel, text: Column) -> Column:
-    """struct of lang_pred and score of each whole text. Null, empty and letterless texts are `und`, score 0."""
+    """struct of lang_pred, score and above of each whole text, however long. Null, empty and letterless texts are `und`, with zeros; of
+    equally likely languages the first by name is taken. above: of the mean log-probability a character, what exceeds the language's floor
+    (without floors, all of it): below 0, no learned language explains the text. Repeated rows get equal results; an empty table none."""
 
     def predict(texts: pa.Array) -> pa.Array:
         langs: list[str] = []
-        scores = [np.zeros(0)]
+        scores, above = [np.zeros(0)], [np.zeros(0)]
         for b in slices(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), 0):
-            lang, score = model.predict(utf8(b.column(0)))
+            lang, score, more = model.predict(utf8(b.column(0)))
             langs += lang
             scores.append(score)
-        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores), pa.float64())], names=["lang_pred", "score"])
+            above.append(more)
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores), pa.float64()), pa.array(np.concatenate(above), pa.float64())], names=["lang_pred", "score", "above"])
 
     predict.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(predict, "lang_pred string, score double")(text)
+    return F.arrow_udf(predict, "lang_pred string, score double, above double")(text)

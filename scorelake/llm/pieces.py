@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from scorelake.llm.common import ship, slices, utf8
+from scorelake.llm.common import model_file, ship, slices, utf8
 
 MARK = "▁"
 SCHEMA = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("spans", T.BinaryType()), T.StructField("decoded", T.StringType())])
@@ -126,12 +126,12 @@ class Normalizer:
 
 
 class Codec:
-    """Encoder and decoder for one model file."""
+    """Encoder and decoder for one model file: a path, or a public tokeniser's bare name."""
 
     def __init__(self, path: str):
         import sentencepiece
 
-        with open(path, "rb") as f:
+        with open(model_file(path), "rb") as f:
             model = f.read()
         spec = b"".join(v for f, v, _ in proto_fields(model) if f == 3)
         plain = bytes([0x18, 0, 0x20, 0, 0x28, 0])  # no prefix, no squeezing, no escaping, no map
@@ -189,8 +189,9 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
     """Per row of docs: id_col, the columns in `keep`, n_tokens, ids (little-endian unsigned 32-bit, with begin and end), spans (a pair of
     such integers a piece: its UTF-8 byte range in the source; begin and end cover nothing) and decoded, the library's text of the ids.
 
-    Null and empty texts give the begin and end ids and an empty text. Repeated rows give a row each, an empty table none. Columns other
-    than those named aren't read, so their names can't clash. A text is whole in memory, and so is what it is encoded to.
+    Null and empty texts give the begin and end ids and an empty text. Repeated rows and ids give a row each, an empty table none. Columns
+    other than those named aren't read, so their names can't clash; `keep` may not name one of the new columns. A text, however long, is whole
+    in memory, and so is what it is encoded to.
     """
     ship(docs.sparkSession)
     own = docs.select(id_col, text_col, *(c for c in keep if c not in (id_col, text_col)))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,12 +9,12 @@ from pyspark.sql import functions as F
 
 from scorelake.llm.common import shared_path
 
-#: The folder of the public tokenisers' files.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+#: Public tokenisers, by name: their files are looked up where they are read.
+PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
 
 
 def tokenizer(name: str) -> str:
-    return f"{TOKENIZERS}/{name}"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,14 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scorelake.llm.pieces import encode_documents
 
-    out = encode_documents(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+    out = encode_documents(table(spark, sf_dir, "documents"), PIECES)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), F.crc32("spans").alias("spans_crc32"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scorelake.llm.token_counts import token_counts
 
-    out = token_counts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    out = token_counts(table(spark, sf_dir, "documents"), WORDS)
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"), F.crc32("prefix_deltas").alias("prefix_crc32"))
 
 
@@ -40,7 +39,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scorelake.llm.huffman import read_ids, write_ids
 
     path = shared_path(spark, "token-files")
-    write_ids(table(spark, sf_dir, "documents"), path, tokenizer("word_bpe_49k.json"), end_id=1)
+    write_ids(table(spark, sf_dir, "documents"), path, WORDS, end_id=1)
     return read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
@@ -74,7 +73,7 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scorelake.llm.langid import fit_languages, language
 
     docs = table(spark, sf_dir, "documents")
-    model = fit_languages(docs, tokenizer("piece_bpe_32k.model"))
+    model = fit_languages(docs, PIECES)
     return docs.select("doc_id", held_out("doc_id").alias("held_out"), language(model, F.col("text")).alias("found")).select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 

@@ -17,30 +17,38 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorelake.llm.common import cut, ship, slices, utf8
+from scorelake.llm.common import drop, ship, slices, utf8, written
 
 BITS, SEED = 64, 42
 STEP = 1 << 16  # shingles counted at a time
 
 
-def fingerprint(text: bytes, words: int = 3) -> int:
-    """Bit i is 1 if it is set in over half of the shingles' XXH64. No words: 0."""
+def shingle_hashes(text: bytes, words: int = 3) -> np.ndarray:
+    """XXH64 of the runs of `words` lower-case words, joined by spaces; a shorter text is one shingle, one without words has none."""
     from xxhash import xxh64_intdigest
 
     found = text.lower().split()
     if not found:
-        return 0
+        return np.zeros(0, "<u8")
     line = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(words, len(found))
-    hashes = np.array([xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts[: len(found) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], "<u8")
+    return np.array([xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts[: len(found) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], "<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit i is 1 if it is set in over half of the hashes. None: 0."""
     total = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), STEP):
         total += np.unpackbits(hashes[i : i + STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: bytes, words: int = 3) -> int:
+    return majority(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and fp, a signed 64-bit fingerprint, of every row."""
     ship(docs.sparkSession)
@@ -67,39 +75,62 @@ def ball_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node, root: for every end of a link (a, b) the smallest node that it reaches, by alternating large and small stars.
 
-    Each round is written to the shared checkpoint folder; the driver gets a count and a sum of hashes. A hub's rows are joined, not
-    gathered, so Spark can split them.
+    Each round is written to the shared folder, where the one before it is deleted; the driver gets a count and a sum of hashes. A hub's rows
+    are joined, not gathered, so Spark can split them.
     """
 
-    def starred(edges: DataFrame, key: str, other: str) -> DataFrame:
-        least = cut(edges.groupBy(key).agg(F.min(other).alias("m")))
-        return edges.join(least, key)
+    def starred(edges: DataFrame, key: str, other: str) -> tuple[DataFrame, DataFrame]:
+        least = written(edges.groupBy(key).agg(F.min(other).alias("m")), "least")
+        return edges.join(least, key), least
 
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
     state = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = cut(starred(both, "u", "v").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct())
-        small = starred(large, "u", "v")
-        edges = cut(small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct())
+        joined, one = starred(both, "u", "v")
+        large = written(joined.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct(), "edges")
+        small, two = starred(large, "u", "v")
+        new = written(small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct(), "edges")
+        drop(edges, one, large, two)
+        edges = new
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
         state = now
     nodes = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
-    return nodes.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out = written(nodes.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "components")
+    drop(edges)
+    return out
+
+
+def classes_of(groups: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """key and component_id, the least `first` of its component, of groups (key, first), as a table."""
+    rooted = written(groups.join(roots.withColumnRenamed("node", key), key, "left").select(key, "first", F.coalesce("root", key).alias("root")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    out = written(rooted.join(least, "root").select(key, "component_id"), "classes")
+    drop(rooted)
+    return out
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, fp and component_id (the smallest id reachable over links, itself included) of every row.
 
-    Null and empty texts have the fingerprint 0 and are linked like any other. Rows of one id are each returned. Null ids count as larger
-    than all others. An empty table gives an empty result. Other columns aren't read.
+    Without `similarity`, fingerprints within `radius` bits are linked. With it, texts are whose sets of shingles have a Jaccard similarity of
+    that or more: pairs within the radius are candidates, and so are pairs that share a band of MinHash minima, since at a similarity of 0.8
+    some 10 of 64 bits differ, which no ball reaches; the texts decide (see similar.py).
+
+    Null and empty texts have the fingerprint 0 and are linked like any other. Texts of any length are hashed whole. Rows of one id are each
+    returned. Null ids count as larger than all others. An empty table gives an empty result. Other columns aren't read, so their names can't
+    clash. A fingerprint, or text, with a third of all rows is a large partition of the last join, which Spark's adaptive execution splits
+    (spark.sql.adaptive.skewJoin); all that comes before works on distinct ones.
     """
-    prints = cut(fingerprints(docs, words, id_col, text_col))
-    groups = cut(prints.groupBy("fp").agg(F.min("id").alias("first")))
+    if similarity is not None:
+        from scorelake.llm.similar import similar_documents
+
+        return similar_documents(docs, words, radius, similarity, id_col, text_col)
+    prints = written(fingerprints(docs, words, id_col, text_col), "prints")
+    groups = written(prints.groupBy("fp").agg(F.min("id").alias("first")), "groups")
     roots = components(ball_links(groups.select("fp"), radius))
-    rooted = cut(groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
-    least = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
-    classes = cut(rooted.join(least, "root").select("fp", "component_id"))
+    classes = classes_of(groups, roots, "fp")
+    drop(groups, roots)
     return prints.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")

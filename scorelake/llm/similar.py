@@ -1,7 +1,12 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands find the candidates, the texts themselves decide.
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash balls and MinHash bands find the candidates, the shingles decide.
 
-SimHash of 64 bits can't reach a similarity of 0.8: there about 10 bits differ, and a ball of 5 bits has 8 million points. Two texts of that
-similarity share one of the 24 bands of 4 minima with probability 1 - (1 - 0.8 ** 4) ** 24 > 0.99999; every link is verified exactly.
+SimHash of 64 bits can't reach a similarity of 0.8 by itself: there about 10 bits differ, and a ball of 5 bits has 8 million points. Two texts
+of that similarity share one of the 24 bands of 4 minima with probability 1 - (1 - 0.8 ** 4) ** 24 > 0.99999; every link is verified exactly.
+
+A bucket is first linked in proportion to its members: each with the least one and with its next neighbours in an order. Only in buckets whose
+members are then still of several components are those of different components compared, block by block: a task holds two blocks of
+bounded size, marks one text's shingles at a time and counts them in all texts of the other block, and returns the links that join components,
+fewer than there are texts. So no pairs are emitted however large a group of similar texts is.
 """
 
 from __future__ import annotations
@@ -16,32 +21,26 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorelake.llm.common import cut, ship, slices, string_hashes, utf8
-from scorelake.llm.simhash import components
+from scorelake.llm.common import drop, ship, slices, utf8, written
+from scorelake.llm.simhash import ball_links, classes_of, components, majority, shingle_hashes
 
 BANDS, WIDTH = 24, 4
 STEP = 1 << 14  # shingles hashed at a time
-#: Orders in which the members of a bucket are chained before all of it are compared.
-ORDERS = 4
+#: Neighbours in a bucket's order that each member is compared with at once; so all pairs of a bucket of one more.
+NEIGHBOURS = 5
+#: Members of a bucket that are sorted together.
+TOGETHER = 10_000
+#: Shingles of a block of texts, about.
+BLOCK_SHINGLES = 1 << 19
 _MIX = np.random.default_rng(7).integers(1, 2**63, (2, BANDS * WIDTH, 1), dtype=np.uint64) | np.uint64(1)
+LINKS = "a binary, b binary"
 
 
-def shingles(text: bytes, words: int = 5) -> np.ndarray:
-    """Hashes of the runs of `words` lower-case words; a shorter text is one shingle, a text without words an empty one."""
-    found = text.lower().split()
-    line = np.frombuffer(b" ".join(found), np.uint8)
-    ends = np.cumsum(np.array([len(w) + 1 for w in found] or [1], np.int64)) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    k = min(words, len(ends))
-    return string_hashes(line, starts[: len(ends) - k + 1], ends[k - 1 :])
-
-
-def bands(text: bytes, words: int = 5) -> np.ndarray:
+def bands(hashes: np.ndarray) -> np.ndarray:
     """A hash of each band of minima."""
-    h = shingles(text, words)
     least = np.full(BANDS * WIDTH, ~np.uint64(0))
-    for i in range(0, len(h), STEP):
-        x = (h[i : i + STEP] ^ _MIX[0]) * _MIX[1]
+    for i in range(0, len(hashes), STEP):
+        x = (hashes[i : i + STEP] ^ _MIX[0]) * _MIX[1]
         least = np.minimum(least, (x ^ (x >> np.uint64(31))).min(axis=1))
     by = least.reshape(BANDS, WIDTH)
     out = np.zeros(BANDS, np.uint64)
@@ -51,68 +50,142 @@ def bands(text: bytes, words: int = 5) -> np.ndarray:
     return out.view(np.int64)
 
 
-def jaccard(text: pd.Series, other: pd.Series, words: int = 5) -> pd.Series:
-    """The similarity of each pair of texts."""
-    out = []
-    for a, b in zip(text, other, strict=True):
-        x, y = np.unique(shingles(a.encode(), words)), np.unique(shingles(b.encode(), words))
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        out.append(both / (len(x) + len(y) - both))
-    return pd.Series(out, dtype="float64")
-
-
 def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """id, key (a digest of the text) and sig, the hashes of its bands, of every row."""
+    """id, key (a digest of the text), fp and sig, the hashes of its bands, of every row."""
     ship(docs.sparkSession)
-    text = F.coalesce(text_col, F.lit(""))
-    own = docs.select(F.col(id_col).alias("id"), F.md5(text).alias("key"), text.alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("key"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2):
-            sig = pa.array([bands(t, words) for t in utf8(b.column(2))], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), sig], names=["id", "key", "sig"])
+            hashes = [shingle_hashes(t, words) for t in utf8(b.column(2))]
+            fp = pa.array([majority(h) for h in hashes], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fp, pa.array([bands(h) for h in hashes], pa.list_(pa.int64()))], names=["id", "key", "fp", "sig"])
 
-    return own.mapInArrow(run, T.StructType([own.schema["id"], own.schema["key"], T.StructField("sig", T.ArrayType(T.LongType()))]))
+    return own.mapInArrow(run, T.StructType([own.schema["id"], own.schema["key"], T.StructField("fp", T.LongType()), T.StructField("sig", T.ArrayType(T.LongType()))]))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, threshold: float, text_col: str) -> DataFrame:
-    """a, b of the pairs of keys whose texts are similar."""
-    ship(docs.sparkSession)
-    text = F.coalesce(text_col, F.lit(""))
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
-    texts = cut(docs.select(F.md5(text).alias("key"), text.alias("text")).join(wanted, "key").groupBy("key").agg(F.first("text").alias("text")))
-    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
-    same = F.pandas_udf(lambda x, y: jaccard(x, y, words), T.DoubleType())
-    return both.where(same("ta", "tb") >= threshold).select("a", "b")
+def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int, text_col: str) -> DataFrame:
+    """key, set (of its shingles' hashes, in order, as 64-bit integers) and size of every wanted key."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = docs.select(F.unhex(F.md5(text)).alias("key"), text.alias("text")).join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1):
+            sets = [np.unique(shingle_hashes(t, words)) for t in utf8(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())], names=["key", "set", "size"])
 
+    return own.mapInArrow(run, "key binary, set binary, size long")
 
-def similar_documents(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col and component_id (the smallest id reachable over links, itself included) of every row.
 
-    Texts whose sets of shingles have a Jaccard similarity of `threshold` or more are linked. Members of a bucket are first compared with
-    its least and along a few chains, so that a large group of copies costs in proportion; then, in buckets that still hold several
-    components, every pair from different ones. Equal texts are one; null counts as empty. Null ids count as larger than all others.
+def jaccard(one: pd.Series, other: pd.Series) -> pd.Series:
+    """The similarity of each pair of sets; two empty ones are equal."""
+    out = []
+    for a, b in zip(one, other, strict=True):
+        x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        out.append(both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0)
+    return pd.Series(out, dtype="float64")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """a, b of the pairs of keys whose sets are similar."""
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("y")), "b")
+    return both.where(F.pandas_udf(jaccard, T.DoubleType())("x", "y") >= threshold).select("a", "b")
+
+
+def new_links(left: list[np.ndarray], right: list[np.ndarray], roots: list[bytes], threshold: float) -> list[tuple[int, int]]:
+    """Pairs (place in left, place in right) of similar sets, as many as join the components that roots, of left and then right, name."""
+    parent = {r: r for r in roots}
+
+    def find(r: bytes) -> bytes:
+        while parent[r] != r:
+            parent[r] = r = parent[parent[r]]
+        return r
+
+    sizes = np.array([len(r) for r in right], np.int64)
+    flat = np.concatenate(right) if right else np.zeros(0, "<u8")
+    ids, number = np.unique(flat, return_inverse=True)
+    starts, full = np.cumsum(sizes) - sizes, sizes > 0
+    out = []
+    for i, x in enumerate(left):
+        at = np.searchsorted(ids, x)
+        held = at < len(ids)
+        at, x_held = at[held], x[held]
+        mark = np.zeros(len(ids), bool)
+        mark[at[ids[at] == x_held]] = True
+        common = np.zeros(len(right), np.int64)
+        if full.any():
+            common[full] = np.add.reduceat(mark[number], starts[full], dtype=np.int64)
+        like = common >= threshold * (len(x) + sizes - common) - 1e-9
+        for j in np.flatnonzero(like).tolist():
+            a, b = find(roots[i]), find(roots[len(left) + j])
+            if a != b:
+                parent[a] = b
+                out.append((i, j))
+    return out
+
+
+def across(mixed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """a, b: links between members of different components of the same bucket. mixed: bucket, key, root, main (whether root is the bucket's
+    component of most members). Of two members one at least isn't of the main component; those are what the others are compared with."""
+    own = written(mixed.join(sets, "key"), "members")
+    size = own.groupBy("bucket").agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    placed = own.join(size, "bucket").withColumn("block", F.pmod(F.xxhash64("key"), F.greatest(F.col("blocks"), F.lit(1))).cast("int"))
+    every = F.sequence(F.lit(0), F.greatest(F.col("blocks"), F.lit(1)) - 1)
+    columns = ["bucket", "key", "root", "set"]
+    left = placed.where(~F.col("main")).select(*columns, F.col("block").alias("i"), F.explode(every).alias("j"), F.lit(True).alias("left"))
+    right = placed.select(*columns, F.explode(every).alias("i"), F.col("block").alias("j"), F.lit(False).alias("left"))
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        x, y = rows[rows["left"]], rows[~rows["left"]]
+        hold = lambda t: [np.frombuffer(s, "<u8") for s in t["set"]]
+        found = new_links(hold(x), hold(y), [bytes(r) for r in [*x["root"], *y["root"]]], threshold)
+        a, b = x["key"].tolist(), y["key"].tolist()
+        return pd.DataFrame([(a[i], b[j]) for i, j in found], columns=["a", "b"])
+
+    out = written(left.union(right).groupBy("bucket", "i", "j").applyInPandas(compare, LINKS).distinct(), "links")
+    drop(own)
+    return out
+
+
+def similar_documents(docs: DataFrame, words: int = 5, radius: int = 2, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, fp and component_id (the smallest id reachable over links, itself included) of every row; see near_duplicates.
+
+    Texts whose sets of shingles have a Jaccard similarity of `threshold` or more are linked. Equal texts are one; null counts as empty; texts
+    without a word are equal to one another.
     """
-    prints = cut(signatures(docs, words, id_col, text_col))
-    groups = cut(prints.groupBy("key").agg(F.min("id").alias("first"), F.first("sig").alias("sig")))
-    members = groups.select("key", F.posexplode("sig").alias("band", "hash")).withColumn("bucket", F.xxhash64("band", "hash")).select("bucket", "key")
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("least")).where("n > 1")
-    shared = cut(members.join(sizes, "bucket"))
-    chained = [shared.select(F.lag("key").over(W.partitionBy("bucket").orderBy(F.xxhash64("key", F.lit(i)), "key")).alias("a"), F.col("key").alias("b")) for i in range(ORDERS)]
-    near = shared.select(F.col("least").alias("a"), F.col("key").alias("b"))
-    for c in chained:
-        near = near.union(c)
+    prints = written(signatures(docs, words, id_col, text_col), "prints")
+    groups = written(prints.groupBy("key").agg(F.min("id").alias("first"), F.first("fp").alias("fp"), F.first("sig").alias("sig")), "groups")
     ordered = lambda df: df.where(F.col("a").isNotNull() & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tried = cut(ordered(near))
-    links = cut(verified(tried, docs, words, threshold, text_col))
-    roots = cut(components(links))
-    at = shared.join(roots.withColumnRenamed("node", "key"), "key", "left").select("bucket", "n", "key", F.coalesce("root", "key").alias("root"))
-    mixed = at.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("bucket")
-    left = cut(at.where("n > 2").join(mixed, "bucket").select("bucket", "key", "root"))
-    across = left.alias("x").join(left.alias("y"), "bucket").where("x.root < y.root").select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-    rest = cut(ordered(across).join(tried, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        roots = cut(components(links.union(verified(rest, docs, words, threshold, text_col))))
-    rooted = cut(groups.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "first", F.coalesce("root", "key").alias("root")))
-    least = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
-    return prints.select("id", "key").join(rooted.join(least, "root").select("key", "component_id"), "key").select(F.col("id").alias(id_col), "component_id")
+
+    # The ball's links, between the least text of each fingerprint, and of each fingerprint's texts with the least.
+    by_print = written(groups.groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("n")), "prints")
+    ball = ball_links(by_print.select("fp"), radius)
+    least = by_print.select("fp", "least")
+    near = ball.join(least.withColumnsRenamed({"fp": "a", "least": "ka"}), "a").join(least.withColumnsRenamed({"fp": "b", "least": "kb"}), "b").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+    near = near.union(groups.join(by_print.where("n > 1"), "fp").select(F.col("least").alias("a"), F.col("key").alias("b")))
+
+    members = groups.select("key", F.posexplode("sig").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("bucket"), "key")
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("least")).where("n > 1")
+    shared = written(members.join(sizes, "bucket"), "members")
+    side = F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / TOGETHER))
+    w = W.partitionBy("bucket", side).orderBy("key")
+    beside = shared.select("key", "least", *(F.lag("key", k).over(w).alias(f"k{k}") for k in range(1, NEIGHBOURS + 1)))
+    beside = beside.select(F.col("key").alias("b"), F.explode(F.array("least", *(f"k{k}" for k in range(1, NEIGHBOURS + 1)))).alias("a"))
+    tried = written(ordered(near.union(beside.select("a", "b"))), "pairs")
+    sets = written(shingle_sets(docs, tried.select(F.explode(F.array("a", "b")).alias("key")).distinct(), words, text_col), "sets")
+    links = written(verified(tried, sets, threshold), "links")
+    roots = components(links)
+
+    at = shared.where(F.col("n") > NEIGHBOURS + 1).join(roots.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
+    counted = written(at.groupBy("bucket", "root").agg(F.count("*").alias("n")), "counts")
+    main = counted.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("n")).where("n > 1").select("bucket", "main")
+    mixed = at.join(main, "bucket").select("bucket", "key", "root", (F.col("root") == F.col("main")).alias("main"))
+    more = across(mixed, sets, threshold)
+    if not more.isEmpty():
+        drop(roots)
+        roots = components(links.union(more))
+    classes = classes_of(groups, roots, "key")
+    drop(groups, by_print, shared, tried, sets, links, roots, counted, more)
+    return prints.select("id", "key", "fp").join(classes, "key").select(F.col("id").alias(id_col), "fp", "component_id")

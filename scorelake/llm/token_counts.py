@@ -9,17 +9,19 @@ its pre-tokens, one upon the other.
 from __future__ import annotations
 
 import json
+import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorelake.llm.common import StringTable, joined, ship, slices, utf8
-from scorelake.llm.word_bpe import pre_tokens, word_bpe
+from scorelake.llm.common import WordTable, joined, model_file, ship, slices, utf8
+from scorelake.llm.word_bpe import pre_tokens, values, word_bpe
 
 END = "</w>"
 NONE = 1 << 60
@@ -34,7 +36,7 @@ def byte_letters() -> list[str]:
 
 class PrefixBpe:
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
+        with open(model_file(path), encoding="utf-8") as f:
             model = json.load(f)["model"]
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
         self.rank = {tuple(p): i for i, p in enumerate(pairs)}
@@ -113,10 +115,26 @@ class PrefixBpe:
         return [own[0], *(b - a for a, b in zip(own, own[1:], strict=False))]
 
 
+@cache
+def joins_before() -> frozenset[str]:
+    """Characters that composition may join with the one before them although they aren't combining marks."""
+    out = {c for x in range(0x110000) if (d := unicodedata.decomposition(chr(x))) and d[0] != "<" and len(d.split()) == 2 and not unicodedata.combining(c := chr(int(d.split()[1], 16)))}
+    return frozenset(out | {chr(x) for x in [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]})  # and vowels and ends of Hangul
+
+
+#: White space as Unicode has it, which the library takes for one space.
+WHITE = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
+SPACE_RUN = regex.compile(f"[{''.join(WHITE)}]+")
+
+
 class Counter:
+    """path: a file, or a public tokeniser's bare name."""
+
     def __init__(self, path: str):
         self.bpe, self.words = PrefixBpe(path), word_bpe(path)
-        self.table = StringTable(self._compute, np.int8)
+        self.table = WordTable(self._compute, np.int8)
+        self.cut = regex.compile("|".join(map(regex.escape, sorted((s.decode() for s in self.words.special), key=len, reverse=True))) or r"(?!)")
+        self.bytes = {c: b for b, c in enumerate(self.bpe.letters)}
 
     def _compute(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         order = sorted(range(len(words)), key=words.__getitem__)
@@ -129,36 +147,73 @@ class Counter:
         """Deltas of plain texts, a character each; white space adds nothing."""
         buf, at = joined(texts)
         buf, starts, ends = pre_tokens(buf)
-        flat, _ = self.table.concatenated(buf, starts, ends)
+        flat, _ = values(self.table, buf, starts, ends)
         char = (buf & 0xC0) != 0x80
-        inside = np.zeros(len(buf) + 1, np.int32)
+        inside = np.zeros(len(buf) + 1, np.int8)
         np.add.at(inside, starts, 1)
         np.add.at(inside, ends, -1)
         out = np.zeros(len(buf), np.int8)
-        out[char & (np.cumsum(inside[:-1]) > 0)] = flat
+        out[char & (np.cumsum(inside[:-1], dtype=np.int8) > 0)] = flat
         return [out[a : b - 1][char[a : b - 1]] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
     def _general(self, text: str) -> np.ndarray:
-        """Deltas of any text's normalised form, cut at the special tokens' strings as the library does."""
-        lib, out, rest = self.words.library, [], text
-        special = [s.decode() for s in self.words.special]
-        while rest:
-            found = [(i, -len(s), s) for s in special if (i := rest.find(s)) >= 0]
-            i, _, s = min(found, default=(len(rest), 0, ""))
-            seg = lib.normalizer.normalize_str(rest[:i])
-            own = self._pieces(lib, seg + s)
-            if s:
-                own[-1] = 1 - sum(own[len(seg) : -1])
-            out += own
-            rest = rest[i + len(s) :]
-        return np.array(out, np.int16)
-
-    def _pieces(self, lib: object, norm: str) -> list[int]:
-        out = [0] * len(norm)
-        back = {c: b for b, c in enumerate(self.bpe.letters)}
-        for piece, (a, b) in lib.pre_tokenizer.pre_tokenize_str(norm):
-            out[a:b] = self.bpe.deltas(bytes(back[c] for c in piece))
-        return out
+        """Deltas of any text, cut at the special tokens' strings as the library does."""
+        out, at = [np.zeros(0, np.int64)], 0
+        for m in self.cut.finditer(text):
+            own = self._deltas(text[at : m.end()])
+            own[-1] = 1 - own[m.start() - at : -1].sum()  # the string is one token instead of those of its characters
+            out.append(own)
+            at = m.end()
+        out.append(self._deltas(text[at:]))
+        return np.concatenate(out)
+
+    def _aligned(self, text: str) -> tuple[str, np.ndarray, list[tuple[int, int, int]]]:
+        """The normalised text, how much of it the first 1, 2, .. characters of text give, and those places that lie inside characters that
+        are normalised together: (place, where they begin in text, and in the normalised text)."""
+        lib = self.words.library.normalizer.normalize_str
+        whole = lib(text)
+        kept = np.ones(len(text), bool)
+        for m in SPACE_RUN.finditer(text):
+            kept[m.start() + 1 : m.end()] = False
+        if int(kept.sum()) == len(whole) and unicodedata.is_normalized("NFC", text):
+            return whole, np.cumsum(kept), []
+        joins, norm, places, inside = joins_before(), [], [], []
+        i = n = 0
+        while i < len(text):
+            j, space = i + 1, text[i] in WHITE
+            while j < len(text) and (text[j] in WHITE if space else unicodedata.combining(text[j]) or text[j] in joins):
+                j += 1
+            new = lib(text[i:j])
+            if j > i + 1 and not space:
+                inside += [(k, i, n) for k in range(i, j - 1)]
+            norm.append(new)
+            n += len(new)
+            places += [n] * (j - i)
+            i = j
+        return "".join(norm), np.array(places, np.int64), inside
+
+    def _deltas(self, text: str) -> np.ndarray:
+        """What each character of a text without special strings adds to the number of tokens."""
+        if not text:
+            return np.zeros(0, np.int64)
+        norm, places, inside = self._aligned(text)
+        split = self.words.library.pre_tokenizer.pre_tokenize_str
+        per = np.zeros(len(norm) + 1, np.int64)
+        begin = np.zeros(len(norm) + 1, np.int64)  # where the pre-token that holds, or ends before, each place begins; white space begins anew
+        last = 0
+        for piece, (a, b) in split(norm):
+            per[a + 1 : b + 1] = self.bpe.deltas(bytes(map(self.bytes.__getitem__, piece)))
+            begin[last : a + 1] = np.arange(last, a + 1)
+            begin[a + 1 : b + 1] = a
+            last = b + 1
+        begin[last:] = np.arange(last, len(norm) + 1)
+        total = np.cumsum(per)
+        out = total[places]
+        for k, i, n in inside:
+            a = int(begin[n])
+            some = norm[a:n] + self.words.library.normalizer.normalize_str(text[i : k + 1])
+            out[k] = total[a] + sum(sum(self.bpe.deltas(bytes(map(self.bytes.__getitem__, piece)))) for piece, _ in split(some))
+        return np.diff(out, prepend=0)
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         quick = [i for i, t in enumerate(texts) if self.words.fast(t)]
@@ -177,11 +232,12 @@ def counter(path: str) -> Counter:
 
 
 def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: id_col, n_bytes (UTF-8), n_tokens, and prefix_deltas: little-endian signed 16-bit integers whose running sum is the
-    token count of every prefix, a character each (of the text itself if it is of ASCII and Latin-1 letters, else of its normalised form:
-    NFC, runs of white space as one space, lower case).
+    """Per row of docs: id_col, n_bytes (UTF-8), n_tokens, and prefix_deltas: little-endian signed 16-bit integers, one a character of the
+    text, whose running sum is the token count of every prefix. (A character may take tokens away, as one that composes with the one before it
+    or ends a special token's string.)
 
-    Null and empty texts have no bytes, tokens and prefixes. Repeated rows give a row each, an empty table none. Other columns aren't read.
+    Null and empty texts have no bytes, tokens and prefixes. Texts of any length are counted whole, a text at a time in memory. Repeated rows
+    and ids give a row each, an empty table none. Other columns aren't read, so their names can't clash.
     """
     ship(docs.sparkSession)
     own = docs.select(id_col, text_col)

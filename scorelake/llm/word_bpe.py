@@ -11,7 +11,7 @@ from functools import cache
 
 import numpy as np
 
-from scorelake.llm.common import StringTable, joined
+from scorelake.llm.common import STEP_WORDS, WordTable, joined, model_file, ragged
 
 SPACE, LETTER, DIGIT, OTHER = range(4)
 #: Lower case of A-Z; the second byte of the upper-case letters of U+00C0..U+00DE moves by 32 too.
@@ -69,13 +69,25 @@ def pre_tokens(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return buf, starts[keep], ends[keep]
 
 
+def values(table: WordTable, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The table's values of all pre-tokens one after the other, and the number of each. A list of a few pre-tokens is held at a time."""
+    out, sizes = [np.zeros(0, table.dtype)], [np.zeros(0, np.int64)]
+    for i in range(0, len(starts), STEP_WORDS):
+        s, e = starts[i : i + STEP_WORDS], ends[i : i + STEP_WORDS]
+        touching = s[1:][s[1:] == e[:-1]] - s[0]  # the others have white space between them
+        n = table.numbers(np.insert(buf[s[0] : e[-1]], touching, 32).tobytes().split())
+        out.append(table.flat[ragged(table.at[n], table.size[n])])
+        sizes.append(table.size[n])
+    return np.concatenate(out), np.concatenate(sizes)
+
+
 class WordBpe:
-    """Ids of whole texts as the library gives them, without added special tokens."""
+    """Ids of whole texts as the library gives them, without added special tokens. path: a file, or a public tokeniser's bare name."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.library = Tokenizer.from_file(model_file(path))
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
@@ -83,7 +95,7 @@ class WordBpe:
         self.word_end = np.zeros(self.size, bool)
         for t, i in self.library.get_vocab().items():
             self.word_end[i] = t.endswith("</w>")
-        self.table = StringTable(self._words, "<u4")
+        self.table = WordTable(self._words, "<u4")
 
     def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pre-tokens and how many each has: encoded as one text with spaces between them; a word-end token ends each."""
@@ -102,8 +114,8 @@ class WordBpe:
         out: list = [None] * len(texts)
         buf, at = joined([texts[i] for i in quick])
         buf, starts, ends = pre_tokens(buf)
-        flat, upto = self.table.concatenated(buf, starts, ends)
-        cuts = np.concatenate([[0], upto])[np.searchsorted(starts, at)].tolist()
+        flat, sizes = values(self.table, buf, starts, ends)
+        cuts = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(starts, at)].tolist()
         for k, i in enumerate(quick):
             out[i] = flat[cuts[k] : cuts[k + 1]]
         slow = [i for i, x in enumerate(out) if x is None]

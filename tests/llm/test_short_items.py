@@ -11,6 +11,8 @@ def test_short_items_and_null_ids(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string")
     b = spark.createDataFrame([(1, ITEM), (2, "a b c d"), (3, "v w x y z"), (4, LONG)], "item_id long, text string")
     got = {tuple(r) for r in decontaminate(d, b, max_coverage=0.0).collect()}
+    assert got == {docs[1], docs[5], docs[6]}
+    got = {tuple(r) for r in decontaminate(d, b, max_coverage=0.0, shortest=5).collect()}
     assert got == {docs[1], docs[2], docs[5], docs[6]}
     got = {tuple(r) for r in decontaminate(d, b).collect()}
-    assert got == {(1, "before  after " + "word " * 90), docs[1], docs[2], docs[5], docs[6]}
+    assert got == {(1, "before  after " + "word " * 90), docs[1], docs[5], docs[6]}

@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
+from scorelake.llm import similar
 from scorelake.llm.similar import similar_documents
 
 
@@ -53,6 +54,17 @@ def test_large_group_of_edited_copies(spark):
     assert got == plain_groups(texts)
 
 
+def test_group_without_a_centre(spark, monkeypatch):
+    """Copies so edited that few pairs are similar: links that neighbours miss are found block by block, and no pairs are emitted."""
+    monkeypatch.setattr(similar, "NEIGHBOURS", 1)
+    monkeypatch.setattr(similar, "BLOCK_SHINGLES", 4000)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    texts = {i: edited(base, rng.randrange(3, 11), rng) for i in range(160)}
+    got = {r.doc_id: r.component_id for r in similar_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == plain_groups(texts)
+
+
 def test_documents_against_all_pairs(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r.doc_id: r.component_id for r in similar_documents(df).collect()}
