@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -55,6 +56,19 @@ def model_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+_KEPT: dict = {}
+
+
+def kept(key: object, make: Callable[[], object]) -> object:
+    """make()'s result, which a Python worker keeps from task to task until it is asked for another one: of all operators' models, tables and
+    automata a worker holds the last."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 #: Tables in the shared folder that results are, or may still be, read from.
 _MADE: list[str] = []
 
@@ -165,7 +179,7 @@ class WordTable:
     words, or `cap_bytes` bytes of them and their values, the table starts anew, so beyond the words of one call its memory is bounded.
     """
 
-    def __init__(self, compute: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], dtype: object, cap: int = 500_000, cap_bytes: int = 64 << 20):
+    def __init__(self, compute: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], dtype: object, cap: int = 400_000, cap_bytes: int = 32 << 20):
         self.compute, self.dtype, self.cap, self.cap_bytes = compute, np.dtype(dtype), cap, cap_bytes
         self._clear()
 

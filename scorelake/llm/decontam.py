@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorelake.llm.common import drop, ship, slices, utf8, written
+from scorelake.llm.common import drop, kept, ship, slices, utf8, written
 
 WINDOW = 10
 #: Words of one automaton, about: it takes some 400 bytes a word. Larger benchmarks are matched in blocks.
@@ -149,17 +149,6 @@ def item_blocks(items: DataFrame, item_col: str, text_col: str, window: int, blo
         blocks *= 2
 
 
-_KEPT: dict = {}
-
-
-def _automaton(block: Broadcast, key: str, window: int) -> Automaton:
-    """That of a block, which a worker keeps until it sees another one."""
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = Automaton(block.value, window)
-    return _KEPT[key]
-
-
 def _spans(pairs: list[tuple[int, int]]) -> list[dict]:
     return [{"first": a, "end": b} for a, b in pairs]
 
@@ -170,7 +159,7 @@ def _matched(rows: DataFrame, block: Broadcast, window: int, text: str) -> DataF
     schema = T.StructType([*rows.schema, T.StructField("n_words", T.LongType()), T.StructField("spans", T._parse_datatype_string(SPANS)), T.StructField("items", T._parse_datatype_string(ITEMS))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(block, key, window)
+        automaton = kept(("block", key, window), lambda: Automaton(block.value, window))
         for b in slices(batches, at):
             sizes, spans, items = [], [], []
             for t in utf8(b.column(at)):

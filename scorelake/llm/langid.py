@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import WordTable, drop, model_file, ship, slices, utf8, written
+from scorelake.llm.common import WordTable, drop, kept, model_file, ship, slices, utf8, written
 
 #: Documents of each language that the model is fitted on at most (about: drawn by a hash of the id).
 MAX_TRAIN_DOCS, ITERATIONS, SMOOTH, FLOOR = 5_000, 3, 0.05, 1e-9
@@ -85,16 +85,33 @@ class Lattice:
             self.kind[ord(c)] = k
         self.width = len(kinds) + 1
         keys = np.array([n * self.width + k for n, k in nodes], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.next = np.append(keys[order], -1), np.append(np.arange(1, len(nodes) + 1)[order], 0)
+        # A hash table of (node, character), an eighth full at most.
+        self.bits = max(4, (8 * len(keys)).bit_length())
+        self.keys, self.next = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        todo, place = np.arange(len(keys)), self._place(keys)
+        while len(todo):
+            free = self.keys[place] < 0
+            self.keys[place[free]] = keys[todo[free]]  # of those for one place the last stays
+            won = self.keys[place] == keys[todo]
+            self.next[place[won]] = todo[won] + 1
+            todo, place = todo[~won], (place[~won] + 1) & ((1 << self.bits) - 1)
         self.piece = np.zeros(len(nodes) + 1, np.int32)
         self.piece[list(at_node)] = list(at_node.values())
 
     def _step(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
         """The node after each node and character, or 0."""
         key = node * self.width + self.kind[code]
-        i = np.searchsorted(self.keys[:-1], key)
-        return np.where(self.keys[i] == key, self.next[i], 0)
+        out, todo, place = np.zeros(len(key), np.int64), np.arange(len(key)), self._place(key)
+        while len(todo):
+            found = self.keys[place]
+            hit = found == key
+            out[todo[hit]] = self.next[place[hit]]
+            on = ~hit & (found >= 0)
+            todo, key, place = todo[on], key[on], (place[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def numbers(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(each word's start, its characters, ids): ids[k - 1, at] is the number of the piece of k characters at that place of all words one
@@ -171,9 +188,6 @@ def expected(lattice: Lattice, words: list[str], counts: np.ndarray, p: np.ndarr
     return out
 
 
-_KEPT: dict = {}
-
-
 class LanguageModel:
     """p: by piece number and language. floors: by language the least mean log-probability a character that counts as explained, or none."""
 
@@ -182,11 +196,8 @@ class LanguageModel:
 
     def _ready(self) -> tuple[Lattice, WordTable]:
         """What a worker keeps from task to task for the model that it has seen last."""
-        key = hashlib.sha256(self.p.tobytes()).digest()
-        if key not in _KEPT:
-            _KEPT.clear()
-            _KEPT[key] = (Lattice(self.pieces), WordTable(self._words, np.float32))
-        return _KEPT[key]
+        key = "languages", hashlib.sha256(self.p.tobytes()).digest()
+        return kept(key, lambda: (Lattice(self.pieces), WordTable(self._words, np.float32)))
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = log_probabilities(self._ready()[0], [" " + w for w in words], self.p)
@@ -283,7 +294,7 @@ def fit_languages(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col:
 
 def _expectation(pieces: list[str], languages: list[str], p: np.ndarray):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(pieces)
+        lattice = kept(("lattice", hashlib.sha256("\n".join(pieces).encode()).digest()), lambda: Lattice(pieces))
         total = np.zeros_like(p)
         for b in batches:
             lang, word, n = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_numpy()

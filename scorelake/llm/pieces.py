@@ -8,14 +8,12 @@ piece is projected back to the source bytes that it covers.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from scorelake.llm.common import model_file, ship, slices, utf8
+from scorelake.llm.common import kept, model_file, ship, slices, utf8
 
 MARK = "▁"
 SCHEMA = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("spans", T.BinaryType()), T.StructField("decoded", T.StringType())])
@@ -180,9 +178,8 @@ class Codec:
         return [self.library.decode(np.frombuffer(x, "<u4").tolist()) for x in ids]
 
 
-@cache
 def codec(path: str) -> Codec:
-    return Codec(path)
+    return kept(("pieces", path), lambda: Codec(path))
 
 
 def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

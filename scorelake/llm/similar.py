@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorelake.llm.common import drop, ship, slices, utf8, written
+from scorelake.llm.common import drop, kept, ship, slices, utf8, written
 from scorelake.llm.simhash import ball_links, classes_of, components, majority, shingle_hashes
 
 BANDS, WIDTH = 24, 4
@@ -57,6 +57,7 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
     own = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("key"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("shingles", lambda: None)  # other operators' tables go
         for b in slices(batches, 2):
             hashes = [shingle_hashes(t, words) for t in utf8(b.column(2))]
             fp = pa.array([majority(h) for h in hashes], pa.int64())

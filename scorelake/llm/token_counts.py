@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorelake.llm.common import WordTable, joined, model_file, ship, slices, utf8
-from scorelake.llm.word_bpe import pre_tokens, values, word_bpe
+from scorelake.llm.common import WordTable, joined, kept, model_file, ship, slices, utf8
+from scorelake.llm.word_bpe import WordBpe, pre_tokens, values
 
 END = "</w>"
 NONE = 1 << 60
@@ -131,7 +131,7 @@ class Counter:
     """path: a file, or a public tokeniser's bare name."""
 
     def __init__(self, path: str):
-        self.bpe, self.words = PrefixBpe(path), word_bpe(path)
+        self.bpe, self.words = PrefixBpe(path), WordBpe(path)
         self.table = WordTable(self._compute, np.int8)
         self.cut = regex.compile("|".join(map(regex.escape, sorted((s.decode() for s in self.words.special), key=len, reverse=True))) or r"(?!)")
         self.bytes = {c: b for b, c in enumerate(self.bpe.letters)}
@@ -226,9 +226,8 @@ class Counter:
         return out
 
 
-@cache
 def counter(path: str) -> Counter:
-    return Counter(path)
+    return kept(("counts", path), lambda: Counter(path))
 
 
 def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

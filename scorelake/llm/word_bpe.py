@@ -7,11 +7,9 @@ and any that holds a special token's string, is left to the library whole.
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 
-from scorelake.llm.common import STEP_WORDS, WordTable, joined, model_file, ragged
+from scorelake.llm.common import STEP_WORDS, WordTable, joined, kept, model_file, ragged
 
 SPACE, LETTER, DIGIT, OTHER = range(4)
 #: Lower case of A-Z; the second byte of the upper-case letters of U+00C0..U+00DE moves by 32 too.
@@ -124,6 +122,5 @@ class WordBpe:
         return out
 
 
-@cache
 def word_bpe(path: str) -> WordBpe:
-    return WordBpe(path)
+    return kept(("words", path), lambda: WordBpe(path))
