@@ -27,6 +27,25 @@ def contains_any(c: Column, terms: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, (F.lower(c).contains(t) for t in terms))
 
 
+def round_exact(c: Column, n: int) -> Column:
+    """c rounded to n places as its exact binary value lies, halves to even: 2.675, which is a little less, as 2.67. (F.round goes by the
+    shortest decimal text.) The product's rounding error is found by splitting both factors in halves of their bits."""
+    scale = float(10**n)
+    p = c * scale
+
+    def halves(x: Column) -> tuple[Column, Column]:
+        high = x * 134217729.0 - (x * 134217729.0 - x)
+        return high, x - high
+
+    (ah, al), (bh, bl) = halves(c), halves(F.lit(scale))
+    error = al * bl - (((p - ah * bh) - al * bh) - ah * bl)
+    down = F.floor(p).cast("double")
+    tie = p - down == 0.5
+    up = (tie & ((error > 0) | ((error == 0) & (F.pmod(down, F.lit(2.0)) == 1)))) | (p - down > 0.5)
+    # From 2**52 on there are no places to round.
+    return F.when(F.abs(p) < 4503599627370496.0, (down + F.when(up, 1.0).otherwise(0.0)) / scale).otherwise(c)
+
+
 # Parsing of cells
 
 
@@ -139,6 +158,10 @@ CODING_NAMES = {
 CAPITALS = ("gpt", "llm", "ai", "api")
 
 
+#: Substrings that are tried before those of CODING_NAMES.
+CODING_FIRST = {"claude-opus-4": "Claude 4 Opus", "claude opus 4": "Claude 4 Opus", "claude-sonnet-4": "Claude 4 Sonnet", "claude sonnet 4": "Claude 4 Sonnet", "claude-3-5-sonnet": "Claude 3.5 Sonnet"}
+
+
 def coding_model_name(c: Column) -> Column:
     """A coding board's name for a model: known families by prefix or substring, else words in their usual case."""
     name = F.trim(c)
@@ -148,10 +171,7 @@ def coding_model_name(c: Column) -> Column:
     known = [
         (low.startswith("o3") & low.contains("mini"), "o3-mini"),
         (low.startswith("o3"), "o3"),
-        (low.contains("claude-opus-4") | low.contains("claude opus 4"), "Claude 4 Opus"),
-        (low.contains("claude-sonnet-4") | low.contains("claude sonnet 4"), "Claude 4 Sonnet"),
-        (low.contains("claude-3-5-sonnet"), "Claude 3.5 Sonnet"),
-        *((low.contains(k), v) for k, v in CODING_NAMES.items()),
+        *((low.contains(k), v) for k, v in (CODING_FIRST | CODING_NAMES).items()),
     ]
     return cascade(known, F.array_join(F.transform(words, word), " "))
 
@@ -255,9 +275,13 @@ def age_text(then: Column, as_of: Column) -> Column:
 # Predicates
 
 
+#: Beginnings of placeholders, and names that are no model's of their own.
+PLACEHOLDERS = r"^(test|example|placeholder)|^model[-_]?\d+$|^gpt-3\.5-turbo$"
+
+
 def is_real_name(c: Column) -> Column:
     """A name of three characters or more with two letters in a row, and no placeholder."""
-    return (F.length(c) >= 3) & ~F.lower(c).rlike(r"^(test|example|placeholder)|^model[-_]?\d+$|^gpt-3\.5-turbo$") & c.rlike("[a-zA-Z]{2}")
+    return (F.length(c) >= 3) & ~F.lower(c).rlike(PLACEHOLDERS) & c.rlike("[a-zA-Z]{2}")
 
 
 #: Vendor keywords of a model name.
@@ -283,6 +307,15 @@ def is_artifact_name(c: Column) -> Column:
     return reduce(lambda a, b: a | b, (low.endswith(e) for e in FILE_ENDINGS)) | c.isin(*FOLDERS) | low.startswith("bracket.")
 
 
+#: Parts of names that the second source's list has by mistake.
+BAD_PARTS = ("zyte-1b", "anthopic")
+
+
+def is_usable_entry(c: Column, score: Column) -> Column:
+    """The second source's rule: no file or folder, none of the known mistakes, and a score above 0."""
+    return ~is_artifact_name(c) & ~contains_any(c, BAD_PARTS) & F.coalesce(score > 0, F.lit(False))
+
+
 def fix_known_name(c: Column) -> Column:
     """A known typo mended; names known to be incomplete as null."""
     fixed = F.replace(c, F.lit("Anthopic"), F.lit("Anthropic"))

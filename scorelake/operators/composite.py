@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scorelake.functions.scalars import cascade
+from scorelake.functions.scalars import cascade, round_exact
 
 DOMAINS = ("software_engineering", "reasoning", "academic", "medical", "legal", "comprehensive")
 SHOWN_DOMAINS = (*DOMAINS, "safety", "finance")
@@ -64,8 +64,8 @@ def composite_scores(scores: DataFrame, profiles: DataFrame, unknown_domain: str
     method = cascade([(bad, "calculation_error"), (~ok, "no_data_available"), (full, "full_coverage"), (F.col("n") >= 4, "high_coverage"), (F.col("n") >= 2, "moderate_coverage")], "low_coverage")
     return df.select(
         "model_name", "profile_id", "profile",
-        F.when(ok, F.round(F.col("_s") / F.col("_w"), 2)).otherwise(0.0).alias("composite_score"),
-        F.when(ok, F.round(F.col("_c") / F.col("_w") * F.col("n") / F.col("_all"), 3)).otherwise(0.0).alias("confidence_score"),
+        F.when(ok, round_exact(F.try_divide("_s", "_w"), 2)).otherwise(0.0).alias("composite_score"),
+        F.when(ok, round_exact(F.try_divide("_c", "_w") * F.col("n") / F.col("_all"), 3)).otherwise(0.0).alias("confidence_score"),
         F.when(bad, 0).otherwise(F.col("n")).cast("long").alias("domain_coverage"),
         F.array_sort(F.array_except("_domains", "_has")).alias("missing_domains"),
         method.alias("method"),
@@ -101,7 +101,7 @@ def composite_stats(comp: DataFrame) -> DataFrame:
 
 def pivot_domains(scores: DataFrame, domains: Sequence[str] = SHOWN_DOMAINS) -> DataFrame:
     """Per model a column of its mean score in each domain. The values are given, so no extra pass looks for them."""
-    return scores.groupBy("model_name").pivot("domain", list(domains)).agg(F.round(F.avg("score"), 4))
+    return scores.groupBy("model_name").pivot("domain", list(domains)).agg(F.avg("score"))
 
 
 def domain_means_with_fallback(norm: DataFrame, aliases: DataFrame, names: DataFrame) -> DataFrame:
@@ -124,7 +124,7 @@ def model_breakdown(scores: DataFrame, profiles: DataFrame) -> DataFrame:
     """Per model, profile and domain: score, confidence, count, weight and unscaled contribution; absent domains have nulls."""
     grid = scores.select("model_name").distinct().crossJoin(F.broadcast(profile_weights(profiles)))  # a row a profile and domain: small
     df = grid.join(scores, ["model_name", "domain"], "left")
-    return df.select("model_name", "profile", "domain", F.round("score", 4).alias("score"), F.round("confidence", 4).alias("confidence"), "n", "weight", F.round(F.col("score") * F.col("weight"), 4).alias("contribution"), F.col("score").isNull().alias("is_missing"))
+    return df.select("model_name", "profile", "domain", "score", "confidence", "n", "weight", (F.col("score") * F.col("weight")).alias("contribution"), F.col("score").isNull().alias("is_missing"))
 
 
 def compare_profiles(comp: DataFrame, profiles: Sequence[str], n: int, first: str) -> DataFrame:
@@ -209,3 +209,21 @@ def strengths_weaknesses(wide: DataFrame, domains: Sequence[str] = DOMAINS) -> D
     pairs = F.array(*(F.struct(F.lit(d).alias("d"), F.col(d).alias("s")) for d in domains))
     pick = lambda f: F.array_join(F.transform(F.filter(pairs, f), lambda x: x["d"]), ", ")
     return wide.select("model_name", pick(lambda x: x["s"] >= 80).alias("excellent"), pick(lambda x: (x["s"] >= 70) & (x["s"] < 80)).alias("strong"), pick(lambda x: x["s"] < 50).alias("weak"), pick(lambda x: x["s"].isNull()).alias("missing"))
+
+
+def pros_and_cons(wide: DataFrame, domains: Sequence[str] = DOMAINS) -> DataFrame:
+    """model_name and lists of texts for and against each model. wide: model_name, confidence_score and a column a domain.
+
+    For: a text an excellent (80) or strong (70) domain, a confidence of 0.8, all domains covered; general ones if there is none. Against: the
+    missing domains in one text, a confidence below 0.6, a text a weak (below 50) domain.
+    """
+    name = {d: d.replace("_", " ") for d in domains}
+    each = lambda rule: [rule(F.col(d), name[d]) for d in domains]
+    missing = F.array_join(F.array_compact(F.array(*(F.when(F.col(d).isNull(), d) for d in domains))), ", ")
+    c = F.col("confidence_score")
+    good = each(lambda s, n: F.when(s >= 80, f"Excellent {n} performance").when(s >= 70, f"Strong {n} capabilities"))
+    pros = F.array_compact(F.array(*good, F.when(c >= 0.8, "Highly reliable and consistent results"), F.when(missing == "", "Complete domain coverage across all areas")))
+    bad = each(lambda s, n: F.when(s < 50, f"Weaker {n} performance"))
+    cons = F.array_compact(F.array(F.when(missing != "", F.concat(F.lit("Limited coverage in "), missing, F.lit(" domains"))), F.when(c < 0.6, "Lower confidence in some evaluations"), *bad))
+    plain = F.array(F.lit("Well-rounded AI assistant"), F.lit("Tested across multiple benchmarks"))
+    return wide.select("model_name", F.when(F.size(pros) == 0, plain).otherwise(pros).alias("pros"), cons.alias("cons"))

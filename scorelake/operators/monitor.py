@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, fields
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.functions.scalars import cascade
-from scorelake.operators.names import near_duplicate_count
+from scorelake.functions.scalars import canonical_benchmark, canonical_model, cascade
+from scorelake.operators.names import _by_id, near_duplicate_count, register_benchmarks, register_models, registered_aliases, update_tracking
 
 
 def hours_since(then: Column, as_of: Column) -> Column:
@@ -59,6 +60,12 @@ def freshness_by_class(runs: DataFrame, classes: DataFrame, as_of: Column) -> Da
     return df.select("source", "update_class", "hours", "success_pct", (F.col("hours").isNull() | (F.col("hours") > limit)).alias("is_late"), (F.coalesce("success_pct", F.lit(0.0)) < 95).alias("is_failing"))
 
 
+def ingestion_totals(runs: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
+    """Per source over the last days: models found and scores ingested in all, and when it last ran. runs has models_found, scores_ingested."""
+    df = runs.where(F.unix_seconds("run_at") > F.unix_seconds(as_of) - days * 86400)
+    return df.groupBy("source").agg(F.sum("models_found").alias("total_models"), F.sum("scores_ingested").alias("total_scores"), F.max("run_at").alias("last_run"))
+
+
 def ingestion_stats(runs: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
     df = runs.where(F.unix_seconds("run_at") > F.unix_seconds(as_of) - days * 86400)
     return df.groupBy("source").agg(F.count("*").alias("runs"), F.round(F.avg(F.col("success").cast("double")) * 100, 4).alias("success_pct"), F.round(F.avg("duration"), 4).alias("avg_duration"))
@@ -101,8 +108,44 @@ def run_checks(norm: DataFrame, aliases: DataFrame, as_of: Column, limits: Mappi
     )
 
 
+#: Levels of what a failed check raises, and what it is about.
+CHECK_LEVELS = {
+    "daily_models": ("warning", "models in the last 24 hours"),
+    "daily_scores": ("warning", "scores in the last 24 hours"),
+    "source_success_pct": ("error", "lowest success rate of a source"),
+    "freshness_hours": ("error", "hours since the latest score"),
+    "wild_values_pct": ("warning", "share of normalised values beyond 1000"),
+    "mean_confidence": ("warning", "mean confidence"),
+    "duplicate_aliases": ("error", "aliases on record twice"),
+    "orphan_aliases": ("warning", "canonical names without a model"),
+    "near_duplicate_names": ("info", "pairs of nearly equal names"),
+    "rows": ("critical", "normalised rows"),
+    "max_value": ("warning", "largest normalised value"),
+    "mean_value": ("warning", "mean normalised value"),
+}
+
+
+def with_messages(checks: DataFrame) -> DataFrame:
+    """checks with a message, and level: that of the alert which a failed check raises, null for one that passed. Unlisted checks warn."""
+    test = F.col("test")
+    about = cascade([(test == k, text) for k, (_, text) in CHECK_LEVELS.items()], test)
+    level = cascade([(test == k, lv) for k, (lv, _) in CHECK_LEVELS.items()], "warning")
+    number = lambda c: F.format_string("%.2f", c)
+    return checks.withColumn("message", F.concat(about, F.lit(": "), number("actual"), F.lit(" (threshold "), number("threshold"), F.lit(")"))).withColumn("level", F.when(~F.col("passed"), level))
+
+
+def source_health(stats: DataFrame, limit: float = 80) -> DataFrame:
+    """One row on the sources of ingestion_stats: whether all succeed often enough, the share that do, and the names of those that don't."""
+    bad = F.col("success_pct") < limit
+    g = stats.agg(F.count("*").alias("n"), F.count_if(bad).alias("failed"), F.array_join(F.array_sort(F.collect_list(F.when(bad, F.col("source")))), ", ").alias("names"))
+    return g.select(F.lit("source_health").alias("test"), (F.col("failed") == 0).alias("passed"), F.lit(limit / 100).alias("threshold"), F.when(F.col("n") == 0, 1.0).otherwise(1 - F.col("failed") / F.nullif("n", F.lit(0))).alias("actual"), F.when(F.col("failed") == 0, "All sources healthy").otherwise(F.concat(F.lit("Failed sources: "), "names")).alias("message"))
+
+
 def checks_summary(checks: DataFrame) -> DataFrame:
-    return checks.agg(F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"), F.round(F.avg(F.col("passed").cast("double")) * 100, 4).alias("success_pct"))
+    """One row: checks passed and failed, success rate, and the alerts of each level."""
+    own = with_messages(checks)
+    levels = (F.count_if(F.col("level") == x).alias(f"{x}_alerts") for x in ("info", "warning", "error", "critical"))
+    return own.agg(F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"), F.round(F.avg(F.col("passed").cast("double")) * 100, 4).alias("success_pct"), *levels)
 
 
 def validate_required(df: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -111,11 +154,16 @@ def validate_required(df: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def content_hashes(records: DataFrame, source: str = "source") -> DataFrame:
-    """Per source a hash of its records, whatever their order: the sums of two independent row hashes and the row count."""
+    """Per source a SHA-256 of its records as canonical JSON (keys in order, nulls kept), whatever the records' order.
+
+    Each record's JSON is hashed, equal ones counted; the digests of a source are summed in eight 32-bit words, each weighted by how often the
+    record occurs, and the sums with the count are hashed again. Sums are combined before the shuffle, so no source is gathered.
+    """
     cols = [c for c in sorted(records.columns) if c != source]
-    big = lambda c: c.cast("decimal(38,0)")
-    g = records.groupBy(source).agg(F.sum(big(F.xxhash64(*cols))).alias("a"), F.sum(big(F.xxhash64(F.lit(1), *cols))).alias("b"), F.count("*").alias("n"))
-    return g.select(source, F.sha2(F.concat_ws("|", "a", "b", "n"), 256).alias("content_hash"))
+    digest = F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in cols)), {"ignoreNullFields": "false"}), 256)
+    words = [F.sum(F.conv(F.substring("d", 8 * i + 1, 8), 16, 10).cast("decimal(38,0)")).alias(f"w{i}") for i in range(8)]
+    g = records.select(F.col(source), digest.alias("d")).groupBy(source).agg(*words, F.count("*").alias("n"))
+    return g.select(source, F.sha2(F.concat_ws("|", *(f"w{i}" for i in range(8)), "n"), 256).alias("content_hash"))
 
 
 def changed_sources(records: DataFrame, last: DataFrame, source: str = "source") -> DataFrame:
@@ -146,8 +194,39 @@ def check_categories(coverage: DataFrame) -> DataFrame:
 
 def ingest_batch(facts: DataFrame, registry: DataFrame, benchmarks: DataFrame) -> DataFrame:
     """One row of counts of a batch: models and benchmarks found and new, scores."""
-    from scorelake.functions.scalars import canonical_benchmark, canonical_model
-
     m = facts.select(canonical_model(F.col("model_name"), strip_version=False).alias("model_id")).distinct().join(registry.select("model_id", F.lit(1).alias("old")).distinct(), "model_id", "left").agg(F.count("*").alias("models_found"), F.count_if(F.col("old").isNull()).alias("models_new"))
     b = facts.select(canonical_benchmark(F.col("benchmark")).alias("benchmark_id")).distinct().join(benchmarks.select("benchmark_id", F.lit(1).alias("old")).distinct(), "benchmark_id", "left").agg(F.count("*").alias("benchmarks_found"), F.count_if(F.col("old").isNull()).alias("benchmarks_new"))
     return m.crossJoin(b).crossJoin(facts.agg(F.count("value").alias("scores")))  # one row each
+
+
+@dataclass
+class Store:
+    """The registries and facts that batches are ingested to: models (model_id, first_seen, last_seen, n_scores), aliases (alias, model_id),
+    tracking (model_id, leaderboard, last_seen, is_present), benchmarks and benchmark_aliases as register_benchmarks has them, facts."""
+
+    models: DataFrame
+    aliases: DataFrame
+    tracking: DataFrame
+    benchmarks: DataFrame
+    benchmark_aliases: DataFrame
+    facts: DataFrame
+
+    def write(self, folder: str) -> Store:
+        """The store as tables in a new folder, read from there again; so one ingest's plans don't hold those of all before it."""
+        spark = self.facts.sparkSession
+        for f in fields(self):
+            getattr(self, f.name).write.parquet(f"{folder}/{f.name}")
+        return Store(**{f.name: spark.read.schema(getattr(self, f.name).schema).parquet(f"{folder}/{f.name}") for f in fields(self)})
+
+
+def ingest(batch: DataFrame, store: Store, as_of: Column) -> Store:
+    """store with a batch of facts put in: models, their aliases and sources registered, benchmarks and their aliases too, and the facts that
+    have a value appended under the registered ids. Null values count as found, but give no fact."""
+    models = register_models(batch, store.models, store.aliases).drop("is_new")
+    aliases = registered_aliases(batch, store.models, store.aliases)
+    tracking = update_tracking(store.tracking, batch, store.models, store.aliases)
+    named = batch.select(F.col("benchmark").alias("name"), F.lit("").alias("description")).distinct()
+    benchmarks, benchmark_aliases = register_benchmarks(named, store.benchmarks, store.benchmark_aliases, as_of)
+    ids = _by_id(batch, store.models, store.aliases).where("value is not null")
+    rows = ids.select(F.col("model_id").alias("model_name"), canonical_benchmark(F.col("benchmark")).alias("benchmark"), *(c for c in store.facts.columns if c not in ("model_name", "benchmark")))
+    return Store(models, aliases, tracking, benchmarks.drop("is_new"), benchmark_aliases, store.facts.unionByName(rows.select(*store.facts.columns)))

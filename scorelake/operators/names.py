@@ -5,15 +5,15 @@ aliases: alias, canonical_name, model_family, provider, source, confidence_score
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorelake.functions.scalars import canonical_model, cascade, contains_any, squashed, strip_wrappers
+from scorelake.functions.scalars import canonical_benchmark, canonical_model, cascade, contains_any, squashed, strip_wrappers
+from scorelake.sources.shared import stored
 
 #: Patterns of model families, in order of trial.
 FAMILY_PATTERNS = {
@@ -44,23 +44,35 @@ KNOWN_PATTERNS = (
 )
 
 
-def family_rules(spark: SparkSession) -> DataFrame:
-    """family, pattern, place (order of trial), base (confidence before the match's place counts)."""
-    rows = []
-    for family, patterns in FAMILY_PATTERNS.items():
+def family_rules(families: Mapping[str, Sequence[str]] = FAMILY_PATTERNS) -> list[tuple[str, str, float]]:
+    """(family, pattern, confidence before the match's place counts), in order of trial."""
+    rules = []
+    for family, patterns in families.items():
         for p in patterns:
             short = len(p.replace("[-_]?", "").replace(r"\.?", "")) < 6
-            rows.append((family, p, len(rows), 0.8 + 0.1 * (r"\d" in p) - 0.2 * short))
-    return spark.createDataFrame(rows, "family string, pattern string, place int, base double")
+            rules.append((family, p, 0.8 + 0.1 * (r"\d" in p) - 0.2 * short))
+    return rules
 
 
-def match_family(names: DataFrame, rules: DataFrame) -> DataFrame:
-    """model_name, canonical, confidence of the best rule; the earlier one of equals. The rules are a fixed short list, held by every task."""
-    cleaned = names.select("model_name", strip_wrappers(F.col("model_name")).alias("c"))
-    hit = cleaned.join(F.broadcast(rules), F.rlike("c", F.col("pattern")))
-    sure = F.round(F.least(F.lit(1.0), F.col("base") + F.when(F.rlike("c", F.concat(F.lit("^(?:"), "pattern", F.lit(")"))), 0.05).otherwise(0.0)), 6)
-    best = hit.groupBy("model_name").agg(F.max_by(F.struct("family", sure.alias("confidence")), F.struct(sure, -F.col("place"))).alias("b"))
-    return best.select("model_name", F.col("b.family").alias("canonical"), "b.confidence")
+def best_family(c: Column, rules: Sequence[tuple[str, str, float]]) -> Column:
+    """struct of confidence, place and family of the best rule for a cleaned name, the earlier one of equals; null if none fits. The patterns
+    are literals, so each is compiled once."""
+
+    def tried(name: Column) -> Column:
+        cases = []
+        for k, (family, p, base) in enumerate(rules):
+            sure = F.when(name.rlike(f"^(?:{p})"), F.lit(round(min(1.0, base + 0.05), 6))).otherwise(F.lit(round(min(1.0, base), 6)))
+            cases.append(F.when(name.rlike(p), F.struct(sure.alias("confidence"), F.lit(-k).alias("place"), F.lit(family).alias("family"))))
+        return F.array_max(F.array(*cases))
+
+    return F.get(F.transform(F.array(c), tried), F.lit(0))  # so c is computed once
+
+
+def match_family(names: DataFrame, rules: Sequence[tuple[str, str, float]] | None = None) -> DataFrame:
+    """model_name, canonical, confidence of every name that a rule fits, by its best rule."""
+    best = best_family(strip_wrappers(F.col("model_name")), rules or family_rules())
+    found = names.select("model_name", F.explode(F.array_compact(F.array(best))).alias("b"))  # so the patterns are tried once
+    return found.select("model_name", F.col("b.family").alias("canonical"), "b.confidence")
 
 
 def resolve_exact(names: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -76,20 +88,38 @@ def _ratios(text: pd.Series, other: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(text, other, strict=True)], dtype="float64")
 
 
+def _tokens(c: Column) -> Column:
+    """The characters of c, each with how often it has stood before, so that a string is a set."""
+    chars = F.filter(F.split(c, ""), lambda x: x != "")
+    return F.transform(chars, lambda x, i: F.concat(x, F.size(F.filter(F.slice(chars, 1, i), lambda y: y == x)).cast("string")))
+
+
 def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, swap: bool = False) -> DataFrame:
     """left.name and right.other with a ratio of `threshold` or more.
 
-    Two strings of that ratio share a character, and their lengths l satisfy 2 * min(l) / sum(l) >= threshold: those candidates lose no
-    pair (bounds are widened by 1e-9 against rounding). Both sides must be distinct names that exact joins have left over. A second bound, from the characters they share, is checked
-    before the ratio is computed.
+    The ratio is 2 m / (la + lb) of m matching characters, no more than the strings have in common as multisets. So of a pair in question the
+    lengths satisfy 2 * min(l) / sum(l) >= threshold, and each string shares at least l * threshold / (2 - threshold) characters with the
+    other: with all characters in one order, the rarest first, both hold a common one among the first of them that those leave room for.
+    Strings meet only by such a character and the other's length, and each pair once; the number of shared characters is checked before the
+    ratio is computed. None of these filters loses a pair. Both sides must be distinct names that exact joins have left over.
     """
-    chars = lambda c: F.array_sort(F.filter(F.split(c, ""), lambda x: x != ""))
-    keys = lambda c: F.explode(F.sequence(F.ceil(F.length(c) * threshold / (2 - threshold) - 1e-9), F.floor(F.length(c) * (2 - threshold) / threshold + 1e-9)))
-    a = left.select("name").distinct().where("name != ''").select("name", keys(F.col("name")).alias("n"), chars(F.col("name")).alias("ca"))
-    b = right.select("other").distinct().where("other != ''").select("other", F.length("other").cast("long").alias("n"), chars(F.col("other")).alias("cb"))
-    total = F.length("name") + F.length("other")
-    shared = F.aggregate(F.array_distinct("ca"), F.lit(0), lambda s, x: s + F.least(F.size(F.filter("ca", lambda y: y == x)), F.size(F.filter("cb", lambda y: y == x))))
-    pairs = a.join(b, "n").where(2 * shared >= threshold * total - 1e-9)
+    part = threshold / (2 - threshold)
+    a = stored(left.select("name").distinct().where("name != ''").select("name", _tokens(F.col("name")).alias("ta")), "names")
+    b = stored(right.select("other").distinct().where("other != ''").select("other", _tokens(F.col("other")).alias("tb")), "names")
+    count = a.select(F.explode("ta").alias("t")).union(b.select(F.explode("tb").alias("t"))).groupBy("t").agg(F.count("*").alias("f"))
+
+    def first(df: DataFrame, key: str, tokens: str, out: str) -> DataFrame:
+        ordered = df.select(key, F.explode(tokens).alias("t")).join(count, "t").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("o"))
+        room = F.size("o") - F.ceil(F.size("o") * part - 1e-9) + 1
+        return df.join(ordered, key).select(*df.columns, F.transform(F.slice("o", 1, room.cast("int")), lambda x: x["t"]).alias(out))
+
+    lengths = F.sequence(F.ceil(F.size("ta") * part - 1e-9), F.floor(F.size("ta") / part + 1e-9))
+    x = first(a, "name", "ta", "pa").select("*", F.explode("pa").alias("t")).select("*", F.explode(lengths).alias("n"))
+    y = first(b, "other", "tb", "pb").select("*", F.explode("pb").alias("t"), F.size("tb").cast("long").alias("n"))
+    both = x.join(y, ["t", "n"])
+    # The same pair may meet by several characters: it counts at the first of its common ones.
+    once = both.where(F.get(F.array_intersect("pa", "pb"), F.lit(0)) == F.col("t"))
+    pairs = once.where(2 * F.size(F.array_intersect("ta", "tb")) >= threshold * (F.size("ta") + F.size("tb")) - 1e-9)
     ratio = F.pandas_udf(_ratios, T.DoubleType())
     r = ratio("other", "name") if swap else ratio("name", "other")
     return pairs.select("name", "other", r.alias("ratio")).where(F.col("ratio") >= threshold)
@@ -104,12 +134,12 @@ def fuzzy_match(names: DataFrame, canon: DataFrame, cutoff: float = 0.6) -> Data
     return found.select("model_name", "canonical", F.pandas_udf(_ratios, T.DoubleType())("name", "other").alias("confidence"))
 
 
-def normalize_names(names: DataFrame, aliases: DataFrame, rules: DataFrame, fuzzy: bool = True) -> DataFrame:
+def normalize_names(names: DataFrame, aliases: DataFrame, rules: Sequence[tuple[str, str, float]] | None = None, fuzzy: bool = True) -> DataFrame:
     """original, canonical, confidence, match_type of every distinct name: alias, pattern, similarity, or itself."""
-    d = names.select("model_name").distinct()
+    d = stored(names.select("model_name").distinct(), "names")  # read by every step
     exact = resolve_exact(d, aliases).select("model_name", F.col("canonical").alias("e"))
     pattern = match_family(d, rules).where("confidence >= 0.7").select("model_name", F.struct("canonical", "confidence").alias("p"))
-    df = d.join(exact, "model_name", "left").join(pattern, "model_name", "left")
+    df = stored(d.join(exact, "model_name", "left").join(pattern, "model_name", "left"), "names")
     if fuzzy:
         rest = df.where("e is null and p is null").select("model_name")
         near = fuzzy_match(rest, aliases.select("canonical_name").distinct()).where("confidence >= 0.7").select("model_name", F.struct("canonical", "confidence").alias("f"))
@@ -133,7 +163,7 @@ def resolve_names(names: DataFrame, aliases: DataFrame, threshold: float = 0.85,
     by = lambda key, out: aliases.groupBy(key.alias("_k")).agg(F.min("canonical_name").alias(out))
     step = lambda df, key, out, left: df.join(by(key, out), left == F.col("_k"), "left").drop("_k")
     name = F.col("model_name")
-    df = step(step(step(d, F.col("alias"), "a", name), F.col("alias"), "b", F.lower(name)), squashed(F.col("alias")), "c", squashed(name))
+    df = stored(step(step(step(d, F.col("alias"), "a", name), F.col("alias"), "b", F.lower(name)), squashed(F.col("alias")), "c", squashed(name)), "names")
     if fuzzy:
         rest = df.where("a is null and b is null and c is null").select(squashed(name).alias("name"))
         canon = aliases.select("canonical_name").distinct()
@@ -172,6 +202,15 @@ def auto_alias(matches: DataFrame, aliases: DataFrame, min_conf: float = 0.9) ->
     return unmatched(new.join(known, "canonical_name"), aliases, "alias").select("alias", "canonical_name", "k.model_family", "k.provider", F.lit("auto").alias("source"), "confidence_score")
 
 
+def normalization_report(facts: DataFrame, aliases: DataFrame, matches: DataFrame) -> DataFrame:
+    """One row: alias_coverage, how many of the matches of unmapped names are of each bucket, and the actions that follow: aliases to create,
+    matches to review, names to look at."""
+    of = lambda b: F.count_if(bucket(F.col("confidence")) == b)
+    counts = matches.agg(*(of(b).alias(n) for b, n in (("high", "high_confidence"), ("medium", "medium_confidence"), ("low", "low_confidence"), ("manual", "manual_review"))))
+    actions = counts.select("*", F.col("high_confidence").alias("auto_create"), F.col("medium_confidence").alias("review"), (F.col("low_confidence") + F.col("manual_review")).alias("manual_needed"))
+    return alias_coverage(facts, aliases).crossJoin(actions)  # one row each
+
+
 def alias_coverage(facts: DataFrame, aliases: DataFrame) -> DataFrame:
     """One row: names, mapped and unmapped, coverage, canonicals, aliases."""
     names = facts.select("model_name").distinct().join(aliases.select(F.col("alias").alias("_a")).distinct(), F.col("model_name") == F.col("_a"), "left")
@@ -190,6 +229,11 @@ def queue_upsert(queue: DataFrame, new: DataFrame) -> DataFrame:
     return unmatched(queue, fresh, "original_name").unionByName(fresh, allowMissingColumns=True)
 
 
+def queue_list(queue: DataFrame, status: str, n: int) -> DataFrame:
+    """The n surest rows of a status, the later created of equals first, then by name."""
+    return queue.where(F.col("status") == status).orderBy(F.desc("confidence"), F.desc("created_at"), "original_name").limit(n)
+
+
 def apply_reviews(queue: DataFrame, decisions: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(queue, aliases) after decisions (original_name, decision, reviewer, reviewed_at): approved where the alias is new, or rejected."""
     df = queue.drop("reviewer", "reviewed_at").join(decisions, "original_name", "left").join(aliases.select(F.col("alias").alias("original_name"), F.lit(True).alias("_known")).distinct(), "original_name", "left")
@@ -256,6 +300,14 @@ def track_sources(facts: DataFrame) -> DataFrame:
     return facts.groupBy(canonical_model(F.col("model_name"), strip_version=False).alias("model_id"), "leaderboard").agg(F.min("scraped_at").alias("first_seen"), F.max("scraped_at").alias("last_seen"))
 
 
+def update_tracking(tracking: DataFrame, facts: DataFrame, registry: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """tracking (model_id, leaderboard, last_seen, is_present) by model and source, with the batch's put in: models are found as
+    register_models finds them; those seen are present, and others stay as they are."""
+    seen = _by_id(facts, registry, aliases).groupBy("model_id", "leaderboard").agg(F.max("scraped_at").alias("l"))
+    both = tracking.join(seen, ["model_id", "leaderboard"], "full_outer")
+    return both.select("model_id", "leaderboard", F.greatest("last_seen", "l").alias("last_seen"), (F.col("l").isNotNull() | F.coalesce("is_present", F.lit(False))).alias("is_present"))
+
+
 def mark_absent(tracking: DataFrame, batch: DataFrame, source: str) -> DataFrame:
     """tracking with is_present false for the source's models that its newest batch lacks."""
     seen = batch.select("model_id").distinct().withColumn("_seen", F.lit(True))
@@ -288,20 +340,95 @@ def benchmark_category(name: Column, description: Column | None = None) -> Colum
     return cascade([(contains_any(text, terms), c) for c, terms in BENCHMARK_CATEGORIES.items()], "Misc")
 
 
+#: Words of a source, and then of a metric, and the category that they tell, in order of trial.
+SOURCE_WORDS = ((("medical",), "medical"), (("legal",), "legal"), (("swe", "code"), "coding"), (("arena",), "general"), (("strawberry",), "reasoning"))
+METRIC_WORDS = (
+    (("medical", "health", "clinical"), "medical"),
+    (("legal", "law", "jurisprudence"), "legal"),
+    (("code", "programming", "software"), "coding"),
+    (("math", "mathematical", "reasoning"), "reasoning"),
+    (("academic", "research", "scientific"), "academic"),
+)
+#: Categories of one board's metrics; any other is general.
+BOARD_METRICS = {"gpqa_diamond": "reasoning", "aime_2025": "math", "swe_bench": "code", "bfcl": "tool_use", "grind": "reasoning", "humanity_last_exam": "general"}
+
+
 def metric_category(metric: Column, source: Column) -> Column:
     """By words of the source, then of the metric."""
-    by_source = [(("medical",), "medical"), (("legal",), "legal"), (("swe", "code"), "coding"), (("arena",), "general"), (("strawberry",), "reasoning")]
-    by_metric = [(("medical", "health", "clinical"), "medical"), (("legal", "law", "jurisprudence"), "legal"), (("code", "programming", "software"), "coding"), (("math", "mathematical", "reasoning"), "reasoning"), (("academic", "research", "scientific"), "academic")]
-    return cascade([*((contains_any(source, t), v) for t, v in by_source), *((contains_any(metric, t), v) for t, v in by_metric)], "general")
+    return cascade([*((contains_any(source, t), v) for t, v in SOURCE_WORDS), *((contains_any(metric, t), v) for t, v in METRIC_WORDS)], "general")
+
+
+def board_metric_category(metric: Column) -> Column:
+    return cascade([(metric == k, v) for k, v in BOARD_METRICS.items()], "general")
+
+
+#: Headers that name no benchmark.
+PLAIN_HEADERS = ("model", "rank", "score", "average", "overall")
 
 
 def discover_benchmarks(headers: DataFrame, registry: DataFrame) -> DataFrame:
     """Headers that name a benchmark not yet registered, with their category."""
-    plain = ("model", "rank", "score", "average", "overall")
-    new = headers.select(F.trim("header").alias("name")).distinct().where(~F.lower("name").isin(*plain) & (F.col("name") != ""))
+    new = headers.select(F.trim("header").alias("name")).distinct().where(~F.lower("name").isin(*PLAIN_HEADERS) & (F.col("name") != ""))
     return unmatched(new, registry.select("name"), "name").withColumn("category", benchmark_category(F.col("name")))
 
 
+def register_benchmarks(batch: DataFrame, registry: DataFrame, aliases: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """(registry, aliases) with a batch of benchmark names (name, description) put in. registry: benchmark_id, display_name, category,
+    auto_discovered, is_active, default_weight, last_updated; aliases: alias, benchmark_id.
+
+    A name is found by its canonical id, else as an alias in lower case; what isn't is new, with its category by name and description, the first
+    name by text as its display name, and weight 1. All found are stamped. A lower-case name that differs from its id is a new alias of it,
+    unless it was found as one.
+    """
+    named = batch.where("name is not null").select("name", "description", canonical_benchmark(F.col("name")).alias("own_id"))
+    known = registry.select(F.col("benchmark_id").alias("own_id"), F.lit(True).alias("known")).distinct()
+    other = aliases.groupBy(F.lower("alias").alias("low")).agg(F.min("benchmark_id").alias("other"))
+    df = named.join(known, "own_id", "left").join(other, F.lower("name") == F.col("low"), "left")
+    by_alias = F.col("known").isNull() & F.col("other").isNotNull()
+    df = df.select("name", "description", F.when(by_alias, F.col("other")).otherwise(F.col("own_id")).alias("benchmark_id"), by_alias.alias("by_alias"))
+    one = df.groupBy("benchmark_id").agg(F.min(F.struct("name", "description")).alias("b"))
+    both = registry.join(one, "benchmark_id", "full_outer")
+    new, seen = F.col("display_name").isNull(), F.col("b").isNotNull()
+    out = both.select(
+        "benchmark_id", F.coalesce("display_name", "b.name").alias("display_name"), F.coalesce("category", benchmark_category(F.col("b.name"), F.coalesce("b.description", F.lit("")))).alias("category"),
+        F.coalesce("auto_discovered", F.lit(True)).alias("auto_discovered"), F.coalesce("is_active", F.lit(True)).alias("is_active"), F.coalesce("default_weight", F.lit(1.0)).alias("default_weight"),
+        F.when(seen, as_of).otherwise(F.col("last_updated")).alias("last_updated"), new.alias("is_new"),
+    )
+    more = df.where(~F.col("by_alias")).select(F.lower("name").alias("alias"), "benchmark_id").where("alias != benchmark_id").distinct()
+    old = aliases.select("alias", "benchmark_id")
+    return out, old.unionByName(more.join(old, ["alias", "benchmark_id"], "left_anti"))
+
+
+def update_benchmarks(registry: DataFrame, updates: DataFrame, as_of: Column) -> DataFrame:
+    """registry with the fields that updates (benchmark_id and some of its columns) has, where they aren't null; those rows are stamped. Ids
+    that aren't registered are left out."""
+    fields = [c for c in updates.columns if c != "benchmark_id" and c in registry.columns]
+    one = updates.groupBy(F.col("benchmark_id").alias("_id")).agg(F.max(F.struct(*fields)).alias("_u"))
+    both = registry.join(one, F.col("benchmark_id") == F.col("_id"), "left")
+    value = lambda c: F.coalesce(F.col(f"_u.{c}"), F.col(c)).alias(c) if c in fields else F.when(F.col("_id").isNotNull(), as_of).otherwise(F.col(c)).alias(c) if c == "last_updated" else F.col(c)
+    return both.select(*(value(c) for c in registry.columns))
+
+
+def registry_stats(models: DataFrame, aliases: DataFrame) -> DataFrame:
+    """One row: models in all, active, deprecated, and aliases. models: model_id, source, is_active."""
+    return models.agg(F.count("*").alias("total_models"), F.count_if("is_active").alias("active_models"), F.count_if(~F.col("is_active")).alias("deprecated_models")).crossJoin(aliases.agg(F.count("*").alias("total_aliases")))  # one row each
+
+
+def models_by_source(models: DataFrame) -> DataFrame:
+    return models.groupBy("source").agg(F.count("*").alias("n"))
+
+
+def benchmark_stats(registry: DataFrame) -> DataFrame:
+    """One row: benchmarks in all, active, discovered, and active ones that weren't."""
+    return registry.agg(F.count("*").alias("total"), F.count_if("is_active").alias("active"), F.count_if("auto_discovered").alias("auto_discovered")).withColumn("curated", F.col("active") - F.col("auto_discovered"))
+
+
+def category_weights(registry: DataFrame, categories: DataFrame) -> DataFrame:
+    """Every listed category that has an active benchmark, with the sum of their weights and their number."""
+    g = registry.where("is_active").groupBy("category").agg(F.sum("default_weight").alias("weight"), F.count("*").alias("n"))
+    return categories.select("category").join(g, "category")
+
+
 def dedup_max(df: DataFrame, keys: Sequence[str], score: str, order: str = "score_id") -> DataFrame:
     """The row of the highest score of each key, the first of equals."""
     best = F.max_by(F.struct(*df.columns), F.struct(score, -F.col(order)))
@@ -330,23 +457,31 @@ def near_duplicate_count(names: DataFrame, threshold: float = 0.8) -> DataFrame:
 def near_duplicate_names(names: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Pairs of names whose sets of lower-case characters have a Jaccard similarity above the threshold.
 
-    Names of one character set are one class, of which the least name stands for all; sets that reach the threshold share one of the rarest
-    characters of either (prefix filter), so only those meet. A pair links every name of class key_a with every one of key_b, and n_a and n_b
+    Names of one character set are one class, of which the least name stands for all. With characters in one order, the rarest first, two
+    different sets that reach the threshold share two among the first of each (a prefix filter, of one more than needed for one), so sets meet
+    by two characters and the other's size, and each pair once. (Sets of fewer than two characters reach it with none.) A pair links every name of class key_a with every one of key_b, and n_a and n_b
     are the numbers of names; `name_classes` has each class's names, which are linked with one another too.
     """
     sets = name_classes(names).groupBy("key").agg(F.min("model_name").alias("name"), F.count("*").alias("n"))
     sets = sets.withColumn("s", F.filter(F.split("key", ""), lambda x: x != ""))
     freq = sets.select(F.explode("s").alias("c")).groupBy("c").agg(F.count("*").alias("f"))
-    ranked = sets.select("key", F.explode("s").alias("c")).join(freq, "c").withColumn("r", F.row_number().over(W.partitionBy("key").orderBy("f", "c"))).withColumn("m", F.count("*").over(W.partitionBy("key")))
-    prefix = ranked.where(F.col("r") <= F.col("m") - F.ceil(F.col("m") * threshold) + 1).select("key", "c", "m")
-    a, b = prefix.select(F.col("key").alias("ka"), "c", F.col("m").alias("ma")), prefix.select(F.col("key").alias("kb"), "c", F.col("m").alias("mb"))
-    cand = a.join(b, "c").where((F.col("ka") < F.col("kb")) & (F.least("ma", "mb") >= threshold * F.greatest("ma", "mb"))).select("ka", "kb").distinct()
-    x, y = sets.select(F.col("key").alias("ka"), F.col("s").alias("sa"), F.col("name").alias("name_a"), F.col("n").alias("n_a")), sets.select(F.col("key").alias("kb"), F.col("s").alias("sb"), F.col("name").alias("name_b"), F.col("n").alias("n_b"))
+    ordered = sets.select("key", F.explode("s").alias("c")).join(freq, "c").groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "c"))), lambda x: x["c"]).alias("o"))
+    m = F.size("o")
+    two = F.slice("o", 1, F.least(m, m - F.ceil(m * threshold - 1e-9) + 2).cast("int"))
+    pairs = lambda p: F.flatten(F.transform(p, lambda x, i: F.transform(F.slice(p, i + 2, F.size(p)), lambda y: F.concat(x, y))))
+    keyed = sets.join(ordered, "key").select("key", "name", "n", "s", pairs(two).alias("p"), m.alias("m"))
+    a = keyed.select(F.col("key").alias("ka"), F.col("name").alias("name_a"), F.col("n").alias("n_a"), F.col("s").alias("sa"), F.col("p").alias("pa"), F.col("m").alias("ma"), F.explode("p").alias("c"))
+    a = a.select("*", F.explode(F.sequence(F.ceil(F.col("ma") * threshold - 1e-9), F.floor(F.col("ma") / threshold + 1e-9))).alias("mb"))
+    b = keyed.select(F.col("key").alias("kb"), F.col("name").alias("name_b"), F.col("n").alias("n_b"), F.col("s").alias("sb"), F.col("p").alias("pb"), F.col("m").cast("long").alias("mb"), F.explode("p").alias("c"))
+    once = a.join(b, ["c", "mb"]).where((F.col("ka") < F.col("kb")) & (F.get(F.array_intersect("pa", "pb"), F.lit(0)) == F.col("c")))
     sim = F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb"))
-    return cand.join(x, "ka").join(y, "kb").select(F.col("ka").alias("key_a"), "name_a", "n_a", F.col("kb").alias("key_b"), "name_b", "n_b", F.round(sim, 6).alias("similarity")).where(F.col("similarity") > threshold)
+    return once.select(F.col("ka").alias("key_a"), "name_a", "n_a", F.col("kb").alias("key_b"), "name_b", "n_b", F.round(sim, 6).alias("similarity")).where(F.col("similarity") > threshold)
 
 
-def daily_normalize(facts: DataFrame, aliases: DataFrame, rules: DataFrame, min_conf: float = 0.9) -> tuple[DataFrame, DataFrame]:
-    """(coverage report, aliases with the sure matches of names that had none). Composites need a new run only if aliases were added."""
+def daily_normalize(facts: DataFrame, aliases: DataFrame, rules: Sequence[tuple[str, str, float]] | None = None, min_conf: float = 0.9, recompute: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(coverage report, aliases with the sure matches of names that had none, what `recompute` makes of the aliases if any were added, else
+    None)."""
     matches = normalize_names(unmapped_names(facts, aliases), aliases, rules, fuzzy=False)
-    return alias_coverage(facts, aliases), alias_add(aliases, auto_alias(matches, aliases, min_conf))
+    new = auto_alias(matches, aliases, min_conf)
+    after = alias_add(aliases, new)
+    return normalization_report(facts, aliases, matches), after, recompute(after) if recompute is not None and not new.isEmpty() else None

@@ -12,10 +12,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scorelake.functions.scalars import cascade, contains_any
+from scorelake.sources.shared import stored
 
 
 def clamp(c: Column, low: float = 0.0, high: float = 100.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+    """c within the bounds; null stays null."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
 
 def detect_score_type(value: Column, metric: Column, benchmark: Column, leaderboard: Column) -> Column:
@@ -69,7 +71,7 @@ def norm_academic(value: Column) -> Column:
 
 def norm_cost(value: Column) -> Column:
     """Free is 100, a dollar 0, on a logarithmic scale between a tenth of a cent and a dollar."""
-    return _pair(cascade([(value <= 0, 100.0), (value >= 1, 0.0)], F.lit(100.0) * F.log(F.lit(1.0) / F.greatest(value, F.lit(0.001))) / F.log(F.lit(1000.0))), 0.85)
+    return _pair(cascade([(value.isNull(), F.lit(None).cast("double")), (value <= 0, 100.0), (value >= 1, 0.0)], F.lit(100.0) * F.log(F.lit(1.0) / F.greatest(value, F.lit(0.001))) / F.log(F.lit(1000.0))), 0.85)
 
 
 def norm_time(value: Column) -> Column:
@@ -102,6 +104,16 @@ def normalize_new(facts: DataFrame, existing: DataFrame, key: str = "score_id")
     return normalize_scores(facts.join(existing.select(key), key, "left_anti"))
 
 
+def normalize_report(facts: DataFrame, existing: DataFrame, key: str = "score_id") -> DataFrame:
+    """One row on an incremental run: facts in all, those that had a row, those processed, those of them that failed (no value, so no
+    normalised one), and the mean confidence of the others."""
+    new = normalize_new(facts, existing, key)
+    ok = F.col("normalized_value").isNotNull()
+    return facts.agg(F.count("*").alias("total")).crossJoin(new.agg(F.count("*").alias("processed"), F.count_if(~ok).alias("failed"), F.avg(F.when(ok, F.col("confidence_score"))).alias("avg_confidence"))).select(
+        "total", (F.col("total") - F.col("processed")).alias("skipped"), (F.col("processed") - F.col("failed")).alias("processed"), "failed", "avg_confidence"
+    )  # one row each
+
+
 def normalization_stats(norm: DataFrame) -> DataFrame:
     """One row: counts and confidence levels."""
     c = F.col("confidence_score")
@@ -133,22 +145,60 @@ def distribution_confidence(norm: DataFrame, keys: Sequence[str]) -> DataFrame:
     return g.select(*keys, F.round(clamp(F.col("d") * spread * (1 - F.col("out")), 0.1, 1.0), 6).alias("confidence"))
 
 
+def quartiles(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
+    """keys, n, q1 and q3: the values at the places n/4 and 3n/4 (from 0, cut to whole numbers) in order, exact, over non-null values.
+
+    Values are counted first, so a key's rows meet as distinct values. Those are sorted by key and value over all tasks; only a count a part
+    and key goes through one task, and only rows at the two places through the last step.
+    """
+    counts = df.where(F.col(col).isNotNull()).groupBy(*keys, F.col(col).alias("_v")).agg(F.count("*").alias("_c"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = stored(counts.repartitionByRange(parts, *keys, "_v").withColumn("_p", F.spark_partition_id()), "values")  # once, so parts are the same
+    names = [F.col(k) for k in keys]
+    inside = W.partitionBy("_p", *names).orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
+    # In a part, a key's values are all of a stretch; what the parts before hold of the key is added.
+    placed = own.withColumn("_in", F.coalesce(F.sum("_c").over(inside), F.lit(0)))
+    sums = own.groupBy("_p", *keys).agg(F.sum("_c").alias("_s"))
+    w = W.partitionBy(*keys)
+    before = sums.select("_p", *keys, (F.sum("_s").over(w.orderBy("_p")) - F.col("_s")).alias("_before"), F.sum("_s").over(w).alias("_n"))
+    at = placed.join(before.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)}).withColumnRenamed("_p", "_q"), [F.col("_p") == F.col("_q"), *(F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys))])
+    first, last = F.col("_before") + F.col("_in"), F.col("_before") + F.col("_in") + F.col("_c")
+    hit = lambda place: (F.floor(place) >= first) & (F.floor(place) < last)
+    one, three = F.col("_n") / 4, F.col("_n") * 3 / 4
+    kept = at.where(hit(one) | hit(three)).select(*keys, "_n", F.when(hit(one), F.col("_v")).alias("_1"), F.when(hit(three), F.col("_v")).alias("_3"))
+    return kept.groupBy(*keys).agg(F.max("_n").alias("n"), F.max("_1").alias("q1"), F.max("_3").alias("q3"))
+
+
 def flag_outliers(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
     """df with is_outlier: outside 1.5 interquartile ranges, the quartiles being the values at places n/4 and 3n/4 in order; groups of
-    fewer than four have none. Ranks are windows over a key, so no group is gathered in memory."""
-    w = W.partitionBy(*keys)
-    ranked = df.withColumn("_r", F.row_number().over(w.orderBy(col)) - 1).withColumn("_n", F.count("*").over(w))
-    at = lambda place: F.max(F.when(F.col("_r") == F.floor(place), F.col(col))).over(w)
-    quart = ranked.withColumn("_q1", at(F.col("_n") / 4)).withColumn("_q3", at(F.col("_n") * 3 / 4))
+    fewer than four have none, nor are nulls. A key's rows never meet in one task: see quartiles; the result has a row a key and is joined."""
+    q = quartiles(df, keys, col).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("n").alias("_n"), F.col("q1").alias("_q1"), F.col("q3").alias("_q3"))
+    both = df.join(q, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], "left")
     iqr = (F.col("_q3") - F.col("_q1")) * 1.5
     out = (F.col("_n") >= 4) & ((F.col(col) < F.col("_q1") - iqr) | (F.col(col) > F.col("_q3") + iqr))
-    return quart.select(*df.columns, out.alias("is_outlier"))
-
-
-#: Metrics whose range isn't 0..100; all other listed ones have that range, as have unlisted ones.
-RANGES = {"elo_rating": (800.0, 1400.0), "daily_requests": (0.0, 500000.0), "hallucination_rate": (0.0, 20.0), "mt_bench": (0.0, 10.0), "tokens_served": (0.0, 1e11), "cost_per_token": (0.0, 0.1)}
-#: Listed metrics of 0..100 whose names would otherwise be taken for ratings.
-PLAIN_RANGES = ("accuracy", "pass@1", "win_rate", "composite_score", "eq_score", "average")
+    return both.select(*(F.col(f"`{c}`") for c in df.columns), F.coalesce(out, F.lit(False)).alias("is_outlier"))
+
+
+#: The listed metrics' ranges. (All others have 0 to 100, but for those named after ratings.)
+RANGES = {
+    "elo_rating": (800.0, 1400.0),
+    "daily_requests": (0.0, 500000.0),
+    "hallucination_rate": (0.0, 20.0),
+    "mt_bench": (0.0, 10.0),
+    "tokens_served": (0.0, 1e11),
+    "cost_per_token": (0.0, 0.1),
+}
+#: Listed metrics that are percentages.
+PERCENTAGES = """accuracy pass@1 win_rate composite_score eq_score average
+humaneval humaneval_pass@1 mbpp mbpp_pass@1 apps humaneval+ mbpp+ multipl-e pass_rate
+gsm8k math aime_2024 gpqa_diamond
+mmlu arc arc_challenge hellaswag truthfulqa winogrande
+medqa medmcqa pubmedqa mmlu_medical
+legalbench bar_exam
+finqa financial_sentiment
+multilingual_mmlu xquad c_eval
+bigbench_hard eq_bench klu_index usage_percentage""".split()
+#: Metrics of which less is better, whatever the fact says.
 LOWER_IS_BETTER = ("hallucination_rate", "perplexity", "loss", "error")
 
 
@@ -182,10 +232,12 @@ def normalize_job(value: Column, metric: Column, variant: str = "simple") -> Col
 
 
 def z_score(df: DataFrame, keys: Sequence[str], col: str, higher: Column) -> DataFrame:
-    """df with z, signed so that better is higher; 0 where a group has no spread."""
-    w = W.partitionBy(*keys)
-    sd, z = F.coalesce(F.stddev_samp(col).over(w), F.lit(0.0)), F.col(col) - F.avg(col).over(w)
-    return df.withColumn("z", F.when(sd == 0, 0.0).otherwise(F.when(higher, z).otherwise(-z) / F.when(sd != 0, sd)))
+    """df with z, signed so that better is higher; 0 where a group has no spread. Means and deviations are aggregated, a row a group, and
+    joined, so rows aren't moved where the groups are few."""
+    g = df.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.avg(col).alias("_m"), F.coalesce(F.stddev_samp(col), F.lit(0.0)).alias("_sd"))
+    both = df.join(g, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], "left")
+    d = F.when(higher, F.col(col) - F.col("_m")).otherwise(F.col("_m") - F.col(col))
+    return both.select(*(F.col(f"`{c}`") for c in df.columns), F.when(F.col("_sd") == 0, 0.0).otherwise(d / F.nullif("_sd", F.lit(0.0))).alias("z"))
 
 
 def z_composite(df: DataFrame) -> DataFrame:

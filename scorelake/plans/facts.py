@@ -106,7 +106,7 @@ SQL = {
     "doms": "SELECT model_name, category AS domain, CASE WHEN sum(confidence_score) > 0 THEN sum(normalized_value * confidence_score) / sum(confidence_score) ELSE avg(normalized_value) END AS score, CASE WHEN sum(confidence_score) > 0 THEN avg(confidence_score) ELSE 0.5 END AS confidence, count(*) AS n FROM canon GROUP BY ALL",
     "weights": "SELECT * FROM (VALUES " + ", ".join(f"({p[0]}, '{p[1]}', '{d}', {w}::DOUBLE)" for p in PROFILES for d, w in zip(("software_engineering", "reasoning", "academic", "medical", "legal", "comprehensive"), p[2:], strict=True)) + ") v(profile_id, profile, domain, weight)",
     "comp": """
-        SELECT model_name, profile_id, profile, CASE WHEN w > 0 THEN round(s / w, 2) ELSE 0 END AS composite_score, CASE WHEN w > 0 THEN round(c / w * n / 6, 3) ELSE 0 END AS confidence_score, n AS domain_coverage,
+        SELECT model_name, profile_id, profile, CASE WHEN w > 0 THEN printf('%.2f', s / w)::DOUBLE ELSE 0 END AS composite_score, CASE WHEN w > 0 THEN printf('%.3f', c / w * n / 6)::DOUBLE ELSE 0 END AS confidence_score, n AS domain_coverage,
                CASE WHEN NOT w > 0 THEN 'no_data_available' WHEN n = 6 THEN 'full_coverage' WHEN n >= 4 THEN 'high_coverage' WHEN n >= 2 THEN 'moderate_coverage' ELSE 'low_coverage' END AS method
         FROM (SELECT model_name, profile_id, profile, sum(score * weight) AS s, sum(confidence * weight) AS c, sum(weight) AS w, count(*) AS n FROM doms JOIN weights USING (domain) GROUP BY ALL)""",
 }

@@ -17,6 +17,7 @@ from scorelake.plans import facts as P
 from scorelake.plans.facts import CATEGORIES, with_sql
 from scorelake.sources import pages as H
 from scorelake.sources import tables as T
+from scorelake.sources.shared import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -59,10 +60,10 @@ def as_of() -> F.Column:
 
 #: Ranges of the metrics of facts, as rows.
 def ranges(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(m, *r) for m, r in Z.RANGES.items()] + [(m, 0.0, 100.0) for m in Z.PLAIN_RANGES], "metric string, lo double, hi double")
+    return spark.createDataFrame([(m, *r) for m, r in Z.RANGES.items()] + [(m, 0.0, 100.0) for m in Z.PERCENTAGES], "metric string, lo double, hi double")
 
 
-RANGES_SQL = "ranges AS (SELECT * FROM (VALUES " + ", ".join(f"('{m}', {a}::DOUBLE, {b}::DOUBLE)" for m, (a, b) in [*Z.RANGES.items(), *((m, (0.0, 100.0)) for m in Z.PLAIN_RANGES)]) + ") v(metric, lo, hi))"
+RANGES_SQL = "ranges AS (SELECT * FROM (VALUES " + ", ".join(f"('{m}', {a}::DOUBLE, {b}::DOUBLE)" for m, (a, b) in [*Z.RANGES.items(), *((m, (0.0, 100.0)) for m in Z.PERCENTAGES)]) + ") v(metric, lo, hi))"
 RANGED_SQL = (
     "ranged AS (SELECT f.*, greatest(0, least(100, CASE WHEN NOT higher_is_better OR lower(f.metric) IN ('hallucination_rate', 'perplexity', 'loss', 'error') THEN 100 - raw ELSE raw END)) AS range_value FROM "
     "(SELECT f.*, (value - coalesce(lo, CASE WHEN contains(f.metric, 'elo') OR contains(f.metric, 'rating') THEN 800 ELSE 0 END)) / (coalesce(hi, CASE WHEN contains(f.metric, 'elo') OR contains(f.metric, 'rating') THEN 1400 ELSE 100 END) - coalesce(lo, CASE WHEN contains(f.metric, 'elo') OR contains(f.metric, 'rating') THEN 800 ELSE 0 END)) * 100 AS raw "
@@ -83,11 +84,12 @@ def f1_score_types(spark, d):
     return P.facts(spark, d).groupBy(Z.detect_score_type(F.col("value"), F.col("metric"), F.col("benchmark"), F.col("leaderboard"))["type"].alias("score_type")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT l_orderkey, l_linenumber, round(greatest(0, least(100, (1000 + l_quantity * 10 - 1100) / 350 * 100)), 4) AS elo, round(greatest(0, least(100, l_discount * 100)), 4) AS academic, round(CASE WHEN l_discount <= 0 THEN 100 WHEN l_discount >= 1 THEN 0 ELSE 100 * ln(1 / greatest(l_discount, 0.001)) / ln(1000) END, 4) AS cost, round(CASE WHEN l_quantity >= 60 THEN 0 ELSE (1 - l_quantity / 60) * 100 END, 4) AS seconds, round(greatest(0, least(100, l_extendedprice / 1000)), 4) AS percentage FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, greatest(0, least(100, (1000 + l_quantity * 10 - 1100) / 350 * 100)) AS elo, greatest(0, least(100, l_discount * 100)) AS academic, round(CASE WHEN l_discount <= 0 THEN 100 WHEN l_discount >= 1 THEN 0 ELSE 100 * ln(1 / greatest(l_discount, 0.001)) / ln(1000) END, 4) AS cost, CASE WHEN l_quantity >= 60 THEN 0 ELSE (1 - l_quantity / 60) * 100 END AS seconds, greatest(0, least(100, l_extendedprice / 1000)) AS percentage FROM lineitem")
 def f2_f7_single_scales(spark, d):
     q, x = F.col("l_quantity"), F.col("l_discount")
     return P.table(spark, d, "lineitem").select(
-        "l_orderkey", "l_linenumber", *(F.round(c["score"], 4).alias(n) for n, c in {"elo": Z.norm_elo(1000 + q * 10, F.lit("general")), "academic": Z.norm_academic(x), "cost": Z.norm_cost(x), "seconds": Z.norm_time(q), "percentage": Z.norm_percentage(F.col("l_extendedprice") / 1000)}.items())
+        "l_orderkey", "l_linenumber", Z.norm_elo(1000 + q * 10, F.lit("general"))["score"].alias("elo"), Z.norm_academic(x)["score"].alias("academic"), F.round(Z.norm_cost(x)["score"], 4).alias("cost"),
+        Z.norm_time(q)["score"].alias("seconds"), Z.norm_percentage(F.col("l_extendedprice") / 1000)["score"].alias("percentage"),
     )
 
 
@@ -130,10 +132,10 @@ def f14_by_range(spark, d):
     return Z.normalize_by_range(P.facts(spark, d), ranges(spark)).select("score_id", F.round("range_value", 4).alias("range_value"))
 
 
-@query(with_sql("facts", "SELECT score_id, round(CASE WHEN (contains(lower(leaderboard), 'arena') OR contains(metric, 'score')) AND value BETWEEN 800 AND 1600 THEN (value - 800) / 8 WHEN contains(metric, 'accuracy') OR contains(metric, 'percent') OR contains(metric, 'rate') THEN greatest(0, least(100, value)) WHEN value BETWEEN 0 AND 100 THEN value ELSE greatest(0, least(100, value)) END, 4) AS simple, round(CASE WHEN contains(metric, 'cost') THEN greatest(0, least(100, 100 - value)) ELSE value END, 4) AS job, round(greatest(0, least(100, value)), 4) AS clamped FROM facts"))
+@query(with_sql("facts", "SELECT score_id, CASE WHEN (contains(lower(leaderboard), 'arena') OR contains(metric, 'score')) AND value BETWEEN 800 AND 1600 THEN (value - 800) / 8 WHEN contains(metric, 'accuracy') OR contains(metric, 'percent') OR contains(metric, 'rate') THEN greatest(0, least(100, value)) WHEN value BETWEEN 0 AND 100 THEN value ELSE greatest(0, least(100, value)) END AS simple, CASE WHEN contains(metric, 'cost') THEN greatest(0, least(100, 100 - value)) ELSE value END AS job, greatest(0, least(100, value)) AS clamped FROM facts"))
 def f15_f16_simple_rules(spark, d):
     v, m = F.col("value"), F.col("metric")
-    return P.facts(spark, d).select("score_id", F.round(Z.normalize_simple(v, m, F.col("leaderboard")), 4).alias("simple"), F.round(Z.normalize_job(v, m), 4).alias("job"), F.round(Z.normalize_job(v, m, "clamp"), 4).alias("clamped"))
+    return P.facts(spark, d).select("score_id", Z.normalize_simple(v, m, F.col("leaderboard")).alias("simple"), Z.normalize_job(v, m).alias("job"), Z.normalize_job(v, m, "clamp").alias("clamped"))
 
 
 @query(with_sql("facts", "SELECT model_name, round(avg(c), 4) AS composite FROM (SELECT model_name, category, avg(z) AS c FROM (SELECT *, coalesce((value - avg(value) OVER w) * (CASE WHEN higher_is_better THEN 1 ELSE -1 END) / nullif(stddev_samp(value) OVER w, 0), 0) AS z FROM facts WINDOW w AS (PARTITION BY benchmark)) GROUP BY ALL) GROUP BY 1"))
@@ -165,11 +167,11 @@ def g4_boards_with_facts(spark, d):
     return P.boards(spark).join(P.facts(spark, d).select("leaderboard", "score_id"), "leaderboard", "left").groupBy("leaderboard").agg(F.count("score_id").alias("n"))
 
 
-@query(with_sql("norm aliases", "SELECT model_name, domain, round(score, 4) AS score FROM (SELECT canonical_name AS model_name, category AS domain, avg(normalized_value) AS score FROM norm n JOIN (SELECT DISTINCT alias, canonical_name FROM aliases) a ON n.model_name = a.alias GROUP BY ALL UNION ALL SELECT model_name, category, avg(normalized_value) FROM norm WHERE model_name NOT IN (SELECT canonical_name FROM aliases) GROUP BY ALL)"))
+@query(with_sql("norm aliases", "SELECT model_name, domain, score FROM (SELECT canonical_name AS model_name, category AS domain, avg(normalized_value) AS score FROM norm n JOIN (SELECT DISTINCT alias, canonical_name FROM aliases) a ON n.model_name = a.alias GROUP BY ALL UNION ALL SELECT model_name, category, avg(normalized_value) FROM norm WHERE model_name NOT IN (SELECT canonical_name FROM aliases) GROUP BY ALL)"))
 def g5_domain_means_with_fallback(spark, d):
     a = P.aliases(spark, d)
     names = P.facts(spark, d).select("model_name").union(a.select("canonical_name")).distinct()
-    return rounded(C.domain_means_with_fallback(norm(spark, d), a, names), "score")
+    return C.domain_means_with_fallback(norm(spark, d), a, names)
 
 
 @query(with_sql("facts aliases", "SELECT coalesce(a.canonical_name, f.model_name) AS model_name, count(*) AS n FROM facts f LEFT JOIN aliases a ON f.model_name = a.alias GROUP BY 1"))
@@ -226,12 +228,12 @@ def h6_composite_stats(spark, d):
     return C.composite_stats(composites(spark, d))
 
 
-@query(with_sql("comp", "SELECT t.*, software_engineering, NULL::DOUBLE AS reasoning, academic, medical, legal, comprehensive, NULL::DOUBLE AS safety, NULL::DOUBLE AS finance FROM (SELECT model_name, composite_score, confidence_score, domain_coverage FROM comp WHERE profile = 'General' ORDER BY composite_score DESC, model_name LIMIT 50) t LEFT JOIN (SELECT model_name, " + ", ".join(f"round(avg(score) FILTER (domain = '{c}'), 4) AS {c}" for c in CATEGORIES) + " FROM (SELECT canonical_name AS model_name, category AS domain, avg(normalized_value) AS score FROM norm n JOIN aliases a ON n.model_name = a.alias GROUP BY ALL UNION ALL SELECT model_name, category, avg(normalized_value) FROM norm GROUP BY ALL) GROUP BY 1) m USING (model_name)"))
+@query(with_sql("comp", "SELECT t.*, software_engineering, NULL::DOUBLE AS reasoning, academic, medical, legal, comprehensive, NULL::DOUBLE AS safety, NULL::DOUBLE AS finance FROM (SELECT model_name, composite_score, confidence_score, domain_coverage FROM comp WHERE profile = 'General' ORDER BY composite_score DESC, model_name LIMIT 50) t LEFT JOIN (SELECT model_name, " + ", ".join(f"avg(score) FILTER (domain = '{c}') AS {c}" for c in CATEGORIES) + " FROM (SELECT canonical_name AS model_name, category AS domain, avg(normalized_value) AS score FROM norm n JOIN aliases a ON n.model_name = a.alias GROUP BY ALL UNION ALL SELECT model_name, category, avg(normalized_value) FROM norm GROUP BY ALL) GROUP BY 1) m USING (model_name)"))
 def h7_leaderboard(spark, d):
     return C.composite_leaderboard(composites(spark, d), norm(spark, d), P.aliases(spark, d), "general", 50)
 
 
-@query(with_sql("doms weights", "SELECT model_name, profile, domain, round(score, 4) AS score, round(confidence, 4) AS confidence, n, weight, round(score * weight, 4) AS contribution, score IS NULL AS is_missing FROM (SELECT DISTINCT model_name FROM doms) CROSS JOIN weights LEFT JOIN doms USING (model_name, domain)"))
+@query(with_sql("doms weights", "SELECT model_name, profile, domain, score, confidence, n, weight, score * weight AS contribution, score IS NULL AS is_missing FROM (SELECT DISTINCT model_name FROM doms) CROSS JOIN weights LEFT JOIN doms USING (model_name, domain)"))
 def h8_breakdown(spark, d):
     return C.model_breakdown(domains(spark, d), P.profiles(spark))
 
@@ -269,12 +271,12 @@ def wide(spark, d):
     return w.join(composites(spark, d).where("profile_id = 1").select("model_name", "composite_score"), "model_name", "left")
 
 
-@query(with_sql("doms", "SELECT model_name, " + ", ".join(f"round(avg(score) FILTER (domain = '{c}'), 4) AS {c}" for c in C.SHOWN_DOMAINS) + " FROM doms GROUP BY 1"))
+@query(with_sql("doms", "SELECT model_name, " + ", ".join(f"avg(score) FILTER (domain = '{c}') AS {c}" for c in C.SHOWN_DOMAINS) + " FROM doms GROUP BY 1"))
 def b10_pivot_domains(spark, d):
     return C.pivot_domains(domains(spark, d))
 
 
-@query(with_sql("comp", "SELECT w.model_name, round(CASE WHEN abs(mean - score) < 5 THEN mean ELSE score END, 4) AS category_score FROM (SELECT *, coalesce(nullif(se, 0), composite_score) AS score, (se + ac) / 2 AS both_mean, coalesce((se + ac) / 2, se, ac) AS mean FROM (SELECT model_name, round(avg(score) FILTER (domain = 'software_engineering'), 4) AS se, round(avg(score) FILTER (domain = 'academic'), 4) AS ac, count(*) FILTER (domain IN ('software_engineering', 'academic', 'comprehensive')) AS k FROM doms GROUP BY 1) LEFT JOIN (SELECT model_name, composite_score FROM comp WHERE profile_id = 1) USING (model_name)) w WHERE k > 0 OR composite_score <> 0"))
+@query(with_sql("comp", "SELECT w.model_name, round(CASE WHEN abs(mean - score) < 5 THEN mean ELSE score END, 4) AS category_score FROM (SELECT *, coalesce(nullif(se, 0), composite_score) AS score, (se + ac) / 2 AS both_mean, coalesce((se + ac) / 2, se, ac) AS mean FROM (SELECT model_name, avg(score) FILTER (domain = 'software_engineering') AS se, avg(score) FILTER (domain = 'academic') AS ac, count(*) FILTER (domain IN ('software_engineering', 'academic', 'comprehensive')) AS k FROM doms GROUP BY 1) LEFT JOIN (SELECT model_name, composite_score FROM comp WHERE profile_id = 1) USING (model_name)) w WHERE k > 0 OR composite_score <> 0"))
 def h25_category_view(spark, d):
     return C.category_view(wide(spark, d), "coding", ("software_engineering", "academic"))
 
@@ -285,15 +287,15 @@ def h26_impute(spark, d):
     return C.impute_missing(w, CATEGORIES).select("model_name", *CATEGORIES, "is_estimated")
 
 
-@query(with_sql("doms", "SELECT model_name, " + ", ".join(f"coalesce(string_agg(domain, ', ' ORDER BY domain) FILTER ({cond}), '') AS {n}" for n, cond in (("excellent", "score >= 80"), ("strong", "score >= 70 AND score < 80"), ("weak", "score < 50"))) + " FROM (SELECT model_name, domain, round(score, 4) AS score FROM doms) GROUP BY 1"))
+@query(with_sql("doms", "SELECT model_name, " + ", ".join(f"coalesce(string_agg(domain, ', ' ORDER BY domain) FILTER ({cond}), '') AS {n}" for n, cond in (("excellent", "score >= 80"), ("strong", "score >= 70 AND score < 80"), ("weak", "score < 50"))) + " FROM doms GROUP BY 1"))
 def b16_strengths(spark, d):
     return C.strengths_weaknesses(C.pivot_domains(domains(spark, d), sorted(CATEGORIES)), sorted(CATEGORIES)).drop("missing")
 
 
-@query(with_sql("comp", "SELECT model_name, '$' AS cost_tier, CASE WHEN confidence_score > 0.8 THEN 'Excellent' WHEN confidence_score > 0.6 THEN 'Good' ELSE 'Fair' END AS reliability FROM comp WHERE profile_id = 1"))
+@query(with_sql("names", "SELECT model_name, CASE WHEN contains(n, 'gpt-4') OR contains(n, 'claude') THEN '$$$' WHEN contains(n, 'gemini') OR contains(n, 'sonnet') THEN '$$' ELSE '$' END AS cost_tier, CASE WHEN contains(n, 'mini') OR contains(n, 'flash') THEN 'Very Fast' WHEN contains(n, 'pro') OR contains(n, 'max') THEN 'Fast' ELSE 'Standard' END AS speed_tier, CASE WHEN score_id % 10 > 8 THEN 'Excellent' WHEN score_id % 10 > 6 THEN 'Good' ELSE 'Fair' END AS reliability FROM (SELECT *, lower(model_name) AS n FROM names)"))
 def b15_tiers(spark, d):
-    t = S.add_tiers(F.col("model_name"), F.col("confidence_score"))
-    return composites(spark, d).where("profile_id = 1").select("model_name", t["cost_tier"].alias("cost_tier"), t["reliability"].alias("reliability"))
+    t = S.add_tiers(F.col("model_name"), F.col("score_id") % 10 / 10)
+    return P.names(spark, d).select("model_name", *(t[c].alias(c) for c in ("cost_tier", "speed_tier", "reliability")))
 
 
 # Boards
@@ -312,9 +314,17 @@ def h12_category_breakdown(spark, d):
     return B.category_breakdown(norm(spark, d), "coding", 25).select("model_name", "average", F.size("benchmarks").cast("long").alias("n"))
 
 
-@query(with_sql("norm", "SELECT model_name, round(avg(v), 4) AS average_score, count(*) AS n_benchmarks, string_agg(key, ',' ORDER BY key) AS keys FROM (SELECT model_name, benchmark AS key, arg_max(normalized_value, (scraped_at, score_id)) AS v FROM norm GROUP BY ALL) GROUP BY 1 ORDER BY average_score DESC, model_name LIMIT 30"))
+#: A board of each kind that the coding board knows, and one that it doesn't, dealt to the facts by their ids.
+CODING_BOARDS = [*B.CODING_KEYS, "LMArena x", "Other"]
+_KEYS = ", ".join(f"({i}, '{b}')" for i, b in enumerate(CODING_BOARDS))
+_KEY = "CASE WHEN contains(board, 'EvalPlus') THEN CASE WHEN contains(bench, 'humaneval') THEN 'HumanEval' WHEN contains(bench, 'mbpp') THEN 'MBPP' ELSE 'EvalPlus' END " + " ".join(f"WHEN board = '{k}' THEN '{v}'" for k, v in B.CODING_KEYS.items() if k != "EvalPlus") + " WHEN board = 'LMArena x' THEN 'LM Arena WebDev' ELSE bench END"
+
+
+@query(with_sql("norm", f"SELECT model_name, average_score, n_benchmarks, keys FROM (WITH boards(i, board) AS (VALUES {_KEYS}), k AS (SELECT model_name, {_KEY} AS key, scraped_at, score_id, normalized_value AS v FROM (SELECT *, CASE score_id % 3 WHEN 0 THEN 'humaneval+' WHEN 1 THEN 'mbpp' ELSE benchmark END AS bench FROM norm JOIN boards ON i = score_id % {len(CODING_BOARDS)}) WHERE score_id % 2 = 0 OR normalized_value > 0), o AS (SELECT model_name, key, arg_max(v, (scraped_at, score_id)) AS v FROM k GROUP BY ALL) SELECT model_name, round(avg(v), 4) AS average_score, count(*) AS n_benchmarks, string_agg(key, ',' ORDER BY key) AS keys FROM o GROUP BY 1) ORDER BY average_score DESC, model_name LIMIT 30"))
 def h13_coding_leaderboard(spark, d):
-    n = norm(spark, d)
+    board = F.element_at(F.array(*map(F.lit, CODING_BOARDS)), (F.pmod("score_id", F.lit(len(CODING_BOARDS))) + 1).cast("int"))
+    bench = F.when(F.col("score_id") % 3 == 0, "humaneval+").when(F.col("score_id") % 3 == 1, "mbpp").otherwise(F.col("benchmark"))
+    n = norm(spark, d).withColumn("leaderboard", board).withColumn("benchmark", bench)
     return B.coding_leaderboard(n.where("score_id % 2 = 0"), n.where("score_id % 2 = 1"), 30)
 
 
@@ -365,9 +375,9 @@ def h22_normalized_models(spark, d):
     return B.normalized_models(norm(spark, d), 40).withColumn("last_update", when_text("last_update"))
 
 
-@query(with_sql("norm", "SELECT model_name, category, round(avg(normalized_value), 4) AS average, round(avg(confidence_score), 4) AS confidence, count(*) AS n, round(avg(value), 4) AS raw_average FROM norm GROUP BY ALL"))
+@query(with_sql("norm", "SELECT model_name, category, avg(normalized_value) AS average, avg(confidence_score) AS confidence, count(*) AS n, avg(value) AS raw_average FROM norm GROUP BY ALL"))
 def h22_model_categories(spark, d):
-    return B.model_categories(norm(spark, d))
+    return B.category_summaries(norm(spark, d))
 
 
 @query(with_sql("norm", "SELECT model_name, round(greatest(0, least(1, avg(confidence_score) - 0.2 * avg((confidence_score < 0.7)::INT) + least(0.1, count(*) / 100))), 6) AS quality FROM norm GROUP BY 1"))
@@ -407,12 +417,12 @@ def h29_category_overview(spark, d):
     return rounded(B.category_overview(P.facts(spark, d)), "top_score")
 
 
-@query(with_sql("facts", "WITH best AS (SELECT category, model_name, max(value) AS score FROM facts GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC, model_name) AS k FROM best) SELECT model_name, count(*) AS n_categories, round(avg(score), 4) AS avg_score, arg_min(category, (k, category)) AS best_category, min(k) AS best_rank FROM r GROUP BY 1 HAVING count(*) >= 3 ORDER BY avg_score DESC, model_name LIMIT 10").replace(") WITH best", "), best", 1))
+@query(with_sql("facts", "WITH best AS (SELECT category, model_name, max(value) AS score FROM facts GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY score DESC, model_name) AS k FROM best) SELECT model_name, count(*) AS n_categories, round(avg(score), 4) AS avg_score, arg_min(category, (k, category)) AS best_category, min(k) AS best_rank, arg_min(score, (k, category)) AS best_score FROM r GROUP BY 1 HAVING count(*) >= 3 ORDER BY avg_score DESC, model_name LIMIT 10").replace(") WITH best", "), best", 1))
 def h30_cross_category(spark, d):
     return B.cross_category(P.facts(spark, d), 3, 10)
 
 
-@query(with_sql("facts", "SELECT count(*) AS n, count(DISTINCT model_name) AS models, count(DISTINCT category) AS categories, count(DISTINCT benchmark) AS benchmarks FROM facts"))
+@query(with_sql("facts", "SELECT * FROM (SELECT count(*) AS n, count(DISTINCT model_name) AS models, count(DISTINCT category) AS categories, count(DISTINCT benchmark) AS benchmarks FROM facts) CROSS JOIN (SELECT model_name AS most_comprehensive, count(DISTINCT category) AS most_categories FROM facts GROUP BY 1 ORDER BY 2 DESC, avg(value) DESC, 1 LIMIT 1)"))
 def h31_summary(spark, d):
     return B.summary(P.facts(spark, d))
 
@@ -432,9 +442,9 @@ def h33_difficulty(spark, d):
     return B.category_difficulty(P.facts(spark, d))
 
 
-@query(with_sql("facts", "SELECT count(*) AS n, count(DISTINCT model_name) AS models, count(DISTINCT benchmark) AS benchmarks, round(count(*) / count(DISTINCT model_name), 4) AS per_model FROM facts WHERE leaderboard = 'HELM Views'"))
+@query(with_sql("facts", "SELECT count(*) AS n, count(DISTINCT model_name) AS models, count(DISTINCT benchmark) AS benchmarks, round(count(*) / count(DISTINCT model_name), 4) AS per_model, count(*) FILTER (benchmark = 'view_3') AS of_benchmark FROM facts WHERE leaderboard = 'HELM Views'"))
 def h34_verify_load(spark, d):
-    return B.verify_load(P.facts(spark, d), "HELM Views")
+    return B.verify_load(P.facts(spark, d), "HELM Views", "view_3")
 
 
 @query(with_sql("facts", "SELECT category, count(*) AS n, string_agg(benchmark, ',' ORDER BY benchmark) FILTER (r <= 5) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY benchmark) AS r FROM (SELECT DISTINCT category, benchmark FROM facts)) GROUP BY 1 UNION ALL SELECT 'finance', 0, ''"))
@@ -468,12 +478,12 @@ _FAMILIES = "SELECT model_name, family AS canonical, confidence FROM (SELECT mod
 
 @query(with_sql("names", _FAMILIES))
 def e7_families(spark, d):
-    return N.match_family(P.names(spark, d), N.family_rules(spark))
+    return N.match_family(P.names(spark, d), N.family_rules())
 
 
 @query()
 def e9_normalize_names(spark, d):
-    return N.normalize_names(name_pool(spark, d), P.aliases(spark, d), N.family_rules(spark))
+    return N.normalize_names(name_pool(spark, d), P.aliases(spark, d), N.family_rules())
 
 
 def name_pool(spark, d):
@@ -496,7 +506,7 @@ def e10_resolve_names(spark, d):
 
 @query(with_sql("facts aliases", "SELECT model_name AS original, coalesce(canonical_name, model_name) AS canonical, CASE WHEN alias IS NULL THEN 0.1 ELSE 1.0 END::DOUBLE AS confidence, CASE WHEN alias IS NULL THEN 'manual' ELSE 'exact' END AS match_type FROM (SELECT DISTINCT model_name FROM facts) LEFT JOIN aliases ON model_name = alias"))
 def e5_normalize_exact(spark, d):
-    return N.normalize_names(P.facts(spark, d), P.aliases(spark, d), N.family_rules(spark), fuzzy=False)
+    return N.normalize_names(P.facts(spark, d), P.aliases(spark, d), N.family_rules(), fuzzy=False)
 
 
 @query(with_sql("facts aliases", "SELECT DISTINCT model_name FROM facts WHERE model_name NOT IN (SELECT alias FROM aliases)"))
@@ -553,10 +563,14 @@ def e25_deprecate(spark, d):
     return N.deprecate(r, as_of(), 3, 60).select("model_name", "is_deprecated")
 
 
-@query()
+@query("SELECT name, CASE WHEN contains(lower(name), 'code') THEN 'Code' WHEN contains(lower(name), 'legal') THEN 'Domain-Law' WHEN contains(lower(name), 'mgsm') THEN 'Multilingual' ELSE 'Misc' END AS category FROM (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN 'Code ' || p_partkey WHEN 1 THEN 'Legal ' || p_partkey WHEN 2 THEN 'MGSM ' || p_partkey ELSE 'x' || p_partkey END AS name, p_partkey FROM part) WHERE p_partkey % 3 <> 0")
 def e26_discover_benchmarks(spark, d):
-    p = P.table(spark, d, "part")
-    return N.discover_benchmarks(p.select(F.col("p_name").alias("header")), p.where("p_partkey % 3 = 0").select(F.col("p_name").alias("name")))
+    """Headers of four kinds and some that name no benchmark; a third of them is registered."""
+    k = F.col("p_partkey")
+    name = F.when(k % 4 == 0, F.concat(F.lit("Code "), k)).when(k % 4 == 1, F.concat(F.lit("Legal "), k)).when(k % 4 == 2, F.concat(F.lit("MGSM "), k)).otherwise(F.concat(F.lit("x"), k))
+    p = P.table(spark, d, "part").select(k, name.alias("name"))
+    plain = p.select(F.when(k % 2 == 0, "Model").otherwise(" average ").alias("header"))
+    return N.discover_benchmarks(p.select(F.concat(F.lit(" "), "name").alias("header")).union(plain), p.where("p_partkey % 3 = 0").select("name"))
 
 
 @query(with_sql("facts", "SELECT DISTINCT benchmark, CASE WHEN contains(benchmark, 'long') THEN 'LongContext' WHEN contains(leaderboard, 'Legal') THEN 'Domain-Law' WHEN contains(leaderboard, 'Medical') THEN 'Domain-Med' ELSE 'Misc' END AS category, CASE WHEN contains(leaderboard, 'Legal') THEN 'legal' WHEN contains(leaderboard, 'Medical') THEN 'medical' WHEN contains(leaderboard, 'SWE') THEN 'coding' ELSE 'general' END AS metric_category FROM facts"))
@@ -574,9 +588,15 @@ def e30_dedup_first(spark, d):
     return N.dedup_first(P.facts(spark, d), S.squashed(F.col("model_name"))).select("model_name", "score_id", "benchmark")
 
 
-@query(with_sql("names", "WITH s AS (SELECT list_sort(list_distinct(string_split(lower(model_name), ''))) AS s, min(model_name) AS name FROM names GROUP BY 1) SELECT a.name AS name_a, b.name AS name_b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) AS similarity FROM s a JOIN s b ON array_to_string(a.s, '') < array_to_string(b.s, '') WHERE len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) > 0.8").replace(") WITH s AS", "), s AS", 1))
+@query(with_sql("names", "SELECT * FROM (WITH s AS (SELECT DISTINCT model_name, list_distinct(string_split(lower(model_name), '')) AS s FROM names) SELECT a.model_name AS name_a, b.model_name AS name_b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) AS similarity FROM s a JOIN s b ON a.model_name < b.model_name) WHERE similarity > 0.8"))
 def e31_near_duplicate_names(spark, d):
-    return N.near_duplicate_names(P.names(spark, d)).select("name_a", "name_b", "similarity")
+    """All pairs of names, from the pairs of classes and the classes' names."""
+    names = P.names(spark, d)
+    c, pairs = N.name_classes(names), N.near_duplicate_names(names)
+    x, y = c.select(F.col("key").alias("key_a"), F.col("model_name").alias("m")), c.select(F.col("key").alias("key_b"), F.col("model_name").alias("o"))
+    between = pairs.join(x, "key_a").join(y, "key_b").select("m", "o", "similarity")
+    inside = x.join(y, F.col("key_a") == F.col("key_b")).where("m < o").select("m", "o", F.lit(1.0).alias("similarity"))
+    return between.union(inside).select(F.least("m", "o").alias("name_a"), F.greatest("m", "o").alias("name_b"), "similarity")
 
 
 _CLASSES = "(SELECT model_name, key, count(*) OVER (PARTITION BY key) AS n FROM (SELECT DISTINCT model_name, array_to_string(list_sort(list_distinct(string_split(lower(model_name), ''))), '') AS key FROM names))"
@@ -690,10 +710,10 @@ def b6_position_rank(spark, d):
     return T.add_position_rank(e, ["event_type"], "event_id", "view Rank").drop("event_type")
 
 
-@query()
+@query("SELECT l_orderkey, l_linenumber, round(CASE WHEN k = 0 THEN 0 ELSE (CASE WHEN l_quantity > 0 THEN l_quantity ELSE 0 END + CASE WHEN l_tax > 0 THEN l_tax ELSE 0 END + CASE WHEN l_discount > 0 THEN l_discount ELSE 0 END) / k END, 6) AS mean_pos, CASE WHEN l_discount > 0 THEN l_discount WHEN l_tax > 0 THEN l_tax WHEN l_quantity > 0 THEN l_quantity END AS first_pos, trunc(l_quantity * 5)::INT AS resolved, l_quantity BETWEEN 10 AND 20 AS fits FROM (SELECT *, (l_quantity > 0)::INT + (l_tax > 0)::INT + (l_discount > 0)::INT AS k FROM lineitem)")
 def b12_b13_row_rules(spark, d):
     li = P.table(spark, d, "lineitem")
-    return li.select("l_orderkey", "l_linenumber", F.round(S.mean_positive(F.col("l_quantity"), F.col("l_tax"), F.col("l_discount")), 4).alias("mean_pos"), S.first_positive(F.col("l_discount"), F.col("l_tax"), F.col("l_quantity")).alias("first_pos"), S.resolved_count(F.col("l_quantity")).alias("resolved"), S.in_range(F.col("l_quantity"), 10, 20).alias("fits"))
+    return li.select("l_orderkey", "l_linenumber", F.round(S.mean_positive(F.col("l_quantity"), F.col("l_tax"), F.col("l_discount")), 6).alias("mean_pos"), S.first_positive(F.col("l_discount"), F.col("l_tax"), F.col("l_quantity")).alias("first_pos"), S.resolved_count(F.col("l_quantity")).alias("resolved"), S.in_range(F.col("l_quantity"), 10, 20).alias("fits"))
 
 
 @query("SELECT event_id, CASE WHEN e2 = 0 THEN NULL ELSE e1 * 100.0 / e2 END AS pct, e1 AS n, (e1 / 1000)::DOUBLE AS cost, e1::DOUBLE AS seconds, (e1 * 1000)::DOUBLE AS scaled, e1::DOUBLE AS unit, 0::DOUBLE AS safe FROM (SELECT event_id, event_id % 97 AS e1, user_id % 13 AS e2 FROM events)")
@@ -712,16 +732,22 @@ def b14_c2_c6_name_rules(spark, d):
     return P.names(spark, d).select(n, S.extract_params_b(n).alias("params_b"), S.is_real_name(n).alias("is_real"), S.has_vendor(n).alias("vendor"), S.is_artifact_name(n).alias("artifact"), S.ellipsize(n, 12).alias("short"))
 
 
-@query()
+@query("SELECT p_partkey, p_name, (contains(t, 'promo') OR contains(t, 'economy')) AND NOT contains(t, 'brass') AS likely, contains(n, 'language') OR contains(n, 'text') OR contains(n, 'nlp') OR contains(n, 'natural') OR contains(n, 'qa') OR contains(n, 'question') OR contains(n, 'reading') OR contains(n, 'comprehension') OR contains(n, 'generation') OR contains(n, 'classification') AS is_language FROM (SELECT *, lower(p_type || ' ' || p_name) AS t, lower(p_name || ' ' || CASE p_partkey % 4 WHEN 0 THEN 'QA set' WHEN 1 THEN 'of Natural things' ELSE 'other' END) AS n FROM part) WHERE contains(lower(p_name), '9') OR (p_retailprice <> 0 AND contains(p_retailprice::VARCHAR, '9'))")
 def c9_c13_predicates(spark, d):
     p = P.table(spark, d, "part")
-    return p.where(S.matches_query(F.col("p_name"), [F.col("p_retailprice")], "9")).select("p_partkey", "p_name", S.likely_leaderboard(F.col("p_type"), F.col("p_name"), ("promo", "economy"), ("brass",)).alias("likely"))
+    about = F.when(F.col("p_partkey") % 4 == 0, "QA set").when(F.col("p_partkey") % 4 == 1, "of Natural things").otherwise("other")
+    found = p.where(S.matches_query(F.col("p_name"), [F.col("p_retailprice")], "9"))
+    return found.select("p_partkey", "p_name", S.likely_leaderboard(F.col("p_type"), F.col("p_name"), ("promo", "economy"), ("brass",)).alias("likely"), S.language_related(F.col("p_name"), about).alias("is_language"))
 
 
 # Pages
 
 
-@query()
+#: What the rows of the made tables hold, by page; the pages' own html has no table.
+_MADE = "made AS (SELECT page_id, coalesce(regexp_extract(url, '://(?:www\\.|m\\.|blog\\.)?([^/.]+)', 1), '') AS host, page_id % 100 AS pct, length(url)::DOUBLE AS len FROM pages)"
+
+
+@query(f"WITH {_MADE} SELECT model, metric, count(*) AS n, round(avg(value), 4) AS value FROM (SELECT host AS model, 'Score' AS metric, pct::DOUBLE AS value FROM made UNION ALL SELECT host, 'Rank', 1 FROM made UNION ALL SELECT 'base', 'Score', len FROM made UNION ALL SELECT 'base', 'Pass@1', 0.5 FROM made UNION ALL SELECT 'base', 'Rank', 3 FROM made) WHERE model <> '' GROUP BY ALL")
 def a5_tables(spark, d):
     """Tables made of every page's links and headings, cut into cells and read as scores."""
     return H.table_cells_to_scores(H.extract_tables(_boards_of_pages(spark, d))).groupBy("model", "metric").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("value"))
@@ -735,14 +761,16 @@ def _boards_of_pages(spark, d):
     return p.select("page_id", html.alias("html"))
 
 
-@query()
+@query("SELECT page_id, 1 AS pattern_no, page_id AS rank, true AS name_is_null FROM pages")
 def a8_embedded_json(spark, d):
-    p = P.table(spark, d, "pages").select("page_id", F.concat(F.lit("<script>var data = {rank: "), F.col("page_id"), F.lit(", /* x */ name: undefined,};</script>"), "html").alias("html"))
-    return H.extract_embedded_json(p, [r"var data = (\{.*?\});", r"var t=(\{.*?\});"])
+    """A script put before every page's own html: the first pattern's match doesn't parse, the second's does once it is mended."""
+    p = P.table(spark, d, "pages").select("page_id", F.concat(F.lit("<script>var bad = {oops; var data = {rank: "), F.col("page_id"), F.lit(", /* x */ name: undefined,};</script>"), "html").alias("html"))
+    found = H.extract_embedded_json(p, [r"var bad = (\{.*?;)", r"var data = (\{.*?\});"])
+    return found.select("page_id", "pattern_no", F.get_json_object("json", "$.rank").cast("long").alias("rank"), F.get_json_object("json", "$.name").isNull().alias("name_is_null"))
 
 
-@query()
-def a6_a12_cell_rules(spark, d):
+@query(f"WITH {_MADE} SELECT page_id, host AS model, pct::DOUBLE AS value, 'range' AS rule FROM made UNION ALL SELECT page_id, 'base', len, 'range' FROM made WHERE len <= 2000 UNION ALL SELECT page_id, 'base', 0.5, 'range' FROM made WHERE len > 2000 UNION ALL SELECT page_id, 'base', len, 'two' FROM made WHERE len > 0 UNION ALL SELECT page_id, host, pct::DOUBLE, 'keyword' FROM made WHERE host <> '' UNION ALL SELECT page_id, 'base', CASE WHEN len <= 1 THEN len * 100 ELSE len END, 'keyword' FROM made")
+def a6_a7_cell_rules(spark, d):
     cells = H.extract_tables(_boards_of_pages(spark, d))
     a = H.table_cells_first_in_range(cells, 0).select("page_id", "model", "value", F.lit("range").alias("rule"))
     b = H.table_cells_two_column(cells).select("page_id", "model", "value", F.lit("two").alias("rule"))
@@ -750,12 +778,28 @@ def a6_a12_cell_rules(spark, d):
     return a.union(b).union(c)
 
 
-@query()
+@query("SELECT page_id, 'm' || page_id AS model, 'chat' AS model_type, 1::DOUBLE AS rank, (page_id % 90)::DOUBLE AS average, 40.5::DOUBLE AS ifeval, NULL::DOUBLE AS mmlu_pro, 3::DOUBLE AS co2_cost FROM pages")
+def a12_map_headers(spark, d):
+    """A board before every page's own html, one row of which has no score."""
+    row = lambda *c: F.concat(F.lit("<tr><td>"), F.concat_ws("</td><td>", *c), F.lit("</td></tr>"))
+    head = F.lit("<table><tr><th>Rank</th><th>Model Name</th><th>T(ype)</th><th>Average ↑</th><th>IFEval</th><th>MMLU-PRO</th><th>CO₂ cost (co)</th></tr>".replace("T(ype)", "Type"))
+    html = F.concat(head, row(F.lit("1"), F.concat(F.lit("m"), "page_id"), F.lit("chat"), (F.col("page_id") % 90).cast("string"), F.lit("40.5%"), F.lit("-"), F.lit("3")), row(F.lit("2"), F.lit("none"), F.lit("chat"), F.lit("-"), F.lit("N/A"), F.lit(""), F.lit("1")), F.lit("</table>"), "html")
+    cells = H.extract_tables(P.table(spark, d, "pages").select("page_id", html.alias("html")))
+    return H.map_headers(cells).select("page_id", "model", "model_type", "rank", "average", "ifeval", "mmlu_pro", "co2_cost")
+
+
+_SCAN = "SELECT page_id, 'elo-' || page_id % 5 AS model, 1000 + page_id % 100 AS value FROM pages"
+_NEAR = "SELECT page_id, 'gpt' AS model, 77.5 AS value FROM pages"
+_CARDS = "SELECT page_id, trim(name) AS model, (pos - 1) + 1 AS value FROM (SELECT page_id, generate_subscripts(l, 1) AS pos, regexp_extract(unnest(l), '>([^<]*)</a>', 1) AS name FROM (SELECT page_id, regexp_extract_all(html, '<li>([^\\n\\r]*?)</li>', 1) AS l FROM pages)) WHERE trim(name) <> ''"
+
+
+@query(f"SELECT page_id, model, value::DOUBLE AS value FROM ({_SCAN} UNION ALL {_NEAR} UNION ALL {_CARDS})")
 def a9_a11_text_rules(spark, d):
-    p = P.table(spark, d, "pages").withColumn("html", F.concat("html", F.lit("\nelo-"), F.col("page_id") % 5, F.lit(" 1"), F.lpad((F.col("page_id") % 100).cast("string"), 3, "0"), F.lit("\ngpt line\n77.5 points")))
-    scan = H.regex_scan(p, r"(elo-\d)\s(\d{4})", 500, 2000).select("page_id", F.col("name").alias("model"), F.col("score").alias("value"))
-    near = H.proximity_scores(p, "gpt", F.col("html")).select("page_id", "model", "value")
-    cards = H.extract_cards(p, r"<li>(.*?)</li>", r">([^<]*)</a>", r"data-score=\"([^\"]*)\"").select("page_id", "model", F.col("rank").cast("double").alias("value"))
+    p = P.table(spark, d, "pages")
+    end = F.concat(F.lit("\nelo-"), F.col("page_id") % 5, F.lit(" 1"), F.lpad((F.col("page_id") % 100).cast("string"), 3, "0"), F.lit("\nfar\nfar\ngpt line\n77.5 points"))
+    scan = H.regex_scan(p.withColumn("html", F.concat("html", end)), r"(elo-\d)\s(\d{4})", 500, 2000).select("page_id", F.col("name").alias("model"), F.col("score").alias("value"))
+    near = H.proximity_scores(p.withColumn("html", end), "gpt", F.col("html")).select("page_id", "model", "value")
+    cards = H.extract_cards(p, r"<li>([^\n\r]*?)</li>", r">([^<]*)</a>", r"data-score=\"([^\"]*)\"").select("page_id", "model", F.col("rank").cast("double").alias("value"))
     return scan.union(near).union(cards)
 
 
@@ -763,20 +807,17 @@ def a9_a11_text_rules(spark, d):
 
 
 def _folder(spark, name: str) -> str:
-    """A new folder beside the checkpoints, which the cluster shares; in tests one of this machine."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return shared_path(spark, name)
 
 
 @query(with_sql("facts", "SELECT score_id, leaderboard, round(CASE WHEN leaderboard = 'HELM Views' THEN value + 1 ELSE value END, 4) AS value FROM facts"))
 def a13_a14_overwrite_and_replace(spark, d):
-    """All facts written, then one leaderboard's partition replaced."""
-    path = _folder(spark, "facts")
+    """A table overwritten by all facts, then one leaderboard's partition replaced."""
+    path, first = _folder(spark, "facts"), _folder(spark, "first")
     f = P.facts(spark, d).select("score_id", "leaderboard", "value")
-    T.replace_partition(f, path)
+    T.overwrite(f.where("score_id % 2 = 0"), first)
+    T.overwrite(f, first)
+    T.replace_partition(spark.read.parquet(first), path)
     T.replace_partition(f.where("leaderboard = 'HELM Views'").withColumn("value", F.col("value") + 1), path)
     return rounded(spark.read.parquet(path), "value").select("score_id", "leaderboard", "value")
 
@@ -788,15 +829,17 @@ def a15_json_export(spark, d):
     return spark.read.schema("score_id long, model_name string, value double").json(path)
 
 
-@query("SELECT 'model-' || user_id AS model, event_type AS metric, round(avg(value), 4) AS value FROM events GROUP BY user_id, event_type")
+@query("SELECT 'model-' || user_id AS model, event_type AS metric, max(value) AS value FROM events GROUP BY user_id, event_type")
 def a1_b1_score_dump(spark, d):
-    """A dump of a source a user, written as JSON and read again as records."""
+    """Dumps of a source a user, a file a part, written as JSON and read again as records."""
     e = P.table(spark, d, "events")
-    scores = e.groupBy("user_id", "event_type").agg(F.round(F.avg("value"), 4).alias("v")).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "v"))).alias("scores"))
+    scores = e.groupBy("user_id", "event_type").agg(F.max("value").alias("v")).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "v"))).alias("scores"))
     path = _folder(spark, "dump")
-    scores.select(F.create_map(F.lit("events"), F.array(F.struct(F.concat(F.lit("model-"), "user_id").alias("model"), "scores"))).alias("dump")).select(F.to_json("dump").alias("value")).write.text(path)
-    lines = spark.read.text(path).select(F.from_json("value", "map<string,array<struct<model:string,scores:map<string,double>>>>").alias("dump"))
-    return T.unpivot_scores(T.valid_record(T.flatten_sources(lines))).select("model", "metric", "value")
+    record = F.struct(F.concat(F.lit("model-"), "user_id").alias("model"), "scores", F.lit("events").alias("source"))
+    part = scores.groupBy(F.pmod(F.xxhash64("user_id"), F.lit(16)).alias("part")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("s"), "user_id"), F.array(record))))).alias("value"))
+    part.repartition(16, "part").select("value").write.text(path)
+    dumps = T.read_score_dump(spark, path, "sources", lines=True)
+    return T.unpivot_scores(T.valid_record(dumps)).select("model", "metric", "value")
 
 
 @query("SELECT s_name AS model, 'acctbal' AS metric, s_acctbal AS value FROM supplier UNION ALL SELECT s_name, 'nation', s_nationkey FROM supplier")
@@ -850,17 +893,27 @@ def e17_e18_review_queue(spark, d):
     return N.apply_reviews(queue, decide, a)[0].select("original_name", "status")
 
 
-@query(with_sql("facts aliases", "SELECT count(*) AS total, count(alias) AS mapped, 0::BIGINT AS auto_normalized, 0::BIGINT AS review_needed, count(*) - count(alias) AS unresolved FROM (SELECT DISTINCT model_name FROM facts) LEFT JOIN aliases ON model_name = alias"))
+@query(with_sql("facts aliases", "SELECT total, mapped, auto_normalized, review_needed, total - mapped - auto_normalized - review_needed AS unresolved FROM (SELECT count(*) AS total, count(*) FILTER (k = 0) AS mapped, count(*) FILTER (k = 1) AS auto_normalized, count(*) FILTER (k = 2) AS review_needed FROM (SELECT model_name, CASE WHEN model_name IN (SELECT alias FROM aliases) THEN 0 WHEN u % 5 < 2 THEN 1 WHEN u % 5 = 2 THEN 2 ELSE 3 END AS k FROM (SELECT DISTINCT model_name, replace(model_name, 'model-', '')::BIGINT AS u FROM facts)))"))
 def e19_process_batch(spark, d):
-    return N.process_batch(e5_normalize_exact(spark, d))
+    """A batch of the facts' names, of which those without an alias carry the name of a known family, one that leaves doubt, or none."""
+    f = P.facts(spark, d).select("model_name").distinct()
+    u = F.replace("model_name", F.lit("model-"), F.lit("")).cast("long")
+    known = F.col("alias").isNotNull()
+    name = F.when(known, F.col("model_name")).when(u % 5 < 2, F.concat(F.lit("openai gpt-3.5-turbo "), u)).when(u % 5 == 2, F.concat(F.lit("my claude-3-opus "), u)).otherwise(F.concat(F.lit("x"), u))
+    batch = f.join(P.aliases(spark, d).select("alias"), F.col("model_name") == F.col("alias"), "left").select(name.alias("model_name"))
+    rules = N.family_rules({"GPT-3.5 Turbo": (r"gpt-3\.5-turbo\s\d",), "Claude": (r"claude-3-opus",)})
+    return N.process_batch(N.normalize_names(batch, P.aliases(spark, d), rules, fuzzy=False))
 
 
 # Streams: each reads a table as a stream, runs until all of it is processed, and returns what was written.
 
 
-def _events_stream(spark, d):
+def _events_stream(spark, d, files: int = 3):
+    """events dealt over several files by time, so that a stream of one file a batch carries state from batch to batch."""
+    path = _folder(spark, "events")
     e = P.table(spark, d, "events")
-    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/events.parque[t]")  # a pattern: a plain path must be a folder
+    e.repartitionByRange(files, "ts", "event_id").write.parquet(path)
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def _facts_stream(spark, d):
@@ -892,21 +945,20 @@ def l2_stream_dedup(spark, d):
     return _ran(spark, stream_dedup(f.unionByName(f).select("model_name", "leaderboard", "benchmark", "scraped_at"))).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(with_sql("facts", "SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS scores, count(DISTINCT model_name) AS models FROM (SELECT model_name, unnest(generate_series(date_trunc('hour', scraped_at) - INTERVAL 23 HOUR, date_trunc('hour', scraped_at), INTERVAL 1 HOUR)) AS w FROM facts) GROUP BY w"))
 def l3_stream_volume(spark, d):
     from scorelake.streaming.streams import stream_volume
 
-    return _ran(spark, stream_volume(_facts_stream(spark, d)))
+    return _ran(spark, stream_volume(_facts_stream(spark, d), delay="400 days"), "complete").withColumn("start", when_text("start")).drop("end")
 
 
 @query(with_sql("facts", "SELECT model_name, benchmark, round(arg_max(value, (scraped_at, score_id)), 4) AS value FROM facts GROUP BY ALL"))
 def l4_stream_upsert(spark, d):
-    from scorelake.streaming.streams import stream_upsert
+    from scorelake.streaming.streams import read_upserts, stream_upsert
 
     path = _folder(spark, "upserts")
-    stream_upsert(_facts_stream(spark, d), path, _folder(spark, "state")).trigger(availableNow=True).start().awaitTermination()
-    last = spark.read.parquet(path)
-    return rounded(last.where(F.col("snapshot") == last.agg(F.max("snapshot")).first()[0]), "value").select("model_name", "benchmark", "value")
+    stream_upsert(_facts_stream(spark, d), path, _folder(spark, "state"), 8).trigger(availableNow=True).start().awaitTermination()
+    return rounded(read_upserts(spark, path), "value").select("model_name", "benchmark", "value")
 
 
 @query(BATTLES_SQL)
@@ -964,7 +1016,7 @@ def k4_system_alerts(spark, d):
     return M.system_alerts(c, N.alias_coverage(P.facts(spark, d), P.aliases(spark, d)), as_of())
 
 
-@query(with_sql("facts", "SELECT 'coverage' AS test, c >= 95 AS passed, 95::DOUBLE AS threshold, c AS actual FROM (SELECT least(100, count(*) FILTER (model_name LIKE '%1') * 100 / 15)::DOUBLE AS c FROM (SELECT DISTINCT model_name FROM facts)) UNION ALL SELECT 'empty_categories', false, 0, 1"))
+@query(with_sql("facts", "SELECT 'coverage' AS test, c >= 95 AS passed, 95::DOUBLE AS threshold, round(c, 6) AS actual FROM (SELECT least(100, count(*) FILTER (model_name LIKE '%1') * 100 / 15)::DOUBLE AS c FROM (SELECT DISTINCT model_name FROM facts)) UNION ALL SELECT 'empty_categories', false, 0, 1"))
 def k10_k14_coverage_checks(spark, d):
     f = P.facts(spark, d)
     models = f.select("model_name").distinct()
@@ -978,8 +1030,14 @@ def k19_ingest_batch(spark, d):
     return M.ingest_batch(f, known, f.select(S.canonical_benchmark(F.col("benchmark")).alias("benchmark_id")))
 
 
-@query(with_sql("facts aliases", "SELECT (SELECT count(*) FROM aliases) AS before, (SELECT count(*) FROM aliases) AS after"))
+@query(with_sql("facts aliases", "SELECT n AS before, n + (SELECT count(DISTINCT model_name) FROM facts WHERE model_name NOT IN (SELECT alias FROM aliases)) AS after, true AS recomputed FROM (SELECT count(*) + 1 AS n FROM aliases)"))
 def e20_daily_normalize(spark, d):
-    a = P.aliases(spark, d)
-    after = N.daily_normalize(P.facts(spark, d), a, N.family_rules(spark))[1]
-    return a.agg(F.count("*").alias("before")).crossJoin(after.agg(F.count("*").alias("after")))  # one row each
+    """Names without an alias are written as a known model's; they are sure matches and become aliases, so composites are made anew."""
+    known = spark.createDataFrame([("seed-gpt", "GPT-3.5 Turbo", "GPT", "OpenAI", "seed", 1.0)], "alias string, canonical_name string, model_family string, provider string, source string, confidence_score double")
+    a = P.aliases(spark, d).unionByName(known)
+    n = norm(spark, d)
+    rest = n.join(a.select(F.col("alias").alias("model_name")), "model_name", "left_anti").withColumn("model_name", F.concat(F.lit("gpt-3.5-turbo 1 "), "model_name"))
+    both = n.join(a.select(F.col("alias").alias("model_name")), "model_name", "left_semi").unionByName(rest)
+    rules = N.family_rules({"GPT-3.5 Turbo": (r"gpt-3\.5-turbo\s\d",)})
+    _, after, made = N.daily_normalize(both, a, rules, recompute=lambda own: C.composite_scores(C.domain_scores(both, own), P.profiles(spark)))
+    return a.agg(F.count("*").alias("before")).crossJoin(after.agg(F.count("*").alias("after"))).crossJoin((made if made is not None else a.limit(0)).agg((F.count("*") > 0).alias("recomputed")))  # one row each

@@ -33,6 +33,16 @@ def read_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, hig
     return spark.read.jdbc(url, table, column=key, lowerBound=low, upperBound=high, numPartitions=parts)
 
 
+def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", parts: int = 8, **options: str) -> None:
+    """Writes df to a database's table over `parts` connections. A task that is run again appends its rows again, so write to an empty table of
+    its own (mode="overwrite") where executors can be lost, and rename it in the database."""
+    df.coalesce(parts).write.options(**options).jdbc(url, table, mode=mode)
+
+
+def write_table(df: DataFrame, folder: str, name: str) -> None:
+    df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+
+
 def overwrite(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
@@ -47,19 +57,23 @@ def export_json(df: DataFrame, path: str) -> None:
 
 
 def latest_snapshot(spark: SparkSession, pattern: str) -> DataFrame:
-    """The lines of the file changed last among those of a pattern, as `value`; of equals the later name."""
-    files = spark.read.text(pattern, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("at"))
-    newest = files.agg(F.max(F.struct("at", "file")).alias("m")).select("m.file")  # one row
-    return spark.read.text(pattern).select("value", F.col("_metadata.file_path").alias("file")).join(F.broadcast(newest), "file").select("value")
+    """The lines of the file changed last among those of a pattern, as `value`; of equals the later name. Only the files' names and times are
+    read to find it."""
+    path = F.col("path")
+    listed = spark.read.format("binaryFile").load(pattern).select(path, F.col("modificationTime").alias("at"))  # contents aren't read
+    newest = listed.agg(F.max(F.struct("at", "path")).alias("m")).first()["m"]
+    if newest is None:
+        return spark.createDataFrame([], "value string")
+    return spark.read.text(newest["path"])
 
 
-def read_score_dump(spark: SparkSession, path: str, shape: str = "array") -> DataFrame:
+def read_score_dump(spark: SparkSession, path: str, shape: str = "array", lines: bool = False) -> DataFrame:
     """Records of a JSON dump: `array` of records, `sources` {source: [record]}, `categories` {source: {category: [record]}} or `models`
-    {models: [record]}."""
+    {models: [record]}. A file, or with `lines` (not for `array`) a line, is a dump."""
     records = T.ArrayType(RECORD)
     if shape == "array":
         return spark.read.schema(RECORD).json(path, multiLine=True)
-    text = spark.read.text(path, wholetext=True)
+    text = spark.read.text(path, wholetext=not lines)
     if shape == "models":
         return text.select(F.explode(F.from_json("value", T.StructType([T.StructField("models", records)]))["models"]).alias("r")).select("r.*")
     return flatten_sources(text.select(F.from_json("value", T.MapType(T.StringType(), records if shape == "sources" else T.MapType(T.StringType(), records))).alias("dump")), nested=shape == "categories")
@@ -113,10 +127,10 @@ def numeric_fields_to_facts(df: DataFrame, records: str, model_keys: Sequence[st
 
 
 def add_position_rank(df: DataFrame, keys: Sequence[str], order: str, metric: str) -> DataFrame:
-    """Facts of each row's place in its list, as a rank metric."""
-    from pyspark.sql import Window as W
+    """Facts of each row's place in its list, as a rank metric; of equals in `order` any may be first. Long lists are ranked over all tasks."""
+    from scorelake.operators.boards import global_rank
 
-    return df.select(*df.columns, F.lit(metric).alias("rank_metric"), F.row_number().over(W.partitionBy(*keys).orderBy(order)).cast("long").alias("rank_value"))
+    return global_rank(df, order, order, keys, ascending=True).select(*df.columns, F.lit(metric).alias("rank_metric"), F.col("rank").cast("long").alias("rank_value"))
 
 
 def nested_scores_to_facts(df: DataFrame, text: str, percent_below_one: bool = False) -> DataFrame:
@@ -126,12 +140,41 @@ def nested_scores_to_facts(df: DataFrame, text: str, percent_below_one: bool = F
     return m.select("model", F.concat_ws("_", "benchmark", "kind").alias("metric"), v.alias("value")).where("value is not null")
 
 
-def metrics_to_facts(df: DataFrame, model: str, metrics: Mapping[str, bool]) -> DataFrame:
-    """Fixed metric columns as facts with direction flags; nulls are left out."""
-    row = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"), F.lit(up).alias("higher_is_better")) for m, up in metrics.items())))
+def metrics_to_facts(df: DataFrame, model: str, metrics: Mapping[str, bool], absent: float | None = 0.0) -> DataFrame:
+    """Fixed metrics as facts with direction flags; nulls are left out. A metric that df has no column of counts as `absent` (None: is left
+    out)."""
+    have = {m: up for m, up in metrics.items() if m in df.columns or absent is not None}
+    value = lambda m: F.col(m).cast("double") if m in df.columns else F.lit(absent)
+    row = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), value(m).alias("value"), F.lit(up).alias("higher_is_better")) for m, up in have.items())))
     return df.select(F.col(model).alias("model_name"), row.alias("f")).select("model_name", "f.*").where("value is not null")
 
 
+#: Fields of usage records and the metrics that they give.
+USAGE_FIELDS = {
+    "tokens": "Total Tokens",
+    "prompt_tokens": "Prompt Tokens",
+    "completion_tokens": "Completion Tokens",
+    "usage_count": "Usage Count",
+    "requests": "Requests",
+    "rank": "Popularity Rank",
+    "percentage": "Usage Percentage",
+    "weekly_tokens": "Weekly Tokens",
+    "monthly_tokens": "Monthly Tokens",
+}
+#: Fields of open-model records and the metrics that they give; an absent one counts as 0.
+OPEN_LLM_FIELDS = {"ARC": "arc", "HellaSwag": "hellaswag", "MMLU": "mmlu", "TruthfulQA": "truthfulqa", "Winogrande": "winogrande", "GSM8K": "gsm8k", "Average": "average"}
+
+
+def map_fields(df: DataFrame, record: str, fields: Mapping[str, str], model_keys: Sequence[str] = ("id", "name", "model"), absent: float | None = None, unknown: str | None = None) -> DataFrame:
+    """model (after the provider's /), original_name, metric and value of records in a column of map<string,string>. The model is the first key
+    with text, or `unknown`; records without one are left out, and so are absent fields unless `absent` is given."""
+    name = F.coalesce(*(F.nullif(F.col(record)[k], F.lit("")) for k in model_keys), F.lit(unknown))
+    number = lambda k: F.coalesce(F.col(record)[k].try_cast("double"), F.lit(absent).cast("double"))
+    pairs = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), number(k).alias("value")) for k, m in fields.items())))
+    out = df.select(name.alias("original_name"), pairs.alias("f")).where("original_name is not null and f.value is not null")
+    return out.select(F.element_at(F.split("original_name", "/"), -1).alias("model"), "original_name", "f.metric", "f.value")
+
+
 def map_benchmark_category(df: DataFrame, dim: DataFrame, how: str = "inner") -> DataFrame:
     """df with the category of its metric from dim (metric, category): unlisted ones dropped, or with how="left" `other`."""
     return df.join(dim.select("metric", F.col("category").alias("metric_category")), "metric", how).withColumn("metric_category", F.coalesce("metric_category", F.lit("other")))

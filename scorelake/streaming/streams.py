@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from scorelake.operators.boards import upsert_latest, win_rates
 from scorelake.operators.normalize import normalize_scores
+from scorelake.sources.shared import delete
 
 
 def stream_normalize(facts: DataFrame, boards: DataFrame) -> DataFrame:
@@ -20,10 +21,12 @@ def stream_dedup(stream: DataFrame, delay: str = "2 hours") -> DataFrame:
     return stream.withWatermark("scraped_at", delay).dropDuplicatesWithinWatermark(["model_name", "leaderboard", "benchmark", "scraped_at"])
 
 
-def stream_volume(stream: DataFrame, window: str = "24 hours", delay: str = "2 hours") -> DataFrame:
-    """Scores of each window, once it is complete."""
-    g = stream.withWatermark("scraped_at", delay).groupBy(F.window("scraped_at", window))
-    return g.agg(F.count("*").alias("scores"), F.approx_count_distinct("model_name").alias("models")).select("window.start", "window.end", "scores", "models")
+def stream_volume(stream: DataFrame, window: str = "24 hours", slide: str = "1 hour", delay: str = "2 hours") -> DataFrame:
+    """Scores and distinct models of every window of that length that begins at each slide: a rolling volume. For update or complete output
+    mode, in which open windows are in the result too; the watermark lets the state of past ones go. Models are counted exactly: the set of a
+    window's models is its state."""
+    g = stream.withWatermark("scraped_at", delay).groupBy(F.window("scraped_at", window, slide))
+    return g.agg(F.count("*").alias("scores"), F.size(F.collect_set("model_name")).cast("long").alias("models")).select("window.start", "window.end", "scores", "models")
 
 
 def stream_win_rates(stream: DataFrame, min_battles: int = 50) -> DataFrame:
@@ -31,14 +34,50 @@ def stream_win_rates(stream: DataFrame, min_battles: int = 50) -> DataFrame:
     return win_rates(stream, min_battles)
 
 
-def stream_upsert(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Keeps the latest value of every model and benchmark in numbered snapshots under path, a new one a batch. A batch that is run again
-    writes the same snapshot, so each takes effect once."""
+#: Parts of the state of stream_upsert, by a hash of the key.
+STATE_PARTS = 64
+
+
+def stream_upsert(stream: DataFrame, path: str, checkpoint: str, parts: int = STATE_PARTS) -> DataStreamWriter:
+    """Keeps the latest value of every model and benchmark, in whatever order batches come, in tables under path, by part=<hash of the key>/version=<batch>.
+
+    A batch reads and writes only the parts that its keys fall in, and deletes their versions before the last; the last stays for the batch's
+    own repetition. A batch that is run again starts from versions before it and writes the same, so each takes effect once.
+    """
+    schema = "model_name string, benchmark string, value double, updated_at timestamp"
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        empty = spark.createDataFrame([], "model_name string, benchmark string, value double, updated_at timestamp")
-        before = spark.read.parquet(f"{path}/snapshot={number - 1}") if number else empty
-        upsert_latest(before.select(*empty.columns), batch).drop("is_new").write.mode("overwrite").parquet(f"{path}/snapshot={number}")
+        part = F.pmod(F.xxhash64("model_name", "benchmark"), F.lit(parts)).cast("int")
+        batch = batch.withColumn("part", part).persist()
+        touched = sorted(r.part for r in batch.select("part").distinct().collect())  # at most `parts`
+        held = state_versions(spark, path)
+        before = [f"{path}/part={k}/version={max(v for v in held.get(k, []) if v < number)}" for k in touched if any(v < number for v in held.get(k, []))]
+        current = spark.read.schema(schema).parquet(*before) if before else spark.createDataFrame([], schema)
+        new = upsert_latest(current, batch, newest=True).drop("is_new").withColumn("part", part).withColumn("version", F.lit(number))
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "version").parquet(path)
+        batch.unpersist()
+        for k in touched:
+            for v in sorted(v for v in held.get(k, []) if v < number)[:-1]:
+                delete(spark, f"{path}/part={k}/version={v}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+
+
+def state_versions(spark: SparkSession, path: str) -> dict[int, list[int]]:
+    """The versions of each part under path. A folder a part, so few."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out: dict[int, list[int]] = {}
+    for found in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/part=*/version=*")) or []:
+        own = found.getPath()
+        out.setdefault(int(own.getParent().getName().split("=")[1]), []).append(int(own.getName().split("=")[1]))
+    return out
+
+
+def read_upserts(spark: SparkSession, path: str) -> DataFrame:
+    """The latest version of every part."""
+    last = [f"{path}/part={k}/version={max(v)}" for k, v in state_versions(spark, path).items()]
+    schema = "model_name string, benchmark string, value double, updated_at timestamp"
+    return spark.read.schema(schema).parquet(*last) if last else spark.createDataFrame([], schema)

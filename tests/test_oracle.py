@@ -6,6 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from scorelake.plans import more  # noqa: F401
 from scorelake.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -34,7 +35,7 @@ def rows(df: pd.DataFrame) -> list[tuple]:
 
 
 def same(a, b):
-    return a == b or (isinstance(a, float) and isinstance(b, float) and math.isclose(a, b, rel_tol=1e-6, abs_tol=2e-4))
+    return a == b or (isinstance(a, float) and isinstance(b, float) and math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9))
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
