@@ -908,16 +908,21 @@ def e19_process_batch(spark, d):
 # Streams: each reads a table as a stream, runs until all of it is processed, and returns what was written.
 
 
-def _events_stream(spark, d, files: int = 3):
-    """events dealt over several files by time, so that a stream of one file a batch carries state from batch to batch."""
+def _events_stream(spark, d, files: int = 3, twice: bool = False):
+    """events dealt over several files by time, so that a stream of one file a batch carries state from batch to batch. With `twice` each is
+    in two files."""
     path = _folder(spark, "events")
     e = P.table(spark, d, "events")
-    e.repartitionByRange(files, "ts", "event_id").write.parquet(path)
+    if twice:
+        part = lambda k: F.pmod(F.xxhash64("event_id") + k, F.lit(files))
+        e.withColumn("part", part(0)).union(e.withColumn("part", part(1))).repartition(files, "part").drop("part").write.parquet(path)
+    else:
+        e.repartitionByRange(files, "ts", "event_id").write.parquet(path)
     return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def _facts_stream(spark, d):
-    return P.facts_of(_events_stream(spark, d))
+def _facts_stream(spark, d, twice: bool = False):
+    return P.facts_of(_events_stream(spark, d, twice=twice))
 
 
 def _ran(spark, df: DataFrame, mode: str = "append") -> DataFrame:
@@ -941,8 +946,9 @@ def l1_stream_normalize(spark, d):
 def l2_stream_dedup(spark, d):
     from scorelake.streaming.streams import stream_dedup
 
-    f = _facts_stream(spark, d)
-    return _ran(spark, stream_dedup(f.unionByName(f).select("model_name", "leaderboard", "benchmark", "scraped_at"))).agg(F.count("*").alias("n"))
+    f = _facts_stream(spark, d, twice=True)
+    own = f.select("model_name", "leaderboard", "benchmark", "scraped_at")
+    return _ran(spark, stream_dedup(own, "400 days")).agg(F.count("*").alias("n"))
 
 
 @query(with_sql("facts", "SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS scores, count(DISTINCT model_name) AS models FROM (SELECT model_name, unnest(generate_series(date_trunc('hour', scraped_at) - INTERVAL 23 HOUR, date_trunc('hour', scraped_at), INTERVAL 1 HOUR)) AS w FROM facts) GROUP BY w"))
