@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 from scorelake.llm.common import drop, kept, ship, slices, utf8, written
 
 WINDOW = 10
-#: Words of one automaton, about: it takes some 400 bytes a word. Larger benchmarks are matched in blocks.
-BLOCK_WORDS = 500_000
+#: Words of one automaton, about: it takes some 800 bytes a word. Larger benchmarks are matched in blocks.
+BLOCK_WORDS = 250_000
 #: Words of a piece of an item: what goes to one block whole. Pieces of an item overlap by all but one word of a window.
 PIECE_WORDS = 10_000
 #: A-Z lower-cased; all but letters, digits and bytes of other characters become a space.

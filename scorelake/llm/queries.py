@@ -13,10 +13,6 @@ from scorelake.llm.common import shared_path
 PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
 
 
-def tokenizer(name: str) -> str:
-    return name
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
