@@ -66,10 +66,12 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
     return own.mapInArrow(run, T.StructType([own.schema["id"], own.schema["key"], T.StructField("fp", T.LongType()), T.StructField("sig", T.ArrayType(T.LongType()))]))
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int, text_col: str) -> DataFrame:
-    """key, set (of its shingles' hashes, in order, as 64-bit integers) and size of every wanted key."""
+def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """key, set (of its shingles' hashes, in order, as 64-bit integers) and size of every wanted key. wanted: key, first, the id of the row that
+    the text is taken from; so of a group of copies one row is read on, and rows of that id and text are combined before the shuffle."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.select(F.unhex(F.md5(text)).alias("key"), text.alias("text")).join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("key"), text.alias("text"))
+    own = rows.join(wanted, rows["id"].eqNullSafe(wanted["first"]) & (rows["key"] == wanted["key"]), "left_semi").groupBy("key").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
@@ -175,7 +177,8 @@ def similar_documents(docs: DataFrame, words: int = 5, radius: int = 2, threshol
     beside = shared.select("key", "least", *(F.lag("key", k).over(w).alias(f"k{k}") for k in range(1, NEIGHBOURS + 1)))
     beside = beside.select(F.col("key").alias("b"), F.explode(F.array("least", *(f"k{k}" for k in range(1, NEIGHBOURS + 1)))).alias("a"))
     tried = written(ordered(near.union(beside.select("a", "b"))), "pairs")
-    sets = written(shingle_sets(docs, tried.select(F.explode(F.array("a", "b")).alias("key")).distinct(), words, text_col), "sets")
+    wanted = groups.select("key", "first").join(tried.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key", "left_semi")
+    sets = written(shingle_sets(docs, wanted, words, id_col, text_col), "sets")
     links = written(verified(tried, sets, threshold), "links")
     roots = components(links)
 
