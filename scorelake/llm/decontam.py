@@ -156,7 +156,7 @@ def _spans(pairs: list[tuple[int, int]]) -> list[dict]:
 def _matched(rows: DataFrame, block: Broadcast, window: int, text: str) -> DataFrame:
     """rows with n_words, spans and items, by one block."""
     at, key = rows.columns.index(text), uuid.uuid4().hex
-    schema = T.StructType([*rows.schema, T.StructField("n_words", T.LongType()), T.StructField("spans", T._parse_datatype_string(SPANS)), T.StructField("items", T._parse_datatype_string(ITEMS))])
+    schema = T.StructType([*rows.schema, T.StructField("n_words", T.LongType()), T.StructField("spans", T.DataType.fromDDL(SPANS)), T.StructField("items", T.DataType.fromDDL(ITEMS))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = kept(("block", key, window), lambda: Automaton(block.value, window))
