@@ -447,14 +447,14 @@ def test_op10(spark):
         assert r.items_sha256 == hashlib.sha256(",".join(named).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("block", [10**6, 20])
+@pytest.mark.parametrize("block", [10**6, 60])
 def test_automaton_against_all_windows(spark, block):
     rng = np.random.default_rng(5)
     draw = lambda n: " ".join(rng.choice(["a", "b", "C", "é9"], n))
     items = [(i, draw(n)) for i, n in enumerate([0, 1, 2, 3, 5, 6, 9, 10, 12, 30, 40, 40])] + [(90, None), (91, "!?"), (9, "zz")]
     docs = [(i, draw(int(n)), "x") for i, n in enumerate(rng.integers(0, 120, 60))] + [(100, None, "x"), (101, "", "x"), (102, items[9][1], "x")]
     d = spark.createDataFrame(docs, "doc_id long, text string, items string")
-    b = spark.createDataFrame(items[4:] if block == 20 else items[6:], "item_id long, text string")
+    b = spark.createDataFrame(items[4:] if block == 60 else items[6:], "item_id long, text string")
     for r in decontam.match_items(d, b, window=4, block_words=block).collect():
         n, hit, named = plain_hits(dict((x, y) for x, y, _ in docs)[r.doc_id], b.collect(), 4)
         assert r.n_words == n and {j for s in r.spans for j in range(s.first, s.end)} == hit and r["items"] == named
@@ -478,13 +478,13 @@ def test_blocks_are_passes_of_their_own(spark):
     rows = [(i % 40 if i % 7 else None, draw(int(n)), i) for i, n in enumerate(rng.integers(0, 90, 80))]
     docs = spark.createDataFrame(rows + rows[:20], "doc_id long, text string, spans long").coalesce(2)
     one = decontam.match_items(docs, items, window=4)
-    many = decontam.match_items(docs, items, window=4, block_words=40)
+    many = decontam.match_items(docs, items, window=4, block_words=250)
     key = lambda r: (r.doc_id or -1, r.n_words, str(r.spans), str(r["items"]))
     assert sorted(one.collect(), key=key) == sorted(many.collect(), key=key)
     assert one._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
     assert "MapInArrow" not in many._jdf.queryExecution().executedPlan().toString()
     for coverage in (0.0, 0.3):
-        a, b = (decontam.decontaminate(docs, items, max_coverage=coverage, window=4, block_words=n) for n in (10**6, 40))
+        a, b = (decontam.decontaminate(docs, items, max_coverage=coverage, window=4, block_words=n) for n in (10**6, 250))
         assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())) and a.columns == docs.columns
 
 
