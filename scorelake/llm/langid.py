@@ -20,8 +20,8 @@ from scorelake.llm.common import WordTable, drop, kept, model_file, ship, slices
 
 #: Documents of each language that the model is fitted on at most (about: drawn by a hash of the id).
 MAX_TRAIN_DOCS, ITERATIONS, SMOOTH, FLOOR = 5_000, 3, 0.05, 1e-9
-#: Standard deviations below its language's mean that a text's log-probability a character may lie.
-FIT_DEVIATIONS = 8.0
+#: Times the mean surprise a character of its language's documents that a text's may be.
+FIT_RATIO = 3.0
 #: Bytes of a text cut into words at a time, and words whose segmentations are summed at a time.
 CUT_BYTES, STEP = 1 << 20, 1 << 13
 #: A word: a letter, and the letters and marks after it.
@@ -256,8 +256,8 @@ def fit_languages(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col:
     """Learns from documents with a language whose id's crc32 doesn't leave 1 by 3: all of a language's, or about max_docs by a hash of the
     id (rows of one id are drawn together). vocab: a model file's path, or a public tokeniser's bare name. Repeated rows count as often as they
     are there. The driver gets a row a language and piece, which the vocabulary bounds. Without such documents the model knows no language.
-    with_floors: in one more pass over those documents, each language's mean log-probability a character less FIT_DEVIATIONS standard
-    deviations."""
+    with_floors: in one more pass over those documents, FIT_RATIO times each language's mean log-probability a character. (Its spread over
+    documents is no measure: it is that of long ones, while a short text with a key or a rare name in it lies many deviations off.)"""
     ship(docs.sparkSession)
     pieces = vocabulary(vocab)
     drawn, languages = _learnable(docs, id_col, text_col, lang_col, max_docs)
@@ -286,8 +286,8 @@ def fit_languages(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col:
     model = LanguageModel(pieces, languages, p)
     if with_floors:
         found = language(model, F.col("text"))
-        own = drawn.select(found.alias("x")).where("x.lang_pred != 'und'").groupBy("x.lang_pred").agg(F.avg("x.above").alias("m"), F.coalesce(F.stddev_samp("x.above"), F.lit(0.0)).alias("sd"))
-        by = {r.lang_pred: r.m - FIT_DEVIATIONS * r.sd for r in own.collect()}
+        own = drawn.select(found.alias("x")).where("x.lang_pred != 'und'").groupBy("x.lang_pred").agg(F.avg("x.above").alias("m"))
+        by = {r.lang_pred: FIT_RATIO * r.m for r in own.collect()}
         model.floors = np.array([by.get(x, -np.inf) for x in languages])
     return model
 

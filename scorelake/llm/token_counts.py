@@ -132,7 +132,7 @@ class Counter:
 
     def __init__(self, path: str):
         self.bpe, self.words = PrefixBpe(path), WordBpe(path)
-        self.table = WordTable(self._compute, np.int8)
+        self.table = WordTable(self._compute, np.int8, 1_000_000, 128 << 20)  # what it has computed is dear
         self.cut = regex.compile("|".join(map(regex.escape, sorted((s.decode() for s in self.words.special), key=len, reverse=True))) or r"(?!)")
         self.bytes = {c: b for b, c in enumerate(self.bpe.letters)}
 
