@@ -283,7 +283,7 @@ def test_op7_of_clashing_names_ties_and_repeated_rows(spark):
 
 def test_what_no_learned_language_explains(spark, docs):
     model = langid.fit_languages(docs, PIECES, with_floors=True)
-    odd = [(0, "\u0e20\u0e32\u0e29\u0e32\u0e44\u0e17\u0e22 " * 40), (1, "\u043f\u0440\u0438\u0432\u0435\u0442 \u043c\u0438\u0440 " * 40), (2, "\u03ba\u03b1\u03bb\u03b7\u03bc\u03ad\u03c1\u03b1")]
+    odd = [(0, "\u0e20\u0e32\u0e29\u0e32\u0e44\u0e17\u0e22 " * 40), (1, "zqxj vkzq " * 20), (2, "\u03ba\u03b1\u03bb\u03b7\u03bc\u03ad\u03c1\u03b1")]
     got = [r.x.above for r in spark.createDataFrame(odd, "doc_id long, text string").select(langid.language(model, F.col("text")).alias("x")).collect()]
     assert max(got) < 0
     kept = docs.select(langid.language(model, F.col("text")).alias("x")).collect()
