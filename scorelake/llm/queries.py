@@ -98,8 +98,32 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorelake.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"), min_count=10, cover_percent=50, top=2000)
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorelake.llm.warc import archive_pages, archived_pages
+
+    path = shared_path(spark, "warc")
+    archive_pages(table(spark, sf_dir, "pages"), path)
+    return archived_pages(spark, path)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scorelake.llm.whiten import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"), components=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pieces, op2_hilbert_shards, op3_simhash, op4_token_counts, op5_token_files, op6_quality, op7_language, op8_repetition, op9_url_rules, op10_decontamination)
+    f.__name__: f
+    for f in (
+        op1_pieces, op2_hilbert_shards, op3_simhash, op4_token_counts, op5_token_files, op6_quality, op7_language, op8_repetition, op9_url_rules,
+        op10_decontamination, op11_collocations, op12_warc, op13_whitening,
+    )
 }
 
 #: Where DuckDB can give the whole result.
@@ -116,4 +140,39 @@ SQL: dict[str, str] = {
             FROM urls u JOIN rules r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path) GROUP BY k)
         SELECT page_id, host, path, rule, coalesce(b.verdict, 'allow') AS verdict FROM urls LEFT JOIN best b USING (k)
     """,
+    "op11_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents),
+        words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        singles AS (SELECT lang, x, count(*) AS f FROM (SELECT lang, unnest(w) AS x FROM words) GROUP BY ALL),
+        totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM singles GROUP BY lang),
+        two AS (SELECT lang, x, y, count(*) AS f FROM (SELECT lang, unnest(w[:-2]) AS x, unnest(w[2:]) AS y FROM words WHERE len(w) > 1) GROUP BY ALL HAVING count(*) >= 10),
+        three AS (SELECT lang, x, y, z, count(*) AS f FROM (SELECT lang, unnest(w[:-3]) AS x, unnest(w[2:-2]) AS y, unnest(w[3:]) AS z FROM words WHERE len(w) > 2) GROUP BY ALL HAVING count(*) >= 10),
+        longer AS (SELECT lang, x, y, max(f) AS f FROM (SELECT lang, x, y, f FROM three UNION ALL SELECT lang, y, z, f FROM three) GROUP BY ALL),
+        cuts AS (
+            SELECT two.lang, two.x || ' ' || two.y AS phrase, two.f AS a, 1 AS k, p.f AS l, q.f AS r
+            FROM two JOIN singles p ON p.lang = two.lang AND p.x = two.x JOIN singles q ON q.lang = two.lang AND q.x = two.y
+                 LEFT JOIN longer ON longer.lang = two.lang AND longer.x = two.x AND longer.y = two.y
+            WHERE longer.f IS NULL OR 100 * longer.f < 50 * two.f
+            UNION ALL
+            SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z, t.f, 1, p.f, q.f
+            FROM three t JOIN singles p ON p.lang = t.lang AND p.x = t.x JOIN two q ON q.lang = t.lang AND q.x = t.y AND q.y = t.z
+            UNION ALL
+            SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z, t.f, 2, p.f, q.f
+            FROM three t JOIN two p ON p.lang = t.lang AND p.x = t.x AND p.y = t.y JOIN singles q ON q.lang = t.lang AND q.x = t.z),
+        scored AS (SELECT *, CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cuts),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM best)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+    """,
+    "op12_warc": """
+        WITH rows AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages),
+        placed AS (
+            SELECT *, row_number() OVER (PARTITION BY html ORDER BY page_id DESC NULLS LAST) AS k, max(page_id) OVER (PARTITION BY html) AS first FROM rows)
+        SELECT page_id, payload_bytes, sha1(html) AS payload_digest, CASE WHEN payload_bytes >= 1000 AND k > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND k > 1 THEN first END AS refers_to
+        FROM placed
+    """,
 }
