@@ -104,10 +104,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classes_of(groups: DataFrame, roots: DataFrame, key: str) -> DataFrame:
-    """key and component_id, the least `first` of its component, of groups (key, first), as a table."""
+    """key, root and component_id, the least `first` of its component, of groups (key, first), as a table."""
     rooted = written(groups.join(roots.withColumnRenamed("node", key), key, "left").select(key, "first", F.coalesce("root", key).alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    out = written(rooted.join(least, "root").select(key, "component_id"), "classes")
+    out = written(rooted.join(least, "root").select(key, "root", "component_id"), "classes")
     drop(rooted)
     return out
 
@@ -134,3 +134,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, similarity
     classes = classes_of(groups, roots, "fp")
     drop(groups, roots)
     return prints.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def deduplicated(docs: DataFrame, words: int = 5, radius: int = 2, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group that near_duplicates links; see one_of_each."""
+    from scorelake.llm.similar import one_of_each
+
+    return one_of_each(docs, words, radius, similarity, id_col, text_col)

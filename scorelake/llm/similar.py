@@ -158,6 +158,38 @@ def similar_documents(docs: DataFrame, words: int = 5, radius: int = 2, threshol
     Texts whose sets of shingles have a Jaccard similarity of `threshold` or more are linked. Equal texts are one; null counts as empty; texts
     without a word are equal to one another.
     """
+    prints, classes = similar_classes(docs, words, radius, threshold, id_col, text_col)
+    return prints.select("id", "key", "fp").join(classes, "key").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, radius: int = 2, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of similar texts: that of the smallest id, of rows of one id that of the least digest of the text, and of
+    rows of one id and text any one. Null ids are larger than all others. An id may have several texts, and a text several ids."""
+    prints, classes = similar_classes(docs, words, radius, threshold, id_col, text_col)
+    # A text's rows of its smallest id are counted by id first, so a group of copies is small before it meets.
+    each = prints.groupBy("key", "id").agg(F.count("*").alias("n"))
+    texts = each.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n")).alias("least"))
+    stays = classes.join(texts, "key").groupBy("root").agg(F.min(F.struct("least.none", "least.id", "key", "least.n")).alias("stays"))
+    stays = written(stays, "stays")
+    rest = classes.join(stays, "root").select("key", F.col("stays.id").alias("stay_id"), F.col("stays.key").alias("stay_key"))
+    other = (F.col("key") != F.col("stay_key")) | ~F.col("id").eqNullSafe(F.col("stay_id"))
+    goes = written(prints.select("id", "key").join(rest, "key").where(other).select("id", "key").distinct(), "goes")
+    again = written(stays.where("stays.n > 1").select("stays.id", "stays.key"), "again")
+    key = F.unhex(F.md5(F.coalesce(docs[text_col], F.lit(""))))
+    at = lambda t: docs[id_col].eqNullSafe(t["id"]) & (key == t["key"])
+    out = docs.join(goes, at(goes), "left_anti")
+    if not again.isEmpty():
+        repeated = docs.join(again, at(again), "left_semi").dropDuplicates([id_col, text_col])
+        # A null and an empty text are one text.
+        repeated = repeated.where(F.col(text_col) != "").unionByName(repeated.where(F.coalesce(F.col(text_col), F.lit("")) == "").dropDuplicates([id_col]))
+        out = out.join(again, at(again), "left_anti").unionByName(repeated)
+    drop(prints, classes, stays)
+    return out
+
+
+def similar_classes(docs: DataFrame, words: int, radius: int, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """id, key (a digest of the text) and fp of every row; and key, root (the least key of its component) and component_id (the smallest id of
+    its component) of every distinct text. Both are tables."""
     prints = written(signatures(docs, words, id_col, text_col), "prints")
     groups = written(prints.groupBy("key").agg(F.min("id").alias("first"), F.first("fp").alias("fp"), F.first("sig").alias("sig")), "groups")
     ordered = lambda df: df.where(F.col("a").isNotNull() & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -192,4 +224,4 @@ def similar_documents(docs: DataFrame, words: int = 5, radius: int = 2, threshol
         roots = components(links.union(more))
     classes = classes_of(groups, roots, "key")
     drop(groups, by_print, shared, tried, sets, links, roots, counted, more)
-    return prints.select("id", "key", "fp").join(classes, "key").select(F.col("id").alias(id_col), "fp", "component_id")
+    return prints, classes

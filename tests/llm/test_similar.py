@@ -69,3 +69,24 @@ def test_documents_against_all_pairs(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r.doc_id: r.component_id for r in similar_documents(df).collect()}
     assert got == plain_groups({r.doc_id: r.text for r in df.collect()})
+
+
+def test_one_row_of_each_group_stays(spark):
+    """An id with two texts, a text with several ids, repeated rows, null ids, null and empty texts: a row of each group of the plain version."""
+    rng = random.Random(6)
+    base = {c: [f"{c}{rng.randrange(5000)}" for _ in range(200)] for c in "abcdef"}
+    near = lambda c: " ".join([*base[c], "tail"])
+    text = {c: " ".join(w) for c, w in base.items()}
+    rows = [(1, text["a"]), (5, text["a"]), (5, text["b"]), (9, near("b")), (1, text["a"]), (None, text["c"]), (None, text["c"]), (None, near("c")), (None, text["a"])]
+    rows += [(7, text["d"]), (7, near("d")), (7, near("d")), (3, None), (3, ""), (3, None), (4, " "), (8, text["e"]), (8, text["f"]), (8, text["f"])]
+    df = spark.createDataFrame([(i, t, f"lang{k}", "key", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, key string, id int").repartition(3)
+    got = corpus_pipeline.duplicate_stage(spark, df, "")
+    assert got.columns == df.columns
+    own = [(r.doc_id, r.text) for r in got.collect()]
+    group = plain_groups(dict(enumerate(t for _, t in rows)))
+    of_text = {t or "": group[k] for k, (_, t) in enumerate(rows)}
+    assert sorted(of_text[t or ""] for _, t in own) == sorted(set(group.values()))
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[group[k]] = min(least.get(group[k], (True, 0)), (i is None, i or 0))
+    assert all((i is None, i or 0) == least[of_text[t or ""]] for i, t in own)
