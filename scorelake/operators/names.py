@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorelake.functions.scalars import canonical_benchmark, canonical_model, cascade, contains_any, squashed, strip_wrappers
+from scorelake.operators.similar import ratios, similar_pairs
 from scorelake.sources.shared import stored
 
 #: Patterns of model families, in order of trial.
@@ -81,57 +81,13 @@ def resolve_exact(names: DataFrame, aliases: DataFrame) -> DataFrame:
     return names.join(a, F.lower("model_name") == F.col("_a")).select("model_name", "canonical")
 
 
-def _ratios(text: pd.Series, other: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio of each pair, in this order."""
-    from difflib import SequenceMatcher
-
-    return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(text, other, strict=True)], dtype="float64")
-
-
-def _tokens(c: Column) -> Column:
-    """The characters of c, each with how often it has stood before, so that a string is a set."""
-    chars = F.filter(F.split(c, ""), lambda x: x != "")
-    return F.transform(chars, lambda x, i: F.concat(x, F.size(F.filter(F.slice(chars, 1, i), lambda y: y == x)).cast("string")))
-
-
-def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, swap: bool = False) -> DataFrame:
-    """left.name and right.other with a ratio of `threshold` or more.
-
-    The ratio is 2 m / (la + lb) of m matching characters, no more than the strings have in common as multisets. So of a pair in question the
-    lengths satisfy 2 * min(l) / sum(l) >= threshold, and each string shares at least l * threshold / (2 - threshold) characters with the
-    other: with all characters in one order, the rarest first, both hold a common one among the first of them that those leave room for.
-    Strings meet only by such a character and the other's length, and each pair once; the number of shared characters is checked before the
-    ratio is computed. None of these filters loses a pair. Both sides must be distinct names that exact joins have left over.
-    """
-    part = threshold / (2 - threshold)
-    a = stored(left.select("name").distinct().where("name != ''").select("name", _tokens(F.col("name")).alias("ta")), "names")
-    b = stored(right.select("other").distinct().where("other != ''").select("other", _tokens(F.col("other")).alias("tb")), "names")
-    count = a.select(F.explode("ta").alias("t")).union(b.select(F.explode("tb").alias("t"))).groupBy("t").agg(F.count("*").alias("f"))
-
-    def first(df: DataFrame, key: str, tokens: str, out: str) -> DataFrame:
-        ordered = df.select(key, F.explode(tokens).alias("t")).join(count, "t").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("o"))
-        room = F.size("o") - F.ceil(F.size("o") * part - 1e-9) + 1
-        return df.join(ordered, key).select(*df.columns, F.transform(F.slice("o", 1, room.cast("int")), lambda x: x["t"]).alias(out))
-
-    lengths = F.sequence(F.ceil(F.size("ta") * part - 1e-9), F.floor(F.size("ta") / part + 1e-9))
-    x = first(a, "name", "ta", "pa").select("*", F.explode("pa").alias("t")).select("*", F.explode(lengths).alias("n"))
-    y = first(b, "other", "tb", "pb").select("*", F.explode("pb").alias("t"), F.size("tb").cast("long").alias("n"))
-    both = x.join(y, ["t", "n"])
-    # The same pair may meet by several characters: it counts at the first of its common ones.
-    once = both.where(F.get(F.array_intersect("pa", "pb"), F.lit(0)) == F.col("t"))
-    pairs = once.where(2 * F.size(F.array_intersect("ta", "tb")) >= threshold * (F.size("ta") + F.size("tb")) - 1e-9)
-    ratio = F.pandas_udf(_ratios, T.DoubleType())
-    r = ratio("other", "name") if swap else ratio("name", "other")
-    return pairs.select("name", "other", r.alias("ratio")).where(F.col("ratio") >= threshold)
-
-
 def fuzzy_match(names: DataFrame, canon: DataFrame, cutoff: float = 0.6) -> DataFrame:
     """model_name, canonical, confidence: the canonical name closest to the lower-case name (the later one of equals by text)."""
     left, right = names.select(F.lower("model_name").alias("name")), canon.select(F.lower("canonical_name").alias("other"))
-    best = similar_pairs(left, right, cutoff, swap=True).groupBy("name").agg(F.max_by("other", F.struct("ratio", "other")).alias("other"))
+    best = similar_pairs(left, right, cutoff, swap=True, best=True).select("name", "other")
     back = canon.groupBy(F.lower("canonical_name").alias("other")).agg(F.min("canonical_name").alias("canonical"))
     found = names.select("model_name", F.lower("model_name").alias("name")).join(best, "name").join(back, "other")
-    return found.select("model_name", "canonical", F.pandas_udf(_ratios, T.DoubleType())("name", "other").alias("confidence"))
+    return found.select("model_name", "canonical", F.pandas_udf(ratios, T.DoubleType())("name", "other").alias("confidence"))
 
 
 def normalize_names(names: DataFrame, aliases: DataFrame, rules: Sequence[tuple[str, str, float]] | None = None, fuzzy: bool = True) -> DataFrame:
@@ -167,8 +123,10 @@ def resolve_names(names: DataFrame, aliases: DataFrame, threshold: float = 0.85,
     if fuzzy:
         rest = df.where("a is null and b is null and c is null").select(squashed(name).alias("name"))
         canon = aliases.select("canonical_name").distinct()
-        targets = canon.select(squashed(F.col("canonical_name")).alias("other"), F.col("canonical_name").alias("to"), F.lit(0).alias("late")).union(aliases.select(squashed(F.col("alias")), "canonical_name", F.lit(1)))
-        near = similar_pairs(rest, targets, threshold).join(targets, "other").groupBy("name").agg(F.max_by("to", F.struct("ratio", -F.col("late"), "to")).alias("f"))
+        # Of targets that squash to the same text a canonical name goes before an alias's; then the later one by text.
+        sure, late = F.concat(F.lit("1"), F.col("canonical_name")), F.concat(F.lit("0"), F.col("canonical_name"))
+        targets = canon.select(squashed(F.col("canonical_name")).alias("other"), sure.alias("prefer")).union(aliases.select(squashed(F.col("alias")), late))
+        near = similar_pairs(rest, targets, threshold, best=True).select("name", F.substring("prefer", 2, 1 << 30).alias("f"))
         df = df.withColumn("_s", squashed(name)).join(near, F.col("_s") == F.col("name"), "left")
     else:
         df = df.withColumn("f", F.lit(None).cast("string"))

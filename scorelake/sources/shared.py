@@ -30,7 +30,17 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """df as a Parquet table, read again: the same rows however often, and whoever, reads it."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+def delete_table(*tables: DataFrame) -> None:
+    """Deletes tables that `stored` has returned, when nothing is read from them any more."""
+    for t in tables:
+        delete(t.sparkSession, t._table_path)
+        if t._table_path in _MADE:
+            _MADE.remove(t._table_path)
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -1,8 +1,12 @@
-"""Pairs of names exactly at the threshold."""
+"""Similar names: both ways to search against all pairs, names exactly at the threshold, names of one shape."""
+
+import random
+from difflib import SequenceMatcher
 
 import pytest
 
-from scorelake.operators import names as N
+from scorelake.operators import similar
+from scorelake.operators.similar import common_lengths, search_plan, similar_pairs
 
 
 @pytest.mark.parametrize("threshold, sizes", [(0.6, (3, 7)), (0.85, (17, 23)), (0.85, (34, 46))])
@@ -11,4 +15,66 @@ def test_boundary_lengths_meet(spark, threshold, sizes):
     short, long = (text[:n] for n in sizes)
     for a, b in ((short, long), (long, short)):
         left, right = spark.createDataFrame([(a,)], "name string"), spark.createDataFrame([(b,)], "other string")
-        assert N.similar_pairs(left, right, threshold).first().ratio == threshold
+        assert similar_pairs(left, right, threshold).first().ratio == threshold
+
+
+def plain_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b):
+            before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+def test_common_lengths(monkeypatch):
+    """Against the usual table, over one, two and three words of bits, and slices of columns."""
+    monkeypatch.setattr(similar, "COLUMNS", 7)
+    rng = random.Random(1)
+    for longest in (5, 63, 64, 65, 128, 150):
+        make = lambda: "".join(rng.choice("abcdé日") for _ in range(rng.choice([1, longest, rng.randint(1, longest)])))  # noqa: B023, E731
+        left, right = [make() for _ in range(20)], [make() for _ in range(20)]
+        for start, got in common_lengths(left, right):
+            assert got.tolist() == [[plain_common(a, b) for b in right[start : start + got.shape[1]]] for a in left]
+
+
+@pytest.fixture
+def way(request, monkeypatch):
+    monkeypatch.setattr(similar, "KEY_COST", {"deletion": 0.0, "blocks": 1.0}[request.param])
+    monkeypatch.setattr(similar, "BLOCK", 8)
+    return request.param
+
+
+@pytest.mark.parametrize("way", ["deletion", "blocks"], indirect=True)
+@pytest.mark.parametrize("threshold", [0.6, 0.85])
+@pytest.mark.parametrize("swap", [False, True])
+def test_every_pair_and_the_best(spark, way, threshold, swap):
+    rng = random.Random(2)
+    words = ["", None, "a", "aa", "ab", "aab", "tide", "diet", "GPT-4", "gpt-4o", "日本語モデル", "日本モデル", "claude-3-opus", "claude-3.5-opus", "x" * 70, "x" * 69 + "y"]
+    words += ["".join(rng.choice("ab-1") for _ in range(rng.randint(1, 9))) for _ in range(40)] + [f"vendor-{rng.randrange(1000):03d}" for _ in range(20)]
+    others = [*words[5:], *(w + "s" for w in words[6:30])]
+    plan = search_plan({9: 100}, {9: 100}, threshold)
+    assert plan[0][5] == (way == "deletion")
+    left = spark.createDataFrame([(w,) for w in words + words[:9]], "name string")
+    right = spark.createDataFrame([(w, w[::-1]) for w in others + others[:9]], "other string, prefer string")
+    ratio = lambda a, b: SequenceMatcher(None, b, a).ratio() if swap else SequenceMatcher(None, a, b).ratio()
+    want = {(a, b): ratio(a, b) for a in words if a for b in others if ratio(a, b) >= threshold}
+    got = similar_pairs(left, right, threshold, swap).collect()
+    assert {(r.name, r.other): r.ratio for r in got} == want
+    assert len(got) == len(want) > 100
+    best = {}
+    for (a, b), r in want.items():
+        best[a] = max(best.get(a, (0, "", "")), (r, b[::-1], b))
+    got = similar_pairs(left, right, threshold, swap, best=True).collect()
+    assert {r.name: (r.ratio, r.prefer, r.other) for r in got} == best
+    assert len(got) == len(best)
+
+
+def test_many_names_of_one_shape_meet_by_deletion():
+    """What is to be hashed and compared grows close to linearly in names that differ in a few characters."""
+
+    def cost(n):
+        (_, _, c, i, j, by_deletion), *_ = search_plan({18: n}, {18: n}, 0.85)
+        return 2 * n * similar.math.comb(18, c) * similar.KEY_COST if by_deletion else i * j * similar.BLOCK**2 * similar.PAIR_COST
+
+    assert cost(160_000) < 12 * cost(16_000)
