@@ -8,11 +8,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scorelake.functions.scalars import cascade, contains_any
-from scorelake.sources.shared import stored
+from scorelake.operators.ordered import GATHERED, order_statistics, usable
 
 
 def clamp(c: Column, low: float = 0.0, high: float = 100.0) -> Column:
@@ -78,15 +77,22 @@ def norm_time(value: Column) -> Column:
     return _pair(cascade([(value <= 0.1, 100.0), (value >= 60, 0.0)], (1 - value / 60) * 100), 0.85)
 
 
+def once(df: DataFrame, name: str, c: Column) -> DataFrame:
+    """df with c, computed once a row however often it is used: generated, so neither is it copied into its uses nor are filters on it moved
+    below."""
+    return df.select("*", F.explode(F.array(c)).alias(name))
+
+
 def normalize_scores(facts: DataFrame) -> DataFrame:
-    """facts with normalized_value, confidence_score (the lower of detection's and algorithm's) and normalization_method. One projection."""
+    """facts with normalized_value, confidence_score (the lower of detection's and algorithm's) and normalization_method."""
     v = F.col("value")
-    df = facts.withColumn("_found", detect_score_type(v, F.col("metric"), F.col("benchmark"), F.col("leaderboard")))
-    kind = F.col("_found.type")
+    domain = elo_domain(F.col("category"), F.col("leaderboard"))
+    df = once(facts, "_found", F.struct(detect_score_type(v, F.col("metric"), F.col("benchmark"), F.col("leaderboard")).alias("kind"), domain.alias("domain")))
+    kind = F.col("_found.kind.type")
     other = F.when(v.between(0, 100), norm_percentage(v)).otherwise(_pair(clamp(v), 0.3))
     done = cascade(
         [
-            (kind == "elo_rating", norm_elo(v, elo_domain(F.col("category"), F.col("leaderboard")))),
+            (kind == "elo_rating", norm_elo(v, F.col("_found.domain"))),
             (kind == "percentage", norm_percentage(v)),
             (kind.isin("academic_score", "decimal_score"), norm_academic(v)),
             (kind == "cost_metric", norm_cost(v)),
@@ -95,8 +101,8 @@ def normalize_scores(facts: DataFrame) -> DataFrame:
         other,
     )
     method = F.when(kind.isin("token_count", "unknown"), F.when(v.between(0, 100), "percentage").otherwise("fallback_clamp")).otherwise(kind)
-    df = df.withColumn("_done", done)
-    return df.select(*facts.columns, F.col("_done.score").alias("normalized_value"), F.least("_done.confidence", "_found.confidence").alias("confidence_score"), method.alias("normalization_method"))
+    df = once(df, "_done", F.struct(done.alias("pair"), method.alias("method")))
+    return df.select(*(F.col(f"`{c}`") for c in facts.columns), F.col("_done.pair.score").alias("normalized_value"), F.least("_done.pair.confidence", "_found.kind.confidence").alias("confidence_score"), F.col("_done.method").alias("normalization_method"))
 
 
 def normalize_new(facts: DataFrame, existing: DataFrame, key: str = "score_id") -> DataFrame:
@@ -145,37 +151,19 @@ def distribution_confidence(norm: DataFrame, keys: Sequence[str]) -> DataFrame:
     return g.select(*keys, F.round(clamp(F.col("d") * spread * (1 - F.col("out")), 0.1, 1.0), 6).alias("confidence"))
 
 
-def quartiles(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
-    """keys, n, q1 and q3: the values at the places n/4 and 3n/4 (from 0, cut to whole numbers) in order, exact, over non-null values.
-
-    Values are counted first, so a key's rows meet as distinct values. Those are sorted by key and value over all tasks; only a count a part
-    and key goes through one task, and only rows at the two places through the last step.
-    """
-    counts = df.where(F.col(col).isNotNull()).groupBy(*keys, F.col(col).alias("_v")).agg(F.count("*").alias("_c"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = stored(counts.repartitionByRange(parts, *keys, "_v").withColumn("_p", F.spark_partition_id()), "values")  # once, so parts are the same
-    names = [F.col(k) for k in keys]
-    inside = W.partitionBy("_p", *names).orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
-    # In a part, a key's values are all of a stretch; what the parts before hold of the key is added.
-    placed = own.withColumn("_in", F.coalesce(F.sum("_c").over(inside), F.lit(0)))
-    sums = own.groupBy("_p", *keys).agg(F.sum("_c").alias("_s"))
-    w = W.partitionBy(*keys)
-    before = sums.select("_p", *keys, (F.sum("_s").over(w.orderBy("_p")) - F.col("_s")).alias("_before"), F.sum("_s").over(w).alias("_n"))
-    at = placed.join(before.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)}).withColumnRenamed("_p", "_q"), [F.col("_p") == F.col("_q"), *(F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys))])
-    first, last = F.col("_before") + F.col("_in"), F.col("_before") + F.col("_in") + F.col("_c")
-    hit = lambda place: (F.floor(place) >= first) & (F.floor(place) < last)
-    one, three = F.col("_n") / 4, F.col("_n") * 3 / 4
-    kept = at.where(hit(one) | hit(three)).select(*keys, "_n", F.when(hit(one), F.col("_v")).alias("_1"), F.when(hit(three), F.col("_v")).alias("_3"))
-    return kept.groupBy(*keys).agg(F.max("_n").alias("n"), F.max("_1").alias("q1"), F.max("_3").alias("q3"))
+def quartiles(df: DataFrame, keys: Sequence[str], col: str, gathered: int = GATHERED) -> DataFrame:
+    """keys, n, q1 and q3: the values at the places n/4 and 3n/4 in order, exact, over values that are neither null nor NaN."""
+    return order_statistics(df, keys, col, {"q1": lambda n: n / 4, "q3": lambda n: n * 3 / 4}, gathered)
 
 
 def flag_outliers(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
     """df with is_outlier: outside 1.5 interquartile ranges, the quartiles being the values at places n/4 and 3n/4 in order; groups of
-    fewer than four have none, nor are nulls. A key's rows never meet in one task: see quartiles; the result has a row a key and is joined."""
+    fewer than four values have none, nor are nulls and NaN. A key's rows never meet in one task: see order_statistics; the result has a row a
+    key and is joined."""
     q = quartiles(df, keys, col).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("n").alias("_n"), F.col("q1").alias("_q1"), F.col("q3").alias("_q3"))
     both = df.join(q, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], "left")
     iqr = (F.col("_q3") - F.col("_q1")) * 1.5
-    out = (F.col("_n") >= 4) & ((F.col(col) < F.col("_q1") - iqr) | (F.col(col) > F.col("_q3") + iqr))
+    out = (F.col("_n") >= 4) & usable(F.col(col)) & ((F.col(col) < F.col("_q1") - iqr) | (F.col(col) > F.col("_q3") + iqr))
     return both.select(*(F.col(f"`{c}`") for c in df.columns), F.coalesce(out, F.lit(False)).alias("is_outlier"))
 
 
@@ -184,20 +172,50 @@ RANGES = {
     "elo_rating": (800.0, 1400.0),
     "daily_requests": (0.0, 500000.0),
     "hallucination_rate": (0.0, 20.0),
+    "accuracy": (0.0, 100.0),
+    "pass@1": (0.0, 100.0),
+    "win_rate": (0.0, 100.0),
+    "composite_score": (0.0, 100.0),
+    "eq_score": (0.0, 100.0),
+    "average": (0.0, 100.0),
+    "humaneval": (0.0, 100.0),
+    "humaneval_pass@1": (0.0, 100.0),
+    "mbpp": (0.0, 100.0),
+    "mbpp_pass@1": (0.0, 100.0),
+    "apps": (0.0, 100.0),
+    "humaneval+": (0.0, 100.0),
+    "mbpp+": (0.0, 100.0),
+    "multipl-e": (0.0, 100.0),
+    "pass_rate": (0.0, 100.0),
+    "gsm8k": (0.0, 100.0),
+    "math": (0.0, 100.0),
+    "aime_2024": (0.0, 100.0),
+    "gpqa_diamond": (0.0, 100.0),
+    "mmlu": (0.0, 100.0),
+    "arc": (0.0, 100.0),
+    "arc_challenge": (0.0, 100.0),
+    "hellaswag": (0.0, 100.0),
+    "truthfulqa": (0.0, 100.0),
+    "winogrande": (0.0, 100.0),
+    "medqa": (0.0, 100.0),
+    "medmcqa": (0.0, 100.0),
+    "pubmedqa": (0.0, 100.0),
+    "mmlu_medical": (0.0, 100.0),
+    "legalbench": (0.0, 100.0),
+    "bar_exam": (0.0, 100.0),
+    "finqa": (0.0, 100.0),
+    "financial_sentiment": (0.0, 100.0),
+    "multilingual_mmlu": (0.0, 100.0),
+    "xquad": (0.0, 100.0),
+    "c_eval": (0.0, 100.0),
     "mt_bench": (0.0, 10.0),
+    "bigbench_hard": (0.0, 100.0),
+    "eq_bench": (0.0, 100.0),
+    "klu_index": (0.0, 100.0),
     "tokens_served": (0.0, 1e11),
+    "usage_percentage": (0.0, 100.0),
     "cost_per_token": (0.0, 0.1),
 }
-#: Listed metrics that are percentages.
-PERCENTAGES = """accuracy pass@1 win_rate composite_score eq_score average
-humaneval humaneval_pass@1 mbpp mbpp_pass@1 apps humaneval+ mbpp+ multipl-e pass_rate
-gsm8k math aime_2024 gpqa_diamond
-mmlu arc arc_challenge hellaswag truthfulqa winogrande
-medqa medmcqa pubmedqa mmlu_medical
-legalbench bar_exam
-finqa financial_sentiment
-multilingual_mmlu xquad c_eval
-bigbench_hard eq_bench klu_index usage_percentage""".split()
 #: Metrics of which less is better, whatever the fact says.
 LOWER_IS_BETTER = ("hallucination_rate", "perplexity", "loss", "error")
 

@@ -107,26 +107,29 @@ def match_blocks(left: list[str], right: list[str], prefer: list[str], threshold
     """Pairs of the ratio `threshold` or more; with best, each left string's one of the highest ratio, and of equals of the greatest `prefer`."""
     la, lb = np.array([len(t) for t in left]), np.array([len(t) for t in right])
     ratio = (lambda a, b: matcher_ratio(b, a)) if swap else matcher_ratio
-    out: dict[int, tuple[float, str, str]] = {}
+    floor, rank = np.full(len(left), threshold), np.unique(np.array(prefer, object), return_inverse=True)[1]
+    out: dict[int, tuple[float, int, int]] = {}
     found = []
     for start, common in common_lengths(left, right):
         bound = 2 * common / (la[:, None] + lb[None, start : start + common.shape[1]])
-        for i in np.flatnonzero((bound >= threshold - 1e-9).any(1)).tolist():
-            js = np.flatnonzero(bound[i] >= threshold - 1e-9)
+        hopeful = bound >= floor[:, None] - 1e-9
+        for i in np.flatnonzero(hopeful.any(1)).tolist():
+            js = np.flatnonzero(hopeful[i])
             if not best:
-                for j in js.tolist():
-                    r = ratio(left[i], right[start + j])
+                for j in (start + js).tolist():
+                    r = ratio(left[i], right[j])
                     if r >= threshold:
-                        found.append((left[i], right[start + j], r, prefer[start + j]))
+                        found.append((left[i], right[j], r, prefer[j]))
                 continue
-            held = out.get(i, (threshold, "", ""))
-            for j in sorted(js.tolist(), key=lambda j: (bound[i, j], prefer[start + j]), reverse=True):
-                if bound[i, j] < held[0] - 1e-9 or (i in out and bound[i, j] <= held[0] and prefer[start + j] <= held[1]):
+            order = js[np.lexsort((rank[start + js], bound[i, js]))[::-1]]
+            for b, j in zip(bound[i, order].tolist(), (start + order).tolist(), strict=True):
+                if i in out and (b, rank[j]) <= out[i][:2]:
                     break
-                r = ratio(left[i], right[start + j])
-                if r >= threshold and (i not in out or (r, prefer[start + j]) > held[:2]):
-                    held = out[i] = (r, prefer[start + j], right[start + j])
-    return [(left[i], other, r, p) for i, (r, p, other) in out.items()] if best else found
+                r = ratio(left[i], right[j])
+                if r >= threshold and (i not in out or (r, rank[j]) > out[i][:2]):
+                    out[i] = (r, rank[j], j)
+                    floor[i] = r
+    return [(left[i], right[j], r, prefer[j]) for i, (r, _, j) in out.items()] if best else found
 
 
 def search_plan(left: dict[int, int], right: dict[int, int], threshold: float) -> list[tuple[int, int, int, int, int, bool]]:

@@ -60,10 +60,10 @@ def as_of() -> F.Column:
 
 #: Ranges of the metrics of facts, as rows.
 def ranges(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(m, *r) for m, r in Z.RANGES.items()] + [(m, 0.0, 100.0) for m in Z.PERCENTAGES], "metric string, lo double, hi double")
+    return spark.createDataFrame([(m, *r) for m, r in Z.RANGES.items()], "metric string, lo double, hi double")
 
 
-RANGES_SQL = "ranges AS (SELECT * FROM (VALUES " + ", ".join(f"('{m}', {a}::DOUBLE, {b}::DOUBLE)" for m, (a, b) in [*Z.RANGES.items(), *((m, (0.0, 100.0)) for m in Z.PERCENTAGES)]) + ") v(metric, lo, hi))"
+RANGES_SQL = "ranges AS (SELECT * FROM (VALUES " + ", ".join(f"('{m}', {a}::DOUBLE, {b}::DOUBLE)" for m, (a, b) in Z.RANGES.items()) + ") v(metric, lo, hi))"
 RANGED_SQL = (
     "ranged AS (SELECT f.*, greatest(0, least(100, CASE WHEN NOT higher_is_better OR lower(f.metric) IN ('hallucination_rate', 'perplexity', 'loss', 'error') THEN 100 - raw ELSE raw END)) AS range_value FROM "
     "(SELECT f.*, (value - coalesce(lo, CASE WHEN contains(f.metric, 'elo') OR contains(f.metric, 'rating') THEN 800 ELSE 0 END)) / (coalesce(hi, CASE WHEN contains(f.metric, 'elo') OR contains(f.metric, 'rating') THEN 1400 ELSE 100 END) - coalesce(lo, CASE WHEN contains(f.metric, 'elo') OR contains(f.metric, 'rating') THEN 800 ELSE 0 END)) * 100 AS raw "

@@ -10,6 +10,7 @@ from scorelake.operators import boards as B
 from scorelake.operators import monitor as M
 from scorelake.operators import names as N
 from scorelake.operators import normalize as Z
+from scorelake.operators import ordered
 from scorelake.sources import tables as T
 from scorelake.sources.shared import shared_path
 from scorelake.streaming import streams
@@ -38,6 +39,32 @@ def test_quartiles_are_the_values_at_their_places(spark, low):
     assert len(flagged) == len(rows) and not any(r.is_outlier for r in flagged if r.v is None)
 
 
+@pytest.mark.parametrize("low", [1, 2, 40, 10**6])
+def test_places_of_large_keys_by_brackets(spark, monkeypatch, low):
+    """Keys too large to be put in order at once: hot values, few and many of them, NaN, infinity and null; every place from the first to the
+    last, and places outside."""
+    monkeypatch.setattr(ordered, "CELLS", 8)
+    rng = random.Random(low)
+    value = lambda: rng.choice([float(rng.randrange(low)), float(rng.randrange(low)), 7.0, None, float("nan"), float("-inf")])
+    rows = [(rng.choice(["a", "a", "b", None]), 1, value()) for _ in range(2000)] + [("one", 1, 7.0), ("one", 2, 8.0), ("none", 1, None), ("none", 1, float("nan"))]
+    df = spark.createDataFrame(rows, "`k.1` string, j int, v double").repartition(5)
+    places = {"first": lambda n: n * 0, "third": lambda n: n / 3, "last": lambda n: n - 1, "out": lambda n: n + 1}
+    got = {(r[0], r[1]): tuple(r)[2:] for r in ordered.order_statistics(df, ["k.1", "j"], "v", places, gathered=20).collect()}
+    want = {}
+    for k, j in {r[:2] for r in rows}:
+        own = sorted(v for a, b, v in rows if (a, b) == (k, j) and v is not None and v == v)
+        if own:
+            want[k, j] = (len(own), own[0], own[len(own) // 3], own[-1], None)
+    assert got == want
+    whole = {(r[0], r[1]): tuple(r)[2:] for r in ordered.order_statistics(df, ["k.1", "j"], "v", places).collect()}
+    assert whole == want
+
+
+def test_outliers_leave_nan_alone(spark):
+    df = spark.createDataFrame([("a", float(v)) for v in (1, 2, 3, 4, 5, 6, 7, 100)] + [("a", float("nan")), ("a", None)] * 5 + [("b", 1.0), ("b", float("nan"))], "k string, v double")
+    assert [r.v for r in Z.flag_outliers(df, ["k"], "v").where("is_outlier").collect()] == [100.0]
+
+
 def test_ranks_over_keys_and_parts(spark):
     rng = random.Random(3)
     rows = [(rng.choice("aab"), rng.randrange(50), f"m{i:04d}") for i in range(2000)]
