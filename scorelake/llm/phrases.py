@@ -36,7 +36,7 @@ GAP = re.compile(rb"[ \n]")
 INSIDE = np.array([b not in b" \n" for b in range(256)])
 #: Bits of a bitmap of frequent phrases: about 16 a phrase, between these.
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 25
-#: Rows of an Arrow batch of counts.
+#: Rows of an index that are extended at a time.
 ROWS = 1 << 17
 #: Parts that a language's candidates are ranked in, before the best of all are.
 RANK_PARTS = 32
@@ -130,6 +130,16 @@ class Transform:
         return tuple(x[held] for x in (phrase, word, self.to[rows[order[first]]].astype(np.int64), other[phrase] + first - before[phrase], counts))
 
 
+def stretches(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Stretches of places whose sizes sum up to about `most`, or one place."""
+    ends = np.cumsum(sizes)
+    a = 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
+        yield slice(a, b)
+        a = b
+
+
 def word_hash(lang: Column, word: Column) -> Column:
     return F.xxhash64(F.concat(lang, F.lit(" "), word))
 
@@ -200,8 +210,8 @@ def level_counts(indexes: DataFrame, depth: int, words: Broadcast | None = None,
     that are, with their counts."""
     names = [f"w{k + 1}" for k in range(depth)]
 
-    def phrases(lang: str, vocabulary: bytes, forward: bytes, backward: bytes) -> tuple[list[np.ndarray], np.ndarray, list[bytes]]:
-        known = vocabulary.split(b"\n")
+    def phrases(lang: str, known: list[bytes], forward: bytes, backward: bytes) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+        """Word numbers of phrases and their counts, some at a time."""
         base = len(known) + 1
         kind = np.uint16 if len(known) < 1 << 16 else np.uint32
         bwt = np.frombuffer(forward, kind)
@@ -209,38 +219,39 @@ def level_counts(indexes: DataFrame, depth: int, words: Broadcast | None = None,
         lows = np.cumsum(sizes) - sizes
         every = np.arange(1, base)
         if depth == 1:
-            return [every], sizes[1:], known
+            yield [every], sizes[1:]
+            return
         prefix = lang.encode() + b" "
         hashes = np.concatenate([np.zeros(1, np.uint64), np.fromiter((xxhash.xxh64_intdigest(prefix + w, 42) for w in known), np.uint64, len(known))])
         frequent = np.concatenate([[False], among(words.value, hashes[1:])])
         pair = lambda a, b: hashes[a] << np.uint64(7) ^ hashes[b]
-        w1 = every[frequent[1:]]
-        # A word's intervals in both transforms are the same; to the right one extends in the reversal's.
-        after = Transform(np.frombuffer(backward, kind))
-        at, w2, back, ahead, n = after.extend(lows[w1], lows[w1], sizes[w1], base)
-        w1, keep = w1[at], frequent[w2]
-        if depth == 2:
-            return [w1[keep], w2[keep]], n[keep], known
-        keep &= among(pairs.value, pair(w1, w2))
-        w2, w3, ahead, back, n = w1[keep], w2[keep], ahead[keep], back[keep], n[keep]
-        # To the left, in the transform of the sequence itself.
-        at, w1, ahead, back, n = Transform(bwt).extend(ahead, back, n, base)
-        w2, w3 = w2[at], w3[at]
-        keep = frequent[w1]
-        keep[keep] = among(pairs.value, pair(w1[keep], w2[keep]))
-        return [w1[keep], w2[keep], w3[keep]], n[keep], known
+        # A word's intervals in both transforms are the same; to the right one extends in the reversal's, to the left in the sequence's own.
+        after, before = Transform(np.frombuffer(backward, kind)), Transform(bwt) if depth == 3 else None
+        firsts = every[frequent[1:]]
+        for part in stretches(sizes[firsts], ROWS):
+            w1 = firsts[part]
+            at, w2, back, ahead, n = after.extend(lows[w1], lows[w1], sizes[w1], base)
+            w1, keep = w1[at], frequent[w2]
+            if depth == 2:
+                yield [w1[keep], w2[keep]], n[keep]
+                continue
+            keep &= among(pairs.value, pair(w1, w2))
+            w2, w3, ahead, back, n = w1[keep], w2[keep], ahead[keep], back[keep], n[keep]
+            at, w1, ahead, back, n = before.extend(ahead, back, n, base)
+            w2, w3 = w2[at], w3[at]
+            keep = frequent[w1]
+            keep[keep] = among(pairs.value, pair(w1[keep], w2[keep]))
+            yield [w1[keep], w2[keep], w3[keep]], n[keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 lang, vocabulary, forward, backward, twice = (b.column(k)[i].as_py() for k in range(5))
-                found, n, known = phrases(lang, vocabulary, forward, backward)
+                known = vocabulary.split(b"\n")
                 texts = pa.array([b"", *known], pa.binary()).cast(pa.string(), safe=False)
-                for a in range(0, len(n), ROWS):
-                    part = slice(a, a + ROWS)
-                    columns = [texts.take(pa.array(w[part])) for w in found]
-                    size = len(columns[0])
-                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), size), *columns, pa.array(n[part].astype(np.int64))], ["lang", *names, "f"])
+                for found, counts in phrases(lang, known, forward, backward):
+                    columns = [texts.take(pa.array(w)) for w in found]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(counts)), *columns, pa.array(counts.astype(np.int64))], ["lang", *names, "f"])
                 again = [t.split(" ") for t in twice if t.count(" ") == depth - 1]
                 if again:
                     columns = [pa.array(list(w), pa.string()) for w in zip(*again, strict=True)]
