@@ -13,6 +13,7 @@ from scorelake.operators import normalize as Z
 from scorelake.plans import facts as P
 from scorelake.plans.facts import with_sql
 from scorelake.plans.queries import _folder, as_of, composites, domains, norm, query, runs, when_text
+from scorelake.sources import pages as H
 from scorelake.sources import tables as T
 
 
@@ -39,6 +40,32 @@ def a2_latest_snapshot(spark, d):
     return T.latest_snapshot(spark, f"{folder}/*/part-*")
 
 
+# Pages
+
+
+@query("""
+    SELECT page_id, table_no, row_no, header, cell FROM (SELECT page_id, url, page_id % 7 AS n FROM pages) p, LATERAL (VALUES
+        (0, 1, 'Model', trim('m' || coalesce(url, '') || ' end')), (0, 1, 'Score', n::VARCHAR), (1, 1, 'in', 'x' || page_id), (0, 2, 'Model', 'last'), (0, 2, 'Score', '7'),
+        (0, 3, 'Model', 'last'), (0, 3, 'Score', '8')) v(table_no, row_no, header, cell)
+""")
+def a5_nested_tables(spark, d):
+    """A table before every page's own html with a table inside a cell, a script inside another, and a cell of two rows."""
+    inner = F.concat(F.lit("<table><tr><th>in</th></tr><tr><td>x"), "page_id", F.lit("</td></tr></table>"))
+    url = F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    rows = F.concat(F.lit("<tr><td>m"), url, inner, F.lit(" end</td><td>"), F.col("page_id") % 7, F.lit("<script>'<td>'</script></td></tr><tr><td rowspan=2>last</td><td>7</td></tr><tr><td>8</td></tr>"))
+    html = F.concat(F.lit("<table><tr><th>Model</th><th>Score</th></tr>"), rows, F.lit("</table>"), F.coalesce("html", F.lit("")))
+    return H.extract_tables(P.table(spark, d, "pages").select("page_id", html.alias("html"))).select("page_id", "table_no", "row_no", "header", "cell")
+
+
+@query("SELECT page_id, 'http://h/' || page_id AS url, 'a, b: c // }' AS note, 'it''s' AS tag, page_id AS n FROM pages")
+def a8_script_literals(spark, d):
+    """A script before every page's own html whose strings hold what marks comments, keys and ends outside them."""
+    script = F.concat(F.lit("<script>var conf = {url: 'http://h/"), "page_id", F.lit("""', "note": "a, b: c // }", tags: ["x", 'it\\'s',], /* }; */ n: """), "page_id", F.lit(",};</script>"))
+    found = H.extract_embedded_json(P.table(spark, d, "pages").select("page_id", F.concat(script, F.coalesce("html", F.lit(""))).alias("html")), [r"var conf = (\{.*?\});"])
+    value = lambda path: F.get_json_object("json", path)
+    return found.select("page_id", value("$.url").alias("url"), value("$.note").alias("note"), value("$.tags[1]").alias("tag"), value("$.n").cast("long").alias("n"))
+
+
 # Scalars
 
 

@@ -1,7 +1,9 @@
-"""Scores out of web pages: table cells, embedded JSON, cards and free text. Only cutting HTML into cells is Python; rules are DataFrames."""
+"""Scores out of web pages: table cells, embedded JSON, cards and free text. Only cutting HTML into
+cells and scripts' literals into JSON is Python; rules are DataFrames."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
@@ -12,47 +14,148 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorelake.functions.scalars import contains_any, parse_pct_cell
+from scorelake.sources.scripts import embedded_json
+from scorelake.sources.shared import bound_batches
 
 CELLS = T.StructType([T.StructField("page_id", T.LongType()), *(T.StructField(c, T.IntegerType()) for c in ("table_no", "row_no", "col_no")), T.StructField("header", T.StringType()), T.StructField("cell", T.StringType())])
 
 
+#: Characters of a page that the parser is fed at a time, and cells that are yielded at a time.
+SLICE, YIELDED = 1 << 20, 10_000
+#: Limits of the standard.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
+
+
+class _Table:
+    """An open table: its header once it is known, the row and cell that are open, and the cells that reach down from rows above."""
+
+    def __init__(self, number: int):
+        self.number, self.rows, self.header = number, 0, None
+        self.row: list | None = None
+        self.cell: list[str] | None = None
+        self.spans = (1, 1)
+        self.down: dict[int, tuple[int, str]] = {}
+
+    def close_cell(self) -> None:
+        if self.cell is not None:
+            self.row.append(("".join(self.cell).strip(), *self.spans))
+            self.cell = None
+
+    def close_row(self) -> list[str] | None:
+        """The row's texts by column, with cells from above and those that span columns."""
+        self.close_cell()
+        if self.row is None:
+            return None
+        out: list[str] = []
+        cells = iter(self.row)
+        cell = next(cells, None)
+        down = {}
+        while cell is not None or len(out) in self.down:
+            k = len(out)
+            if k in self.down:
+                left, text = self.down[k]
+                out.append(text)
+                if left > 1:
+                    down[k] = left - 1, text
+                continue
+            text, across, rows = cell
+            for _ in range(across):
+                if rows > 1:
+                    down[len(out)] = rows - 1, text
+                out.append(text)
+            cell = next(cells, None)
+        # What reaches down beyond a shorter row still does.
+        self.down = {k: (left - 1, t) for k, (left, t) in self.down.items() if k >= len(out) and left > 1} | down
+        self.row = None
+        return out
+
+
+def _span(attrs: list, name: str, most: int) -> int:
+    value = dict(attrs).get(name) or ""
+    n = int(value) if value.strip().isdecimal() else 1
+    return min(n, most) if n else (most if name == "rowspan" else 1)
+
+
 class _Cells(HTMLParser):
+    """Cells of tables, as the page is fed: a stack holds the open tables, so a table inside a cell is a table of its own, and what follows it
+    belongs to the outer one again. A cell's text is without that of tables, scripts and styles in it."""
+
     def __init__(self) -> None:
         super().__init__()
-        self.tables: list[list[list[str]]] = []
-        self.open = False
+        self.count, self.stack, self.found, self.hidden = 0, [], [], False
+
+    def close_row(self, t: _Table) -> None:
+        texts = t.close_row()
+        if texts is None:
+            return
+        if t.header is None:
+            t.header = texts
+        elif len(texts) == len(t.header):
+            self.found += [(t.number, t.rows, k, h, c) for k, (h, c) in enumerate(zip(t.header, texts, strict=True))]
+        t.rows += 1
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag == "table":
-            self.tables.append([])
-        elif tag == "tr" and self.tables:
-            self.tables[-1].append([])
-        elif tag in ("td", "th") and self.tables and self.tables[-1]:
-            self.tables[-1][-1].append("")
-            self.open = True
+        if tag in ("script", "style"):
+            self.hidden = True
+        elif tag == "table":
+            self.stack.append(_Table(self.count))
+            self.count += 1
+        elif tag in ("tr", "td", "th") and self.stack:
+            t = self.stack[-1]
+            if tag == "tr":
+                self.close_row(t)
+                t.row = []
+                return
+            t.close_cell()
+            if t.row is None:
+                t.row = []
+            t.cell, t.spans = [], (_span(attrs, "colspan", MOST_COLUMNS), _span(attrs, "rowspan", MOST_ROWS))
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in ("td", "th", "tr", "table"):
-            self.open = False
+        if tag in ("script", "style"):
+            self.hidden = False
+        elif self.stack:
+            t = self.stack[-1]
+            if tag in ("td", "th"):
+                t.close_cell()
+            elif tag == "tr":
+                self.close_row(t)
+            elif tag == "table":
+                self.close_row(t)
+                self.stack.pop()
 
     def handle_data(self, data: str) -> None:
-        if self.open:
-            self.tables[-1][-1][-1] += data
+        if self.stack and self.stack[-1].cell is not None and not self.hidden:
+            self.stack[-1].cell.append(data)
+
+    def taken(self, html: str) -> Iterator[list[tuple]]:
+        """The cells of a page, some at a time."""
+        for a in range(0, len(html), SLICE):
+            self.feed(html[a : a + SLICE])
+            if len(self.found) >= YIELDED:
+                yield self.found
+                self.found = []
+        self.close()
+        while self.stack:
+            self.close_row(self.stack.pop())
+        yield self.found
 
 
 def extract_tables(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Cells of every table: page_id, table_no, row_no from 1 (0 is the header), col_no, header, cell. Rows with another number of cells
-    than the header's are left out."""
+    """Cells of every table: page_id, table_no (in the order in which tables begin, nested ones too), row_no from 1 (0 is the header), col_no,
+    header, cell. Cells that span columns or rows count in each. Rows with another number of columns than the header's are left out, and null
+    pages have no cells. A page is parsed in slices, and its cells are yielded as they are found."""
+    bound_batches(pages.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
+            out: list[tuple] = []
             for page, html in zip(b[id_col], b[html_col], strict=True):
-                p = _Cells()
-                p.feed(html or "")
-                for t, rows in enumerate(p.tables):
-                    head = [c.strip() for c in rows[0]] if rows else []
-                    out += [(page, t, r, k, h, c.strip()) for r, row in enumerate(rows) if r and len(row) == len(head) for k, (h, c) in enumerate(zip(head, row, strict=True))]
+                for cells in _Cells().taken(html or ""):
+                    out += [(page, *c) for c in cells]
+                    if len(out) >= YIELDED:
+                        yield pd.DataFrame(out, columns=CELLS.names)
+                        out = []
             yield pd.DataFrame(out, columns=CELLS.names)
 
     return pages.select(id_col, html_col).mapInPandas(run, CELLS)
@@ -109,13 +212,22 @@ def map_headers(cells: DataFrame) -> DataFrame:
 
 
 def extract_embedded_json(pages: DataFrame, patterns: Sequence[str], id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """The first text that parses as JSON among the matches of the patterns, in order; comments, bare keys, trailing commas and undefined
-    are mended before."""
-    numbered = lambda k: lambda x: F.struct(F.lit(k).alias("pattern_no"), x.alias("raw"))
-    found = F.flatten(F.array(*(F.transform(F.regexp_extract_all(html_col, F.lit(p), 1), numbered(k)) for k, p in enumerate(patterns))))
-    fixed = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("m.raw", r"(?m)//[^\"\n]*$|/\*(?s:.*?)\*/", ""), r"([{,]\s*)([A-Za-z_]\w*)\s*:", '$1"$2":'), r",\s*([}\]])", "$1"), r"\bundefined\b", "null")
-    one = pages.select(id_col, F.posexplode(found).alias("i", "m")).select(id_col, "i", "m.pattern_no", fixed.alias("json"))
-    return one.where(F.expr("try_parse_json(json) is not null")).groupBy(id_col).agg(F.min_by(F.struct("pattern_no", "json"), "i").alias("b")).select(id_col, "b.*")
+    """pattern_no and json of every page that has one: the first text that is JSON among what the patterns' matches, in order, lead to. A match
+    whose group isn't JSON as it stands is read as a script's literal, from the group's first bracket to the one that closes it: comments,
+    bare keys, single quotes, trailing commas and undefined are mended, strings aren't touched. Empty objects and arrays don't count."""
+    bound_batches(pages.sparkSession)
+    compiled = [re.compile(p) for p in patterns]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for page, html in zip(b[id_col], b[html_col], strict=True):
+                for k, p in enumerate(compiled):
+                    if (found := embedded_json(html or "", p)) is not None:
+                        yield pd.DataFrame([(page, k, found)], columns=[id_col, "pattern_no", "json"])
+                        break
+
+    schema = T.StructType([pages.select(id_col).schema[0], T.StructField("pattern_no", T.IntegerType()), T.StructField("json", T.StringType())])
+    return pages.select(id_col, html_col).mapInPandas(run, schema)
 
 
 def extract_cards(pages: DataFrame, item: str, name: str, score: str, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

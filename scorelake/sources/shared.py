@@ -52,3 +52,15 @@ def clean(spark: SparkSession) -> None:
     """Deletes all that is left, when the results that are read from it have been used."""
     while _MADE:
         delete(spark, _MADE.pop())
+
+
+#: Bytes of an Arrow batch that Python workers get; a row more at most.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the batches of texts that Python workers get by bytes, for the session; a lower bound stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = str(spark.conf.get(key))
+    if not own.rstrip("bB").isdigit() or not 0 < int(own.rstrip("bB")) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
