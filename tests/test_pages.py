@@ -6,7 +6,6 @@ import re
 
 import pytest
 
-from scorelake.plans.queries import QUERIES
 from scorelake.sources import pages as H
 from scorelake.sources.scripts import embedded_json, literal
 
@@ -104,8 +103,3 @@ def test_large_pages_come_in_pieces(monkeypatch):
     parts = list(H._Cells().taken(html))
     assert [c for p in parts for c in p] == whole
     assert max(map(len, parts)) < 300
-
-
-@pytest.mark.parametrize("name", ["a5_nested_tables", "a8_script_literals"])
-def test_queries_are_not_empty(spark, name):
-    assert QUERIES[name](spark, "/root/testdata/sf0.001").count()
