@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelake.functions.scalars import canonical_benchmark, canonical_model, cascade
 from scorelake.operators.names import _by_id, near_duplicate_count, register_benchmarks, register_models, registered_aliases, update_tracking
+from scorelake.sources.versioned import VersionedTable
 
 
 def hours_since(then: Column, as_of: Column) -> Column:
@@ -211,12 +212,26 @@ class Store:
     benchmark_aliases: DataFrame
     facts: DataFrame
 
-    def write(self, folder: str) -> Store:
-        """The store as tables in a new folder, read from there again; so one ingest's plans don't hold those of all before it."""
-        spark = self.facts.sparkSession
-        for f in fields(self):
-            getattr(self, f.name).write.parquet(f"{folder}/{f.name}")
-        return Store(**{f.name: spark.read.schema(getattr(self, f.name).schema).parquet(f"{folder}/{f.name}") for f in fields(self)})
+    @classmethod
+    def empty(cls, spark: SparkSession, facts: DataFrame) -> Store:
+        """No rows; facts gives its columns."""
+        none = lambda ddl: spark.createDataFrame([], ddl)
+        benchmarks = "benchmark_id string, display_name string, category string, auto_discovered boolean, is_active boolean, default_weight double, last_updated timestamp"
+        return cls(
+            none("model_id string, first_seen timestamp, last_seen timestamp, n_scores long"), none("alias string, model_id string"),
+            none("model_id string, leaderboard string, last_seen timestamp, is_present boolean"), none(benchmarks), none("alias string, benchmark_id string"), facts.limit(0),
+        )
+
+
+#: Keys of the store's tables.
+STORE_KEYS = {"models": ["model_id"], "aliases": ["alias", "model_id"], "tracking": ["model_id", "leaderboard"], "benchmarks": ["benchmark_id"], "benchmark_aliases": ["alias", "benchmark_id"], "facts": ["model_name", "benchmark"]}
+
+
+def new_facts(batch: DataFrame, store: Store) -> DataFrame:
+    """The batch's facts that have a value, under the ids that they are registered by."""
+    ids = _by_id(batch, store.models, store.aliases).where("value is not null")
+    rows = ids.select(F.col("model_id").alias("model_name"), canonical_benchmark(F.col("benchmark")).alias("benchmark"), *(c for c in store.facts.columns if c not in ("model_name", "benchmark")))
+    return rows.select(*store.facts.columns)
 
 
 def ingest(batch: DataFrame, store: Store, as_of: Column) -> Store:
@@ -227,6 +242,30 @@ def ingest(batch: DataFrame, store: Store, as_of: Column) -> Store:
     tracking = update_tracking(store.tracking, batch, store.models, store.aliases)
     named = batch.select(F.col("benchmark").alias("name"), F.lit("").alias("description")).distinct()
     benchmarks, benchmark_aliases = register_benchmarks(named, store.benchmarks, store.benchmark_aliases, as_of)
-    ids = _by_id(batch, store.models, store.aliases).where("value is not null")
-    rows = ids.select(F.col("model_id").alias("model_name"), canonical_benchmark(F.col("benchmark")).alias("benchmark"), *(c for c in store.facts.columns if c not in ("model_name", "benchmark")))
-    return Store(models, aliases, tracking, benchmarks.drop("is_new"), benchmark_aliases, store.facts.unionByName(rows.select(*store.facts.columns)))
+    return Store(models, aliases, tracking, benchmarks.drop("is_new"), benchmark_aliases, store.facts.unionByName(new_facts(batch, store)))
+
+
+def open_store(spark: SparkSession, folder: str, empty: Store, before: str | None = None) -> Store:
+    """The store in a folder, or as it was before the batch of a token was put in; empty where it holds nothing yet."""
+    read = lambda t, schema: t.read(schema=schema) if before is None else t.read_before(before, schema)
+    return Store(**{name: read(VersionedTable(spark, f"{folder}/{name}", keys), getattr(empty, name).schema) for name, keys in STORE_KEYS.items()})
+
+
+def ingest_into(spark: SparkSession, folder: str, batch: DataFrame, as_of: Column, token: str, empty: Store) -> None:
+    """Puts a batch into the store in a folder, as `ingest` does. Registries are changed in the buckets of the batch's keys only, facts are
+    appended; each table changes at once. A batch whose ingestion was broken off is put in again under the same token: what is done already is
+    left, and the rest follows from the store as it was before. A batch that is in changes nothing."""
+    tables = {name: VersionedTable(spark, f"{folder}/{name}", keys) for name, keys in STORE_KEYS.items()}
+    if tables["facts"].holds(token):  # which are written last
+        return
+    old = open_store(spark, folder, empty, token)
+    new = ingest(batch, old, as_of)
+    ids = _by_id(batch, old.models, old.aliases).select("model_id").distinct()
+    added = lambda name: getattr(new, name).join(getattr(old, name).select(*STORE_KEYS[name]), STORE_KEYS[name], "left_anti")
+    changed = {
+        "models": new.models.join(ids, "model_id", "left_semi"), "aliases": added("aliases"), "tracking": new.tracking.join(ids, "model_id", "left_semi"),
+        "benchmarks": new.benchmarks.where(F.col("last_updated") == as_of), "benchmark_aliases": added("benchmark_aliases"),
+    }
+    for name, rows in changed.items():
+        tables[name].upsert(rows.select(*getattr(empty, name).columns), token)
+    tables["facts"].append(new_facts(batch, old), token)

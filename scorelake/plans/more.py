@@ -219,13 +219,12 @@ def e23_source_tracking(spark, d):
 
 @query(with_sql("facts", "SELECT (SELECT count(DISTINCT model_name) FROM facts) AS models, (SELECT count(*) FROM (SELECT DISTINCT model_name, leaderboard FROM facts)) AS tracked, (SELECT count(DISTINCT benchmark) FROM facts) AS benchmarks, (SELECT count(DISTINCT benchmark) FROM facts) AS benchmark_aliases, count(*) AS facts, round(sum(value), 2) AS total FROM facts"))
 def k19_ingest(spark, d):
-    """Two batches put into an empty store, and the store written between them."""
+    """Two batches put into an empty store on disk, the first one twice, as after a failure."""
     f = P.facts(spark, d).withColumn("model_name", F.concat("model_name", F.lit("-v0")))
-    empty = lambda ddl: spark.createDataFrame([], ddl)
-    reg, _ = benchmark_registry(spark, d)
-    store = M.Store(empty("model_id string, first_seen timestamp, last_seen timestamp, n_scores long"), empty("alias string, model_id string"), empty("model_id string, leaderboard string, last_seen timestamp, is_present boolean"), reg.limit(0), empty("alias string, benchmark_id string"), f.limit(0))
-    store = M.ingest(f.where("score_id % 3 > 0"), store, as_of()).write(_folder(spark, "store"))
-    store = M.ingest(f.where("score_id % 3 = 0"), store, as_of())
+    folder, empty = _folder(spark, "store"), M.Store.empty(spark, f)
+    for token, part in (("one", "score_id % 3 > 0"), ("one", "score_id % 3 > 0"), ("two", "score_id % 3 = 0")):
+        M.ingest_into(spark, folder, f.where(part), as_of(), token, empty)
+    store = M.open_store(spark, folder, empty)
     n = lambda df, name: df.agg(F.count("*").alias(name))
     sums = store.facts.agg(F.count("*").alias("facts"), F.round(F.sum("value"), 2).alias("total"))
     return n(store.models, "models").crossJoin(n(store.tracking, "tracked")).crossJoin(n(store.benchmarks, "benchmarks")).crossJoin(n(store.benchmark_aliases, "benchmark_aliases")).crossJoin(sums)  # one row each

@@ -817,9 +817,9 @@ def a13_a14_overwrite_and_replace(spark, d):
     f = P.facts(spark, d).select("score_id", "leaderboard", "value")
     T.overwrite(f.where("score_id % 2 = 0"), first)
     T.overwrite(f, first)
-    T.replace_partition(spark.read.parquet(first), path)
+    T.replace_partition(T.read_current(spark, first), path)
     T.replace_partition(f.where("leaderboard = 'HELM Views'").withColumn("value", F.col("value") + 1), path)
-    return rounded(spark.read.parquet(path), "value").select("score_id", "leaderboard", "value")
+    return rounded(T.read_current(spark, path), "value").select("score_id", "leaderboard", "value")
 
 
 @query(with_sql("facts", "SELECT score_id, model_name, round(value, 4) AS value FROM facts"))

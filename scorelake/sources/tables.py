@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorelake.functions.scalars import parse_pct_cell
+from scorelake.sources.versioned import VersionedTable
 
 RECORD = T.StructType(
     [
@@ -43,13 +44,22 @@ def write_table(df: DataFrame, folder: str, name: str) -> None:
     df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
 
 
-def overwrite(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+def overwrite(df: DataFrame, path: str, token: str | None = None) -> None:
+    """df as the whole of the table at path, at once: readers see the old rows until the new ones are there. See VersionedTable."""
+    VersionedTable(df.sparkSession, path).overwrite(df, token)
 
 
-def replace_partition(df: DataFrame, path: str, key: str = "leaderboard") -> None:
-    """Replaces the partitions that df has rows of, and leaves the others."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+def replace_partition(df: DataFrame, path: str, key: str = "leaderboard", values: Sequence[object] | None = None, token: str | None = None) -> None:
+    """Replaces all rows of the key's values by df's, at once, and leaves the others. The values are those that df has, or those given: of them
+    those that df has no row of are emptied, and rows of others aren't taken."""
+    spark = df.sparkSession
+    keys = df.select(key) if values is None else spark.createDataFrame([(v,) for v in values], T.StructType([T.StructField(key, df.schema[key].dataType)]))
+    VersionedTable(spark, path, [key]).replace_keys(df, keys, token)
+
+
+def read_current(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of a table that overwrite, replace_partition or another write of VersionedTable has made."""
+    return VersionedTable(spark, path).read()
 
 
 def export_json(df: DataFrame, path: str) -> None:

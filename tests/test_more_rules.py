@@ -90,12 +90,11 @@ def test_hashes_ignore_order_and_see_changes(spark):
 
 def test_ingesting_a_batch(spark):
     at = F.lit("2024-02-01").cast("timestamp")
-    empty = lambda ddl: spark.createDataFrame([], ddl)
     batch = spark.createDataFrame([("GPT-4", "MMLU (5-shot)", 80.0), ("gpt_4", "mmlu", 81.0), ("New", "Code x", None)], "model_name string, benchmark string, value double").withColumns({"leaderboard": F.lit("L"), "scraped_at": at})
-    reg = empty("benchmark_id string, display_name string, category string, auto_discovered boolean, is_active boolean, default_weight double, last_updated timestamp")
-    store = M.Store(empty("model_id string, first_seen timestamp, last_seen timestamp, n_scores long"), empty("alias string, model_id string"), empty("model_id string, leaderboard string, last_seen timestamp, is_present boolean"), reg, empty("alias string, benchmark_id string"), batch.limit(0))
-    store = M.ingest(batch, store, at).write(shared_path(spark, "store"))
-    store = M.ingest(batch.where("model_name = 'GPT-4'"), store, at)
+    folder, empty = shared_path(spark, "store"), M.Store.empty(spark, batch)
+    M.ingest_into(spark, folder, batch, at, "one", empty)
+    M.ingest_into(spark, folder, batch.where("model_name = 'GPT-4'"), at, "two", empty)
+    store = M.open_store(spark, folder, empty)
     assert {(r.model_id, r.n_scores) for r in store.models.collect()} == {("gpt", 3), ("new", 1)}
     assert {(r.alias, r.model_id) for r in store.aliases.collect()} == {("gpt-4", "gpt"), ("gpt_4", "gpt")}
     assert {(r.benchmark_id, r.display_name, r.category) for r in store.benchmarks.collect()} == {("mmlu", "MMLU (5-shot)", "Reasoning"), ("code-x", "Code x", "Code")}

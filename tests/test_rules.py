@@ -124,7 +124,7 @@ def test_replacing_one_partition(spark, tmp_path):
     df = spark.createDataFrame([("a", 1), ("b", 2)], "leaderboard string, v int")
     T.replace_partition(df, str(tmp_path / "t"))
     T.replace_partition(df.where("v = 2").withColumn("v", F.lit(3)), str(tmp_path / "t"))
-    assert {(r.leaderboard, r.v) for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {("a", 1), ("b", 3)}
+    assert {(r.leaderboard, r.v) for r in T.read_current(spark, str(tmp_path / "t")).collect()} == {("a", 1), ("b", 3)}
 
 
 PAGE = """<p>x</p><table><tr><th>Rank</th><th>Model</th><th>Average</th><th>IFEval</th></tr><tr><td>1</td><td> calme <b>78B</b></td><td>52.08</td><td>80%</td></tr><tr><td>2</td><td>short</td></tr>
