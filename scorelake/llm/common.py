@@ -119,6 +119,13 @@ def clean() -> None:
     drop(*list(_MADE))
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of queries whose results have been written and that nothing refers to any more: it does so when the
+    driver's JVM has collected them, which by itself may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of batches in pieces of about `size` bytes of the text column at that position, one row at least."""
     for b in batches:

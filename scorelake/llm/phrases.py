@@ -3,8 +3,9 @@
 A shard is a bounded run of words of one language's texts. Its index over word numbers is kept in a table: the Burrows-Wheeler transforms of
 the word sequence and of its reversal, which together let the interval of a phrase be extended by a word on either side. Rows are ordered by
 DEPTH words, all that phrases of DEPTH words need. Phrases are enumerated level by level: counts of a level are summed across shards, and only
-what is frequent overall is extended. What the shards are told of the frequent phrases is a bitmap of bounded size: a false positive costs
-a row in a shuffle, a frequent phrase is never missed.
+what is frequent overall is extended. A level is counted by short hashes first; then the phrases whose hashes are frequent are, by their words.
+What the shards are told of frequent phrases is a bitmap of bounded size: a false positive costs a row in a shuffle, a frequent phrase is never
+missed.
 """
 
 from __future__ import annotations
@@ -23,11 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import STEP_WORDS, drop, ragged, ship, slices, utf8, words_of, written
+from scorelake.llm.common import STEP_WORDS, drop, ragged, release, ship, slices, utf8, words_of, written
 
 DEPTH = 3
 #: Words of a shard: its index is built and read in some 100 bytes a word.
 SHARD_WORDS = 1 << 20
+#: Words of the shards, of several languages, that a task fills at a time, in shards.
+SHARDS_HELD = 4
 #: Bytes of text that are cut into words at a time.
 WINDOW_BYTES = 1 << 20
 #: A-Z lower-cased; what ends a piece becomes a line feed, what parts words a space.
@@ -35,7 +38,9 @@ FOLD = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\n\x0b\x0c\r" else
 GAP = re.compile(rb"[ \n]")
 INSIDE = np.array([b not in b" \n" for b in range(256)])
 #: Bits of a bitmap of frequent phrases: about 16 a phrase, between these.
-LEAST_BITS, MOST_BITS = 1 << 16, 1 << 25
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28
+#: Bits of a phrase's hash: what is counted first. Phrases of one hash are told apart later, when only the frequent are left.
+HASH_BITS = 44
 #: Rows of an index that are extended at a time.
 ROWS = 1 << 17
 #: Parts that a language's candidates are ranked in, before the best of all are.
@@ -141,11 +146,16 @@ def stretches(sizes: np.ndarray, most: int) -> Iterator[slice]:
 
 
 def word_hash(lang: Column, word: Column) -> Column:
-    return F.xxhash64(F.concat(lang, F.lit(" "), word))
+    """As phrase_hash of one word."""
+    return F.xxhash64(F.concat(lang, F.lit(" "), word)).bitwiseAND(F.lit((1 << HASH_BITS) - 1)).alias("hash")
 
 
-def pair_hash(first: Column, second: Column) -> Column:
-    return F.shiftleft(first, 7).bitwiseXOR(second)
+def phrase_hash(hashes: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
+    """The hash of each phrase, from its words'; a single word's too."""
+    out = hashes[words[0]]
+    for w in words[1:]:
+        out = out << np.uint64(7) ^ hashes[w]
+    return out & np.uint64((1 << HASH_BITS) - 1)
 
 
 def bitmap(hashes: DataFrame) -> Broadcast:
@@ -154,8 +164,8 @@ def bitmap(hashes: DataFrame) -> Broadcast:
     n = hashes.count()
     while bits < min(16 * n, MOST_BITS):
         bits *= 2
-    place = F.pmod(F.col("hash"), F.lit(bits))
-    own = hashes.toDF("hash").groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(hash, {bits}L) % 64 as int))")).alias("bits"))
+    place = F.col("hash").bitwiseAND(F.lit(bits - 1))
+    own = hashes.toDF("hash").groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(hash & 63 as int))")).alias("bits"))
     found = own.toPandas()
     out = np.zeros(bits // 64, np.int64)
     out[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
@@ -192,11 +202,9 @@ def build_indexes(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
                     if s.n >= shard_words:
                         yield row(lang, s)
                         s = shards[lang] = s.rest()
-            if sum(s.n for s in shards.values()) >= shard_words:
-                for lang, s in shards.items():
-                    if s.n:
-                        yield row(lang, s)
-                shards = {}
+                while sum(s.n for s in shards.values()) >= SHARDS_HELD * shard_words:
+                    most = max(shards, key=lambda k: shards[k].n)
+                    yield row(most, shards.pop(most))
         for lang, s in shards.items():
             if s.n:
                 yield row(lang, s)
@@ -205,60 +213,71 @@ def build_indexes(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     return own.mapInArrow(run, INDEX)
 
 
-def level_counts(indexes: DataFrame, depth: int, words: Broadcast | None = None, pairs: Broadcast | None = None) -> DataFrame:
-    """lang, w1 .. w<depth>, f: the phrases of `depth` words of all shards that may be frequent, by the bitmaps of words and pairs of words
-    that are, with their counts."""
+def phrases_of(lang: str, known: list[bytes], forward: bytes, backward: bytes, depth: int, bitmaps: list[np.ndarray]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Of a shard's phrases of `depth` words the words' numbers, the hashes and the counts, some at a time; but for single words, of those
+    whose parts the bitmaps hold: of frequent words, of frequent pairs of words, ..., up to `depth` of them."""
+    base = len(known) + 1
+    kind = np.uint16 if len(known) < 1 << 16 else np.uint32
+    bwt = np.frombuffer(forward, kind)
+    sizes = np.bincount(bwt, minlength=base)
+    lows = np.cumsum(sizes) - sizes
+    prefix = lang.encode() + b" "
+    hashes = np.concatenate([np.zeros(1, np.uint64), np.fromiter((xxhash.xxh64_intdigest(prefix + w, 42) for w in known), np.uint64, len(known))])
+    firsts = np.arange(1, base)
+
+    def held(words: list[np.ndarray]) -> np.ndarray:
+        return among(bitmaps[len(words) - 1], phrase_hash(hashes, words)) if len(bitmaps) >= len(words) else np.ones(len(words[0]), bool)
+
+    firsts = firsts[held([firsts])]
+    if depth == 1:
+        yield [firsts], phrase_hash(hashes, [firsts]), sizes[firsts]
+        return
+    frequent = np.zeros(base, bool)
+    frequent[firsts] = True
+    # A word's intervals in both transforms are the same; to the right one extends in the reversal's, to the left in the sequence's own.
+    after, before = Transform(np.frombuffer(backward, kind)), Transform(bwt) if depth == 3 else None
+    for part in stretches(sizes[firsts], ROWS):
+        w1 = firsts[part]
+        at, w2, back, ahead, n = after.extend(lows[w1], lows[w1], sizes[w1], base)
+        w1, keep = w1[at], frequent[w2]
+        keep[keep] = held([w1[keep], w2[keep]])
+        words, n = [w1[keep], w2[keep]], n[keep]
+        if depth == 3:
+            at, w1, *_, n = before.extend(ahead[keep], back[keep], n, base)
+            w2, w3, keep = words[0][at], words[1][at], frequent[w1]
+            keep[keep] = held([w1[keep], w2[keep]])
+            keep[keep] = held([w1[keep], w2[keep], w3[keep]])
+            words, n = [w1[keep], w2[keep], w3[keep]], n[keep]
+        yield words, phrase_hash(hashes, words), n
+
+
+def level_counts(indexes: DataFrame, depth: int, bitmaps: list[Broadcast], hashed: bool = False) -> DataFrame:
+    """lang, w1 .. w<depth>, f: phrases of `depth` words of all shards, of the parts that the bitmaps hold, with their counts. With hashed, hash
+    and f instead."""
     names = [f"w{k + 1}" for k in range(depth)]
 
-    def phrases(lang: str, known: list[bytes], forward: bytes, backward: bytes) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-        """Word numbers of phrases and their counts, some at a time."""
-        base = len(known) + 1
-        kind = np.uint16 if len(known) < 1 << 16 else np.uint32
-        bwt = np.frombuffer(forward, kind)
-        sizes = np.bincount(bwt, minlength=base)
-        lows = np.cumsum(sizes) - sizes
-        every = np.arange(1, base)
-        if depth == 1:
-            yield [every], sizes[1:]
-            return
-        prefix = lang.encode() + b" "
-        hashes = np.concatenate([np.zeros(1, np.uint64), np.fromiter((xxhash.xxh64_intdigest(prefix + w, 42) for w in known), np.uint64, len(known))])
-        frequent = np.concatenate([[False], among(words.value, hashes[1:])])
-        pair = lambda a, b: hashes[a] << np.uint64(7) ^ hashes[b]
-        # A word's intervals in both transforms are the same; to the right one extends in the reversal's, to the left in the sequence's own.
-        after, before = Transform(np.frombuffer(backward, kind)), Transform(bwt) if depth == 3 else None
-        firsts = every[frequent[1:]]
-        for part in stretches(sizes[firsts], ROWS):
-            w1 = firsts[part]
-            at, w2, back, ahead, n = after.extend(lows[w1], lows[w1], sizes[w1], base)
-            w1, keep = w1[at], frequent[w2]
-            if depth == 2:
-                yield [w1[keep], w2[keep]], n[keep]
-                continue
-            keep &= among(pairs.value, pair(w1, w2))
-            w2, w3, ahead, back, n = w1[keep], w2[keep], ahead[keep], back[keep], n[keep]
-            at, w1, ahead, back, n = before.extend(ahead, back, n, base)
-            w2, w3 = w2[at], w3[at]
-            keep = frequent[w1]
-            keep[keep] = among(pairs.value, pair(w1[keep], w2[keep]))
-            yield [w1[keep], w2[keep], w3[keep]], n[keep]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [b.value for b in bitmaps]
         for b in batches:
             for i in range(b.num_rows):
                 lang, vocabulary, forward, backward, twice = (b.column(k)[i].as_py() for k in range(5))
                 known = vocabulary.split(b"\n")
-                texts = pa.array([b"", *known], pa.binary()).cast(pa.string(), safe=False)
-                for found, counts in phrases(lang, known, forward, backward):
-                    columns = [texts.take(pa.array(w)) for w in found]
-                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(counts)), *columns, pa.array(counts.astype(np.int64))], ["lang", *names, "f"])
+                texts = None if hashed else pa.array([b"", *known], pa.binary()).cast(pa.string(), safe=False)
                 again = [t.split(" ") for t in twice if t.count(" ") == depth - 1]
-                if again:
+                for words, hashes, counts in phrases_of(lang, known, forward, backward, depth, own):
+                    n = pa.array(counts.astype(np.int64))
+                    if hashed:
+                        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), n], ["hash", "f"])
+                    else:
+                        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(n)), *(texts.take(pa.array(w)) for w in words), n], ["lang", *names, "f"])
+                # What a cut text's shards count twice; hashes may be counted too often.
+                if again and not hashed:
                     columns = [pa.array(list(w), pa.string()) for w in zip(*again, strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(again)), *columns, pa.array([-1] * len(again), pa.int64())], ["lang", *names, "f"])
 
-    schema = f"lang string, {', '.join(f'{w} string' for w in names)}, f long"
-    return indexes.mapInArrow(run, schema).groupBy("lang", *names).agg(F.sum("f").alias("f"))
+    keys = ["hash"] if hashed else ["lang", *names]
+    schema = f"{'hash long' if hashed else ', '.join(f'{w} string' for w in keys)}, f long"
+    return indexes.mapInArrow(run, schema).groupBy(*keys).agg(F.sum("f").alias("f"))
 
 
 def score(a: Column, l: Column, r: Column) -> Column:  # noqa: E741
@@ -279,12 +298,21 @@ def collocations(docs: DataFrame, min_count: int = 10, cover_percent: int = 50,
     Only the two named columns are read.
     """
     indexes = written(build_indexes(docs, lang_col, text_col, shard_words), "indexes")
-    words = written(level_counts(indexes, 1), "words")
+    words = written(level_counts(indexes, 1, []), "words")
     frequent = words.where(F.col("f") >= min_count)
-    by_word = bitmap(frequent.select(word_hash(F.col("lang"), F.col("w1"))))
-    pairs = written(level_counts(indexes, 2, by_word).where(F.col("f") >= min_count), "pairs")
-    by_pair = bitmap(pairs.select(pair_hash(word_hash(F.col("lang"), F.col("w1")), word_hash(F.col("lang"), F.col("w2")))))
-    triples = written(level_counts(indexes, 3, by_word, by_pair).where(F.col("f") >= min_count), "triples")
+    bitmaps: list[Broadcast] = []
+    levels = []
+    for depth in range(1, DEPTH + 1):
+        if depth == 1:
+            bitmaps.append(bitmap(frequent.select(word_hash(F.col("lang"), F.col("w1")))))
+        else:
+            found = written(level_counts(indexes, depth, bitmaps, hashed=True).where(F.col("f") >= min_count).select("hash"), "hashes")
+            bitmaps.append(bitmap(found))
+            drop(found)
+            release(docs.sparkSession)
+            levels.append(written(level_counts(indexes, depth, bitmaps).where(F.col("f") >= min_count), "phrases"))
+            release(docs.sparkSession)
+    pairs, triples = levels
     drop(indexes)
 
     # The extensions of a pair to the left and to the right.
