@@ -28,6 +28,8 @@ CUT_BYTES, STEP = 1 << 20, 1 << 13
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: Of texts in Latin-1: letters lower-cased, all else a space.
 FOLD = bytes(ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
+#: Words of more characters are summed by stretches, so many characters of which are looked up at a time.
+LONG_WORD, LONG_STEP, STRETCH = 1 << 12, 1 << 17, 256
 TINY = 1e-200
 
 
@@ -131,9 +133,9 @@ class Lattice:
         return starts, sizes, ids
 
 
-def forward(number: Callable[[int, int], np.ndarray], n: int, longest: int, p: np.ndarray) -> list[np.ndarray]:
-    """Log-probabilities, by word and language, of the first 0 to n characters. number(j, k): piece numbers of the k characters before j, a
-    word each. p: by piece number and language; p[0] is 0."""
+def forward(number: Callable[[int, int], np.ndarray], n: int, longest: int, p: np.ndarray, last: bool = False) -> list[np.ndarray]:
+    """Log-probabilities, by word and language, of the first 0 to n characters, or with last of all n only. number(j, k): piece numbers of the
+    k characters before j, a word each. p: by piece number and language; p[0] is 0."""
     words = len(number(1, 1))
     alpha, shift = [np.ones((words, p.shape[1]))], np.zeros((words, p.shape[1]))
     logs = [shift]
@@ -152,10 +154,59 @@ def forward(number: Callable[[int, int], np.ndarray], n: int, longest: int, p: n
         alpha.append(own)
         if j >= longest:
             alpha[j - longest] = None
-        logs.append(np.log(own) + shift)
+        if not last or j == n:
+            logs.append(np.log(own) + shift)
     return logs
 
 
+def transfers(ids: np.ndarray, at: np.ndarray, length: int, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(matrices, logs): what stretches of `length` characters, which begin at the places `at` of ids, do to the probabilities of the texts that
+    end at the last few places: by stretch, place back after it, place back before it, and language; a matrix times exp(log) is the sum."""
+    longest, languages = len(ids), p.shape[1]
+    window = [np.zeros((len(at), longest, languages)) for _ in range(longest)]
+    for k in range(longest):
+        window[k][:, k] = 1.0
+    logs = np.zeros((len(at), languages))
+    for j in range(1, length + 1):
+        own = np.zeros_like(window[0])
+        for k in range(1, longest + 1):
+            numbers = ids[k - 1, at + j - k]
+            if k == 1 or numbers.any():
+                own += window[k - 1] * p[numbers][:, None, :]
+        window = [own, *window[:-1]]
+        top = own.max(1)
+        if top.min(initial=1.0) < TINY:
+            down = np.where((top < TINY) & (top > 0), top, 1.0)
+            logs += np.log(down)
+            window = [w / down[:, None, :] for w in window]
+    return np.stack(window, 1), logs
+
+
+def long_log_probability(lattice: Lattice, word: str, p: np.ndarray) -> np.ndarray:
+    """By language, of a word of any length, in memory that doesn't grow with it: its stretches' matrices are computed side by side, some at a
+    time, and applied one after the other."""
+    longest = lattice.longest
+    ends, log = np.zeros((longest, p.shape[1])), np.zeros(p.shape[1])
+    ends[0] = 1.0
+    for a in range(0, len(word), LONG_STEP):
+        own = word[max(0, a - longest + 1) : a + LONG_STEP]
+        lead = min(a, longest - 1)
+        ids = np.pad(lattice.numbers([own])[2], ((0, 0), (longest - 1 - lead, 0)))
+        n = len(own) - lead
+        whole = n // STRETCH
+        for starts, length in ((np.arange(whole) * STRETCH, STRETCH), (np.array([whole * STRETCH]), n - whole * STRETCH)):
+            if not len(starts) or not length:
+                continue
+            matrices, logs = transfers(ids, longest - 1 + starts, length, p)
+            for m, down in zip(matrices, logs, strict=True):
+                ends = np.einsum("oil,il->ol", m, ends)
+                top = np.maximum(ends.max(0), np.finfo(float).tiny)
+                ends /= top
+                log += down + np.log(top)
+    with np.errstate(divide="ignore"):
+        return np.log(ends[0]) + log
+
+
 def by_length(lattice: Lattice, words: list[str]) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
     """(places of words of one length, that length, their starts, piece numbers)."""
     for a in range(0, len(words), STEP):
@@ -168,8 +219,14 @@ def by_length(lattice: Lattice, words: list[str]) -> Iterator[tuple[np.ndarray,
 def log_probabilities(lattice: Lattice, words: list[str], p: np.ndarray) -> np.ndarray:
     """By word and language."""
     out = np.zeros((len(words), p.shape[1]))
+    long = [i for i, w in enumerate(words) if len(w) > LONG_WORD]
+    for i in long:
+        out[i] = long_log_probability(lattice, words[i], p)
+    if long:
+        words = ["" if len(w) > LONG_WORD else w for w in words]
     for at, n, starts, ids in by_length(lattice, words):
-        out[at] = forward(lambda j, k, s=starts, ids=ids: ids[k - 1, s + j - k], n, lattice.longest, p)[-1]
+        if n:
+            out[at] = forward(lambda j, k, s=starts, ids=ids: ids[k - 1, s + j - k], n, lattice.longest, p, last=True)[-1]
     return out
 
 

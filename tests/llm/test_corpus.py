@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -70,6 +71,16 @@ def test_equal_texts_are_neighbours_and_long_texts_whole(spark):
     assert "".join("x" if o else "." for o in order).strip(".") == "x" * 20
 
 
+def test_names_with_dots_and_long_shared_prefixes(spark):
+    df = spark.range(2000).select(F.col("id").alias("doc.id"), F.lit("x").alias("the.text"), F.concat(F.lit("https://host/path/"), F.pmod(F.xxhash64("id"), F.lit(500))).alias("url.of"), F.when(F.col("id") % 3 > 0, F.col("id")).alias("n.of"))
+    path = shared_path(spark, "t")
+    hilbert.write_shards(df, path, ("url.of", "n.of"), "doc.id", "the.text")
+    want = {r[0] for r in df.where(F.col("`url.of`").between("https://host/path/10", "https://host/path/19") & F.col("`n.of`").between(100, 900)).collect()}
+    within = {"url.of": ("https://host/path/10", "https://host/path/19"), "n.of": (100, 900)}
+    assert {r.row["doc.id"] for r in hilbert.read_within(spark, path, within).collect()} == want
+    laws(hilbert.read_shards(spark, path, 8).select("row.`doc.id`", "shard", "slot").withColumnRenamed("doc.id", "doc_id").collect(), 2000)
+
+
 def test_filters_on_any_dimension_leave_files_unread(spark):
     df = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), (F.xxhash64("id") % 1000).alias("n_chars"), F.concat(F.lit("l"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5))).alias("lang"), F.concat(F.lit("source/"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(90))).alias("source"))
     path = shared_path(spark, "t")
@@ -81,7 +92,7 @@ def test_filters_on_any_dimension_leave_files_unread(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     files = spark.read.parquet(f"{path}/manifest").count()
     assert files > 50
-    for within in ({"n_chars": (-100, 20)}, {"lang": ("l2", "l2")}, {"n_chars": (0, 300), "lang": ("l0", "l1")}):
+    for within in ({"n_chars": (-100, 20)}, {"lang": ("l2", "l2")}, {"source": ("source/40", "source/49")}, {"n_chars": (0, 300), "lang": ("l0", "l1")}):
         want = df
         for d, (low, high) in within.items():
             want = want.where(F.col(d).between(low, high))
@@ -239,6 +250,27 @@ def plain_log(word, number, p):
     return float(np.log(float(sums[-1] * 10**300))) - 300 * np.log(10) if sums[-1] > Fraction(1, 10**290) else None
 
 
+def test_very_long_words_by_stretches(monkeypatch):
+    """Equal to the recurrence a letter at a time, whatever the steps and stretches; and a long one in bounded time."""
+    rng = np.random.default_rng(3)
+    pieces = ["a", "b", "ab", "ba", "aab", "abab", "bbbbb"]
+    lattice = langid.Lattice(pieces)
+    p = np.vstack([np.zeros(3), rng.random((len(pieces) + 1, 3)) * 10.0 ** -rng.integers(0, 9, (len(pieces) + 1, 3))])
+    words = ["".join(rng.choice(["a", "b", "c"], n)) for n in (1, 5, 16, 300, 1000, 5000)]
+    monkeypatch.setattr(langid, "LONG_WORD", 10**9)
+    want = langid.log_probabilities(lattice, words, p)
+    for step, stretch in ((7, 3), (64, 16), (1000, 999), (1 << 17, 256)):
+        monkeypatch.setattr(langid, "LONG_STEP", step)
+        monkeypatch.setattr(langid, "STRETCH", stretch)
+        for w, own in zip(words, want, strict=True):
+            assert np.allclose(langid.long_log_probability(lattice, w, p), own, rtol=1e-9)
+    monkeypatch.setattr(langid, "LONG_WORD", 1 << 12)
+    began = time.process_time()
+    got = langid.log_probabilities(lattice, ["ab" * 500_000, "ab"], p)
+    assert np.isfinite(got).all()
+    assert time.process_time() - began < 60
+
+
 def test_forward_sums_all_segmentations():
     pieces = ["a", "ab", "b", "ba", "abab", "\u0436", "\u0436\u0438", " \u0436"]
     lattice, number = langid.Lattice(pieces), {x: i + 2 for i, x in enumerate(pieces)}
