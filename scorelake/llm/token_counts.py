@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorelake.llm.common import WordTable, joined, kept, model_file, ship, slices, utf8
+from scorelake.llm.common import STEP_WORDS, WordTable, joined, kept, model_file, ragged, ship, slices, utf8
 from scorelake.llm.word_bpe import WordBpe, pre_tokens, values
 
 END = "</w>"
@@ -201,8 +201,13 @@ class Counter:
         per = np.zeros(len(norm) + 1, np.int64)
         begin = np.zeros(len(norm) + 1, np.int64)  # where the pre-token that holds, or ends before, each place begins; white space begins anew
         last = 0
-        for piece, (a, b) in split(norm):
-            per[a + 1 : b + 1] = self.bpe.deltas(bytes(map(self.bytes.__getitem__, piece)))
+        pieces = split(norm)
+        for i in range(0, len(pieces), STEP_WORDS):
+            part = pieces[i : i + STEP_WORDS]
+            first, end = np.array([at for _, at in part]).T
+            # A pre-token that comes again is looked up, in whatever script.
+            per[ragged(first + 1, end - first)] = self.table.concatenated([bytes(map(self.bytes.__getitem__, piece)) for piece, _ in part])[0]
+        for _, (a, b) in pieces:
             begin[last : a + 1] = np.arange(last, a + 1)
             begin[a + 1 : b + 1] = a
             last = b + 1
