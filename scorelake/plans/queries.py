@@ -953,9 +953,9 @@ def l2_stream_dedup(spark, d):
 
 @query(with_sql("facts", "SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS scores, count(DISTINCT model_name) AS models FROM (SELECT model_name, unnest(generate_series(date_trunc('hour', scraped_at) - INTERVAL 23 HOUR, date_trunc('hour', scraped_at), INTERVAL 1 HOUR)) AS w FROM facts) GROUP BY w"))
 def l3_stream_volume(spark, d):
-    from scorelake.streaming.streams import stream_volume
+    from scorelake.streaming.streams import rolling_volume, stream_panes
 
-    return _ran(spark, stream_volume(_facts_stream(spark, d), delay="400 days"), "complete").withColumn("start", when_text("start")).drop("end")
+    return rolling_volume(_ran(spark, stream_panes(_facts_stream(spark, d), delay="400 days"), "complete")).withColumn("start", when_text("start")).drop("end")
 
 
 @query(with_sql("facts", "SELECT model_name, benchmark, round(arg_max(value, (scraped_at, score_id)), 4) AS value FROM facts GROUP BY ALL"))

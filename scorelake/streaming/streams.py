@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -21,12 +23,34 @@ def stream_dedup(stream: DataFrame, delay: str = "2 hours") -> DataFrame:
     return stream.withWatermark("scraped_at", delay).dropDuplicatesWithinWatermark(["model_name", "leaderboard", "benchmark", "scraped_at"])
 
 
-def stream_volume(stream: DataFrame, window: str = "24 hours", slide: str = "1 hour", delay: str = "2 hours") -> DataFrame:
-    """Scores and distinct models of every window of that length that begins at each slide: a rolling volume. For update or complete output
-    mode, in which open windows are in the result too; the watermark lets the state of past ones go. Models are counted exactly: the set of a
-    window's models is its state."""
-    g = stream.withWatermark("scraped_at", delay).groupBy(F.window("scraped_at", window, slide))
-    return g.agg(F.count("*").alias("scores"), F.size(F.collect_set("model_name")).cast("long").alias("models")).select("window.start", "window.end", "scores", "models")
+def stream_panes(stream: DataFrame, slide: str = "1 hour", delay: str = "2 hours") -> DataFrame:
+    """Scores of every pane (a slide's length of time) and model: start, model_name, scores. Each row is counted once, and the state is a number a
+    pane and model. For update or complete output mode; the watermark lets the state of past panes go."""
+    g = stream.withWatermark("scraped_at", delay).groupBy(F.window("scraped_at", slide), "model_name").agg(F.count("*").alias("scores"))
+    return g.select("window.start", "model_name", "scores")
+
+
+def rolling_volume(panes: DataFrame, length: int = 24, slide: str = "1 hour") -> DataFrame:
+    """start, end, scores and models (distinct, null is none) of every window of `length` panes that holds a row, from stream_panes's rows.
+
+    A pane adds its scores to the window that begins `length` - 1 panes before it and takes them away after the one that it begins; a model is
+    added where the window before doesn't hold it already, so a pane and model gives two changes, however long windows are. Changes are summed
+    up by start; what goes through one task is a row a start at which something changes, and windows in between are filled in.
+    """
+    step = f"INTERVAL {slide}"
+    at, before = F.unix_seconds("start"), F.lag("start").over(W.partitionBy("model_name").orderBy("start"))
+    seconds = F.lit(pd.Timedelta(slide).total_seconds()).cast("long")
+    first = at - seconds * (length - 1)
+    own = panes.groupBy("start", "model_name").agg(F.sum("scores").alias("scores"))
+    own = own.withColumn("_new", F.coalesce(F.greatest(first, F.unix_seconds(before) + seconds), first))
+    change = lambda t, scores, models: F.struct(t.alias("at"), scores.alias("scores"), models.alias("models"))
+    none, one = F.lit(0).cast("long"), F.col("model_name").isNotNull().cast("long")
+    each = F.array(change(first, F.col("scores"), none), change(at + seconds, -F.col("scores"), none), change(F.col("_new"), none, one), change(at + seconds, none, -one))
+    sums = own.select(F.inline(each)).groupBy("at").agg(F.sum("scores").alias("s"), F.sum("models").alias("m"))
+    w = W.orderBy("at")  # a row a start
+    held = sums.select("at", F.lead("at").over(w).alias("next"), F.sum("s").over(w).alias("scores"), F.sum("m").over(w).alias("models")).where("scores > 0")
+    each = held.select(F.explode(F.sequence("at", F.col("next") - seconds, seconds)).alias("at"), "scores", "models")
+    return each.select(F.timestamp_seconds("at").alias("start"), "scores", "models").select("start", (F.col("start") + F.expr(step) * length).alias("end"), "scores", "models")
 
 
 def stream_win_rates(stream: DataFrame, min_battles: int = 50) -> DataFrame:

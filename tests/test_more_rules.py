@@ -130,3 +130,21 @@ def test_health_of_sources(spark):
     r = M.source_health(stats).first()
     assert (r.passed, round(r.actual, 4), r.message) == (False, round(1 / 3, 4), "Failed sources: b, c")
     assert M.source_health(stats.limit(0)).first().passed
+
+
+@pytest.mark.parametrize("length", [1, 3, 24])
+def test_rolling_volume_of_panes(spark, length):
+    """Against plain windows: gaps, models that come again within and after a window, null models; and the state is a row a pane and model."""
+    rng = random.Random(length)
+    base = 1_700_006_400
+    rows = [(rng.choice(["a", "b", "c", None]), base + 1800 * rng.choice([rng.randrange(20), rng.randrange(300), 900])) for _ in range(80)]
+    df = spark.createDataFrame(rows, "model_name string, t long").select("model_name", F.timestamp_seconds("t").alias("scraped_at"))
+    panes = streams.stream_panes(df)
+    assert panes.count() == len({(m, t // 3600) for m, t in rows})
+    got = {r.s: (r.e, r.scores, r.models) for r in streams.rolling_volume(panes, length).select(F.unix_seconds("start").alias("s"), F.unix_seconds("end").alias("e"), "scores", "models").collect()}
+    want = {}
+    for s in range(base - 3600 * length, base + 3600 * 600, 3600):
+        own = [m for m, t in rows if s <= t < s + 3600 * length]
+        if own:
+            want[s] = (s + 3600 * length, len(own), len({m for m in own if m is not None}))
+    assert got == want
