@@ -3,8 +3,9 @@
 A shard is a bounded run of words of one language's texts. Its index over word numbers is kept in a table: the Burrows-Wheeler transforms of
 the word sequence and of its reversal, which together let the interval of a phrase be extended by a word on either side. Rows are ordered by
 DEPTH words, all that phrases of DEPTH words need. Phrases are enumerated level by level: counts of a level are summed across shards, and only
-what is frequent overall is extended. A level is counted by short hashes first; then the phrases whose hashes are frequent are, by their words.
-What the shards are told of frequent phrases is a bitmap of bounded size: a false positive costs a row in a shuffle, a frequent phrase is never
+what is frequent overall is extended. Phrases are counted by numbers of their words
+in a sorted list of the frequent words' hashes, where that list is of bounded size and no two hashes are equal. Else a level is counted by short
+hashes first, and then the phrases whose hashes are frequent are, by their words. What the shards are told of frequent phrases is a bitmap of bounded size: a false positive costs a row in a shuffle, a frequent phrase is never
 missed.
 """
 
@@ -28,7 +29,7 @@ from scorelake.llm.common import STEP_WORDS, drop, ragged, release, ship, slices
 
 DEPTH = 3
 #: Words of a shard: its index is built and read in some 100 bytes a word.
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 18
 #: Words of the shards, of several languages, that a task fills at a time, in shards.
 SHARDS_HELD = 4
 #: Bytes of text that are cut into words at a time.
@@ -39,6 +40,8 @@ GAP = re.compile(rb"[ \n]")
 INSIDE = np.array([b not in b" \n" for b in range(256)])
 #: Bits of a bitmap of frequent phrases: about 16 a phrase, between these.
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28
+#: Frequent words whose list is broadcast at most.
+MOST_WORDS = 1 << 24
 #: Bits of a phrase's hash: what is counted first. Phrases of one hash are told apart later, when only the frequent are left.
 HASH_BITS = 44
 #: Rows of an index that are extended at a time.
@@ -145,9 +148,16 @@ def stretches(sizes: np.ndarray, most: int) -> Iterator[slice]:
         a = b
 
 
-def word_hash(lang: Column, word: Column) -> Column:
-    """As phrase_hash of one word."""
-    return F.xxhash64(F.concat(lang, F.lit(" "), word)).bitwiseAND(F.lit((1 << HASH_BITS) - 1)).alias("hash")
+def full_hash(lang: Column, word: Column) -> Column:
+    return F.xxhash64(F.concat(lang, F.lit(" "), word))
+
+
+def hash_of(lang: Column, *words: Column) -> Column:
+    """As phrase_hash."""
+    out = full_hash(lang, words[0])
+    for w in words[1:]:
+        out = F.shiftleft(out, 7).bitwiseXOR(full_hash(lang, w))
+    return out.bitwiseAND(F.lit((1 << HASH_BITS) - 1)).alias("hash")
 
 
 def phrase_hash(hashes: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
@@ -213,16 +223,20 @@ def build_indexes(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     return own.mapInArrow(run, INDEX)
 
 
-def phrases_of(lang: str, known: list[bytes], forward: bytes, backward: bytes, depth: int, bitmaps: list[np.ndarray]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
-    """Of a shard's phrases of `depth` words the words' numbers, the hashes and the counts, some at a time; but for single words, of those
-    whose parts the bitmaps hold: of frequent words, of frequent pairs of words, ..., up to `depth` of them."""
-    base = len(known) + 1
-    kind = np.uint16 if len(known) < 1 << 16 else np.uint32
+def shard_hashes(lang: str, known: list[bytes]) -> np.ndarray:
+    """The hash of each of a shard's words, from 1; 0 is none."""
+    prefix = lang.encode() + b" "
+    return np.concatenate([np.zeros(1, np.uint64), np.fromiter((xxhash.xxh64_intdigest(prefix + w, 42) for w in known), np.uint64, len(known))])
+
+
+def phrases_of(hashes: np.ndarray, forward: bytes, backward: bytes, depth: int, bitmaps: list[np.ndarray]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Of a shard's phrases of `depth` words the words' numbers and the counts, some at a time: of those whose parts the bitmaps hold, of
+    frequent words, of frequent pairs of words, ..., up to `depth` of them."""
+    base = len(hashes)
+    kind = np.uint16 if base <= 1 << 16 else np.uint32
     bwt = np.frombuffer(forward, kind)
     sizes = np.bincount(bwt, minlength=base)
     lows = np.cumsum(sizes) - sizes
-    prefix = lang.encode() + b" "
-    hashes = np.concatenate([np.zeros(1, np.uint64), np.fromiter((xxhash.xxh64_intdigest(prefix + w, 42) for w in known), np.uint64, len(known))])
     firsts = np.arange(1, base)
 
     def held(words: list[np.ndarray]) -> np.ndarray:
@@ -230,7 +244,7 @@ def phrases_of(lang: str, known: list[bytes], forward: bytes, backward: bytes, d
 
     firsts = firsts[held([firsts])]
     if depth == 1:
-        yield [firsts], phrase_hash(hashes, [firsts]), sizes[firsts]
+        yield [firsts], sizes[firsts]
         return
     frequent = np.zeros(base, bool)
     frequent[firsts] = True
@@ -248,13 +262,14 @@ def phrases_of(lang: str, known: list[bytes], forward: bytes, backward: bytes, d
             keep[keep] = held([w1[keep], w2[keep]])
             keep[keep] = held([w1[keep], w2[keep], w3[keep]])
             words, n = [w1[keep], w2[keep], w3[keep]], n[keep]
-        yield words, phrase_hash(hashes, words), n
+        yield words, n
 
 
-def level_counts(indexes: DataFrame, depth: int, bitmaps: list[Broadcast], hashed: bool = False) -> DataFrame:
-    """lang, w1 .. w<depth>, f: phrases of `depth` words of all shards, of the parts that the bitmaps hold, with their counts. With hashed, hash
-    and f instead."""
+def level_counts(indexes: DataFrame, depth: int, bitmaps: list[Broadcast], how: str = "words", listed: Broadcast | None = None) -> DataFrame:
+    """Phrases of `depth` words of all shards, of the parts that the bitmaps hold, with their counts f: by lang, w1 .. w<depth>; with how =
+    "hash" by hash; with "numbers" by first (the first two words' numbers in `listed`, in 32 bits each) and third (or 0)."""
     names = [f"w{k + 1}" for k in range(depth)]
+    keys = {"words": ["lang", *names], "hash": ["hash"], "numbers": ["first", "third"]}[how]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [b.value for b in bitmaps]
@@ -262,24 +277,56 @@ def level_counts(indexes: DataFrame, depth: int, bitmaps: list[Broadcast], hashe
             for i in range(b.num_rows):
                 lang, vocabulary, forward, backward, twice = (b.column(k)[i].as_py() for k in range(5))
                 known = vocabulary.split(b"\n")
-                texts = None if hashed else pa.array([b"", *known], pa.binary()).cast(pa.string(), safe=False)
-                again = [t.split(" ") for t in twice if t.count(" ") == depth - 1]
-                for words, hashes, counts in phrases_of(lang, known, forward, backward, depth, own):
-                    n = pa.array(counts.astype(np.int64))
-                    if hashed:
-                        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), n], ["hash", "f"])
+                hashes = shard_hashes(lang, known)
+                texts = pa.array([b"", *known], pa.binary()).cast(pa.string(), safe=False) if how == "words" else None
+                number = np.searchsorted(listed.value, hashes) if how == "numbers" else None
+
+                def batch(words: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
+                    if how == "words":
+                        columns = [pa.repeat(pa.scalar(lang), len(n)), *(texts.take(pa.array(w)) for w in words)]  # noqa: B023
+                    elif how == "hash":
+                        columns = [pa.array(phrase_hash(hashes, words).view(np.int64))]  # noqa: B023
                     else:
-                        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(n)), *(texts.take(pa.array(w)) for w in words), n], ["lang", *names, "f"])
+                        # What isn't in the list is frequent by the bitmap's mistake.
+                        at = [number[w] for w in words]  # noqa: B023
+                        right = np.logical_and.reduce([listed.value[np.minimum(k, len(listed.value) - 1)] == hashes[w] for k, w in zip(at, words, strict=True)])  # noqa: B023
+                        at, n = [k[right] for k in at], n[right]
+                        columns = [pa.array(at[0] << 32 | at[1]), pa.array(at[2] if depth > 2 else np.zeros(len(n), np.int64))]
+                    return pa.RecordBatch.from_arrays([*columns, pa.array(n.astype(np.int64))], [*keys, "f"])
+
+                for words, n in phrases_of(hashes, forward, backward, depth, own):
+                    yield batch(words, n)
                 # What a cut text's shards count twice; hashes may be counted too often.
-                if again and not hashed:
-                    columns = [pa.array(list(w), pa.string()) for w in zip(*again, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(again)), *columns, pa.array([-1] * len(again), pa.int64())], ["lang", *names, "f"])
+                again = [t.encode().split(b" ") for t in twice if t.count(" ") == depth - 1]
+                if again and how != "hash":
+                    at = {w: k + 1 for k, w in enumerate(known)}
+                    yield batch([np.array([at[w] for w in column]) for column in zip(*again, strict=True)], np.full(len(again), -1))
 
-    keys = ["hash"] if hashed else ["lang", *names]
-    schema = f"{'hash long' if hashed else ', '.join(f'{w} string' for w in keys)}, f long"
+    schema = ", ".join([*(f"{k} {'string' if how == 'words' else 'long'}" for k in keys), "f long"])
     return indexes.mapInArrow(run, schema).groupBy(*keys).agg(F.sum("f").alias("f"))
 
 
+def frequent_list(frequent: DataFrame) -> Broadcast | None:
+    """The sorted hashes of the frequent words, all of their bits; None where they are more than MOST_WORDS, or two are equal."""
+    if frequent.count() > MOST_WORDS:
+        return None
+    found = np.sort(frequent.select(full_hash(F.col("lang"), F.col("w1")).alias("hash")).toPandas()["hash"].to_numpy(np.int64).view(np.uint64))
+    if not len(found) or (found[1:] == found[:-1]).any():
+        return None
+    return frequent.sparkSession.sparkContext.broadcast(found)
+
+
+def numbered(frequent: DataFrame, listed: Broadcast) -> DataFrame:
+    """number, lang and w of the frequent words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.searchsorted(listed.value, b.column(0).to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(at), b.column(1), b.column(2)], ["number", "lang", "w"])
+
+    return frequent.select(full_hash(F.col("lang"), F.col("w1")), "lang", "w1").mapInArrow(run, "number long, lang string, w string")
+
+
 def score(a: Column, l: Column, r: Column) -> Column:  # noqa: E741
     """floor(1000000 * a * a / (l * r)), exact for counts of up to 14 digits; whole, as a is at most l and r."""
     x, y, z = (c.cast("decimal(14,0)") for c in (a, l, r))
@@ -300,18 +347,30 @@ def collocations(docs: DataFrame, min_count: int = 10, cover_percent: int = 50,
     indexes = written(build_indexes(docs, lang_col, text_col, shard_words), "indexes")
     words = written(level_counts(indexes, 1, []), "words")
     frequent = words.where(F.col("f") >= min_count)
-    bitmaps: list[Broadcast] = []
+    lang, w = F.col("lang"), [F.col(f"w{k + 1}") for k in range(DEPTH)]
+    listed = frequent_list(frequent)
+    names = written(numbered(frequent, listed), "names") if listed else None
+    bitmaps = [bitmap(frequent.select(hash_of(lang, w[0])))]
     levels = []
-    for depth in range(1, DEPTH + 1):
-        if depth == 1:
-            bitmaps.append(bitmap(frequent.select(word_hash(F.col("lang"), F.col("w1")))))
+    for depth in range(2, DEPTH + 1):
+        if listed:
+            counts = level_counts(indexes, depth, bitmaps, "numbers", listed).where(F.col("f") >= min_count)
+            number = [F.shiftright("first", 32), F.col("first").bitwiseAND(F.lit((1 << 32) - 1)), F.col("third")][:depth]
+            found = counts.select(*(n.alias(f"n{k + 1}") for k, n in enumerate(number)), "f")
+            for k in range(depth):
+                found = found.join(names.select(F.col("number").alias(f"n{k + 1}"), *(["lang"] if not k else []), F.col("w").alias(f"w{k + 1}")), f"n{k + 1}")
+            found = found.select("lang", *(f"w{k + 1}" for k in range(depth)), "f")
         else:
-            found = written(level_counts(indexes, depth, bitmaps, hashed=True).where(F.col("f") >= min_count).select("hash"), "hashes")
-            bitmaps.append(bitmap(found))
-            drop(found)
-            release(docs.sparkSession)
-            levels.append(written(level_counts(indexes, depth, bitmaps).where(F.col("f") >= min_count), "phrases"))
-            release(docs.sparkSession)
+            hashes = written(level_counts(indexes, depth, bitmaps, "hash").where(F.col("f") >= min_count).select("hash"), "hashes")
+            bitmaps.append(bitmap(hashes))
+            drop(hashes)
+            found = level_counts(indexes, depth, bitmaps).where(F.col("f") >= min_count)
+        levels.append(written(found, "phrases"))
+        if listed and depth < DEPTH:
+            bitmaps.append(bitmap(levels[-1].select(hash_of(lang, *w[:depth]))))
+        release(docs.sparkSession)
+    if names is not None:
+        drop(names)
     pairs, triples = levels
     drop(indexes)
 

@@ -37,11 +37,13 @@ def found(df, **options):
     return sorted(map(tuple, collocations(df, **options).collect()))
 
 
-@pytest.mark.parametrize("shard_words", [7, 100, 1 << 20])
-@pytest.mark.parametrize("window", [3, 50, 1 << 20])
-def test_against_plain(spark, monkeypatch, shard_words, window):
-    """Texts longer than a shard, pieces over cuts, ties, both cases, null and empty texts and languages, repeated rows."""
+@pytest.mark.parametrize("shard_words, window, listed", [(7, 3, True), (7, 1 << 20, False), (100, 50, True), (1 << 20, 3, False), (1 << 20, 1 << 20, True)])
+def test_against_plain(spark, monkeypatch, shard_words, window, listed):
+    """Texts longer than a shard, pieces over cuts, ties, both cases, null and empty texts and languages, repeated rows; with a list of the
+    frequent words, and without as where they are too many for one."""
     monkeypatch.setattr(phrases, "WINDOW_BYTES", window)
+    if not listed:
+        monkeypatch.setattr(phrases, "MOST_WORDS", 0)
     rng = random.Random(window)
     words = ["a", "B", "cc", "é", "New", "YORK", "-", "x" * 30, "日本"]
     text = lambda n: "".join(rng.choice(words) + rng.choice([" ", " ", " ", "  ", "\t", ". ", "\n", ",", " ;", "\x1f"]) for _ in range(n))
