@@ -588,15 +588,14 @@ def e30_dedup_first(spark, d):
     return N.dedup_first(P.facts(spark, d), S.squashed(F.col("model_name"))).select("model_name", "score_id", "benchmark")
 
 
-@query(with_sql("names", "SELECT * FROM (WITH s AS (SELECT DISTINCT model_name, list_distinct(string_split(lower(model_name), '')) AS s FROM names) SELECT a.model_name AS name_a, b.model_name AS name_b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) AS similarity FROM s a JOIN s b ON a.model_name < b.model_name) WHERE similarity > 0.8"))
+@query(with_sql("names", "SELECT * FROM (WITH s AS (SELECT DISTINCT model_name, list_distinct(string_split(lower(model_name), '')) AS s FROM names) SELECT a.model_name, array_to_string(list_sort(a.s), '') AS key, count(b.model_name) AS n_links FROM s a LEFT JOIN s b ON a.model_name <> b.model_name AND len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) > 0.8 GROUP BY ALL)"))
 def e31_near_duplicate_names(spark, d):
-    """All pairs of names, from the pairs of classes and the classes' names."""
+    """Every name with its class, and how many other names it is linked with: those of its class and of the classes linked with that."""
     names = P.names(spark, d)
     c, pairs = N.name_classes(names), N.near_duplicate_names(names)
-    x, y = c.select(F.col("key").alias("key_a"), F.col("model_name").alias("m")), c.select(F.col("key").alias("key_b"), F.col("model_name").alias("o"))
-    between = pairs.join(x, "key_a").join(y, "key_b").select("m", "o", "similarity")
-    inside = x.join(y, F.col("key_a") == F.col("key_b")).where("m < o").select("m", "o", F.lit(1.0).alias("similarity"))
-    return between.union(inside).select(F.least("m", "o").alias("name_a"), F.greatest("m", "o").alias("name_b"), "similarity")
+    each = pairs.select(F.inline(F.array(F.struct(F.col("key_a").alias("key"), F.col("n_b").alias("k")), F.struct(F.col("key_b").alias("key"), F.col("n_a").alias("k")))))
+    across = each.groupBy("key").agg(F.sum("k").alias("k"))
+    return c.join(across, "key", "left").select("model_name", "key", (F.col("n") - 1 + F.coalesce("k", F.lit(0))).cast("long").alias("n_links"))
 
 
 _CLASSES = "(SELECT model_name, key, count(*) OVER (PARTITION BY key) AS n FROM (SELECT DISTINCT model_name, array_to_string(list_sort(list_distinct(string_split(lower(model_name), ''))), '') AS key FROM names))"
@@ -704,10 +703,9 @@ def b8_metric_category(spark, d):
     return T.map_benchmark_category(P.facts(spark, d).select("score_id", "metric"), dim, "left")
 
 
-@query("SELECT event_id, event_type || ' Rank' AS rank_metric, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rank_value FROM events WHERE event_type = 'view'")
+@query("SELECT event_id, event_type, 'Rank' AS rank_metric, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rank_value FROM events")
 def b6_position_rank(spark, d):
-    e = P.table(spark, d, "events").where("event_type = 'view'").select("event_type", "event_id")
-    return T.add_position_rank(e, ["event_type"], "event_id", "view Rank").drop("event_type")
+    return T.add_position_rank(P.table(spark, d, "events").select("event_type", "event_id"), ["event_type"], "event_id", "Rank")
 
 
 @query("SELECT l_orderkey, l_linenumber, round(CASE WHEN k = 0 THEN 0 ELSE (CASE WHEN l_quantity > 0 THEN l_quantity ELSE 0 END + CASE WHEN l_tax > 0 THEN l_tax ELSE 0 END + CASE WHEN l_discount > 0 THEN l_discount ELSE 0 END) / k END, 6) AS mean_pos, CASE WHEN l_discount > 0 THEN l_discount WHEN l_tax > 0 THEN l_tax WHEN l_quantity > 0 THEN l_quantity END AS first_pos, trunc(l_quantity * 5)::INT AS resolved, l_quantity BETWEEN 10 AND 20 AS fits FROM (SELECT *, (l_quantity > 0)::INT + (l_tax > 0)::INT + (l_discount > 0)::INT AS k FROM lineitem)")
