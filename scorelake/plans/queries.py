@@ -965,6 +965,16 @@ def l4_stream_upsert(spark, d):
     return rounded(read_upserts(spark, path), "value").select("model_name", "benchmark", "value")
 
 
+@query(with_sql("facts", "SELECT model_name, benchmark, round(arg_max(value, (scraped_at, score_id)), 4) AS value, strftime(max(scraped_at), '%Y-%m-%d %H:%M:%S') AS updated_at FROM facts GROUP BY ALL"))
+def l4_stream_latest(spark, d):
+    from scorelake.streaming.streams import read_latest, stream_latest
+
+    state = _folder(spark, "state")
+    changes = stream_latest(_facts_stream(spark, d))
+    changes.writeStream.format("noop").outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return rounded(read_latest(spark, state), "value").withColumn("updated_at", when_text("updated_at"))
+
+
 @query(BATTLES_SQL)
 def l5_stream_win_rates(spark, d):
     from scorelake.streaming.streams import stream_win_rates

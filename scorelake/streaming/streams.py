@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from scorelake.operators.boards import upsert_latest, win_rates
 from scorelake.operators.normalize import normalize_scores
-from scorelake.sources.shared import delete
+from scorelake.sources.versioned import BUCKETS, VersionedTable
 
 
 def stream_normalize(facts: DataFrame, boards: DataFrame) -> DataFrame:
@@ -58,50 +60,58 @@ def stream_win_rates(stream: DataFrame, min_battles: int = 50) -> DataFrame:
     return win_rates(stream, min_battles)
 
 
-#: Parts of the state of stream_upsert, by a hash of the key.
-STATE_PARTS = 64
-
+UPSERTED = "model_name string, benchmark string, value double, updated_at timestamp"
 
-def stream_upsert(stream: DataFrame, path: str, checkpoint: str, parts: int = STATE_PARTS) -> DataStreamWriter:
-    """Keeps the latest value of every model and benchmark, in whatever order batches come, in tables under path, by part=<hash of the key>/version=<batch>.
 
-    A batch reads and writes only the parts that its keys fall in, and deletes their versions before the last; the last stays for the batch's
-    own repetition. A batch that is run again starts from versions before it and writes the same, so each takes effect once.
-    """
-    schema = "model_name string, benchmark string, value double, updated_at timestamp"
+def stream_upsert(stream: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS) -> DataStreamWriter:
+    """Keeps the latest value of every model and benchmark, in whatever order batches come, in a versioned table. A batch copies the buckets that
+    its keys fall in, and its number is the write's token, so one that is run again takes effect once. For few, large batches; stream_latest
+    is for many small ones."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        part = F.pmod(F.xxhash64("model_name", "benchmark"), F.lit(parts)).cast("int")
-        batch = batch.withColumn("part", part).persist()
-        touched = sorted(r.part for r in batch.select("part").distinct().collect())  # at most `parts`
-        held = state_versions(spark, path)
-        before = [f"{path}/part={k}/version={max(v for v in held.get(k, []) if v < number)}" for k in touched if any(v < number for v in held.get(k, []))]
-        current = spark.read.schema(schema).parquet(*before) if before else spark.createDataFrame([], schema)
-        new = upsert_latest(current, batch, newest=True).drop("is_new").withColumn("part", part).withColumn("version", F.lit(number))
-        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "version").parquet(path)
+        table = VersionedTable(batch.sparkSession, path, ["model_name", "benchmark"], buckets)
+        batch = batch.persist()
+        table.merge(batch, lambda now, new: upsert_latest(now, new, newest=True).drop("is_new"), UPSERTED, f"batch-{number}")
         batch.unpersist()
-        for k in touched:
-            for v in sorted(v for v in held.get(k, []) if v < number)[:-1]:
-                delete(spark, f"{path}/part={k}/version={v}")
+        table.vacuum()
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
 
-def state_versions(spark: SparkSession, path: str) -> dict[int, list[int]]:
-    """The versions of each part under path. A folder a part, so few."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out: dict[int, list[int]] = {}
-    for found in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/part=*/version=*")) or []:
-        own = found.getPath()
-        out.setdefault(int(own.getParent().getName().split("=")[1]), []).append(int(own.getName().split("=")[1]))
-    return out
+def read_upserts(spark: SparkSession, path: str) -> DataFrame:
+    """The latest values that stream_upsert has written."""
+    return VersionedTable(spark, path, ["model_name", "benchmark"]).read(schema=UPSERTED)
 
 
-def read_upserts(spark: SparkSession, path: str) -> DataFrame:
-    """The latest version of every part."""
-    last = [f"{path}/part={k}/version={max(v)}" for k, v in state_versions(spark, path).items()]
-    schema = "model_name string, benchmark string, value double, updated_at timestamp"
-    return spark.read.schema(schema).parquet(*last) if last else spark.createDataFrame([], schema)
+class Latest(StatefulProcessor):
+    """The latest value of a key, as its state."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.latest = handle.getValueState("latest", "value double, updated_at timestamp")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        best = max((r for part in rows for r in part[["scraped_at", "score_id", "value"]].itertuples(index=False)), key=lambda r: (r.scraped_at, r.score_id))
+        held = self.latest.get() if self.latest.exists() else None
+        if held is not None and pd.Timestamp(held[1]) > best.scraped_at:
+            return
+        value = None if pd.isna(best.value) else float(best.value)
+        self.latest.update((value, best.scraped_at.to_pydatetime()))
+        yield pd.DataFrame({"model_name": [key[0]], "benchmark": [key[1]], "value": [value], "updated_at": [best.scraped_at]})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_latest(stream: DataFrame) -> DataFrame:
+    """model_name, benchmark, value and updated_at of the keys whose latest value a batch sets: for update output mode. What is latest is kept in
+    the state store, a value a key, so a batch costs its own keys, and a restart goes on from the checkpoint. Of values of one time the later
+    batch's counts. Rows need a time. read_latest reads all of the state."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = stream.where("scraped_at is not null").select("model_name", "benchmark", "scraped_at", "score_id", "value").groupBy("model_name", "benchmark")
+    return rows.transformWithStateInPandas(statefulProcessor=Latest(), outputStructType=UPSERTED, outputMode="Update", timeMode="None")
+
+
+def read_latest(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The latest value of every key of a stream_latest query, from its checkpoint."""
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "latest").load()
+    return state.select("key.model_name", "key.benchmark", "value.value", "value.updated_at")

@@ -13,6 +13,7 @@ from scorelake.operators import normalize as Z
 from scorelake.operators import ordered
 from scorelake.sources import tables as T
 from scorelake.sources.shared import shared_path
+from scorelake.sources.versioned import VersionedTable
 from scorelake.streaming import streams
 
 
@@ -110,15 +111,39 @@ def test_benchmarks_are_found_by_alias(spark):
     assert {tuple(r) for r in more.collect()} == {("massive test", "mmlu"), ("long qa", "long-qa")}
 
 
-def test_stream_state_keeps_two_versions_a_part_and_takes_any_order(spark):
-    source, path, state = (shared_path(spark, n) for n in ("in", "out", "state"))
+def stream_batches(spark, source):
+    """Four files of 20 models, of one in the last, whose times come in no order; a stream over them after each is there."""
     schema = "score_id long, model_name string, benchmark string, value double, scraped_at timestamp"
-    for k, (day, value) in enumerate([(3, 30.0), (1, 10.0), (5, 50.0), (2, 20.0)]):
+    for k, (day, value) in enumerate([(3, 30.0), (1, 10.0), (5, 50.0), (6, 60.0)]):
         spark.createDataFrame([(k, f"m{i}", "b", value + i) for i in range(20 if k < 3 else 1)], "score_id long, model_name string, benchmark string, value double").withColumn("scraped_at", F.lit(f"2024-01-0{day}").cast("timestamp")).coalesce(1).write.mode("append").parquet(source)
-        streams.stream_upsert(spark.readStream.schema(schema).parquet(source), path, state, 4).trigger(availableNow=True).start().awaitTermination()
-    assert {(r.model_name, r.value) for r in streams.read_upserts(spark, path).collect()} == {(f"m{i}", 50.0 + i) for i in range(20)}
-    held = streams.state_versions(spark, path)
-    assert len(held) == 4 and all(len(v) <= 2 for v in held.values()) and sorted(map(max, held.values()))[:3] == [2, 2, 2]
+        yield k, spark.readStream.schema(schema).parquet(source)
+
+
+def test_stream_upserts_in_any_order(spark):
+    source, path, state = (shared_path(spark, n) for n in ("in", "out", "state"))
+    for k, stream in stream_batches(spark, source):
+        streams.stream_upsert(stream, path, state, 4).trigger(availableNow=True).start().awaitTermination()
+        if k == 2:
+            before = VersionedTable(spark, path).state()["parts"]
+    assert {(r.model_name, r.value) for r in streams.read_upserts(spark, path).collect()} == {("m0", 60.0)} | {(f"m{i}", 50.0 + i) for i in range(1, 20)}
+    table = VersionedTable(spark, path)
+    after = table.state()["parts"]
+    assert len(after) == 4
+    assert sum(after[k] != before[k] for k in after) == 1
+    assert len(table.versions()) == 2
+
+
+def test_latest_values_as_keyed_state(spark):
+    """A batch gives the keys that it changes and no others; a query that is started again goes on from its checkpoint."""
+    source, state = (shared_path(spark, n) for n in ("in", "state"))
+    given = []
+    for _, stream in stream_batches(spark, source):
+        changes = streams.stream_latest(stream)
+        changes.writeStream.foreachBatch(lambda b, _: given.append(sorted(r.model_name for r in b.collect()))).outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    every = sorted(f"m{i}" for i in range(20))
+    assert [g for g in given if g] == [every, every, ["m0"]]
+    got = {(r.model_name, r.benchmark, r.value, str(r.updated_at)[:10]) for r in streams.read_latest(spark, state).collect()}
+    assert got == {("m0", "b", 60.0, "2024-01-06")} | {(f"m{i}", "b", 50.0 + i, "2024-01-05") for i in range(1, 20)}
 
 
 def test_newest_file_of_a_pattern(spark):
