@@ -154,17 +154,59 @@ def validate_required(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     return df.agg(*(F.count_if(F.col(f).isNull()).alias(f"missing_{f}") for f in fields))
 
 
+def _content(records: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by and content_hash of records grouped by `by`: see content_hashes."""
+    cols = [c for c in sorted(records.columns) if c not in by]
+    digest = F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in cols)), {"ignoreNullFields": "false"}), 256)
+    words = [F.sum(F.conv(F.substring("d", 8 * i + 1, 8), 16, 10).cast("decimal(38,0)")).alias(f"w{i}") for i in range(8)]
+    g = records.select(*by, digest.alias("d")).groupBy(*by).agg(*words, F.count("*").alias("n"))
+    return g.select(*by, F.sha2(F.concat_ws("|", *(f"w{i}" for i in range(8)), "n"), 256).alias("content_hash"))
+
+
 def content_hashes(records: DataFrame, source: str = "source") -> DataFrame:
     """Per source a SHA-256 of its records as canonical JSON (keys in order, nulls kept), whatever the records' order.
 
     Each record's JSON is hashed, equal ones counted; the digests of a source are summed in eight 32-bit words, each weighted by how often the
     record occurs, and the sums with the count are hashed again. Sums are combined before the shuffle, so no source is gathered.
     """
-    cols = [c for c in sorted(records.columns) if c != source]
-    digest = F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in cols)), {"ignoreNullFields": "false"}), 256)
-    words = [F.sum(F.conv(F.substring("d", 8 * i + 1, 8), 16, 10).cast("decimal(38,0)")).alias(f"w{i}") for i in range(8)]
-    g = records.select(F.col(source), digest.alias("d")).groupBy(source).agg(*words, F.count("*").alias("n"))
-    return g.select(source, F.sha2(F.concat_ws("|", *(f"w{i}" for i in range(8)), "n"), 256).alias("content_hash"))
+    return _content(records, [source])
+
+
+def key_path(key: Column, levels: int) -> Column:
+    """The leaf of a tree of 16 ** levels leaves that a key's records are in: hexadecimal digits of the key's MD5."""
+    return F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, levels)
+
+
+def content_tree(records: DataFrame, key: str, source: str = "source", levels: int = 2) -> DataFrame:
+    """source, path and content_hash of every node of a hash tree a source. A leaf holds the records of the keys of its path, hashed as
+    content_hashes does; a node above is the SHA-256 of its children's hashes in order of their paths, joined by |. The root's path is empty.
+    Empty leaves have no node."""
+    level = _content(records.withColumn("path", key_path(F.col(key), levels)), [source, "path"])
+    tree = level
+    for depth in range(levels - 1, -1, -1):
+        children = F.array_sort(F.collect_list(F.struct("path", "content_hash")))  # 16 at most
+        level = level.groupBy(source, F.substring("path", 1, depth).alias("path")).agg(F.sha2(F.array_join(F.transform(children, lambda x: x["content_hash"]), "|"), 256).alias("content_hash"))
+        tree = tree.unionByName(level)
+    return tree
+
+
+def changed_ranges(tree: DataFrame, last: DataFrame, source: str = "source", levels: int = 2) -> DataFrame:
+    """source and path of the leaves that differ from the last tree on record, new and vanished ones too. Only below nodes that differ are
+    children compared, from the roots down."""
+    old = last.select(F.col(source).alias("_source"), F.col("path").alias("_path"), F.col("content_hash").alias("_old"))
+    both = tree.join(old, (tree[source] == F.col("_source")) & (tree["path"] == F.col("_path")), "full_outer")
+    differ = both.where(~F.col("content_hash").eqNullSafe(F.col("_old"))).select(F.coalesce(source, "_source").alias(source), F.coalesce("path", "_path").alias("path"))
+    found = differ.where("path = ''")
+    for depth in range(1, levels + 1):
+        here = differ.where(F.length("path") == depth)
+        found = here.join(found.withColumnsRenamed({source: "_above", "path": "_parent"}), (F.col(source) == F.col("_above")) & (F.substring("path", 1, depth - 1) == F.col("_parent")), "left_semi")
+    return found
+
+
+def changed_records(records: DataFrame, ranges: DataFrame, key: str, source: str = "source", levels: int = 2) -> DataFrame:
+    """The records of the leaves that changed_ranges names: all that has to be taken in."""
+    own = records.withColumn("_path", key_path(F.col(key), levels))
+    return own.join(ranges.withColumnsRenamed({source: "_source", "path": "_leaf"}), (F.col(source) == F.col("_source")) & (F.col("_path") == F.col("_leaf")), "left_semi").drop("_path")
 
 
 def changed_sources(records: DataFrame, last: DataFrame, source: str = "source") -> DataFrame:

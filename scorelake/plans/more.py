@@ -397,3 +397,23 @@ def b11_percent_scores(spark, d):
 def d14_content_hashes(spark, d):
     """Customers' names by nation, as one hash a nation."""
     return M.content_hashes(P.table(spark, d, "customer").select("c_nationkey", "c_name", "c_custkey"), "c_nationkey")
+
+
+@query("""
+    WITH leaves AS (
+        SELECT c_nationkey, path, sha256(concat_ws('|', """ + ", ".join(f"CAST(sum(CAST(CAST('0x' || substr(d, {8 * i + 1}, 8) AS BIGINT) AS HUGEINT)) AS VARCHAR)" for i in range(8)) + """, count(*))) AS content_hash
+        FROM (SELECT c_nationkey, substr(md5(c_custkey::VARCHAR), 1, 1) AS path, sha256('{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"}') AS d FROM customer) GROUP BY ALL)
+    SELECT * FROM leaves UNION ALL SELECT c_nationkey, '', sha256(string_agg(content_hash, '|' ORDER BY path)) FROM leaves GROUP BY 1
+""")
+def k20_content_tree(spark, d):
+    """Customers' names by nation, as a hash tree of one level."""
+    return M.content_tree(P.table(spark, d, "customer").select("c_nationkey", "c_name", "c_custkey"), "c_custkey", "c_nationkey", levels=1)
+
+
+@query("SELECT c_nationkey, c_custkey, CASE WHEN c_custkey % 50 = 0 THEN 'new ' ELSE '' END || c_name AS c_name FROM customer WHERE (c_nationkey, substr(md5(c_custkey::VARCHAR), 1, 2)) IN (SELECT (c_nationkey, substr(md5(c_custkey::VARCHAR), 1, 2)) FROM customer WHERE c_custkey % 50 = 0)")
+def k20_changed_records(spark, d):
+    """Every fiftieth customer has a new name: what is taken in again are the leaves of the tree that these lie in."""
+    old = P.table(spark, d, "customer").select("c_nationkey", "c_custkey", "c_name")
+    new = old.withColumn("c_name", F.concat(F.when(F.col("c_custkey") % 50 == 0, "new ").otherwise(""), "c_name"))
+    ranges = M.changed_ranges(M.content_tree(new, "c_custkey", "c_nationkey"), M.content_tree(old, "c_custkey", "c_nationkey"), "c_nationkey")
+    return M.changed_records(new, ranges, "c_custkey", "c_nationkey")

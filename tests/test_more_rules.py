@@ -1,5 +1,6 @@
 """Exact rounding, quartiles, ranks, stored state and streams on small inputs."""
 
+import hashlib
 import random
 
 import pytest
@@ -89,6 +90,31 @@ def test_hashes_ignore_order_and_see_changes(spark):
     assert one == of(rows[::-1]) and one["s"] != of(rows[:2])["s"] and one["s"] != of([*rows[:2], ("s", "b", 0.0)])["s"]
 
 
+def test_hash_trees_name_what_has_changed(spark):
+    rows = [(s, k, float(k)) for s in "ab" for k in range(300)]
+    tree = lambda r: M.content_tree(spark.createDataFrame(r, "source string, k int, v double"), "k").persist()
+    one = tree(rows)
+    # The root, computed outside Spark.
+    def digest(text):
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    leaves = {}
+    for s, k, v in rows:
+        if s == "a":
+            leaves.setdefault(hashlib.md5(str(k).encode()).hexdigest()[:2], []).append(digest(f'{{"k":{k},"v":{v}}}'))
+    leaf = {p: digest("|".join([*(str(sum(int(d[8 * i : 8 * i + 8], 16) for d in ds)) for i in range(8)), str(len(ds))])) for p, ds in leaves.items()}
+    above = {a: digest("|".join(leaf[p] for p in sorted(leaf) if p[0] == a)) for a in {p[0] for p in leaf}}
+    got = {r.path: r.content_hash for r in one.where("source = 'a'").collect()}
+    assert got == {**leaf, **above, "": digest("|".join(above[a] for a in sorted(above)))}
+    changed = lambda r: {(x.source, x.path) for x in M.changed_ranges(tree(r), one).collect()}
+    at = lambda k: hashlib.md5(str(k).encode()).hexdigest()[:2]
+    assert changed(rows[::-1]) == set()
+    assert changed([(s, k, -1.0 if (s, k) == ("b", 7) else v) for s, k, v in rows]) == {("b", at(7))}
+    assert changed([*rows, ("c", 5, 0.0), ("a", 5, 5.0)]) == {("c", at(5)), ("a", at(5))}
+    alone = next(k for k in range(300) if len(leaves[at(k)]) == 1)
+    assert changed([r for r in rows if r[:2] != ("a", alone)]) == {("a", at(alone))}
+
+
 def test_ingesting_a_batch(spark):
     at = F.lit("2024-02-01").cast("timestamp")
     batch = spark.createDataFrame([("GPT-4", "MMLU (5-shot)", 80.0), ("gpt_4", "mmlu", 81.0), ("New", "Code x", None)], "model_name string, benchmark string, value double").withColumns({"leaderboard": F.lit("L"), "scraped_at": at})
