@@ -140,6 +140,18 @@ SQL: dict[str, str] = {
             FROM urls u JOIN rules r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path) GROUP BY k)
         SELECT page_id, host, path, rule, coalesce(b.verdict, 'allow') AS verdict FROM urls LEFT JOIN best b USING (k)
     """,
+    "op10_decontamination": r"""
+        WITH docs AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        items AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        starts AS (SELECT item, w, least(len(w), 10) AS m, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS s FROM items WHERE len(w) > 0),
+        windows AS (SELECT DISTINCT item, m, array_to_string(w[s : s + m - 1], ' ') AS g FROM starts),
+        grams AS (SELECT k, m, p, array_to_string(w[p : p + m - 1], ' ') AS g FROM (SELECT k, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM docs, (SELECT DISTINCT m FROM windows) WHERE len(w) >= m)),
+        hits AS (SELECT k, p, m, item FROM grams JOIN windows USING (m, g)),
+        words AS (SELECT k, count(DISTINCT q) AS n_hit FROM (SELECT k, unnest(range(p, p + m)) AS q FROM (SELECT DISTINCT k, p, m FROM hits)) GROUP BY k),
+        found AS (SELECT k, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY encode(item))) AS items_sha256 FROM (SELECT DISTINCT k, item FROM hits) GROUP BY k)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM docs LEFT JOIN words USING (k) LEFT JOIN found USING (k)
+    """,
     "op11_collocations": r"""
         WITH pieces AS (
             SELECT coalesce(lang, 'und') AS lang,
