@@ -13,18 +13,19 @@ import re
 import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scorelake.llm.automaton import Automaton
 from scorelake.llm.common import drop, kept, ship, slices, utf8, written
 
 WINDOW = 10
-#: Words of one automaton, about: it takes some 800 bytes a word. Larger benchmarks are matched in blocks.
-BLOCK_WORDS = 250_000
+#: Words of one automaton, about: it takes some 50 bytes a word, and four times as much while it is made. Larger benchmarks are matched in
+#: blocks.
+BLOCK_WORDS = 1_000_000
 #: Words of a piece of an item: what goes to one block whole. Pieces of an item overlap by all but one word of a window.
 PIECE_WORDS = 10_000
 #: A-Z lower-cased; all but letters, digits and bytes of other characters become a space.
@@ -38,98 +39,6 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(FOLD).split()
 
 
-class Automaton:
-    """States are numbered lists: the longest run's length, the suffix link and the moves by word number."""
-
-    def __init__(self, items: list[tuple[object, list[bytes]]], window: int = WINDOW):
-        self.window = window
-        self.number: dict[bytes, int] = {}
-        self.size, self.link, self.move = [0], [-1], [{}]
-        ends: list[tuple[int, object]] = []  # (state in which a prefix ends, its item)
-        short: dict[int, set] = {}  # by state: (length, item) of whole items below the window
-        for item, words in items:
-            last = 0
-            for w in words:
-                last = self._extend(last, self.number.setdefault(w, len(self.number)))
-                ends.append((last, item))
-            if 0 < len(words) < window:
-                short.setdefault(last, set()).add((len(words), item))
-        #: By state: the ancestor in which the window ending there lies, or 0; the whole short items that end there.
-        self.at_window, self.short = [0] * len(self.size), [()] * len(self.size)
-        for s in sorted(range(1, len(self.size)), key=self.size.__getitem__):
-            up = self.link[s]
-            self.at_window[s] = self.at_window[up] or (s if self.size[s] >= window else 0)
-            self.short[s] = (*short[s], *self.short[up]) if s in short else self.short[up]
-        self.items: dict[int, set] = {}
-        for s, item in ends:
-            if self.at_window[s]:
-                self.items.setdefault(self.at_window[s], set()).add(item)
-        self.least = min([window, *(len(w) for _, w in items if w)])
-
-    def _new(self, size: int, link: int, move: dict) -> int:
-        self.size.append(size)
-        self.link.append(link)
-        self.move.append(move)
-        return len(self.size) - 1
-
-    def _split(self, p: int, c: int, q: int) -> int:
-        """A copy of q for the runs that p reaches by c."""
-        copy = self._new(self.size[p] + 1, self.link[q], dict(self.move[q]))
-        self.link[q] = copy
-        while p >= 0 and self.move[p].get(c) == q:
-            self.move[p][c] = copy
-            p = self.link[p]
-        return copy
-
-    def _extend(self, last: int, c: int) -> int:
-        q = self.move[last].get(c)
-        if q is not None:  # the run is known from an earlier item
-            return q if self.size[q] == self.size[last] + 1 else self._split(last, c, q)
-        new, p = self._new(self.size[last] + 1, 0, {}), last
-        while p >= 0 and c not in self.move[p]:
-            self.move[p][c] = new
-            p = self.link[p]
-        if p >= 0:
-            q = self.move[p][c]
-            self.link[new] = q if self.size[q] == self.size[p] + 1 else self._split(p, c, q)
-        return new
-
-    def match(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
-        """Ranges of words that lie in an occurring window, apart and in order, and the items with such windows."""
-        get = self.number.get
-        codes = [get(w, -1) for w in words]
-        known = np.array(codes, np.int64) >= 0
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], known, [False]]).astype(np.int8)))
-        out: list[tuple[int, int]] = []
-        items: set = set()
-        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-            if b - a < self.least:
-                continue
-            state = length = 0
-            for i in range(a, b):
-                c = codes[i]
-                while state and c not in self.move[state]:
-                    state = self.link[state]
-                    length = self.size[state]
-                if c in self.move[state]:
-                    state, length = self.move[state][c], length + 1
-                found = 0
-                if length >= self.window:
-                    found = self.window
-                    # The run read may be shorter than the state's longest; the window's state is on the chain of suffixes all the same.
-                    items |= self.items[self.at_window[state]]
-                for n, item in self.short[state]:
-                    if n <= length:
-                        found = max(found, n)
-                        items.add(item)
-                if found:
-                    start = i + 1 - found
-                    while out and out[-1][1] >= start:
-                        start = min(start, out.pop()[0])
-                    out.append((start, i + 1))
-        return out, items
-
-
 def item_blocks(items: DataFrame, item_col: str, text_col: str, window: int, block_words: int, shortest: int) -> tuple[DataFrame, int, DataFrame]:
     """(block, item, words) of every item's pieces, the number of blocks, none of which has much more than block_words words, and the table that
     the pieces are read from. The driver gets one number a try."""
@@ -149,34 +58,27 @@ def item_blocks(items: DataFrame, item_col: str, text_col: str, window: int, blo
         blocks *= 2
 
 
-def _spans(pairs: list[tuple[int, int]]) -> list[dict]:
-    return [{"first": a, "end": b} for a, b in pairs]
-
-
 def _matched(rows: DataFrame, block: Broadcast, window: int, text: str) -> DataFrame:
     """rows with n_words, spans and items, by one block."""
     at, key = rows.columns.index(text), uuid.uuid4().hex
     schema = T.StructType([*rows.schema, T.StructField("n_words", T.LongType()), T.StructField("spans", T.DataType.fromDDL(SPANS)), T.StructField("items", T.DataType.fromDDL(ITEMS))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = kept(("block", key, window), lambda: Automaton(block.value, window))
+        automaton = kept(("block", key, window), lambda: Automaton(block.value, window, words_of))
         for b in slices(batches, at):
-            sizes, spans, items = [], [], []
-            for t in utf8(b.column(at)):
-                words = words_of(t)
-                found, hit = automaton.match(words)
-                sizes.append(len(words))
-                spans.append(_spans(found))
-                items.append(sorted(hit))
-            cols = [pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, "n_words", "spans", "items"])
+            sizes, (span_at, first, end), (item_at, found) = automaton.match(utf8(b.column(at)))
+            pairs = pa.StructArray.from_arrays([pa.array(first, pa.int32()), pa.array(end, pa.int32())], names=["first", "end"])
+            spans = pa.ListArray.from_arrays(pa.array(span_at, pa.int32()), pairs)
+            items = pa.ListArray.from_arrays(pa.array(item_at, pa.int32()), pa.array(found, pa.string()))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sizes, pa.int64()), spans, items], names=[*b.schema.names, "n_words", "spans", "items"])
 
     return rows.mapInArrow(run, schema)
 
 
 def _block(spark, pieces: DataFrame, k: int) -> Broadcast:  # noqa: ANN001
     """One block's pieces, for the workers: of bounded size, see item_blocks."""
-    return spark.sparkContext.broadcast(sorted((r["item"], [w.encode() for w in r.words]) for r in pieces.where(F.col("block") == k).select("item", "words").collect()))
+    own = pieces.where(F.col("block") == k).select("item", F.array_join("words", " ").cast("binary").alias("text"))
+    return spark.sparkContext.broadcast(sorted((r["item"], bytes(r["text"])) for r in own.collect()))
 
 
 def with_matches(rows: DataFrame, items: DataFrame, text: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, shortest: int = 1) -> DataFrame:
