@@ -840,6 +840,20 @@ def a1_b1_score_dump(spark, d):
     return T.unpivot_scores(T.valid_record(dumps)).select("model", "metric", "value")
 
 
+@query("SELECT 's' || user_id % 16 AS source_key, 'user ' || user_id AS model, event_type AS metric, max(value) AS value FROM events GROUP BY user_id, event_type")
+def a1_large_dump(spark, d):
+    """Dumps of sixteen sources as JSON files of many lines, read in blocks."""
+    e = P.table(spark, d, "events").groupBy("user_id", "event_type").agg(F.max("value").alias("v"))
+    scores = e.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "v"))).alias("scores"))
+    name = F.concat(F.lit("s"), F.pmod("user_id", F.lit(16)))
+    records = scores.select(name.alias("source"), F.lit(1).alias("place"), F.concat(F.to_json(F.struct(F.concat(F.lit("user "), "user_id").alias("model"), "scores")), F.lit(",")).alias("value"))
+    names = records.select("source").distinct()
+    around = [names.select("source", F.lit(0).alias("place"), F.concat(F.lit('{"'), "source", F.lit('": [')).alias("value")), names.select("source", F.lit(2).alias("place"), F.lit("null]}").alias("value"))]
+    path = _folder(spark, "dump")
+    records.union(around[0]).union(around[1]).repartition(16, "source").sortWithinPartitions("source", "place").select("value").write.text(path)
+    return T.unpivot_scores(T.valid_record(T.read_large_dump(spark, path, "sources"))).select("source_key", "model", "metric", "value")
+
+
 @query("SELECT s_name AS model, 'acctbal' AS metric, s_acctbal AS value FROM supplier UNION ALL SELECT s_name, 'nation', s_nationkey FROM supplier")
 def a3_csv_board(spark, d):
     path = _folder(spark, "csv")

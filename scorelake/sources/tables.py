@@ -79,7 +79,7 @@ def latest_snapshot(spark: SparkSession, pattern: str) -> DataFrame:
 
 def read_score_dump(spark: SparkSession, path: str, shape: str = "array", lines: bool = False) -> DataFrame:
     """Records of a JSON dump: `array` of records, `sources` {source: [record]}, `categories` {source: {category: [record]}} or `models`
-    {models: [record]}. A file, or with `lines` (not for `array`) a line, is a dump."""
+    {models: [record]}. A file, or with `lines` (not for `array`) a line, is a dump, and one task's work; read_large_dump shares out files."""
     records = T.ArrayType(RECORD)
     if shape == "array":
         return spark.read.schema(RECORD).json(path, multiLine=True)
@@ -89,6 +89,17 @@ def read_score_dump(spark: SparkSession, path: str, shape: str = "array", lines:
     return flatten_sources(text.select(F.from_json("value", T.MapType(T.StringType(), records if shape == "sources" else T.MapType(T.StringType(), records))).alias("dump")), nested=shape == "categories")
 
 
+def read_large_dump(spark: SparkSession, path: str, shape: str = "array") -> DataFrame:
+    """What read_score_dump gives of files of any size: each is read by as many tasks as it has blocks. See record_texts."""
+    from scorelake.sources.dumps import record_texts
+
+    keys = {"sources": ["source_key"], "categories": ["source_key", "category_key"]}.get(shape, [])
+    records = record_texts(spark, path, shape)
+    if shape == "models":
+        records = records.where("source_key = 'models'")
+    return records.select(*keys, F.from_json("json", RECORD).alias("r")).select(*keys, "r.*")
+
+
 def flatten_sources(df: DataFrame, nested: bool = False) -> DataFrame:
     """Rows with a map `dump` of sources, or of sources and categories, as one list of records with source_key (and category_key)."""
     one = df.select(F.explode("dump").alias("source_key", "v"))
