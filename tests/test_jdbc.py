@@ -12,4 +12,4 @@ def test_there_and_back(spark):
     T.write_jdbc(df.where("id >= 600"), url, "scores", parts=2)
     back = T.read_jdbc(spark, url, "scores", "id", 0, 1000, 4)
     assert back.rdd.getNumPartitions() == 4
-    assert sorted((r[0], r[1], round(r[2], 6)) for r in back.collect()) == sorted((r.id, r.model, round(float(r.value), 6)) for r in df.collect())
+    assert sorted((r[0], r[1], round(float(r[2]), 6)) for r in back.collect()) == sorted((r.id, r.model, round(float(r.value), 6)) for r in df.collect())
