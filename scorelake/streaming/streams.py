@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter
 
 from scorelake.operators.boards import upsert_latest, win_rates
 from scorelake.operators.normalize import normalize_scores
@@ -83,35 +81,18 @@ def read_upserts(spark: SparkSession, path: str) -> DataFrame:
     return VersionedTable(spark, path, ["model_name", "benchmark"]).read(schema=UPSERTED)
 
 
-class Latest(StatefulProcessor):
-    """The latest value of a key, as its state."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.latest = handle.getValueState("latest", "value double, updated_at timestamp")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        best = max((r for part in rows for r in part[["scraped_at", "score_id", "value"]].itertuples(index=False)), key=lambda r: (r.scraped_at, r.score_id))
-        held = self.latest.get() if self.latest.exists() else None
-        if held is not None and pd.Timestamp(held[1]) > best.scraped_at:
-            return
-        value = None if pd.isna(best.value) else float(best.value)
-        self.latest.update((value, best.scraped_at.to_pydatetime()))
-        yield pd.DataFrame({"model_name": [key[0]], "benchmark": [key[1]], "value": [value], "updated_at": [best.scraped_at]})
-
-    def close(self) -> None:
-        pass
-
-
 def stream_latest(stream: DataFrame) -> DataFrame:
-    """model_name, benchmark, value and updated_at of the keys whose latest value a batch sets: for update output mode. What is latest is kept in
-    the state store, a value a key, so a batch costs its own keys, and a restart goes on from the checkpoint. Of values of one time the later
-    batch's counts. Rows need a time. read_latest reads all of the state."""
+    """model_name, benchmark, value and updated_at of the keys whose latest value a batch sets: for update output mode. What is latest is an
+    aggregate in the state store, a value a key, so a batch costs its own keys, and a restart goes on from the checkpoint. Of values of one time
+    that of the greatest score_id counts. Rows need a time. read_latest reads all of the state."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows = stream.where("scraped_at is not null").select("model_name", "benchmark", "scraped_at", "score_id", "value").groupBy("model_name", "benchmark")
-    return rows.transformWithStateInPandas(statefulProcessor=Latest(), outputStructType=UPSERTED, outputMode="Update", timeMode="None")
+    # The time of the batch stands for all of its rows: a key whose latest value has it is one that the batch has set.
+    rows = stream.where("scraped_at is not null").withColumn("_batch", F.current_timestamp())
+    latest = rows.groupBy("model_name", "benchmark").agg(F.max(F.struct("scraped_at", "score_id", "value", "_batch")).alias("m"))
+    return latest.where(F.col("m._batch") == F.current_timestamp()).select("model_name", "benchmark", "m.value", F.col("m.scraped_at").alias("updated_at"))
 
 
 def read_latest(spark: SparkSession, checkpoint: str) -> DataFrame:
     """The latest value of every key of a stream_latest query, from its checkpoint."""
-    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "latest").load()
-    return state.select("key.model_name", "key.benchmark", "value.value", "value.updated_at")
+    state = spark.read.format("statestore").load(checkpoint)
+    return state.select("key.model_name", "key.benchmark", "value.max.value", F.col("value.max.scraped_at").alias("updated_at"))
