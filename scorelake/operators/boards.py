@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scorelake.functions.scalars import cascade, ellipsize, fix_known_name, is_artifact_name, is_usable_entry
+from scorelake.functions.scalars import cascade, ellipsize, fix_known_name, is_artifact_name, is_usable_entry, round_exact
 from scorelake.operators.normalize import normalize_by_range
 from scorelake.sources.shared import stored
 
@@ -284,14 +284,20 @@ def category_summaries(norm: DataFrame) -> DataFrame:
     return norm.groupBy("model_name", "category").agg(F.avg("normalized_value").alias("average"), F.avg("confidence_score").alias("confidence"), F.count("*").alias("n"), F.avg("value").alias("raw_average"))
 
 
+def exact_mean(c: str) -> Column:
+    """The mean of doubles below a million by their sum as decimals of 18 places, so it doesn't hang on the order of rows."""
+    return F.avg(F.col(c).try_cast("decimal(24,18)")).cast("double")
+
+
 def normalized_detail(norm: DataFrame, model: str) -> DataFrame:
     """One row on a model: means, quality, number of benchmarks, rank among all models by mean, latest update, and its facts and categories as
-    lists in order. Only the one model's rows are gathered; the rank is the number of models before it, so nothing is sorted."""
+    lists in order. Only the one model's rows are gathered; the rank is the number of models before it, so nothing is sorted. Means are of exact
+    sums, so equal ones tie and halves round the same whatever the order of rows."""
     own = norm.where(F.col("model_name") == model)
     facts = F.struct("score_id", "leaderboard", "benchmark", "metric", F.col("value").alias("raw_score"), F.round("normalized_value", 2).alias("normalized_score"), F.round("confidence_score", 3).alias("confidence"), "normalization_method", "category")
-    head = own.agg(F.round(F.avg("normalized_value"), 2).alias("overall_normalized"), F.round(F.avg("confidence_score"), 3).alias("overall_confidence"), F.count("*").alias("total_benchmarks"), F.array_sort(F.collect_list(facts)).alias("benchmark_details"), F.max("scraped_at").alias("last_update"))
+    head = own.agg(round_exact(exact_mean("normalized_value"), 2).alias("overall_normalized"), round_exact(exact_mean("confidence_score"), 3).alias("overall_confidence"), F.count("*").alias("total_benchmarks"), F.array_sort(F.collect_list(facts)).alias("benchmark_details"), F.max("scraped_at").alias("last_update"))
     cats = category_summaries(own).agg(F.array_sort(F.collect_list(F.struct("category", "average", "confidence", "n", "raw_average"))).alias("category_summaries"))
-    means = norm.groupBy("model_name").agg(F.avg("normalized_value").alias("m"))
+    means = norm.groupBy("model_name").agg(exact_mean("normalized_value").alias("m"))
     mine = means.where(F.col("model_name") == model).select(F.col("m").alias("own"))
     rank = means.crossJoin(mine).agg((F.count_if((F.col("m") > F.col("own")) | ((F.col("m") == F.col("own")) & (F.col("model_name") < model))) + 1).alias("global_rank"))
     return head.where("total_benchmarks > 0").crossJoin(cats).crossJoin(rank).crossJoin(model_quality(own).select("quality")).select(F.lit(model).alias("model_name"), "*")  # one row each

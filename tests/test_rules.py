@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scorelake.functions import scalars as S
+from scorelake.operators import boards as B
 from scorelake.operators import composite as C
 from scorelake.operators import names as N
 from scorelake.operators import normalize as Z
@@ -149,3 +150,12 @@ def test_text_rules(spark):
     assert [(r.model, r.value) for r in H.proximity_scores(pages, "claude|gpt", F.col("html")).collect()] == [("claude", 88.5)]
     pages = spark.createDataFrame([(1, "m1 900 m2 1200 m1 1000 m3 9999")], "page_id long, html string")
     assert {(r.name, r.score) for r in H.regex_scan(pages, r"(m\d) (\d+)", 500, 2000).collect()} == {("m1", 1000.0), ("m2", 1200.0)}
+
+
+def test_detail_hangs_on_no_order_of_rows(spark):
+    """Equal means tie in whatever order their rows come, and go by name; halves round by the exact mean."""
+    rows = [("m", 0.1), ("m", 0.2), ("m", 0.3), ("k", 0.3), ("k", 0.2), ("k", 0.1), ("z", 0.1)]
+    df = spark.createDataFrame([(i, n, v, 0.8 if i % 2 else 0.825) for i, (n, v) in enumerate(rows + [("m", 0.2)])], "score_id long, model_name string, normalized_value double, confidence_score double").coalesce(1)
+    df = df.select("*", *(F.lit("x").alias(c) for c in ("leaderboard", "benchmark", "metric", "normalization_method", "category")), F.lit(1.0).alias("value"), F.lit("2024-01-01").cast("timestamp").alias("scraped_at"))
+    r = B.normalized_detail(df, "m").first()
+    assert (r.overall_confidence, r.overall_normalized, r.global_rank) == (0.812, 0.2, 2)
