@@ -920,17 +920,23 @@ def e19_process_batch(spark, d):
 # Streams: each reads a table as a stream, runs until all of it is processed, and returns what was written.
 
 
-def _events_stream(spark, d, files: int = 3, twice: bool = False):
-    """events dealt over several files by time, so that a stream of one file a batch carries state from batch to batch. With `twice` each is
-    in two files."""
+#: Rows of a file of a stream's source, about.
+FILE_ROWS = 1_000_000
+
+
+def _events_stream(spark, d, batches: int = 3, twice: bool = False):
+    """events dealt over several batches by time, so that a stream carries state from batch to batch; a batch is as many files as its rows ask
+    for. With `twice` each is in two batches, which are written one after the other, as files are taken by their age."""
     path = _folder(spark, "events")
     e = P.table(spark, d, "events")
+    files = -(-max(e.count(), 1) * (1 + twice) // (batches * FILE_ROWS))
     if twice:
-        part = lambda k: F.pmod(F.xxhash64("event_id") + k, F.lit(files))
-        e.withColumn("part", part(0)).union(e.withColumn("part", part(1))).repartition(files, "part").drop("part").write.parquet(path)
+        for k in range(batches):
+            part = F.pmod(F.xxhash64("event_id"), F.lit(batches))
+            e.where(part.isin(k, (k + 1) % batches)).repartition(files).write.mode("append").parquet(path)
     else:
-        e.repartitionByRange(files, "ts", "event_id").write.parquet(path)
-    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        e.repartitionByRange(batches * files, "ts", "event_id").write.parquet(path)
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _facts_stream(spark, d, twice: bool = False):

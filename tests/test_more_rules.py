@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,11 +13,15 @@ from scorelake.operators import monitor as M
 from scorelake.operators import names as N
 from scorelake.operators import normalize as Z
 from scorelake.operators import ordered
+from scorelake.plans import facts as P
+from scorelake.plans import queries as plans
 from scorelake.sources import tables as T
 from scorelake.sources.shared import shared_path
 from scorelake.sources.versioned import VersionedTable
 from scorelake.streaming import streams
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_rounding_is_that_of_the_binary_value(spark):
     rng = random.Random(2)
@@ -215,3 +220,18 @@ def test_latest_of_one_time_goes_by_id(spark):
     assert given == [None, 9.0]
     assert [r.value for r in streams.read_latest(spark, state).collect()] == [9.0]
     assert "Pandas" not in changes._jdf.queryExecution().logical().toString()
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_files_of_a_stream_grow_in_number_not_in_size(spark, monkeypatch, twice):
+    """Files of about FILE_ROWS rows, in as many batches as before; with `twice` no batch has an event twice, and two have it."""
+    monkeypatch.setattr(plans, "FILE_ROWS", 50)
+    given = []
+    stream = plans._events_stream(spark, SF, twice=twice)
+    own = stream.select("event_id", F.col("_metadata.file_name").alias("file"))
+    own.writeStream.foreachBatch(lambda b, _: given.append([tuple(r) for r in b.collect()])).option("checkpointLocation", shared_path(spark, "state")).trigger(availableNow=True).start().awaitTermination()
+    n = P.table(spark, SF, "events").count()
+    assert len(given) == 3
+    assert max(Counter(f for b in given for _, f in b).values()) <= 2 * plans.FILE_ROWS
+    assert set(Counter(e for b in given for e, _ in b).values()) == {1 + twice} and len({e for b in given for e, _ in b}) == n
+    assert all(len({e for e, _ in b}) == len(b) for b in given)
