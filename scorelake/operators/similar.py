@@ -5,7 +5,7 @@ length c. A pair of the lengths la and lb that reaches a ratio so has a common s
 lengths are searched in one of two ways, by what costs less for as many names as there are:
 
 - by deletion: both sides give all their subsequences of that length, as hashes, and meet on them. Names of one shape, that differ in a few
-  characters, meet only where they are similar;
+  characters, meet only where they are similar. Meetings are counted first; where they cost more than blocks, blocks are taken;
 - by blocks: blocks of names are dealt to tasks in pairs, where the longest common subsequences of all pairs are found by bit operations on
   whole matrices, some 0.1 microseconds a pair; pairs whose bound is too low, or below what a name has found, are never matched.
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from difflib import SequenceMatcher
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -29,8 +29,10 @@ from scorelake.sources.shared import delete_table, stored
 
 #: Names of a block, and columns of a block that are matched at a time.
 BLOCK, COLUMNS = 2048, 256
-#: Seconds of a pair of names in blocks, and of a subsequence that is hashed, shuffled and joined.
+#: Seconds of a pair of names in blocks, and of a subsequence, or of two names that meet on one, that is hashed, shuffled and joined.
 PAIR_COST, KEY_COST = 1e-7, 2e-6
+#: Seconds of all pairs from which on best pairs are looked for at higher ratios first.
+LADDER_COST = 20.0
 #: Subsequences of a name at most: the index table of their characters is held in memory.
 MOST_KEYS = 20_000
 _POWERS = np.random.default_rng(11).integers(1, 2**63, 4096, dtype=np.uint64) | np.uint64(1)
@@ -147,21 +149,68 @@ def search_plan(left: dict[int, int], right: dict[int, int], threshold: float) -
     return out
 
 
+def levels(threshold: float) -> list[float]:
+    """Ratios at which the best pairs are looked for one after the other: from the highest down to the threshold."""
+    return [x for x in (k / 100 for k in range(95, 0, -5)) if x > threshold + 1e-9] + [threshold]
+
+
 def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, swap: bool = False, best: bool = False) -> DataFrame:
     """name, other, ratio, prefer of left.name and right.other with a ratio of `threshold` or more (with swap, of other and then name).
 
     With best, of each name only the pair of the highest ratio, and among equals that of the greatest right.prefer; without a column prefer it
-    is other. Null and empty strings have no pairs; repeated ones count once, the greatest prefer of an other too. The driver holds how many
-    strings have each length, and for the pairs of lengths how they are searched.
+    is other. Where comparing all names would take long, best pairs are looked for at higher ratios first: a name that has a pair there has its
+    best one, as all pairs of that ratio are found, and only the others go on. Null and empty strings have no pairs; repeated ones count once,
+    the greatest prefer of an other too. The driver holds how many strings have each length, and for the pairs of lengths how they are searched.
     """
     preference = F.col("prefer") if "prefer" in right.columns else F.col("other")
     a = stored(left.select("name").where("name != ''").distinct().withColumn("la", F.length("name")), "names")
     b = stored(right.select("other", preference.alias("prefer")).where("other != ''").groupBy("other").agg(F.max("prefer").alias("prefer")).withColumn("lb", F.length("other")), "names")
-    lengths = lambda df, c: {r[0]: r[1] for r in df.groupBy(c).count().collect()}  # noqa: E731  a row a length
-    plan = search_plan(lengths(a, "la"), lengths(b, "lb"), threshold)
-    spark = left.sparkSession
+    sizes = lambda df, c: {r[0]: r[1] for r in df.groupBy(c).count().collect()}  # noqa: E731  a row a length
+    na, nb = sizes(a, "la"), sizes(b, "lb")
+    parts = []
+    for level in levels(threshold) if best else [threshold]:
+        plan = search_plan(na, nb, threshold)
+        if level > threshold and sum(na[p[0]] * nb[p[1]] for p in plan) * PAIR_COST <= LADDER_COST:
+            continue
+        parts.append(stored(_search(a, b, na, nb, level, swap, best), "pairs"))
+        if level == threshold:
+            break
+        rest = stored(a.join(parts[-1].select("name"), "name", "left_anti").select(*a.columns), "names")
+        delete_table(a)
+        a, na = rest, sizes(rest, "la")
+    delete_table(a, b)
+    return reduce(DataFrame.union, parts)
+
+
+def _search(a: DataFrame, b: DataFrame, na: dict[int, int], nb: dict[int, int], threshold: float, swap: bool, best: bool) -> DataFrame:
+    """The pairs of a (name, la) and b (other, prefer, lb), both distinct, of which na and nb have each length."""
+    spark = a.sparkSession
+    plan = search_plan(na, nb, threshold)
     schema = "la int, lb int, common int, blocks_a int, blocks_b int"
     rows = lambda deletion: spark.createDataFrame([p[:5] for p in plan if p[5] == deletion], schema)
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for at in range(0, len(rows), 256):
+                part = rows.iloc[at : at + 256]
+                own = [subsequence_hashes(t, c) for t, c in zip(part["text"], part["common"], strict=True)]
+                sizes = [len(k) for k in own]
+                yield pd.DataFrame({"text": np.repeat(part["text"].to_numpy(), sizes), "prefer": np.repeat(part["prefer"].to_numpy(), sizes), "both": np.repeat(part["both"].to_numpy(), sizes), "key": np.concatenate(own)})
+
+    def keyed() -> tuple[DataFrame, DataFrame]:
+        meeting = F.broadcast(rows(True).select("la", "lb", "common"))  # a row a pair of lengths
+        # The sum of the lengths gives the number of common characters; with a string's own length it gives the other's.
+        each = lambda df, own, text, prefer: df.join(meeting, own).select(F.col(text).alias("text"), prefer.alias("prefer"), (F.col("la") + F.col("lb")).alias("both"), "common").distinct().mapInPandas(keys, "text string, prefer string, both int, key long")
+        return each(a, "la", "name", F.lit("")).select(F.col("text").alias("name"), "both", "key"), each(b, "lb", "other", F.col("prefer")).select(F.col("text").alias("other"), "prefer", "both", "key")
+
+    if any(p[5] for p in plan):
+        # Names of one beginning meet on many keys: where their meetings cost more than the blocks of that sum of lengths, blocks it is.
+        x, y = (df.groupBy("both", "key").agg(F.count("*").cast("double").alias(n)) for df, n in zip(keyed(), ("n", "m"), strict=True))
+        met = {r[0]: r[1] for r in x.join(y, ["both", "key"]).groupBy("both").agg(F.sum(F.col("n") * F.col("m"))).collect()}  # a row a sum of lengths
+        cost: dict[int, float] = {}
+        for la, lb, *_, by_deletion in plan:
+            cost[la + lb] = cost.get(la + lb, 0.0) + by_deletion * na[la] * nb[lb] * PAIR_COST
+        plan = [(*p[:5], p[5] and met.get(p[0] + p[1], 0.0) * KEY_COST <= cost[p[0] + p[1]]) for p in plan]
     place = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     found = spark.createDataFrame([], PAIRS)
@@ -180,25 +229,10 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, swap: boo
 
         found = found.union(x.union(y).groupBy("la", "lb", "i", "j").applyInPandas(match, PAIRS))
     if any(p[5] for p in plan):
-        meeting = F.broadcast(rows(True).select("la", "lb", "common"))  # a row a pair of lengths
-
-        def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for rows in batches:
-                for at in range(0, len(rows), 256):
-                    part = rows.iloc[at : at + 256]
-                    own = [subsequence_hashes(t, c) for t, c in zip(part["text"], part["common"], strict=True)]
-                    sizes = [len(k) for k in own]
-                    yield pd.DataFrame({"text": np.repeat(part["text"].to_numpy(), sizes), "prefer": np.repeat(part["prefer"].to_numpy(), sizes), "both": np.repeat(part["both"].to_numpy(), sizes), "key": np.concatenate(own)})
-
-        # The sum of the lengths gives the number of common characters; with a string's own length it gives the other's.
-        each = lambda df, own, text, prefer: df.join(meeting, own).select(F.col(text).alias("text"), prefer.alias("prefer"), (F.col("la") + F.col("lb")).alias("both"), "common").distinct().mapInPandas(keys, "text string, prefer string, both int, key long")
-        x = each(a, "la", "name", F.lit("")).select(F.col("text").alias("name"), "both", "key")
-        y = each(b, "lb", "other", F.col("prefer")).select(F.col("text").alias("other"), "prefer", "both", "key")
+        x, y = keyed()
         met = x.join(y, ["both", "key"]).where(F.length("name") + F.length("other") == F.col("both")).select("name", "other", "prefer").distinct()
         r = F.pandas_udf(ratios, "double")
         found = found.union(met.select("name", "other", (r("other", "name") if swap else r("name", "other")).alias("ratio"), "prefer").where(F.col("ratio") >= threshold))
     if best:
         found = found.groupBy("name").agg(F.max(F.struct("ratio", "prefer", "other")).alias("m")).select("name", "m.other", "m.ratio", "m.prefer")
-    out = stored(found, "pairs")
-    delete_table(a, b)
-    return out
+    return found

@@ -78,3 +78,30 @@ def test_many_names_of_one_shape_meet_by_deletion():
         return 2 * n * similar.math.comb(18, c) * similar.KEY_COST if by_deletion else i * j * similar.BLOCK**2 * similar.PAIR_COST
 
     assert cost(160_000) < 12 * cost(16_000)
+
+
+@pytest.mark.parametrize("swap", [False, True])
+def test_best_pairs_at_higher_ratios_first(spark, monkeypatch, swap):
+    """Names that have a pair at a ratio go no further, and the best pair stays the best of all, ties and names without one too."""
+    monkeypatch.setattr(similar, "LADDER_COST", 0.0)
+    monkeypatch.setattr(similar, "BLOCK", 8)
+    tried, search = [], similar._search
+    monkeypatch.setattr(similar, "_search", lambda a, b, na, *rest: tried.append((rest[1], sum(na.values()))) or search(a, b, na, *rest))
+    others = [f"model-{k}" for k in (*range(12), *range(120, 140), *range(5000, 5040), *range(88000, 88050))]
+    words = [t.replace("model-", "modle_") for t in others] + ["", None, "zzz", "model-12", "xxmodel-88012xx"]
+    got = similar_pairs(spark.createDataFrame([(w,) for w in words], "name string"), spark.createDataFrame([(o, o[::-1]) for o in others], "other string, prefer string"), 0.6, swap, best=True).collect()
+    ratio = lambda a, b: SequenceMatcher(None, b, a).ratio() if swap else SequenceMatcher(None, a, b).ratio()
+    best = {w: max(((ratio(w, o), o[::-1], o) for o in others if ratio(w, o) >= 0.6), default=None) for w in words if w}
+    assert {r.name: (r.ratio, r.prefer, r.other) for r in got} == {w: b for w, b in best.items() if b}
+    assert tried[0] == (0.95, len([w for w in words if w])) and tried[-1][0] == 0.6 and tried[-1][1] <= 5 < tried[3][1]
+
+
+def test_names_that_meet_too_often_go_by_blocks(spark, monkeypatch):
+    """Deletion looks cheap by the number of keys, but names with one beginning and a digit in common meet."""
+    monkeypatch.setattr(similar, "PAIR_COST", 2e-6)
+    a = spark.createDataFrame([(f"modle_{k}", 9) for k in range(100, 700)], "name string, la int")
+    b = spark.createDataFrame([(f"model-{k}", f"model-{k}", 9) for k in range(100, 700)], "other string, prefer string, lb int")
+    assert search_plan({9: 600}, {9: 600}, 0.5)[0][5]
+    found = similar._search(a, b, {9: 600}, {9: 600}, 0.5, True, True)
+    assert "MapInPandas keys" not in found._jdf.queryExecution().analyzed().toString()
+    assert {(r.name, r.other) for r in found.collect()} == {(f"modle_{k}", f"model-{k}") for k in range(100, 700)}
