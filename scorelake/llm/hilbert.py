@@ -16,12 +16,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorelake.llm.common import ship
+from scorelake.llm.common import drop, ship, written
 
 #: Bytes of texts that a task sorts and a file holds, about.
 PART_BYTES = 64 << 20
-#: Rows whose texts bound the cells of a text dimension.
-SAMPLE = 4096
 ROW_BITS = 33  # monotonically_increasing_id: the partition above, the row in it below
 
 
@@ -49,20 +47,28 @@ def curve_index(cells: Sequence[np.ndarray], bits: int) -> np.ndarray:
 
 
 def text_bounds(df: DataFrame, dim: str, n: int) -> list[str]:
-    """Up to n - 1 texts that part the dimension's values, as whole strings in byte order, into cells of about as many rows: all values of a
-    sample of SAMPLE rows, where they are that few, else its quantiles. The sample is of the rows of the least hashes of the whole row."""
-    c = F.col(f"`{dim}`")
-    order = F.xxhash64(*(F.col(f"`{x}`") for x in df.columns if not isinstance(df.schema[x].dataType, T.MapType | T.VariantType)))
-    got = sorted((r[0] for r in df.where(c.isNotNull()).select(c, order.alias("h")).orderBy("h").limit(SAMPLE).collect()), key=str.encode)
-    values = list(dict.fromkeys(got))
-    if len(values) < n:
-        return values
-    return list(dict.fromkeys(got[len(got) * k // n] for k in range(1, n)))
+    """Up to n - 1 texts that part the dimension's values, as whole strings in byte order, into cells of about as many rows: all values where
+    they are fewer than n, else the exact quantiles of all rows. Values are counted, sorted by ranges and numbered by a count a part; the driver
+    gets n values at most."""
+    counts = written(df.select(F.col(f"`{dim}`").alias("value")).where("value is not null").groupBy("value").agg(F.count("*").alias("n")), "values")
+    values = sorted((r[0] for r in counts.select("value").limit(n).collect()), key=str.encode)
+    if len(values) == n:
+        parts = written(counts.repartitionByRange("value").withColumn("part", F.spark_partition_id()), "values")
+        sums = parts.groupBy("part").agg(F.sum("n").alias("n"))  # a row a part
+        first = sums.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("first"), F.sum("n").over(W.partitionBy(F.lit(0))).alias("total"))
+        last = F.sum("n").over(W.partitionBy("part").orderBy("value"))
+        ranked = parts.withColumn("last", last).join(F.broadcast(first), "part").withColumn("last", F.col("first") + F.col("last"))
+        # The k-th bound is the value of the row total * k div n, from 0: that of the last count above it and none before.
+        inner = F.exists(F.sequence(F.lit(1), F.lit(n - 1)), lambda k: F.floor(F.col("total") * k / n).between(F.col("last") - F.col("n"), F.col("last") - 1))
+        values = sorted((r[0] for r in ranked.where(inner).select("value").collect()), key=str.encode)
+        drop(parts)
+    drop(counts)
+    return values
 
 
 def cells(df: DataFrame, dims: Sequence[str], bits: int, text_col: str) -> tuple[list[Column], int]:
     """The quantised value of each dimension, in its own order, and the bytes of all texts. Of texts the cell is the number of text_bounds up to
-    the value, of all else the number of quantiles below it; null is cell 0. The driver gets a bounded sample or the quantiles of a dimension."""
+    the value, of all else the number of quantiles below it; null is cell 0. The driver gets the bounds of a dimension."""
     n = 1 << bits
     kinds = {d: df.schema[d].dataType for d in dims}
 

@@ -303,6 +303,16 @@ def test_words_are_lower_case_in_every_script():
     assert sum(len(b) for b in langid.words_in(long.encode())) == 400_000 and {w for b in langid.words_in(long.encode()) for w in b} == {"w\u00e4nde"}
 
 
+def test_text_bounds_are_of_all_rows(spark):
+    """Exact quantiles, with repeats and over several parts; of few values all, a single row's too."""
+    rows = sorted([f"v{k:05d}" for k in range(20_000)] + ["v07777"] * 9_000, key=str.encode)
+    df = spark.createDataFrame([(v,) for v in rows[::-1]] + [(None,)] * 50, "`a.b` string")
+    for n in (8, 32):
+        assert hilbert.text_bounds(df, "a.b", n) == sorted({rows[len(rows) * k // n] for k in range(1, n)}, key=str.encode)
+    few = spark.range(30_000).select(F.when(F.col("id") == 12_345, "\uffee").when(F.col("id") % 2 == 0, "\U0001f600").otherwise("").alias("v"))
+    assert hilbert.text_bounds(few, "v", 32) == ["", "\uffee", "\U0001f600"]
+
+
 def test_op7_of_clashing_names_ties_and_repeated_rows(spark):
     rows = [(i, t, lang, 1, 2, 3) for i, (t, lang) in enumerate([("uno dos", "b"), ("uno dos", "a")] * 30)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred long, score long, n long")
