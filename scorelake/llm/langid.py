@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 
 from scorelake.llm.common import WordTable, drop, kept, model_file, ship, slices, utf8, written
 
-#: Documents of each language that the model is fitted on at most (about: drawn by a hash of the id).
-MAX_TRAIN_DOCS, ITERATIONS, SMOOTH, FLOOR = 5_000, 3, 0.05, 1e-9
+ITERATIONS, SMOOTH, FLOOR = 3, 0.05, 1e-9
 #: Times the mean surprise a character of its language's documents that a text's may be.
 FIT_RATIO = 3.0
 #: Bytes of a text cut into words at a time, and words whose segmentations are summed at a time.
@@ -299,19 +298,21 @@ class LanguageModel:
         return [self.languages[k] if ok else "und" for k, ok in zip(best.tolist(), seen.tolist(), strict=True)], np.where(seen, posterior, 0.0), np.where(seen, above, 0.0)
 
 
-def _learnable(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_docs: int) -> tuple[DataFrame, list[str]]:
+def _learnable(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_docs: int | None) -> tuple[DataFrame, list[str]]:
     """(lang, text) of the documents to learn from, and the languages."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("id is not null and text is not null and lang is not null").where(F.crc32(F.col("id").cast("string")) % 3 != 1)
     sizes = {r.lang: r.n for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return own.select("lang", "text"), []
+    if max_docs is None:
+        return own.select("lang", "text"), sorted(sizes)
     share = F.create_map(*(F.lit(x) for lang in sorted(sizes) for x in (lang, int(min(1.0, max_docs / sizes[lang]) * (1 << 30)))))
     return own.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share[F.col("lang")]).select("lang", "text"), sorted(sizes)
 
 
-def fit_languages(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_TRAIN_DOCS, with_floors: bool = False) -> LanguageModel:
-    """Learns from documents with a language whose id's crc32 doesn't leave 1 by 3: all of a language's, or about max_docs by a hash of the
-    id (rows of one id are drawn together). vocab: a model file's path, or a public tokeniser's bare name. Repeated rows count as often as they
+def fit_languages(docs: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int | None = None, with_floors: bool = False) -> LanguageModel:
+    """Learns from documents with a language whose id's crc32 doesn't leave 1 by 3: all of them, or, only if max_docs is given, about so many
+    of a language by a hash of the id (rows of one id are drawn together). vocab: a model file's path, or a public tokeniser's bare name. Repeated rows count as often as they
     are there. The driver gets a row a language and piece, which the vocabulary bounds. Without such documents the model knows no language.
     with_floors: in one more pass over those documents, FIT_RATIO times each language's mean log-probability a character. (Its spread over
     documents is no measure: it is that of long ones, while a short text with a key or a rare name in it lies many deviations off.)"""

@@ -303,6 +303,14 @@ def test_words_are_lower_case_in_every_script():
     assert sum(len(b) for b in langid.words_in(long.encode())) == 400_000 and {w for b in langid.words_in(long.encode()) for w in b} == {"w\u00e4nde"}
 
 
+def test_languages_are_learnt_from_all_documents(spark, monkeypatch):
+    seen, real = [], langid._learnable
+    monkeypatch.setattr(langid, "_learnable", lambda *a: seen.append(real(*a)) or seen[-1])
+    df = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 9 == 0, "dos").otherwise("uno").alias("text"), F.when(F.col("id") % 9 == 0, "b").otherwise("a").alias("lang"))
+    assert langid.fit_languages(df, PIECES, with_floors=True).languages == ["a", "b"]
+    assert seen[0][0].count() == df.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1).count() > 5000
+
+
 def test_text_bounds_are_of_all_rows(spark):
     """Exact quantiles, with repeats and over several parts; of few values all, a single row's too."""
     rows = sorted([f"v{k:05d}" for k in range(20_000)] + ["v07777"] * 9_000, key=str.encode)
