@@ -15,7 +15,8 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that one step of a Python worker takes at a time; outputs are yielded at this grain too.
 SLICE_BYTES = 1 << 20
@@ -23,6 +24,8 @@ SLICE_BYTES = 1 << 20
 BATCH_BYTES = 4 << 20
 #: Words of which Python holds a list at a time.
 STEP_WORDS = 1 << 16
+#: Bits of a page of a sieve, as many as bitmap_construct_agg sets; bits for each of its keys; and pages at most, 8 MB of them.
+PAGE_BITS, KEY_BITS, MOST_PAGES = 1 << 15, 32, 1 << 11
 
 
 def ship(spark: SparkSession) -> None:
@@ -114,6 +117,30 @@ def drop(*tables: DataFrame | str) -> None:
             _MADE.remove(path)
 
 
+def sieve(keys: DataFrame, *columns: str) -> DataFrame:
+    """A bitmap of the hashes of a table's keys, in pages, as a table of page and bits: with it rows that have none of the keys are told before
+    they are shuffled, all but one in 32. It is of 8 MB at most; beyond 2 million keys more rows pass it, so a join must follow."""
+    pages = min(MOST_PAGES, 1 + keys.count() * KEY_BITS // PAGE_BITS)
+    page, bit = _place(F.xxhash64(*columns), F.lit(pages))
+    own = keys.select(page.alias("page"), bit.alias("bit")).repartition("page").groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = written(own, "sieve")
+    out._pages = pages
+    return out
+
+
+def _place(hashed: Column, pages: Column) -> tuple[Column, Column]:
+    return F.pmod(F.shiftright(hashed, 15), pages), hashed.bitwiseAND(F.lit(PAGE_BITS - 1).cast("long"))
+
+
+def split(rows: DataFrame, by: DataFrame, *columns: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows whose columns may be a key of a sieve, among them all that are, and those whose columns are none."""
+    page, bit = _place(F.xxhash64(*columns), F.lit(by._pages))
+    byte = F.conv(F.hex(F.substring(by["bits"], F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.coalesce(F.getbit(byte, bit.bitwiseAND(F.lit(7).cast("long")).cast("int")) == 1, F.lit(False))
+    own = rows.join(F.broadcast(by), page == by["page"], "left")
+    return own.where(held).drop(by["page"], by["bits"]), own.where(~held).drop(by["page"], by["bits"])
+
+
 def clean() -> None:
     """Deletes every table that is left in the shared folder: for when the results that are read from them have been used."""
     drop(*list(_MADE))

@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorelake.llm.common import drop, kept, ship, slices, utf8, written
+from scorelake.llm.common import drop, kept, ship, sieve, slices, split, utf8, written
 from scorelake.llm.simhash import ball_links, classes_of, components, majority, shingle_hashes
 
 BANDS, WIDTH = 24, 4
@@ -67,18 +67,44 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """key, set (of its shingles' hashes, in order, as 64-bit integers) and size of every wanted key. wanted: key, first, the id of the row that
-    the text is taken from; so of a group of copies one row is read on, and rows of that id and text are combined before the shuffle."""
+    """key, set (of its shingles' hashes, in order, as 64-bit integers), its size and its sketch (see sketch) of every wanted key, as a table.
+    wanted: key, first, the id of the row that the text is taken from. A sieve of these keeps nearly all other rows' texts out of the shuffle,
+    and copies that pass it are combined before."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("key"), text.alias("text"))
-    own = rows.join(wanted, rows["id"].eqNullSafe(wanted["first"]) & (rows["key"] == wanted["key"]), "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    by = sieve(wanted, "first", "key")
+    rows, _ = split(rows, by, rows["id"], rows["key"])
+    own = rows.groupBy("key").agg(F.first("text").alias("text")).join(wanted.select("key"), "key", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
             sets = [np.unique(shingle_hashes(t, words)) for t in utf8(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())], names=["key", "set", "size"])
+            columns = [b.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(sketch, sets), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "set", "size", "sketch"])
 
-    return own.mapInArrow(run, "key binary, set binary, size long")
+    out = written(own.mapInArrow(run, "key binary, set binary, size long, sketch binary"), "sets")
+    drop(by)
+    return out
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """A bitmap of 8 to 16 bits a hash, a power of two of them and 64 at least, in which hash h sets bit h modulo their number."""
+    bits = np.zeros(max(64, 1 << (8 * len(hashes) - 1).bit_length()), bool)
+    bits[(hashes % np.uint64(len(bits))).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def most_jaccard(m: pd.Series, one: pd.Series, n: pd.Series, other: pd.Series) -> pd.Series:
+    """A bound that the similarity of sets of m and n hashes with these sketches doesn't pass: each bit that only one sketch has set, the
+    larger one folded to the smaller one's bits, is of a hash at least that only that set has."""
+    out = []
+    for a, x, b, y in zip(m, one, n, other, strict=True):
+        p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+        least = min(len(p), len(q))
+        p, q = (np.bitwise_or.reduce(t.reshape(-1, least), axis=0) for t in (p, q))
+        both = max(0, min(a - int(np.bitwise_count(p & ~q).sum()), b - int(np.bitwise_count(q & ~p).sum())))
+        out.append(both / (a + b - both) if a + b else 1.0)
+    return pd.Series(out, dtype="float64")
 
 
 def jaccard(one: pd.Series, other: pd.Series) -> pd.Series:
@@ -92,9 +118,17 @@ def jaccard(one: pd.Series, other: pd.Series) -> pd.Series:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """a, b of the pairs of keys whose sets are similar."""
+    """a, b of the pairs of keys whose sets are similar, as a table. Sketches, of an eighth to a quarter of a set's size, tell nearly all others;
+    only the sets of the pairs that are left are joined."""
+    of = lambda c, x, n: sets.select(F.col("key").alias(c), F.col("sketch").alias(x), F.col("size").alias(n))
+    likely = pairs.join(of("a", "x", "m"), "a").join(of("b", "y", "n"), "b").where(F.pandas_udf(most_jaccard, T.DoubleType())("m", "x", "n", "y") >= threshold - 1e-9)
+    pairs = written(likely.select("a", "b"), "likely")
+    by = sieve(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key")
+    sets, _ = split(sets, by, sets["key"])
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("y")), "b")
-    return both.where(F.pandas_udf(jaccard, T.DoubleType())("x", "y") >= threshold).select("a", "b")
+    out = written(both.where(F.pandas_udf(jaccard, T.DoubleType())("x", "y") >= threshold).select("a", "b"), "links")
+    drop(pairs, by)
+    return out
 
 
 def new_links(left: list[np.ndarray], right: list[np.ndarray], roots: list[bytes], threshold: float) -> list[tuple[int, int]]:
@@ -132,7 +166,9 @@ def new_links(left: list[np.ndarray], right: list[np.ndarray], roots: list[bytes
 def across(mixed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """a, b: links between members of different components of the same bucket. mixed: bucket, key, root, main (whether root is the bucket's
     component of most members). Of two members one at least isn't of the main component; those are what the others are compared with."""
-    own = written(mixed.join(sets, "key"), "members")
+    mixed = written(mixed, "mixed")
+    by = sieve(mixed.select("key").distinct(), "key")
+    own = written(mixed.join(split(sets, by, sets["key"])[0].select("key", "set", "size"), "key"), "members")
     size = own.groupBy("bucket").agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     placed = own.join(size, "bucket").withColumn("block", F.pmod(F.xxhash64("key"), F.greatest(F.col("blocks"), F.lit(1))).cast("int"))
     every = F.sequence(F.lit(0), F.greatest(F.col("blocks"), F.lit(1)) - 1)
@@ -148,7 +184,7 @@ def across(mixed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         return pd.DataFrame([(a[i], b[j]) for i, j in found], columns=["a", "b"])
 
     out = written(left.union(right).groupBy("bucket", "i", "j").applyInPandas(compare, LINKS).distinct(), "links")
-    drop(own)
+    drop(mixed, by, own)
     return out
 
 
@@ -177,14 +213,17 @@ def one_of_each(docs: DataFrame, words: int = 5, radius: int = 2, threshold: flo
     again = written(stays.where("stays.n > 1").select("stays.id", "stays.key"), "again")
     key = F.unhex(F.md5(F.coalesce(docs[text_col], F.lit(""))))
     at = lambda t: docs[id_col].eqNullSafe(t["id"]) & (key == t["key"])
-    out = docs.join(goes, at(goes), "left_anti")
+    # Only rows that may go or come again are shuffled with their texts.
+    by = sieve(goes.union(again), "id", "key")
+    some, others = split(docs, by, docs[id_col], key)
+    out = some.join(goes, at(goes), "left_anti")
     if not again.isEmpty():
-        repeated = docs.join(again, at(again), "left_semi").dropDuplicates([id_col, text_col])
+        repeated = some.join(again, at(again), "left_semi").dropDuplicates([id_col, text_col])
         # A null and an empty text are one text.
         repeated = repeated.where(F.col(text_col) != "").unionByName(repeated.where(F.coalesce(F.col(text_col), F.lit("")) == "").dropDuplicates([id_col]))
         out = out.join(again, at(again), "left_anti").unionByName(repeated)
     drop(prints, classes, stays)
-    return out
+    return out.unionByName(others)
 
 
 def similar_classes(docs: DataFrame, words: int, radius: int, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -201,7 +240,7 @@ def similar_classes(docs: DataFrame, words: int, radius: int, threshold: float,
     near = ball.join(least.withColumnsRenamed({"fp": "a", "least": "ka"}), "a").join(least.withColumnsRenamed({"fp": "b", "least": "kb"}), "b").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
     near = near.union(groups.join(by_print.where("n > 1"), "fp").select(F.col("least").alias("a"), F.col("key").alias("b")))
 
-    members = groups.select("key", F.posexplode("sig").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("bucket"), "key")
+    members = groups.select("key", F.posexplode("sig").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("bucket"), "key").repartition("bucket")  # once, for both
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("least")).where("n > 1")
     shared = written(members.join(sizes, "bucket"), "members")
     side = F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / TOGETHER))
@@ -210,8 +249,9 @@ def similar_classes(docs: DataFrame, words: int, radius: int, threshold: float,
     beside = beside.select(F.col("key").alias("b"), F.explode(F.array("least", *(f"k{k}" for k in range(1, NEIGHBOURS + 1)))).alias("a"))
     tried = written(ordered(near.union(beside.select("a", "b"))), "pairs")
     wanted = groups.select("key", "first").join(tried.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key", "left_semi")
-    sets = written(shingle_sets(docs, wanted, words, id_col, text_col), "sets")
-    links = written(verified(tried, sets, threshold), "links")
+    wanted = written(wanted, "wanted")
+    sets = shingle_sets(docs, wanted, words, id_col, text_col)
+    links = verified(tried, sets, threshold)
     roots = components(links)
 
     at = shared.where(F.col("n") > NEIGHBOURS + 1).join(roots.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
@@ -223,5 +263,5 @@ def similar_classes(docs: DataFrame, words: int, radius: int, threshold: float,
         drop(roots)
         roots = components(links.union(more))
     classes = classes_of(groups, roots, "key")
-    drop(groups, by_print, shared, tried, sets, links, roots, counted, more)
+    drop(groups, by_print, shared, tried, wanted, sets, links, roots, counted, more)
     return prints, classes
