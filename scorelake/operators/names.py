@@ -436,6 +436,15 @@ def near_duplicate_names(names: DataFrame, threshold: float = 0.8) -> DataFrame:
     return once.select(F.col("ka").alias("key_a"), "name_a", "n_a", F.col("kb").alias("key_b"), "name_b", "n_b", F.round(sim, 6).alias("similarity")).where(F.col("similarity") > threshold)
 
 
+def near_duplicate_pairs(classes: DataFrame, linked: DataFrame) -> DataFrame:
+    """name_a, name_b (the greater) and similarity of all pairs of different names that are linked, of `name_classes` and the pairs of classes
+    of `near_duplicate_names`: so as many rows as pairs, which grow with the square of the names that are alike."""
+    a, b = (classes.select(F.col("key").alias(f"key_{x}"), F.col("model_name").alias(x)) for x in "ab")
+    between = linked.select("key_a", "key_b", "similarity").join(a, "key_a").join(b, "key_b").select("a", "b", "similarity")
+    inside = a.join(b, F.col("key_a") == F.col("key_b")).where("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
+    return between.union(inside).select(F.least("a", "b").alias("name_a"), F.greatest("a", "b").alias("name_b"), "similarity")
+
+
 def daily_normalize(facts: DataFrame, aliases: DataFrame, rules: Sequence[tuple[str, str, float]] | None = None, min_conf: float = 0.9, recompute: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """(coverage report, aliases with the sure matches of names that had none, what `recompute` makes of the aliases if any were added, else
     None)."""

@@ -588,14 +588,11 @@ def e30_dedup_first(spark, d):
     return N.dedup_first(P.facts(spark, d), S.squashed(F.col("model_name"))).select("model_name", "score_id", "benchmark")
 
 
-@query(with_sql("names", "SELECT * FROM (WITH s AS (SELECT DISTINCT model_name, list_distinct(string_split(lower(model_name), '')) AS s FROM names) SELECT a.model_name, array_to_string(list_sort(a.s), '') AS key, count(b.model_name) AS n_links FROM s a LEFT JOIN s b ON a.model_name <> b.model_name AND len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) > 0.8 GROUP BY ALL)"))
+@query(with_sql("names", "SELECT * FROM (WITH s AS (SELECT DISTINCT model_name, list_distinct(string_split(lower(model_name), '')) AS s FROM names) SELECT a.model_name AS name_a, b.model_name AS name_b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) AS similarity FROM s a JOIN s b ON a.model_name < b.model_name) WHERE similarity > 0.8"))
 def e31_near_duplicate_names(spark, d):
-    """Every name with its class, and how many other names it is linked with: those of its class and of the classes linked with that."""
+    """All pairs of names, from the pairs of classes and the classes' names."""
     names = P.names(spark, d)
-    c, pairs = N.name_classes(names), N.near_duplicate_names(names)
-    each = pairs.select(F.inline(F.array(F.struct(F.col("key_a").alias("key"), F.col("n_b").alias("k")), F.struct(F.col("key_b").alias("key"), F.col("n_a").alias("k")))))
-    across = each.groupBy("key").agg(F.sum("k").alias("k"))
-    return c.join(across, "key", "left").select("model_name", "key", (F.col("n") - 1 + F.coalesce("k", F.lit(0))).cast("long").alias("n_links"))
+    return N.near_duplicate_pairs(N.name_classes(names), N.near_duplicate_names(names))
 
 
 _CLASSES = "(SELECT model_name, key, count(*) OVER (PARTITION BY key) AS n FROM (SELECT DISTINCT model_name, array_to_string(list_sort(list_distinct(string_split(lower(model_name), ''))), '') AS key FROM names))"
