@@ -3,10 +3,10 @@
 A shard is a bounded run of words of one language's texts. Its index over word numbers is kept in a table: the Burrows-Wheeler transforms of
 the word sequence and of its reversal, which together let the interval of a phrase be extended by a word on either side. Rows are ordered by
 DEPTH words, all that phrases of DEPTH words need. Phrases are enumerated level by level: counts of a level are summed across shards, and only
-what is frequent overall is extended. Phrases are counted by numbers of their words
-in a sorted list of the frequent words' hashes, where that list is of bounded size and no two hashes are equal. Else a level is counted by short
-hashes first, and then the phrases whose hashes are frequent are, by their words. What the shards are told of frequent phrases is a bitmap of bounded size: a false positive costs a row in a shuffle, a frequent phrase is never
-missed.
+what is frequent overall is extended. Phrases are counted by the 64-bit hashes of their words, where no frequent word shares its hash with another
+word, and the words are joined to those that are frequent. Else a level is counted by short hashes first, and then the phrases whose hashes are
+frequent are, by their words. What the shards are told of frequent phrases is a bitmap of bounded size: a false positive costs a row in a
+shuffle, a frequent phrase is never missed. These bitmaps are all that the driver holds.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import STEP_WORDS, drop, ragged, release, ship, slices, utf8, words_of, written
+from scorelake.llm.common import PAGE_BITS, STEP_WORDS, drop, ragged, release, ship, slices, utf8, words_of, written
 
 DEPTH = 3
 #: Words of a shard: its index is built and read in some 100 bytes a word.
@@ -38,10 +38,10 @@ WINDOW_BYTES = 1 << 20
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
 GAP = re.compile(rb"[ \n]")
 INSIDE = np.array([b not in b" \n" for b in range(256)])
-#: Bits of a bitmap of frequent phrases: about 16 a phrase, between these.
+#: Bits of a bitmap of frequent phrases: about 16 a phrase, between these. It is put together from pages.
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28
-#: Frequent words whose list is broadcast at most.
-MOST_WORDS = 1 << 24
+#: Frequent words that are told apart by their hashes at most: of more, two equal hashes are likely.
+MOST_WORDS = 1 << 30
 #: Bits of a phrase's hash: what is counted first. Phrases of one hash are told apart later, when only the frequent are left.
 HASH_BITS = 44
 #: Rows of an index that are extended at a time.
@@ -175,11 +175,11 @@ def bitmap(hashes: DataFrame) -> Broadcast:
     while bits < min(16 * n, MOST_BITS):
         bits *= 2
     place = F.col("hash").bitwiseAND(F.lit(bits - 1))
-    own = hashes.toDF("hash").groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(hash & 63 as int))")).alias("bits"))
-    found = own.toPandas()
-    out = np.zeros(bits // 64, np.int64)
-    out[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    return hashes.sparkSession.sparkContext.broadcast(out.view(np.uint64))
+    own = hashes.toDF("hash").select(F.shiftright(place, PAGE_BITS.bit_length() - 1).alias("page"), place.bitwiseAND(F.lit(PAGE_BITS - 1)).alias("bit"))
+    out = np.zeros((bits // PAGE_BITS, PAGE_BITS // 8), np.uint8)
+    for r in own.repartition("page").groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
+        out[r["page"]] = np.frombuffer(r["bits"], np.uint8)
+    return hashes.sparkSession.sparkContext.broadcast(out.reshape(-1).view(np.uint64))
 
 
 def among(held: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -265,11 +265,11 @@ def phrases_of(hashes: np.ndarray, forward: bytes, backward: bytes, depth: int,
         yield words, n
 
 
-def level_counts(indexes: DataFrame, depth: int, bitmaps: list[Broadcast], how: str = "words", listed: Broadcast | None = None) -> DataFrame:
+def level_counts(indexes: DataFrame, depth: int, bitmaps: list[Broadcast], how: str = "words") -> DataFrame:
     """Phrases of `depth` words of all shards, of the parts that the bitmaps hold, with their counts f: by lang, w1 .. w<depth>; with how =
-    "hash" by hash; with "numbers" by first (the first two words' numbers in `listed`, in 32 bits each) and third (or 0)."""
+    "hash" by hash; with "hashes" by h1 .. h<depth>, the whole hashes of the words."""
     names = [f"w{k + 1}" for k in range(depth)]
-    keys = {"words": ["lang", *names], "hash": ["hash"], "numbers": ["first", "third"]}[how]
+    keys = {"words": ["lang", *names], "hash": ["hash"], "hashes": [f"h{k + 1}" for k in range(depth)]}[how]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [b.value for b in bitmaps]
@@ -279,7 +279,6 @@ def level_counts(indexes: DataFrame, depth: int, bitmaps: list[Broadcast], how:
                 known = vocabulary.split(b"\n")
                 hashes = shard_hashes(lang, known)
                 texts = pa.array([b"", *known], pa.binary()).cast(pa.string(), safe=False) if how == "words" else None
-                number = np.searchsorted(listed.value, hashes) if how == "numbers" else None
 
                 def batch(words: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
                     if how == "words":
@@ -287,11 +286,7 @@ def level_counts(indexes: DataFrame, depth: int, bitmaps: list[Broadcast], how:
                     elif how == "hash":
                         columns = [pa.array(phrase_hash(hashes, words).view(np.int64))]  # noqa: B023
                     else:
-                        # What isn't in the list is frequent by the bitmap's mistake.
-                        at = [number[w] for w in words]  # noqa: B023
-                        right = np.logical_and.reduce([listed.value[np.minimum(k, len(listed.value) - 1)] == hashes[w] for k, w in zip(at, words, strict=True)])  # noqa: B023
-                        at, n = [k[right] for k in at], n[right]
-                        columns = [pa.array(at[0] << 32 | at[1]), pa.array(at[2] if depth > 2 else np.zeros(len(n), np.int64))]
+                        columns = [pa.array(hashes[w].view(np.int64)) for w in words]  # noqa: B023
                     return pa.RecordBatch.from_arrays([*columns, pa.array(n.astype(np.int64))], [*keys, "f"])
 
                 for words, n in phrases_of(hashes, forward, backward, depth, own):
@@ -306,25 +301,12 @@ def level_counts(indexes: DataFrame, depth: int, bitmaps: list[Broadcast], how:
     return indexes.mapInArrow(run, schema).groupBy(*keys).agg(F.sum("f").alias("f"))
 
 
-def frequent_list(frequent: DataFrame) -> Broadcast | None:
-    """The sorted hashes of the frequent words, all of their bits; None where they are more than MOST_WORDS, or two are equal."""
-    if frequent.count() > MOST_WORDS:
-        return None
-    found = np.sort(frequent.select(full_hash(F.col("lang"), F.col("w1")).alias("hash")).toPandas()["hash"].to_numpy(np.int64).view(np.uint64))
-    if not len(found) or (found[1:] == found[:-1]).any():
-        return None
-    return frequent.sparkSession.sparkContext.broadcast(found)
-
-
-def numbered(frequent: DataFrame, listed: Broadcast) -> DataFrame:
-    """number, lang and w of the frequent words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = np.searchsorted(listed.value, b.column(0).to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(at), b.column(1), b.column(2)], ["number", "lang", "w"])
-
-    return frequent.select(full_hash(F.col("lang"), F.col("w1")), "lang", "w1").mapInArrow(run, "number long, lang string, w string")
+def told_apart(words: DataFrame, min_count: int) -> bool:
+    """Whether no frequent word shares its hash with another word, so that hashes stand for them."""
+    if words.where(F.col("f") >= min_count).count() > MOST_WORDS:
+        return False
+    by = words.groupBy(full_hash(F.col("lang"), F.col("w1")).alias("hash")).agg(F.count("*").alias("n"), F.max("f").alias("most"))
+    return not by.where((F.col("n") > 1) & (F.col("most") >= min_count)).count()
 
 
 def score(a: Column, l: Column, r: Column) -> Column:  # noqa: E741
@@ -348,17 +330,15 @@ def collocations(docs: DataFrame, min_count: int = 10, cover_percent: int = 50,
     words = written(level_counts(indexes, 1, []), "words")
     frequent = words.where(F.col("f") >= min_count)
     lang, w = F.col("lang"), [F.col(f"w{k + 1}") for k in range(DEPTH)]
-    listed = frequent_list(frequent)
-    names = written(numbered(frequent, listed), "names") if listed else None
+    hashed = told_apart(words, min_count)
+    names = written(frequent.select(full_hash(lang, w[0]).alias("hash"), "lang", F.col("w1").alias("w")), "names") if hashed else None
     bitmaps = [bitmap(frequent.select(hash_of(lang, w[0])))]
     levels = []
     for depth in range(2, DEPTH + 1):
-        if listed:
-            counts = level_counts(indexes, depth, bitmaps, "numbers", listed).where(F.col("f") >= min_count)
-            number = [F.shiftright("first", 32), F.col("first").bitwiseAND(F.lit((1 << 32) - 1)), F.col("third")][:depth]
-            found = counts.select(*(n.alias(f"n{k + 1}") for k, n in enumerate(number)), "f")
+        if hashed:
+            found = level_counts(indexes, depth, bitmaps, "hashes").where(F.col("f") >= min_count)
             for k in range(depth):
-                found = found.join(names.select(F.col("number").alias(f"n{k + 1}"), *(["lang"] if not k else []), F.col("w").alias(f"w{k + 1}")), f"n{k + 1}")
+                found = found.join(names.select(F.col("hash").alias(f"h{k + 1}"), *(["lang"] if not k else []), F.col("w").alias(f"w{k + 1}")), f"h{k + 1}")
             found = found.select("lang", *(f"w{k + 1}" for k in range(depth)), "f")
         else:
             hashes = written(level_counts(indexes, depth, bitmaps, "hash").where(F.col("f") >= min_count).select("hash"), "hashes")
@@ -366,13 +346,15 @@ def collocations(docs: DataFrame, min_count: int = 10, cover_percent: int = 50,
             drop(hashes)
             found = level_counts(indexes, depth, bitmaps).where(F.col("f") >= min_count)
         levels.append(written(found, "phrases"))
-        if listed and depth < DEPTH:
+        if hashed and depth < DEPTH:
             bitmaps.append(bitmap(levels[-1].select(hash_of(lang, *w[:depth]))))
         release(docs.sparkSession)
     if names is not None:
         drop(names)
     pairs, triples = levels
     drop(indexes)
+    for b in bitmaps:
+        b.destroy()
 
     # The extensions of a pair to the left and to the right.
     of = lambda *w: triples.select("lang", F.col(w[0]).alias("w1"), F.col(w[1]).alias("w2"), "f")

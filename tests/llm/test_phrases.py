@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scorelake.llm import phrases
 from scorelake.llm.phrases import Transform, collocations, index_of
@@ -81,6 +82,29 @@ def test_counts_of_many_digits(spark):
     assert got == [10**6 * a * a // (left * right) for a, left, right in rows]
 
 
+def test_driver_gets_pages_only(spark, monkeypatch):
+    """Neither the frequent words nor the bits of their bitmaps come to the driver a row each."""
+    rows = [(f"w{i} v{i} u{i}.", "en") for i in range(1500) for _ in range(3)]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(2)
+    want, brought = plain(rows, 3), []
+    kind = type(df)
+    with monkeypatch.context() as m:
+        for name in ("collect", "toPandas", "toArrow", "toLocalIterator"):
+            m.setattr(kind, name, lambda self, *a, f=getattr(kind, name), **b: (brought.append(len(out := f(self, *a, **b))), out)[1])
+        out = collocations(df, min_count=3)
+    assert sorted(map(tuple, out.collect())) == want and len(want) > 1000
+    assert sum(brought) < 100
+
+
+def test_words_of_one_hash(spark, monkeypatch):
+    """A frequent word whose hash another one has, even a rare one, isn't told by its hash; rare ones of one hash don't matter."""
+    words = spark.createDataFrame([("en", "aa", 50), ("en", "ab", 3), ("en", "ba", 60), ("en", "ca", 2), ("en", "cb", 1)], "lang string, w1 string, f long")
+    assert phrases.told_apart(words, 10)
+    monkeypatch.setattr(phrases, "full_hash", lambda lang, word: F.ascii(word))
+    assert not phrases.told_apart(words, 10)
+    assert phrases.told_apart(words.where("w1 != 'ab'"), 10)
+
+
 def test_extension_both_ways():
     """Intervals of every phrase in both transforms, found by extension to the right and to the left, hold its occurrences."""
     rng = np.random.default_rng(5)
